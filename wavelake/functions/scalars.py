@@ -73,8 +73,8 @@ def seconds(samples: Column) -> Column:
 
 def std_length(rate: Column, frames: Column) -> Column:
     """Length after resampling to 48 kHz: the ceiling of frames * 48000 / rate, in integers."""
-    scaled = frames.cast("bigint") * F.lit(SAMPLE_RATE).cast("bigint")
-    return F.expr("bigint(0)") + ((scaled + rate - 1) - (scaled + rate - 1) % rate) / rate
+    ahead = frames.cast("bigint") * F.lit(SAMPLE_RATE).cast("bigint") + rate - 1
+    return ((ahead - ahead % rate) / rate).cast("bigint")
 
 
 def trailing_index(identifier: Column) -> Column:

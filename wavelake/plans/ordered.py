@@ -153,22 +153,19 @@ def index_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     """
     total = ordered_index(df, [*keys, *order], "_total")
     rows = total.withColumn("block", block_of(F.col("_total")))
+    names = [f"_key{i}" for i in range(len(keys))]
     starts = rows.groupBy(*keys).agg(F.min("_total").alias("_start"))
-    spread = rows.select(*keys, "block").distinct()
-    joined = spread.join(starts, spread_condition(spread, starts, keys)).select(
-        *[spread[k] for k in keys], "block", "_start"
-    )
-    return (
-        rows.join(joined, spread_condition(rows, joined, [*keys, "block"]))
-        .select(*[rows[c] for c in rows.columns if c not in ("_total", "block")], (F.col("_total") - F.col("_start")).alias(name))
-    )
+    blocks = rows.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("block").alias("_block")).distinct()
+    placed = blocks.join(starts, null_safe(names, keys)).select(*names, "_block", "_start")
+    joined = rows.join(placed, null_safe(names, keys) & (F.col("block") == F.col("_block")))
+    return joined.select(*df.columns, (F.col("_total") - F.col("_start")).alias(name))
 
 
-def spread_condition(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Equi-join condition that also matches null keys with each other."""
+def null_safe(left: Sequence[str], right: Sequence[str]) -> Column:
+    """Equi-join condition over differently named columns that also matches null with null."""
     condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
+    for a, b in zip(left, right):
+        condition = condition & F.col(a).eqNullSafe(F.col(b))
     return condition
 
 
