@@ -164,9 +164,10 @@ def progress(commits: DataFrame, keys: Sequence[str]) -> DataFrame:
     ``commits`` has (keys, commit_id, at_seconds, total, block).
     """
     rows = ordered_rank(commits, keys, ["at_seconds", "commit_id"], "_rank")
-    rows = block_totals(rows, keys, _began=F.min("at_seconds"))
+    # The largest negated time is the first commit of the run.
+    rows = block_totals(rows, keys, maxima={"_began": -F.col("at_seconds")})
     done = (F.col("_rank") + 1).alias("done")
-    elapsed = F.col("at_seconds") - F.col("_began")
+    elapsed = F.col("at_seconds") + F.col("_began")
     rows = rows.select(*keys, "commit_id", "total", done, F.when(elapsed > 0, (F.col("_rank") + 1) / elapsed).alias("rate"))
     return rows.withColumn("eta_seconds", (F.col("total") - F.col("done")) / F.col("rate"))
 

@@ -1,5 +1,736 @@
+"""Operators on sample tables (signal_id, t, block, values).
+
+``t`` counts samples from 0; ``block`` is ``t`` divided by a block length. Rows of one signal are spread over its
+blocks everywhere. Filters and correlations get their neighbourhood through a halo: each sample is also copied into the
+few blocks whose outputs need it, so one task works on one block plus its halo, whatever the length of the signal.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from math import ceil, gcd
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from wavelake.functions import metrics as M
+from wavelake.functions.scalars import db_to_amplitude, fade_gain, pcm_decode, pcm_encode
+from wavelake.operators.rules import clip_gain
+from wavelake.plans.draws import unit
+from wavelake.plans.ordered import (
+    BLOCK,
+    attach,
+    block_of,
+    block_totals,
+    exact_percentile,
+    merge_intervals,
+    true_runs,
+    with_block,
+)
+from wavelake.session import cut_lineage
+
+SIGNAL = ["signal_id"]
+EPS = 1e-12
+
+
+# Layout ---------------------------------------------------------------------------------------------------------
+
+
+def samples_from_blocks(blocks: DataFrame) -> DataFrame:
+    """Stored blocks (signal_id, block, start, samples) to one row per sample."""
+    rows = blocks.select("signal_id", "block", "start", F.posexplode("samples").alias("_i", "x"))
+    return rows.select("signal_id", (F.col("start") + F.col("_i")).alias("t"), "block", F.col("x").cast("double").alias("x"))
+
+
+def blocks_from_samples(samples: DataFrame, size: int = BLOCK) -> DataFrame:
+    """One row per (signal, block) with its samples as an array; an array holds at most ``size`` samples."""
+    rows = with_block(samples, "t", size)
+    ordered = F.array_sort(F.collect_list(F.struct("t", F.col("x").cast("float").alias("x"))))
+    packed = rows.groupBy("signal_id", "block").agg(F.min("t").alias("start"), ordered.alias("_s"))
+    return packed.select("signal_id", "block", "start", F.transform("_s", lambda s: s["x"]).alias("samples"))
+
+
+def with_halo(df: DataFrame, before: int, after: int, size: int, position: str = "t") -> DataFrame:
+    """Copies every row into all blocks whose outputs need it and marks the rows of the block itself as ``own``.
+
+    Outputs of a block need ``before`` positions to its left and ``after`` to its right.
+    """
+    at = F.col(position)
+    first = F.greatest(F.floor((at - after) / size), F.lit(0))
+    last = F.floor((at + before) / size)
+    rows = df.drop("block").withColumn("block", F.explode(F.sequence(first, last)))
+    return rows.withColumn("own", F.col("block") == F.floor(at / size))
+
+
+def per_block(df: DataFrame, keys: Sequence[str], function, output: str) -> DataFrame:
+    """Runs a NumPy function on every (keys, block) group of a haloed table. Groups have a fixed maximum size.
+
+    ``function(block, own, rows)`` returns a dict of arrays named like the columns of ``output`` without keys.
+    """
+    schema = T.StructType([df.schema[k] for k in keys] + T.StructType.fromDDL(output).fields)
+    names = [f.name for f in schema.fields]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        own = group["own"].to_numpy()
+        if not own.any():
+            return pd.DataFrame({n: [] for n in names})
+        result = function(int(group["block"].iloc[0]), own, group)
+        size = len(next(iter(result.values())))
+        head = {k: [group[k].iloc[0]] * size for k in keys}
+        return pd.DataFrame({**head, **result})[names]
+
+    return df.groupBy(*keys, "block").applyInPandas(run, schema)
+
+
+def slice_signal(samples: DataFrame, start: int, stop: int, size: int = BLOCK) -> DataFrame:
+    """Samples of the half-open range. The block filter comes first, so stored blocks outside it are never read."""
+    first, last = start // size, (stop - 1) // size
+    return samples.where(F.col("block").between(first, last) & (F.col("t") >= start) & (F.col("t") < stop))
+
+
+def short_reads(sliced: DataFrame, start: int, stop: int, keys: Sequence[str] = SIGNAL) -> DataFrame:
+    """Signals that do not fill the requested range."""
+    counts = sliced.groupBy(*keys).agg(F.count(F.lit(1)).alias("got"))
+    return counts.where(F.col("got") != stop - start)
+
+
+def downmix(channels: DataFrame, keys: Sequence[str] = SIGNAL) -> DataFrame:
+    """Channel mean per sample."""
+    return channels.groupBy(*keys, "t").agg(F.avg("x").alias("x"))
+
+
+# Filters --------------------------------------------------------------------------------------------------------
+
+
+def zero_phase_taps(low_hz: float | None, high_hz: float | None, rate: int, order: int = 4, half: int = 8192) -> np.ndarray:
+    """Symmetric taps of a Butterworth filter run forward and backward: its squared magnitude, back in time.
+
+    ``low_hz`` alone is a high-pass, ``high_hz`` alone a low-pass, both a band-pass. ``half`` taps lie on each side.
+    """
+    n = 1 << (2 * half + 1).bit_length()
+    warped = np.tan(np.pi * np.arange(n // 2 + 1) / n)
+    edge = lambda hz: np.tan(np.pi * hz / rate)
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        if low_hz and high_hz:
+            a, b = edge(low_hz), edge(high_hz)
+            ratio = (warped**2 - a * b) / ((b - a) * warped)
+        elif low_hz:
+            ratio = edge(low_hz) / warped
+        else:
+            ratio = warped / edge(high_hz)
+        response = 1.0 / (1.0 + ratio ** (2 * order))
+    response = np.nan_to_num(response, nan=0.0)
+    kernel = np.fft.irfft(response, n)
+    return np.concatenate([kernel[-half:], kernel[: half + 1]])
+
+
+def zero_phase_filter(
+    samples: DataFrame, taps: np.ndarray, column: str = "x", keys: Sequence[str] = SIGNAL, size: int = BLOCK
+) -> DataFrame:
+    """Symmetric FIR; outside the signal there are zeros. One FFT product per block with its halo."""
+    half = (len(taps) - 1) // 2
+    spread = 1 << (size + 4 * half).bit_length()
+    spectrum = np.fft.rfft(taps, spread)
+
+    def run(block, own, rows):
+        t, x = rows["t"].to_numpy(), rows[column].to_numpy(dtype=np.float64)
+        field = np.zeros(size + 2 * half)
+        field[t - (block * size - half)] = x
+        y = np.fft.irfft(np.fft.rfft(field, spread) * spectrum, spread)[2 * half : 2 * half + size]
+        mine = np.sort(t[own])
+        return {"t": mine, "block": np.full(len(mine), block), column: y[mine - block * size]}
+
+    haloed = with_halo(samples.select(*keys, "t", column), half, half, size)
+    return per_block(haloed, keys, run, f"t BIGINT, block BIGINT, {column} DOUBLE")
+
+
+def resample_taps(up: int, down: int) -> np.ndarray:
+    """Low-pass taps of the polyphase resampler: a Kaiser window with beta 5 and ten lobes per side."""
+    top = max(up, down)
+    half = 10 * top
+    n = np.arange(-half, half + 1)
+    taps = np.sinc(n / top) / top * np.kaiser(2 * half + 1, 5.0)
+    return taps / taps.sum() * up
+
+
+def resample(
+    samples: DataFrame, up: int, down: int, column: str = "x", keys: Sequence[str] = SIGNAL, size: int = BLOCK
+) -> DataFrame:
+    """Rational-rate polyphase resampling. Each block makes the outputs that fall on its own input samples.
+
+    A signal of n samples gives the ceiling of n * up / down samples.
+    """
+    common = gcd(up, down)
+    up, down = up // common, down // common
+    taps = resample_taps(up, down)
+    half = (len(taps) - 1) // 2
+    reach = ceil(half / up) + 1
+    per_side = half // up + 1
+
+    def run(block, own, rows):
+        t, x = rows["t"].to_numpy(), rows[column].to_numpy(dtype=np.float64)
+        base = block * size - reach
+        field = np.zeros(size + 2 * reach)
+        field[t - base] = x
+        end = int(t[own].max()) + 1
+        out = np.arange(-(-block * size * up // down), -(-end * up // down), dtype=np.int64)
+        centre = out * down // up
+        total = np.zeros(len(out))
+        for shift in range(-per_side, per_side + 1):
+            source = centre + shift
+            tap = out * down - source * up + half
+            inside = (tap >= 0) & (tap < len(taps)) & (source - base >= 0) & (source - base < len(field))
+            total[inside] += field[source[inside] - base] * taps[tap[inside]]
+        return {"t": out, column: total}
+
+    haloed = with_halo(samples.select(*keys, "t", column), reach, reach, size)
+    return with_block(per_block(haloed, keys, run, f"t BIGINT, {column} DOUBLE"), "t", size)
+
+
+# Levels ---------------------------------------------------------------------------------------------------------
+
+
+def remove_dc(samples: DataFrame, keys: Sequence[str] = SIGNAL) -> DataFrame:
+    rows = block_totals(samples, keys, {"_sum": F.col("x")})
+    return rows.withColumn("x", F.col("x") - F.col("_sum") / F.col("_n")).drop("_sum", "_n")
+
+
+def peak_limit(samples: DataFrame, limit: float = 0.99, keys: Sequence[str] = SIGNAL) -> DataFrame:
+    """Scales to the limit only where the peak is above it."""
+    rows = block_totals(samples, keys, maxima={"_peak": F.abs("x")})
+    return rows.withColumn("x", F.col("x") * clip_gain(F.col("_peak") + F.lit(EPS), limit)).drop("_peak", "_n")
+
+
+def rms_normalize(samples: DataFrame, target_dbfs: float = -26.0, limit: float = 0.99, keys: Sequence[str] = SIGNAL) -> DataFrame:
+    """Gain to a target RMS level, then a peak limit; both gains come from one pass over the signal."""
+    rows = block_totals(samples, keys, {"_power": F.col("x") * F.col("x")}, {"_peak": F.abs("x")})
+    gain = F.lit(10 ** (target_dbfs / 20)) / (F.sqrt(F.col("_power") / F.col("_n")) + F.lit(EPS))
+    top = F.col("_peak") * gain + F.lit(EPS)
+    gain = F.when(top > limit, gain * (F.lit(limit) / top)).otherwise(gain)
+    return rows.withColumn("x", F.col("x") * gain).drop("_power", "_peak", "_n")
+
+
+def rms_normalize_reversible(
+    samples: DataFrame,
+    target_dbfs: float = -25.0,
+    max_gain_db: float = 30.0,
+    silent_dbfs: float = -80.0,
+    limit: float = 0.98,
+    keys: Sequence[str] = SIGNAL,
+) -> DataFrame:
+    """Level change that keeps its ``gain`` for `undo_gain`; silent signals are left alone and marked ``silent``."""
+    rows = block_totals(samples, keys, {"_power": F.col("x") * F.col("x")}, {"_peak": F.abs("x")})
+    rows = rows.withColumn("_level", M.to_dbfs(F.sqrt(F.col("_power") / F.col("_n"))))
+    silent = F.col("_level") <= silent_dbfs
+    wanted = F.greatest(F.least(F.lit(target_dbfs) - F.col("_level"), F.lit(max_gain_db)), F.lit(-max_gain_db))
+    gain = F.least(db_to_amplitude(wanted), F.lit(limit) / (F.col("_peak") + F.lit(EPS)))
+    rows = rows.withColumn("silent", silent).withColumn("gain", F.when(silent, F.lit(1.0)).otherwise(gain))
+    return rows.withColumn("x", F.col("x") * F.col("gain")).drop("_level", "_power", "_peak", "_n")
+
+
+def undo_gain(samples: DataFrame) -> DataFrame:
+    return samples.withColumn("x", F.col("x") / F.col("gain"))
+
+
+def blend(enhanced: DataFrame, dry: DataFrame, wet: float, keys: Sequence[str] = SIGNAL) -> DataFrame:
+    """Weighted sum of two signals, cut to the shorter one."""
+    other = dry.select(*keys, "t", F.col("x").alias("_dry"))
+    joined = enhanced.join(other, [*keys, "t"])
+    return joined.withColumn("x", F.lit(wet) * F.col("x") + F.lit(1.0 - wet) * F.col("_dry")).drop("_dry")
+
+
+# Activity -------------------------------------------------------------------------------------------------------
+
+
+def frame_energies(samples: DataFrame, length: int, hop: int, keys: Sequence[str] = SIGNAL, column: str = "x") -> DataFrame:
+    """Mean square of every full frame, and of one short frame for a signal shorter than a frame.
+
+    Samples first collapse into chunks of the greatest common divisor of length and hop; only chunk sums reach the
+    frames, so the shuffle after the first aggregate carries one row per chunk, not one per sample.
+    """
+    unit_size = gcd(length, hop)
+    value = F.col(column)
+    chunks = samples.groupBy(*keys, F.floor(F.col("t") / unit_size).alias("_chunk")).agg(
+        F.sum(value * value).alias("_energy"), F.count(F.lit(1)).alias("_n")
+    )
+    per_frame, per_hop = length // unit_size, hop // unit_size
+    first = F.greatest(F.floor((F.col("_chunk") - per_frame) / per_hop) + 1, F.lit(0))
+    spread = chunks.withColumn("frame", F.explode(F.sequence(first, F.floor(F.col("_chunk") / per_hop))))
+    frames = spread.groupBy(*keys, "frame").agg(F.sum("_energy").alias("_energy"), F.sum("_n").alias("samples"))
+    frames = frames.where((F.col("samples") == length) | ((F.col("frame") == 0) & (F.col("samples") < length)))
+    return frames.select(*keys, "frame", "samples", (F.col("_energy") / F.col("samples")).alias("energy"))
+
+
+def detect_active_regions(
+    samples: DataFrame,
+    frame: int = 1200,
+    hop: int = 480,
+    below_p95: float = 25.0,
+    floor_dbfs: float = -70.0,
+    min_gap: int = 9600,
+    min_region: int = 4800,
+    keys: Sequence[str] = SIGNAL,
+    size: int = BLOCK,
+) -> DataFrame:
+    """Active regions of every signal as half-open sample ranges.
+
+    A frame is active above the larger of (95th percentile of frame levels - below_p95) and an absolute floor. Runs of
+    active frames become regions; regions closer than ``min_gap`` merge; short ones are dropped.
+    """
+    # A frame table has one row per hop; it is read several times below.
+    frames = cut_lineage(frame_energies(samples, frame, hop, keys))
+    frames = frames.withColumn("db", F.lit(10.0) * F.log10(F.col("energy") + F.lit(1e-24)))
+    p95 = exact_percentile(frames, keys, "db", 0.95, "_p95")
+    threshold = p95.withColumn("_threshold", F.greatest(F.col("_p95") - below_p95, F.lit(floor_dbfs))).drop("_p95")
+    marked = attach(with_block(frames, "frame", size), threshold, keys).withColumn("_on", F.col("db") > F.col("_threshold"))
+    runs = true_runs(marked, keys, "frame", "_on")
+    lengths = frames.groupBy(*keys).agg(F.max(F.when(F.col("frame") == 0, F.col("samples"))).alias("_first"))
+    # Only full frames exist beyond the first one, so a run ends where its last frame ends.
+    joined = attach(runs.withColumn("block", block_of(F.col("start_sample"), size)), lengths, keys)
+    end = (F.col("end_sample") - 1) * hop + F.least(F.lit(frame), F.col("_first"))
+    regions = joined.select(*keys, (F.col("start_sample") * hop).alias("start_sample"), end.alias("end_sample"))
+    return merge_intervals(regions, keys, min_gap, min_region)
+
+
+def active_fraction(masked: DataFrame, keys: Sequence[str] = SIGNAL) -> DataFrame:
+    return masked.groupBy(*keys).agg(F.round(F.avg(F.col("mask").cast("int")), 4).alias("active_fraction"))
+
+
+def hop_clip_flags(samples: DataFrame, hop: int = 480, level: float = 0.999, keys: Sequence[str] = SIGNAL) -> DataFrame:
+    """Per hop: whether any sample is at full scale."""
+    return samples.groupBy(*keys, F.floor(F.col("t") / hop).alias("hop")).agg((M.peak("x") >= level).alias("clipped"))
+
+
+# Mixing ---------------------------------------------------------------------------------------------------------
+
+
+def overlay_sum(placed: DataFrame, keys: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """Sum of placed segments on the timeline of each sample."""
+    return placed.groupBy(*keys, "t").agg(F.sum(F.col("x") * F.col("gain")).alias("x"))
+
+
+def composite_noise(
+    placed: DataFrame, min_rms: float = 1e-6, keys: Sequence[str] = ("sample_id",), size: int = BLOCK
+) -> tuple[DataFrame, DataFrame]:
+    """Overlays the picks of each sample: fade events, bring each pick to unit RMS, apply its relative gain, add.
+
+    ``placed`` has (keys, pick, t, x, event_index, event_length, fade, relative_gain_db). Returns the composite
+    (keys, t, x) and one row per pick with its RMS and whether it is (near) silent.
+    """
+    faded = F.col("x") * fade_gain(F.col("event_index"), F.col("event_length"), F.col("fade"))
+    # Read once for the level of each pick and once for the sum.
+    rows = cut_lineage(with_block(placed.withColumn("x", faded), "t", size))
+    picks = rows.groupBy(*keys, "pick").agg(M.rms("x").alias("normalization_rms"))
+    picks = picks.withColumn("silent", F.col("normalization_rms") < min_rms)
+    rows = attach(rows, picks.where(~F.col("silent")), [*keys, "pick"])
+    gain = db_to_amplitude(F.col("relative_gain_db")) / F.col("normalization_rms")
+    return overlay_sum(rows.withColumn("gain", gain), keys), picks
+
+
+def mix_at_snr(rows: DataFrame, target: Column, limit: float = 0.99, keys: Sequence[str] = SIGNAL) -> DataFrame:
+    """Mixes ``clean`` and ``noise`` at a target SNR over the samples with a true ``mask``.
+
+    One gain on both outputs keeps the mixture peak at the limit. Adds noise_scale, output_gain, peak, clean_out and
+    noisy_out; signals without clean or noise power in the mask are left out (see `power_guards` for the reason rows).
+    """
+    clean, noise, mask = F.col("clean"), F.col("noise"), F.col("mask")
+    rows = block_totals(
+        rows,
+        keys,
+        {
+            "_pc": F.when(mask, clean * clean),
+            "_pn": F.when(mask, noise * noise),
+            "_active": F.when(mask, F.lit(1)).otherwise(F.lit(0)),
+        },
+    )
+    pc, pn = F.col("_pc") / F.col("_active"), F.col("_pn") / F.col("_active")
+    scale = F.sqrt(pc / (pn * F.pow(F.lit(10.0), target / 10)))
+    audible = rows.where((F.col("_active") > 0) & (pc >= EPS) & (pn >= EPS)).withColumn("noise_scale", scale)
+    mixed = audible.withColumn("_mix", clean + noise * F.col("noise_scale")).drop("_pc", "_pn", "_active", "_n")
+    mixed = block_totals(cut_lineage(mixed), keys, maxima={"peak": F.abs("_mix")}).drop("_n")
+    mixed = mixed.withColumn("output_gain", clip_gain(F.col("peak"), limit))
+    return (
+        mixed.withColumn("clean_out", clean * F.col("output_gain"))
+        .withColumn("noisy_out", F.col("_mix") * F.col("output_gain"))
+        .drop("_mix")
+    )
+
+
+def measured_snr(rows: DataFrame, subtype: str = "PCM_16", keys: Sequence[str] = SIGNAL) -> DataFrame:
+    """SNR over the mask after encoding and decoding both outputs; the peak of the decoded mixture; rejections."""
+    decoded = rows.withColumn("_c", pcm_decode(pcm_encode(F.col("clean_out"), subtype), subtype)).withColumn(
+        "_n", pcm_decode(pcm_encode(F.col("noisy_out"), subtype), subtype)
+    )
+    c, r, mask = F.col("_c"), F.col("_n") - F.col("_c"), F.col("mask")
+    stats = decoded.groupBy(*keys).agg(
+        F.avg(F.when(mask, c * c)).alias("_pc"), F.avg(F.when(mask, r * r)).alias("_pr"), M.peak("_n").alias("peak_amplitude")
+    )
+    reason = F.when(F.col("peak_amplitude") >= 1.0, "clipping detected in written file").when(
+        (F.col("_pc") < EPS) | (F.col("_pr") < EPS), "degenerate measured power"
+    )
+    snr = F.when(reason.isNull(), F.lit(10.0) * F.log10(F.col("_pc") / F.col("_pr")))
+    return stats.select(*keys, snr.alias("measured_snr_db"), "peak_amplitude", reason.alias("rejection"))
+
+
+def remix(pairs: DataFrame, draw: Column, low: float, high: float, keys: Sequence[str] = SIGNAL) -> DataFrame:
+    """New mixtures clean + g * (noisy - clean) at a drawn SNR, peak-safe on both; silent pairs stay as they are.
+
+    The draw is per signal. Which batches are remixed is up to the caller (a draw per batch against a probability).
+    """
+    clean, noise = F.col("clean"), F.col("noisy") - F.col("clean")
+    rows = block_totals(pairs, keys, {"_clean": clean * clean, "_noise": noise * noise})
+    ps, pn = F.col("_clean") / F.col("_n"), F.col("_noise") / F.col("_n")
+    silent = (ps < 1e-10) | (pn < 1e-12)
+    snr = F.lit(low) + F.lit(high - low) * unit(draw)
+    g = F.when(silent, F.lit(1.0)).otherwise(F.sqrt(ps / (pn * F.pow(F.lit(10.0), snr / 10))))
+    rows = rows.withColumn("_silent", silent).withColumn("noisy", clean + g * noise).drop("_clean", "_noise", "_n")
+    rows = block_totals(cut_lineage(rows), keys, maxima={"_peak": F.abs("noisy")})
+    scale = F.when(F.col("_silent"), F.lit(1.0)).otherwise(clip_gain(F.col("_peak"), 0.99))
+    return rows.withColumn("clean", clean * scale).withColumn("noisy", F.col("noisy") * scale).drop("_silent", "_peak", "_n")
+
+
+def reconstruct_difference(rebuilt: DataFrame, stored: DataFrame, subtype: str, keys: Sequence[str]) -> DataFrame:
+    """Largest absolute difference in integer steps between rebuilt signals and stored codes, per sample.
+
+    Both sides have (keys, t, clean, noisy): floats on the rebuilt side, codes on the stored side.
+    """
+    codes = rebuilt.select(*keys, "t", *[pcm_encode(F.col(c), subtype).cast("bigint").alias(f"_{c}") for c in ("clean", "noisy")])
+    joined = codes.join(stored, [*keys, "t"], "full_outer")
+    gap = {c: F.max(F.abs(F.col(f"_{c}") - F.col(c).cast("bigint"))).alias(f"{c}_difference") for c in ("clean", "noisy")}
+    one_sided = F.count_if(F.col("_clean").isNull() | F.col("clean").isNull())
+    result = joined.groupBy(*keys).agg(*gap.values(), one_sided.alias("unmatched"))
+    ok = (F.col("clean_difference") <= 1) & (F.col("noisy_difference") <= 1) & (F.col("unmatched") == 0)
+    return result.withColumn("reproduced", ok)
+
+
+# Alignment ------------------------------------------------------------------------------------------------------
+
+
+def apply_delay(samples: DataFrame, lags: DataFrame, keys: Sequence[str] = SIGNAL, size: int = BLOCK) -> DataFrame:
+    """A positive lag drops the head of the signal; a negative one puts zeros in front."""
+    lag = F.col("lag")
+    rows = attach(samples, lags, keys)
+    moved = rows.where(F.col("t") >= lag).select(*keys, (F.col("t") - lag).alias("t"), "x")
+    zeros = lags.where(lag < 0).select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), -lag - 1)).alias("t"), F.lit(0.0).alias("x"))
+    return with_block(moved.unionByName(zeros), "t", size)
+
+
+def cross_correlation(
+    pairs: DataFrame, max_lag: int, ref: str, other: str, keys: Sequence[str] = SIGNAL, size: int = BLOCK
+) -> DataFrame:
+    """Correlation at every lag within +-max_lag: (keys, lag, correlation). Each block gives partial sums by FFT."""
+    def run(block, own, rows):
+        t = rows["t"].to_numpy()
+        base = block * size
+        left, right = np.zeros(size), np.zeros(size + 2 * max_lag)
+        mine = t[own]
+        left[mine - base] = rows[ref].to_numpy(dtype=np.float64)[own]
+        right[t - (base - max_lag)] = rows[other].to_numpy(dtype=np.float64)
+        n = 1 << (len(left) + len(right)).bit_length()
+        full = np.fft.irfft(np.fft.rfft(right, n) * np.conj(np.fft.rfft(left, n)), n)
+        return {"lag": np.arange(-max_lag, max_lag + 1), "part": full[: 2 * max_lag + 1]}
+
+    haloed = with_halo(pairs.select(*keys, "t", ref, other), max_lag, max_lag, size)
+    parts = per_block(haloed, keys, run, "lag BIGINT, part DOUBLE")
+    return parts.groupBy(*keys, "lag").agg(F.sum("part").alias("correlation"))
+
+
+def best_lag(
+    pairs: DataFrame,
+    max_lag: int = 2400,
+    limit: int = 480_000,
+    ref: str = "clean",
+    other: str = "noisy",
+    keys: Sequence[str] = SIGNAL,
+    size: int = BLOCK,
+) -> DataFrame:
+    """Lag with the largest absolute correlation, the smallest such lag on ties. ``limit`` is the compared length."""
+    table = cross_correlation(pairs.where(F.col("t") < limit), max_lag, ref, other, keys, size)
+    top = F.max(F.struct(F.abs("correlation").alias("size"), (-F.col("lag")).alias("minus_lag"))).alias("_top")
+    return table.groupBy(*keys).agg(top).select(*keys, (-F.col("_top.minus_lag")).alias("lag"))
+
+
+def _whiten(ref: np.ndarray, other: np.ndarray) -> np.ndarray:
+    cross = other * np.conj(ref)
+    return cross / (np.abs(cross) + 1e-12)
+
+
+def phat_lag(
+    pairs: DataFrame,
+    max_shift: int,
+    ref: str = "clean",
+    other: str = "noisy",
+    keys: Sequence[str] = SIGNAL,
+    size: int = BLOCK,
+    whole: int = 1 << 20,
+) -> DataFrame:
+    """Lag of ``other`` against ``ref`` by the phase transform, within +-max_shift.
+
+    The transform needs the spectrum of the whole signal. Signals whose FFT has at most ``whole`` points are done in one
+    group each. Longer ones use an FFT split over the cluster: N = N1 * N2 points as N2 transforms of N1 points, a
+    twiddle, and N1 transforms of N2 points, with a shuffle in between, so no group exceeds about the root of N.
+    """
+    r, d = F.col(ref), F.col(other)
+    stats = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg(r).alias("_mr"), F.avg(d).alias("_md"))
+    bits = F.ceil(F.log2(F.greatest(F.lit(2) * F.col("_n") - 1, F.lit(1)).cast("double"))).cast("int")
+    stats = stats.withColumn("_bits", bits)
+    rows = attach(pairs.select(*keys, "t", "block", r.cast("double").alias("_r"), d.cast("double").alias("_d")), stats, keys)
+    rows = rows.withColumn("_r", F.col("_r") - F.col("_mr")).withColumn("_d", F.col("_d") - F.col("_md"))
+    rows = rows.select(*keys, "t", "_bits", "_r", "_d")
+    limit_bits = max(int(whole).bit_length() - 1, 1)
+    key_fields = [pairs.schema[k] for k in keys]
+
+    def in_one(group: pd.DataFrame) -> pd.DataFrame:
+        n = 1 << int(group["_bits"].iloc[0])
+        a, b = np.zeros(n), np.zeros(n)
+        a[group["t"]], b[group["t"]] = group["_r"], group["_d"]
+        cc = np.fft.irfft(_whiten(np.fft.rfft(a), np.fft.rfft(b)), n)
+        reach = min(max_shift, n // 2)
+        lag = int(np.argmax(np.concatenate([cc[-reach:], cc[: reach + 1]]))) - reach if reach else 0
+        return pd.DataFrame({**{k: [group[k].iloc[0]] for k in keys}, "lag": [lag]})
+
+    schema = T.StructType([*key_fields, T.StructField("lag", T.LongType())])
+    short = rows.where(F.col("_bits") <= limit_bits).groupBy(*keys).applyInPandas(in_one, schema)
+
+    # N1 points per first transform, N2 per second one; t = N2 * n1 + n2.
+    long = rows.where(F.col("_bits") > limit_bits)
+    bits1 = F.ceil(F.col("_bits") / 2).cast("int")
+    n2_count = F.pow(F.lit(2.0), F.col("_bits") - bits1).cast("bigint")
+    long = long.withColumn("_n2", F.col("t") % n2_count).withColumn("_n1", F.floor(F.col("t") / n2_count))
+
+    def first(group: pd.DataFrame) -> pd.DataFrame:
+        total = int(group["_bits"].iloc[0])
+        n, n1 = 1 << total, 1 << ((total + 1) // 2)
+        n2 = int(group["_n2"].iloc[0])
+        at = group["_n1"].to_numpy().astype(np.int64)
+        a, b = np.zeros(n1), np.zeros(n1)
+        a[at], b[at] = group["_r"], group["_d"]
+        k1 = np.arange(n1)
+        twiddle = np.exp(-2j * np.pi * n2 * k1 / n)
+        fa, fb = np.fft.fft(a) * twiddle, np.fft.fft(b) * twiddle
+        head = {k: [group[k].iloc[0]] * n1 for k in keys}
+        return pd.DataFrame({**head, "_bits": total, "_k1": k1, "_n2": n2, "ar": fa.real, "ai": fa.imag, "br": fb.real, "bi": fb.imag})
+
+    middle = T.StructType(
+        [*key_fields, *T.StructType.fromDDL("_bits INT, _k1 BIGINT, _n2 BIGINT, ar DOUBLE, ai DOUBLE, br DOUBLE, bi DOUBLE").fields]
+    )
+
+    def second(group: pd.DataFrame) -> pd.DataFrame:
+        total = int(group["_bits"].iloc[0])
+        n, n2 = 1 << total, 1 << (total - (total + 1) // 2)
+        k1 = int(group["_k1"].iloc[0])
+        at = group["_n2"].to_numpy()
+        a, b = np.zeros(n2, dtype=complex), np.zeros(n2, dtype=complex)
+        a[at] = group["ar"].to_numpy() + 1j * group["ai"].to_numpy()
+        b[at] = group["br"].to_numpy() + 1j * group["bi"].to_numpy()
+        back = np.fft.ifft(_whiten(np.fft.fft(a), np.fft.fft(b)))
+        reach = min(max_shift, n // 2)
+        lags = np.arange(-reach, reach + 1)
+        part = (back[lags % n2] * np.exp(2j * np.pi * k1 * lags / n)).real
+        return pd.DataFrame({**{k: [group[k].iloc[0]] * len(lags) for k in keys}, "lag": lags, "part": part})
+
+    last = T.StructType([*key_fields, T.StructField("lag", T.LongType()), T.StructField("part", T.DoubleType())])
+    staged = long.groupBy(*keys, "_n2").applyInPandas(first, middle)
+    parts = staged.groupBy(*keys, "_k1").applyInPandas(second, last)
+    table = parts.groupBy(*keys, "lag").agg(F.sum("part").alias("value"))
+    top = F.max(F.struct("value", (-F.col("lag")).alias("minus_lag"))).alias("_top")
+    split = table.groupBy(*keys).agg(top).select(*keys, (-F.col("_top.minus_lag")).alias("lag"))
+    return short.unionByName(split)
+
+
+def align_and_gain_match(
+    clean: DataFrame, estimate: DataFrame, max_shift: int, method: str = "phat", keys: Sequence[str] = SIGNAL, size: int = BLOCK
+) -> DataFrame:
+    """Lag, gain, SNR and SI-SDR of an estimate against clean: shift, cut to the shorter, match the gain, measure.
+
+    After the shift one pass of sums is enough: the metrics of the scaled estimate follow from them in closed form.
+    """
+    def paired(other: DataFrame) -> DataFrame:
+        right = other.select(*keys, "t", F.col("x").alias("est"))
+        left = clean.select(*keys, "t", F.col("x").alias("clean"))
+        return with_block(left.join(right, [*keys, "t"]), "t", size)
+
+    if method == "none":
+        lags, shifted = None, estimate
+    else:
+        find = phat_lag if method == "phat" else best_lag
+        lags = find(paired(estimate), max_shift, ref="clean", other="est", keys=keys, size=size)
+        shifted = apply_delay(estimate, lags, keys, size)
+    c, e = F.col("clean"), F.col("est")
+    sums = paired(shifted).groupBy(*keys).agg(
+        F.sum(c * c).alias("_cc"), F.sum(e * e).alias("_ee"), F.sum(c * e).alias("_ce")
+    )
+    cc, ee, ce, eps = F.col("_cc"), F.col("_ee"), F.col("_ce"), F.lit(EPS)
+    gain = ce / (ee + eps)
+    sums = sums.withColumn("gain", gain).withColumn("_se", F.col("gain") * F.col("gain") * ee).withColumn("_sc", F.col("gain") * ce)
+    error = F.greatest(cc - 2 * F.col("_sc") + F.col("_se"), F.lit(0.0))
+    scale = F.col("_sc") / (cc + eps)
+    target = scale * scale * cc
+    noise = F.greatest(F.col("_se") - 2 * scale * F.col("_sc") + target, F.lit(0.0))
+    scored = sums.select(
+        *keys,
+        "gain",
+        (F.lit(10.0) * F.log10(cc / (error + eps))).alias("snr"),
+        (F.lit(10.0) * F.log10((target + eps) / (noise + eps))).alias("si_sdr"),
+    )
+    return scored if lags is None else lags.join(scored, list(keys))
+
+
+# Segments -------------------------------------------------------------------------------------------------------
+
+
+def crop_pad_pairs(pairs: DataFrame, starts: DataFrame, segment: int, values: Sequence[str], keys: Sequence[str] = SIGNAL) -> DataFrame:
+    """Fixed-length segments from one offset per (signal, item) for all value columns; zeros after a short signal.
+
+    ``starts`` has (keys, item, start, length).
+    """
+    rows = pairs.join(starts, list(keys)).where((F.col("t") >= F.col("start")) & (F.col("t") < F.col("start") + segment))
+    found = rows.select(*keys, "item", (F.col("t") - F.col("start")).alias("t"), *values)
+    missing = starts.where(F.col("length") - F.col("start") < segment)
+    zeros = missing.select(
+        *keys, "item", F.explode(F.sequence(F.col("length") - F.col("start"), F.lit(segment - 1).cast("bigint"))).alias("t"),
+        *[F.lit(0.0).alias(v) for v in values],
+    )
+    return found.unionByName(zeros)
+
+
+def crop_starts(lengths: DataFrame, draw: Column, segment: int) -> DataFrame:
+    """Adds ``start``: a drawn offset for signals longer than the segment, else 0."""
+    room = F.col("length") - segment
+    return lengths.withColumn("start", F.when(room > 0, draw % (room + 1)).otherwise(F.lit(0)).cast("bigint"))
+
+
+def batches(items: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per step with its items as a list ordered by position; a list holds one batch."""
+    entry = F.array_sort(F.collect_list(F.struct("position", *columns)))
+    return items.groupBy("step").agg(entry.alias("items"))
+
+
+# Clipping repair ------------------------------------------------------------------------------------------------
+
+
+def declip_runs(
+    samples: DataFrame, min_run: int = 3, trigger: float = 5e-4, most: float = 0.05, keys: Sequence[str] = SIGNAL
+) -> DataFrame:
+    """Runs of samples at the clipping level of either polarity: (keys, sign, start_sample, end_sample, level).
+
+    A polarity counts only with a peak of at least 1e-3 and two or more runs; a signal only when the clipped share of
+    its samples lies between ``trigger`` and ``most``.
+    """
+    rows = samples.select(*keys, "t", "block", F.explode(F.array(F.lit(1), F.lit(-1))).alias("sign"), "x")
+    rows = rows.withColumn("y", F.col("x") * F.col("sign"))
+    rows = block_totals(rows, [*keys, "sign"], maxima={"level": F.col("y")})
+    margin = F.greatest(F.col("level") * 1e-4, F.lit(1.5 / 32768))
+    near = rows.withColumn("_near", (F.col("level") >= 1e-3) & (F.col("y") >= F.col("level") - margin))
+    runs = cut_lineage(true_runs(near, [*keys, "sign"], "t", "_near", min_run))
+    counts = runs.groupBy(*keys, "sign").agg(
+        F.count(F.lit(1)).alias("_runs"), F.sum(F.col("end_sample") - F.col("start_sample")).alias("_clipped")
+    )
+    totals = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("x").alias("_up"), F.max(-F.col("x")).alias("_down"))
+    valid = counts.where(F.col("_runs") >= 2)
+    share = valid.groupBy(*keys).agg(F.sum("_clipped").alias("_clipped")).join(totals, list(keys))
+    share = share.withColumn("clipped_share", F.col("_clipped") / F.col("_n"))
+    share = share.where((F.col("clipped_share") >= trigger) & (F.col("clipped_share") <= most))
+    kept = valid.select(*keys, "sign").join(share.select(*keys, "clipped_share", "_up", "_down"), list(keys))
+    level = F.when(F.col("sign") == 1, F.col("_up")).otherwise(F.col("_down"))
+    joined = runs.join(kept, [*keys, "sign"])
+    return joined.select(*keys, "sign", "start_sample", "end_sample", level.alias("level"), "clipped_share")
+
+
+def _spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Cubic spline through (x, y) with continuous third derivative at the second and last but one knot."""
+    h, n = np.diff(x), len(x)
+    slope = np.diff(y) / h
+    a, b = np.zeros((n, n)), np.zeros(n)
+    for i in range(1, n - 1):
+        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+        b[i] = 6 * (slope[i] - slope[i - 1])
+    a[0, :3] = h[1], -(h[0] + h[1]), h[0]
+    a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
+    m = np.linalg.solve(a, b)
+    i = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
+    left, right = at - x[i], x[i + 1] - at
+    return (
+        m[i] * right**3 / (6 * h[i])
+        + m[i + 1] * left**3 / (6 * h[i])
+        + (y[i] / h[i] - m[i] * h[i] / 6) * right
+        + (y[i + 1] / h[i] - m[i + 1] * h[i] / 6) * left
+    )
+
+
+def declip(
+    samples: DataFrame,
+    max_run: int = 40,
+    context: int = 8,
+    overshoot: float = 1.3,
+    keys: Sequence[str] = SIGNAL,
+    bucket: int = 4096,
+    **detection,
+) -> DataFrame:
+    """Repairs clipped runs by a cubic spline through the samples on both sides, held between the level and 1.3 times it.
+
+    One group is one run with its context, so at most ``max_run + 2 * context`` rows.
+    """
+    runs = cut_lineage(declip_runs(samples, keys=keys, **detection))
+    runs = runs.where(F.col("end_sample") - F.col("start_sample") <= max_run)
+    wide = runs.withColumn("_from", F.col("start_sample") - context).withColumn("_to", F.col("end_sample") + context)
+    wide = wide.where(F.col("_from") >= 0)
+    pieces = wide.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_from") / bucket), F.floor((F.col("_to") - 1) / bucket))))
+    near = samples.select(*keys, "t", "x", F.floor(F.col("t") / bucket).alias("_bucket"))
+    rows = pieces.join(near, [*keys, "_bucket"]).where((F.col("t") >= F.col("_from")) & (F.col("t") < F.col("_to")))
+
+    schema = T.StructType([samples.schema[k] for k in keys] + T.StructType.fromDDL("t BIGINT, fixed DOUBLE").fields)
+
+    def repair(group: pd.DataFrame) -> pd.DataFrame:
+        start, end = int(group["start_sample"].iloc[0]), int(group["end_sample"].iloc[0])
+        if len(group) != end - start + 2 * context:
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        group = group.sort_values("t")
+        t, x = group["t"].to_numpy(dtype=float), group["x"].to_numpy(dtype=float)
+        outside = (t < start) | (t >= end)
+        at = np.arange(start, end, dtype=float)
+        sign, level = float(group["sign"].iloc[0]), float(group["level"].iloc[0])
+        y = sign * np.clip(sign * _spline(t[outside], x[outside], at), level, overshoot * level)
+        head = {k: [group[k].iloc[0]] * len(at) for k in keys}
+        return pd.DataFrame({**head, "t": at.astype(np.int64), "fixed": y})
+
+    fixed = rows.groupBy(*keys, "sign", "start_sample").applyInPandas(repair, schema)
+    return samples.join(fixed, [*keys, "t"], "left").withColumn("x", F.coalesce("fixed", "x")).drop("fixed")
+
+
+# Chain ----------------------------------------------------------------------------------------------------------
+
 
+def clean_chain(
+    samples: DataFrame,
+    highpass: np.ndarray | None,
+    bandlimit: np.ndarray | None,
+    enhancer=None,
+    wet: float = 1.0,
+    dc: bool = True,
+    normalize_before: bool = True,
+    normalize_after: bool = False,
+    target_dbfs: float = -26.0,
+    keys: Sequence[str] = SIGNAL,
+    size: int = BLOCK,
+) -> DataFrame:
+    """DC removal, high-pass, level, enhancer, dry/wet blend, band limit, optional level, peak limit; each step optional.
 
-def overlay_sum(placed):
-    return placed.groupBy("sample_id", "t").agg(F.sum(F.col("x") * F.col("gain")).alias("x"))
+    ``enhancer`` maps a sample DataFrame to one of the same shape. One lazy plan; nothing is written in between.
+    """
+    rows = remove_dc(samples, keys) if dc else samples
+    if highpass is not None:
+        # The filtered signal is read twice by the level step, so it is written once instead of filtered twice.
+        rows = cut_lineage(zero_phase_filter(rows, highpass, "x", keys, size))
+    before = rms_normalize(rows, target_dbfs, keys=keys) if normalize_before else rows
+    after = enhancer(before) if enhancer else before
+    if wet < 1.0:
+        after = blend(after, before, wet, keys)
+    if bandlimit is not None:
+        after = cut_lineage(zero_phase_filter(after, bandlimit, "x", keys, size))
+    if normalize_after:
+        after = rms_normalize(after, target_dbfs, keys=keys)
+    return peak_limit(after, keys=keys)

@@ -108,10 +108,28 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(spread, [*keys, "block"])
 
 
-def block_totals(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
-    """Attaches per-key aggregates to every row. Aggregation is partial before its shuffle; the way back is `attach`."""
-    stats = df.groupBy(*keys).agg(*[column.alias(name) for name, column in aggregates.items()])
-    return attach(df, stats, keys)
+def block_totals(
+    df: DataFrame, keys: Sequence[str], sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None
+) -> DataFrame:
+    """Attaches per-key sums and maxima to every row, and the row count of the key as ``_n``.
+
+    One pass makes partial results per (key, block); those few rows are totalled per key and meet the rows again on
+    (key, block), so neither step puts a whole key into one task.
+    """
+    sums, maxima = sums or {}, maxima or {}
+    partial = df.groupBy(*keys, "block").agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.sum(column).alias(name) for name, column in sums.items()],
+        *[F.max(column).alias(name) for name, column in maxima.items()],
+    )
+    whole = Window.partitionBy(*keys)
+    totals = partial.select(
+        *keys,
+        "block",
+        *[F.sum(name).over(whole).alias(name) for name in ["_n", *sums]],
+        *[F.max(name).over(whole).alias(name) for name in maxima],
+    )
+    return df.join(totals, [*keys, "block"])
 
 
 def ordered_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx") -> DataFrame:
@@ -177,7 +195,8 @@ def merge_intervals(
     Merged intervals shorter than ``min_length`` are dropped. The number of merged intervals of a key is not bounded.
     """
     order = ["start_sample", "end_sample"]
-    rows = with_block(intervals.select(*keys, *order), "start_sample", block_size)
+    # Intervals are far fewer than the rows they come from, and the steps below read them several times.
+    rows = with_block(cut_lineage(intervals.select(*keys, *order)), "start_sample", block_size)
     rows = ordered_running(rows, keys, order, "end_sample", "max", "_reach", inclusive=False)
     opens = F.col("_reach").isNull() | (F.col("start_sample") - F.col("_reach") >= gap)
     rows = rows.withColumn("_opening", F.when(opens, F.col("start_sample")))
@@ -212,7 +231,8 @@ def exact_percentile(df: DataFrame, keys: Sequence[str], column: str, q: float,
     only the distinct values of those cells are then ranked by their counts.
     """
     values = df.where(F.col(column).isNotNull()).withColumn("_cell", F.floor(F.col(column) / F.lit(width)))
-    cells = values.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_rows"))
+    counted = values.groupBy(*keys, "_cell", F.col(column).alias("_value")).agg(F.count(F.lit(1)).alias("_times"))
+    cells = counted.groupBy(*keys, "_cell").agg(F.sum("_times").alias("_rows"))
     key_window = Window.partitionBy(*keys)
     ahead = key_window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
@@ -222,7 +242,6 @@ def exact_percentile(df: DataFrame, keys: Sequence[str], column: str, q: float,
         .where((F.ceil("_target") >= F.col("_before")) & (F.floor("_target") < F.col("_before") + F.col("_rows")))
         .select(*keys, "_cell", "_before", "_target")
     )
-    counted = values.groupBy(*keys, "_cell", F.col(column).alias("_value")).agg(F.count(F.lit(1)).alias("_times"))
     ranked = counted.join(placed, [*keys, "_cell"]).withColumn(
         "_upto",
         F.col("_before") + F.sum("_times").over(Window.partitionBy(*keys, "_cell").orderBy("_value")),

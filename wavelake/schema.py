@@ -15,15 +15,12 @@ CLEAN_FIELDS = ["clean_dataset", "clean_speaker_id", "clean_language", "clean_ac
 NOISE_FIELDS = ["noise_dataset", "noise_category"]
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-SIGNAL_BLOCKS = _struct("signal_id STRING, block BIGINT, start BIGINT, samples ARRAY<FLOAT>")
-WAV_BLOCKS = _struct(
+# Schemas are DDL texts: readers take them as they are, and importing this module needs no session.
+SIGNAL_BLOCKS = ("signal_id STRING, block BIGINT, start BIGINT, samples ARRAY<FLOAT>")
+WAV_BLOCKS = (
     "path STRING, sample_rate INT, channels INT, frames BIGINT, block BIGINT, start BIGINT, samples ARRAY<FLOAT>, error STRING"
 )
-PROBED = _struct("path STRING, sample_rate INT, channels INT, frames BIGINT, error STRING")
+PROBED = ("path STRING, sample_rate INT, channels INT, frames BIGINT, error STRING")
 
 SEGMENT = (
     "STRUCT<source_start_sample: BIGINT, source_end_sample: BIGINT, "
@@ -38,7 +35,7 @@ NOISE = (
     "source_original_channels: INT, source_standardized_num_samples: BIGINT>"
 )
 REGIONS = "ARRAY<STRUCT<start_sample: BIGINT, end_sample: BIGINT>>"
-SAMPLE_RECORD = _struct(
+SAMPLE_RECORD = (
     "sample_id STRING, split STRING, clean_source STRING, clean_output STRING, clean_dataset STRING, "
     "clean_speaker_id STRING, clean_language STRING, clean_accent STRING, clean_original_sample_rate INT, "
     "clean_original_channels INT, clean_source_standardized_num_samples BIGINT, clean_cropped BOOLEAN, "
@@ -51,8 +48,8 @@ SAMPLE_RECORD = _struct(
     "final_peak_amplitude DOUBLE, duration_seconds DOUBLE, sample_rate INT, channels INT, output_subtype STRING, "
     "output_container STRING, mp3_compression_level DOUBLE, random_seed BIGINT, generator_version STRING"
 )
-FAILED_ATTEMPT = _struct("sample_id STRING, attempt INT, random_seed BIGINT, error_type STRING, error STRING")
-INVENTORY = _struct(
+FAILED_ATTEMPT = ("sample_id STRING, attempt INT, random_seed BIGINT, error_type STRING, error STRING")
+INVENTORY = (
     "clean ARRAY<STRUCT<path: STRING, size_bytes: BIGINT, clean_dataset: STRING, clean_speaker_id: STRING, "
     "clean_language: STRING, clean_accent: STRING>>, "
     "noise ARRAY<STRUCT<path: STRING, size_bytes: BIGINT, noise_dataset: STRING, noise_category: STRING>>, "
