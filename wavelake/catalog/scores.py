@@ -8,9 +8,15 @@ from wavelake.functions import metrics as M
 from wavelake.functions.scalars import snr_bin
 from wavelake.operators import scores as S
 
+def snr_rms_sql(est: str) -> str:
+    return (
+        f"20 * log10(greatest(sqrt(avg(clean * clean)), 1e-12) / greatest(sqrt(avg(({est} - clean) * ({est} - clean))), 1e-12))"
+    )
+
+
 PAIR_METRICS = (
     "10 * log10(sum(clean * clean) / (sum((clean - est) * (clean - est)) + 1e-12))",
-    "20 * log10(greatest(sqrt(avg(clean * clean)), 1e-12) / greatest(sqrt(avg((est - clean) * (est - clean))), 1e-12))",
+    snr_rms_sql("est"),
     "10 * log10(avg(clean * clean) FILTER (WHERE t % 3 <> 0) / avg((noisy - clean) * (noisy - clean)) FILTER (WHERE t % 3 <> 0))",
 )
 

@@ -474,11 +474,10 @@ def phat_lag(
     twiddle, and N1 transforms of N2 points, with a shuffle in between, so no group exceeds about the root of N.
     """
     r, d = F.col(ref), F.col(other)
-    stats = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg(r).alias("_mr"), F.avg(d).alias("_md"))
     bits = F.ceil(F.log2(F.greatest(F.lit(2) * F.col("_n") - 1, F.lit(1)).cast("double"))).cast("int")
-    stats = stats.withColumn("_bits", bits)
-    rows = attach(pairs.select(*keys, "t", "block", r.cast("double").alias("_r"), d.cast("double").alias("_d")), stats, keys)
-    rows = rows.withColumn("_r", F.col("_r") - F.col("_mr")).withColumn("_d", F.col("_d") - F.col("_md"))
+    rows = pairs.select(*keys, "t", "block", r.cast("double").alias("_r"), d.cast("double").alias("_d"))
+    rows = block_totals(rows, keys, {"_sr": F.col("_r"), "_sd": F.col("_d")}).withColumn("_bits", bits)
+    rows = rows.withColumn("_r", F.col("_r") - F.col("_sr") / F.col("_n")).withColumn("_d", F.col("_d") - F.col("_sd") / F.col("_n"))
     rows = rows.select(*keys, "t", "_bits", "_r", "_d")
     limit_bits = max(int(whole).bit_length() - 1, 1)
     key_fields = [pairs.schema[k] for k in keys]
@@ -548,21 +547,23 @@ def align_and_gain_match(
 
     After the shift one pass of sums is enough: the metrics of the scaled estimate follow from them in closed form.
     """
-    def paired(other: DataFrame) -> DataFrame:
-        right = other.select(*keys, "t", F.col("x").alias("est"))
-        left = clean.select(*keys, "t", F.col("x").alias("clean"))
-        return with_block(left.join(right, [*keys, "t"]), "t", size)
-
+    left = clean.select(*keys, "t", F.col("x").alias("clean"))
+    right = estimate.select(*keys, "t", F.col("x").alias("est"))
+    c, e = F.col("clean"), F.col("est")
+    lags = None
     if method == "none":
-        lags, shifted = None, estimate
+        aligned = left.join(right, [*keys, "t"])
     else:
+        # Both signals side by side, written once; the search, the shift and the sums all read this table.
+        both = cut_lineage(with_block(left.join(right, [*keys, "t"], "full_outer"), "t", size))
         find = phat_lag if method == "phat" else best_lag
-        lags = find(paired(estimate), max_shift, ref="clean", other="est", keys=keys, size=size)
-        shifted = apply_delay(estimate, lags, keys, size)
-    c, e = F.col("clean"), F.col("est")
-    sums = paired(shifted).groupBy(*keys).agg(
-        F.sum(c * c).alias("_cc"), F.sum(e * e).alias("_ee"), F.sum(c * e).alias("_ce")
-    )
+        common = both.where(c.isNotNull() & e.isNotNull())
+        lags = cut_lineage(find(common, max_shift, ref="clean", other="est", keys=keys, size=size))
+        shifted = apply_delay(both.where(e.isNotNull()).select(*keys, "t", "block", e.alias("x")), lags, keys, size)
+        aligned = both.where(c.isNotNull()).select(*keys, "t", "clean").join(
+            shifted.select(*keys, "t", F.col("x").alias("est")), [*keys, "t"]
+        )
+    sums = aligned.groupBy(*keys).agg(F.sum(c * c).alias("_cc"), F.sum(e * e).alias("_ee"), F.sum(c * e).alias("_ce"))
     cc, ee, ce, eps = F.col("_cc"), F.col("_ee"), F.col("_ce"), F.lit(EPS)
     gain = ce / (ee + eps)
     sums = sums.withColumn("gain", gain).withColumn("_se", F.col("gain") * F.col("gain") * ee).withColumn("_sc", F.col("gain") * ce)
