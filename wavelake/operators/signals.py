@@ -27,6 +27,7 @@ from wavelake.plans.ordered import (
     block_totals,
     exact_percentile,
     merge_intervals,
+    spread_groups,
     true_runs,
     with_block,
 )
@@ -82,7 +83,18 @@ def per_block(df: DataFrame, keys: Sequence[str], function, output: str) -> Data
         head = {k: [group[k].iloc[0]] * size for k in keys}
         return pd.DataFrame({**head, **result})[names]
 
-    return df.groupBy(*keys, "block").applyInPandas(run, schema)
+    return spread_groups(df, *keys, "block").groupBy(*keys, "block").applyInPandas(run, schema)
+
+
+def _dense(t: np.ndarray, values: np.ndarray, first: int, length: int) -> np.ndarray:
+    """Values at positions ``first`` .. ``first + length - 1``, zeros where there is no sample."""
+    field = np.zeros(length)
+    field[t - first] = values
+    return field
+
+
+def _fast_length(n: int) -> int:
+    return 1 << max(n - 1, 1).bit_length()
 
 
 def slice_signal(samples: DataFrame, start: int, stop: int, size: int = BLOCK) -> DataFrame:
@@ -132,16 +144,16 @@ def zero_phase_filter(
 ) -> DataFrame:
     """Symmetric FIR; outside the signal there are zeros. One FFT product per block with its halo."""
     half = (len(taps) - 1) // 2
-    spread = 1 << (size + 4 * half).bit_length()
-    spectrum = np.fft.rfft(taps, spread)
 
     def run(block, own, rows):
         t, x = rows["t"].to_numpy(), rows[column].to_numpy(dtype=np.float64)
-        field = np.zeros(size + 2 * half)
-        field[t - (block * size - half)] = x
-        y = np.fft.irfft(np.fft.rfft(field, spread) * spectrum, spread)[2 * half : 2 * half + size]
         mine = np.sort(t[own])
-        return {"t": mine, "block": np.full(len(mine), block), column: y[mine - block * size]}
+        first, length = int(mine[0]) - half, int(mine[-1] - mine[0]) + 1 + 2 * half
+        near = (t >= first) & (t < first + length)
+        n = _fast_length(length + 2 * half)
+        product = np.fft.rfft(_dense(t[near], x[near], first, length), n) * np.fft.rfft(taps, n)
+        y = np.fft.irfft(product, n)[2 * half :]
+        return {"t": mine, "block": np.full(len(mine), block), column: y[mine - mine[0]]}
 
     haloed = with_halo(samples.select(*keys, "t", column), half, half, size)
     return per_block(haloed, keys, run, f"t BIGINT, block BIGINT, {column} DOUBLE")
@@ -172,10 +184,8 @@ def resample(
 
     def run(block, own, rows):
         t, x = rows["t"].to_numpy(), rows[column].to_numpy(dtype=np.float64)
-        base = block * size - reach
-        field = np.zeros(size + 2 * reach)
-        field[t - base] = x
-        end = int(t[own].max()) + 1
+        base, end = int(t.min()), int(t[own].max()) + 1
+        field = _dense(t, x, base, int(t.max()) - base + 1)
         out = np.arange(-(-block * size * up // down), -(-end * up // down), dtype=np.int64)
         centre = out * down // up
         total = np.zeros(len(out))
@@ -424,12 +434,12 @@ def cross_correlation(
     """Correlation at every lag within +-max_lag: (keys, lag, correlation). Each block gives partial sums by FFT."""
     def run(block, own, rows):
         t = rows["t"].to_numpy()
-        base = block * size
-        left, right = np.zeros(size), np.zeros(size + 2 * max_lag)
         mine = t[own]
-        left[mine - base] = rows[ref].to_numpy(dtype=np.float64)[own]
-        right[t - (base - max_lag)] = rows[other].to_numpy(dtype=np.float64)
-        n = 1 << (len(left) + len(right)).bit_length()
+        first, length = int(mine.min()), int(mine.max() - mine.min()) + 1
+        left = _dense(mine, rows[ref].to_numpy(dtype=np.float64)[own], first, length)
+        near = (t >= first - max_lag) & (t < first + length + max_lag)
+        right = _dense(t[near], rows[other].to_numpy(dtype=np.float64)[near], first - max_lag, length + 2 * max_lag)
+        n = _fast_length(len(left) + len(right))
         full = np.fft.irfft(np.fft.rfft(right, n) * np.conj(np.fft.rfft(left, n)), n)
         return {"lag": np.arange(-max_lag, max_lag + 1), "part": full[: 2 * max_lag + 1]}
 
@@ -492,7 +502,7 @@ def phat_lag(
         return pd.DataFrame({**{k: [group[k].iloc[0]] for k in keys}, "lag": [lag]})
 
     schema = T.StructType([*key_fields, T.StructField("lag", T.LongType())])
-    short = rows.where(F.col("_bits") <= limit_bits).groupBy(*keys).applyInPandas(in_one, schema)
+    short = spread_groups(rows.where(F.col("_bits") <= limit_bits), *keys).groupBy(*keys).applyInPandas(in_one, schema)
 
     # N1 points per first transform, N2 per second one; t = N2 * n1 + n2.
     long = rows.where(F.col("_bits") > limit_bits)
@@ -532,8 +542,8 @@ def phat_lag(
         return pd.DataFrame({**{k: [group[k].iloc[0]] * len(lags) for k in keys}, "lag": lags, "part": part})
 
     last = T.StructType([*key_fields, T.StructField("lag", T.LongType()), T.StructField("part", T.DoubleType())])
-    staged = long.groupBy(*keys, "_n2").applyInPandas(first, middle)
-    parts = staged.groupBy(*keys, "_k1").applyInPandas(second, last)
+    staged = spread_groups(long, *keys, "_n2").groupBy(*keys, "_n2").applyInPandas(first, middle)
+    parts = spread_groups(staged, *keys, "_k1").groupBy(*keys, "_k1").applyInPandas(second, last)
     table = parts.groupBy(*keys, "lag").agg(F.sum("part").alias("value"))
     top = F.max(F.struct("value", (-F.col("lag")).alias("minus_lag"))).alias("_top")
     split = table.groupBy(*keys).agg(top).select(*keys, (-F.col("_top.minus_lag")).alias("lag"))
@@ -673,7 +683,7 @@ def declip(
 ) -> DataFrame:
     """Repairs clipped runs by a cubic spline through the samples on both sides, held between the level and 1.3 times it.
 
-    One group is one run with its context, so at most ``max_run + 2 * context`` rows.
+    One repaired item is one run with its context, so at most ``max_run + 2 * context`` samples.
     """
     runs = cut_lineage(declip_runs(samples, keys=keys, **detection))
     runs = runs.where(F.col("end_sample") - F.col("start_sample") <= max_run)
@@ -682,23 +692,27 @@ def declip(
     pieces = wide.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_from") / bucket), F.floor((F.col("_to") - 1) / bucket))))
     near = samples.select(*keys, "t", "x", F.floor(F.col("t") / bucket).alias("_bucket"))
     rows = pieces.join(near, [*keys, "_bucket"]).where((F.col("t") >= F.col("_from")) & (F.col("t") < F.col("_to")))
-
-    schema = T.StructType([samples.schema[k] for k in keys] + T.StructType.fromDDL("t BIGINT, fixed DOUBLE").fields)
-
-    def repair(group: pd.DataFrame) -> pd.DataFrame:
-        start, end = int(group["start_sample"].iloc[0]), int(group["end_sample"].iloc[0])
-        if len(group) != end - start + 2 * context:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
-        group = group.sort_values("t")
-        t, x = group["t"].to_numpy(dtype=float), group["x"].to_numpy(dtype=float)
-        outside = (t < start) | (t >= end)
-        at = np.arange(start, end, dtype=float)
-        sign, level = float(group["sign"].iloc[0]), float(group["level"].iloc[0])
-        y = sign * np.clip(sign * _spline(t[outside], x[outside], at), level, overshoot * level)
-        head = {k: [group[k].iloc[0]] * len(at) for k in keys}
-        return pd.DataFrame({**head, "t": at.astype(np.int64), "fixed": y})
-
-    fixed = rows.groupBy(*keys, "sign", "start_sample").applyInPandas(repair, schema)
+    packed = rows.groupBy(*keys, "sign", "start_sample", "end_sample", "level").agg(
+        F.array_sort(F.collect_list(F.struct("t", F.col("x").cast("double").alias("x")))).alias("_s")
+    )
+    # A run whose context reaches over the end of the signal is left alone.
+    packed = packed.where(F.size("_s") == F.col("end_sample") - F.col("start_sample") + 2 * context)
+
+    @F.pandas_udf("array<double>")
+    def repair(values: pd.Series, size: pd.Series, sign: pd.Series, level: pd.Series) -> pd.Series:
+        fixed = []
+        for x, n, s, top in zip(values, size, sign, level):
+            at = np.arange(n + 2 * context, dtype=float)
+            outside = (at < context) | (at >= context + n)
+            y = _spline(at[outside], np.asarray(x)[outside], at[~outside])
+            fixed.append(s * np.clip(s * y, top, overshoot * top))
+        return pd.Series(fixed)
+
+    values = F.transform("_s", lambda p: p["x"])
+    runs_fixed = packed.select(
+        *keys, "start_sample", F.posexplode(repair(values, F.col("end_sample") - F.col("start_sample"), "sign", "level")).alias("_i", "fixed")
+    )
+    fixed = runs_fixed.select(*keys, (F.col("start_sample") + F.col("_i")).alias("t"), "fixed")
     return samples.join(fixed, [*keys, "t"], "left").withColumn("x", F.coalesce("fixed", "x")).drop("fixed")
 
 

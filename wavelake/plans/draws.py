@@ -57,8 +57,10 @@ def distinct_indices(n: Column, k: Column, *parts: Column | str | int) -> Column
     take = F.least(k.cast("bigint"), n)
     steps = F.when(take > 0, F.sequence(n - take, n - F.lit(1))).otherwise(F.array().cast("array<bigint>"))
 
-    def step(taken: Column, i: Column) -> Column:
-        r = below(draw(*parts, i), i + F.lit(1))
-        return F.array_append(taken, F.when(F.array_contains(taken, r), i).otherwise(r))
+    # Each draw is made once, before the fold that reads it twice.
+    drawn = F.transform(steps, lambda i: F.struct(i.alias("i"), below(draw(*parts, i), i + F.lit(1)).alias("r")))
 
-    return F.aggregate(steps, F.array().cast("array<bigint>"), step)
+    def step(taken: Column, d: Column) -> Column:
+        return F.array_append(taken, F.when(F.array_contains(taken, d["r"]), d["i"]).otherwise(d["r"]))
+
+    return F.aggregate(drawn, F.array().cast("array<bigint>"), step)

@@ -34,6 +34,15 @@ def _earlier_blocks(keys: Sequence[str]) -> Window:
     return Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
 
 
+def spread_groups(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partitions the groups of a NumPy step over all shuffle partitions.
+
+    Such steps are heavy for their size in bytes, and a given partition count keeps adaptive execution from joining
+    them into a few tasks. The following ``groupBy`` on the same keys needs no further shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def ordered_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """0-based position of every row inside its key. ``df`` has a ``block`` column that grows with the order."""
     starts = (
