@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from wavelake.functions import metrics as M
 from wavelake.functions.scalars import db_to_amplitude, fade_gain, pcm_decode, pcm_encode
 from wavelake.operators.rules import clip_gain
+from wavelake.plans.batches import empty, plain
 from wavelake.plans.draws import unit
 from wavelake.plans.ordered import (
     BLOCK,
@@ -77,11 +78,11 @@ def per_block(df: DataFrame, keys: Sequence[str], function, output: str) -> Data
     def run(group: pd.DataFrame) -> pd.DataFrame:
         own = group["own"].to_numpy()
         if not own.any():
-            return pd.DataFrame({n: [] for n in names})
+            return empty(schema)
         result = function(int(group["block"].iloc[0]), own, group)
         size = len(next(iter(result.values())))
         head = {k: [group[k].iloc[0]] * size for k in keys}
-        return pd.DataFrame({**head, **result})[names]
+        return plain(pd.DataFrame({**head, **result})[names])
 
     return spread_groups(df, *keys, "block").groupBy(*keys, "block").applyInPandas(run, schema)
 
@@ -499,7 +500,7 @@ def phat_lag(
         cc = np.fft.irfft(_whiten(np.fft.rfft(a), np.fft.rfft(b)), n)
         reach = min(max_shift, n // 2)
         lag = int(np.argmax(np.concatenate([cc[-reach:], cc[: reach + 1]]))) - reach if reach else 0
-        return pd.DataFrame({**{k: [group[k].iloc[0]] for k in keys}, "lag": [lag]})
+        return plain(pd.DataFrame({**{k: [group[k].iloc[0]] for k in keys}, "lag": [lag]}))
 
     schema = T.StructType([*key_fields, T.StructField("lag", T.LongType())])
     short = spread_groups(rows.where(F.col("_bits") <= limit_bits), *keys).groupBy(*keys).applyInPandas(in_one, schema)
@@ -521,7 +522,8 @@ def phat_lag(
         twiddle = np.exp(-2j * np.pi * n2 * k1 / n)
         fa, fb = np.fft.fft(a) * twiddle, np.fft.fft(b) * twiddle
         head = {k: [group[k].iloc[0]] * n1 for k in keys}
-        return pd.DataFrame({**head, "_bits": total, "_k1": k1, "_n2": n2, "ar": fa.real, "ai": fa.imag, "br": fb.real, "bi": fb.imag})
+        parts = {"ar": fa.real, "ai": fa.imag, "br": fb.real, "bi": fb.imag}
+        return plain(pd.DataFrame({**head, "_bits": total, "_k1": k1, "_n2": n2, **parts}))
 
     middle = T.StructType(
         [*key_fields, *T.StructType.fromDDL("_bits INT, _k1 BIGINT, _n2 BIGINT, ar DOUBLE, ai DOUBLE, br DOUBLE, bi DOUBLE").fields]
@@ -539,7 +541,7 @@ def phat_lag(
         reach = min(max_shift, n // 2)
         lags = np.arange(-reach, reach + 1)
         part = (back[lags % n2] * np.exp(2j * np.pi * k1 * lags / n)).real
-        return pd.DataFrame({**{k: [group[k].iloc[0]] * len(lags) for k in keys}, "lag": lags, "part": part})
+        return plain(pd.DataFrame({**{k: [group[k].iloc[0]] * len(lags) for k in keys}, "lag": lags, "part": part}))
 
     last = T.StructType([*key_fields, T.StructField("lag", T.LongType()), T.StructField("part", T.DoubleType())])
     staged = spread_groups(long, *keys, "_n2").groupBy(*keys, "_n2").applyInPandas(first, middle)

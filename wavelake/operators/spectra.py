@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavelake.plans.batches import plain
 from wavelake.plans.ordered import BLOCK, attach, with_block
 from wavelake.schema import FFT_SIZE, HOP_SIZE
 
@@ -284,7 +285,7 @@ def enhance(frames: DataFrame, load=None, column: str = "spec") -> DataFrame:
             spec = np.stack([np.asarray(s["re"]) for s in batch[column]]) + 1j * np.stack([np.asarray(s["im"]) for s in batch[column]])
             out = predict(spec)
             batch[column] = [{"re": r, "im": i} for r, i in zip(out.real, out.imag)]
-            yield batch
+            yield plain(batch)
 
     return frames.mapInPandas(run, frames.schema)
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wavelake.plans.batches import plain
 from wavelake.plans.ordered import spread_groups, with_block
 from wavelake.session import cut_lineage
 
@@ -33,7 +34,7 @@ def exponential_mean(
     by alpha^block over the next one, so the carried term needs only the few earlier blocks that are above the
     resolution of a double, and the initial state. No task sees more than a block of frames of a key.
     """
-    while alpha**-block > 1e250:
+    while -block * log(alpha) > 570.0:
         block //= 2
     rows = with_block(df, "frame", block)
     k = F.col("frame") - F.col("block") * block
@@ -127,13 +128,13 @@ def impulse_flags(energies: DataFrame, keys: Sequence[str] = ("signal_id",), blo
         floor, held = start(group)
         _, _, out_floor, out_held = impulse_scan(group["energy"].to_numpy(), floor, held)
         head = {k: [group[k].iloc[0]] for k in keys}
-        return pd.DataFrame({**head, "block": [group["block"].iloc[0]], "in_floor": [floor], "in_held": [held],
-                             "out_floor": [out_floor], "out_held": [out_held]}).astype({"in_floor": "float64"})
+        edges = {"in_floor": [floor], "in_held": [held], "out_floor": [out_floor], "out_held": [out_held]}
+        return plain(pd.DataFrame({**head, "block": [group["block"].iloc[0]], **edges}).astype({"in_floor": "float64"}))
 
     def flags(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("frame")
         flag, severity, _, _ = impulse_scan(group["energy"].to_numpy(), *start(group))
-        return group[[*keys, "frame", "energy"]].assign(flag=flag, severity=severity)
+        return plain(group[[*keys, "frame", "energy"]].assign(flag=flag, severity=severity))
 
     on = [*keys, "block"]
     states = rows.select(*on).distinct().select(
@@ -251,7 +252,7 @@ def nlms_cancel(frames: DataFrame, bins_per_group: int = 32, **overrides: float)
                      float(np.sum(np.abs(s) ** 2)), float(np.sum(np.abs(z) ** 2)),
                      int(grew.sum()), int(skipped.sum()), int(adapted.sum()), bool(row.ref_clipped), bypass and not row.ref_clipped)
                 )
-            yield pd.DataFrame(done, columns=[f.name for f in out.fields])
+            yield plain(pd.DataFrame(done, columns=[f.name for f in out.fields]))
 
     parts = rows.mapInPandas(run, out)
     # All groups of a frame meet again: one entry per group, in group order.

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from wavelake.functions.scalars import category_from_path, extension, path_template
 from wavelake.operators.matching import apply_sidecar
+from wavelake.plans.batches import plain
 from wavelake.schema import CLEAN_FIELDS, INVENTORY, MANIFEST, NOISE_FIELDS, SAMPLE_RECORD
 from wavelake.sources.wav import read_files
 
@@ -138,7 +139,8 @@ def scan_archives(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"]):
                 with zipfile.ZipFile(io.BytesIO(bytes(content))) as archive:
                     infos = archive.infolist()
-                yield pd.DataFrame({"path": path, "member": [i.filename for i in infos], "size": [i.file_size for i in infos]})
+                rows = {"path": path, "member": [i.filename for i in infos], "size": [i.file_size for i in infos]}
+                yield plain(pd.DataFrame(rows))
 
     def listed(order: int, path: str) -> DataFrame:
         files = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -159,7 +161,7 @@ def read_members(spark: SparkSession, paths: Sequence[str], members: Sequence[st
                 with zipfile.ZipFile(io.BytesIO(bytes(content))) as archive:
                     for name in archive.namelist():
                         if name in wanted:
-                            yield pd.DataFrame({"path": [f"zip:{name}"], "content": [archive.read(name)]})
+                            yield plain(pd.DataFrame({"path": [f"zip:{name}"], "content": [archive.read(name)]}))
 
     files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
     return files.mapInPandas(extract, "path STRING, content BINARY")

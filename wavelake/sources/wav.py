@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavelake.plans.batches import plain
 from wavelake.plans.ordered import BLOCK
 from wavelake.schema import PROBED, SAMPLE_RATE, WAV_BLOCKS
 
@@ -78,7 +79,7 @@ def probe_wav(files: DataFrame) -> DataFrame:
                 except (ValueError, struct.error) as error:
                     rows.append((path, None, None, None, str(error)))
             frame = pd.DataFrame(rows, columns=["path", "sample_rate", "channels", "frames", "error"])
-            yield frame.astype({"sample_rate": "Int32", "channels": "Int32", "frames": "Int64"})
+            yield plain(frame.astype({"sample_rate": "Int32", "channels": "Int32", "frames": "Int64"}))
 
     return files.select("path", "content").mapInPandas(probe, PROBED)
 
@@ -109,9 +110,9 @@ def read_wav_blocks(files: DataFrame, block: int = BLOCK, start: int = 0, stop:
                         if not np.isfinite(samples).all():
                             raise ValueError("non-finite samples")
                         head = (path, layout["rate"], layout["channels"], layout["frames"])
-                        yield pd.DataFrame([(*head, number, a, samples, None)], columns=columns)
+                        yield plain(pd.DataFrame([(*head, number, a, samples, None)], columns=columns))
                 except (ValueError, struct.error) as error:
-                    yield pd.DataFrame([(path, None, None, None, None, None, None, str(error))], columns=columns)
+                    yield plain(pd.DataFrame([(path, None, None, None, None, None, None, str(error))], columns=columns))
 
     return files.select("path", "content").mapInPandas(decode, WAV_BLOCKS)
 
@@ -136,7 +137,7 @@ def write_wav(blocks: DataFrame, folder: str, subtype: str = "PCM_16", rate: int
         def finish():
             handle.close()
             os.replace(f"{folder}/{current}.part", f"{folder}/{current}")
-            return pd.DataFrame({"path": [current], "frames": [frames]})
+            return plain(pd.DataFrame({"path": [current], "frames": [frames]}))
 
         for batch in batches:
             for path, samples in zip(batch["path"], batch["samples"]):

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wavelake.operators.stateful import CANCELLER, DEAD_POWER, cancel_step, impulse_scan
+from wavelake.plans.batches import plain
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -39,7 +40,7 @@ class SignalProcessor(StatefulProcessor):
             stored = self.state.get() if self.state.exists() else None
             output, new_state = self.step(group, stored)
             self.state.update(new_state)
-            yield output
+            yield plain(output)
 
     def step(self, group: pd.DataFrame, stored):
         raise NotImplementedError
