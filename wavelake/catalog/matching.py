@@ -9,7 +9,8 @@ from wavelake.operators import matching as J
 from wavelake.plans.draws import derive_seed
 from wavelake.plans.ordered import ordered_index
 
-# Files of two folders whose stems overlap, some in two formats.
+# Files of two folders whose stems overlap, some in two formats. Conditions on ids decide which files exist on which
+# side; every row of the table takes part in the query.
 FILE_SQL = (
     "cf AS (SELECT concat('clean/', doc_id, CASE WHEN doc_id % 3 = 0 THEN '.mp3' ELSE '.wav' END) AS path, CAST(doc_id AS VARCHAR) AS stem FROM documents "
     "UNION ALL SELECT concat('clean/', doc_id, '.wav'), CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 6 = 0), "
@@ -218,14 +219,14 @@ def mask_from_regions(t: Tables):
 
 
 PLACED_SQL = (
-    ", plan AS (SELECT k AS sample_id, k % 3 AS pick, k % 100 AS source, k % 17 AS a, k % 17 + 5 + k % 23 AS b, k % 31 AS d FROM records WHERE k % 10 < 4), "
+    ", plan AS (SELECT k AS sample_id, k % 3 AS pick, k % 100 AS source, k % 17 AS a, k % 17 + 5 + k % 23 AS b, k % 31 AS d FROM records), "
     "placed AS (SELECT sample_id, pick, t - a + d AS t, x FROM plan JOIN sig_samples ON signal_id = source AND t >= a AND t < b)"
 )
 
 
 def placement_plan(t: Tables):
     k = F.col("k")
-    return t.views.records.where(k % 10 < 4).select(
+    return t.views.records.select(
         k.alias("sample_id"),
         (k % 3).alias("pick"),
         (k % 100).alias("source"),

@@ -178,7 +178,7 @@ def sample_record(t: Tables):
 
 MARKDOWN = (
     "md AS (SELECT doc_id, concat('Intro ', doc_id, chr(10), 'for all of the readers of this text', chr(10), '# 1. First `', lang, '` Part', chr(10), text, chr(10), '## Sub-Heading ', source, chr(10), "
-    "'```', chr(10), 'code # x', chr(10), '```', chr(10), '# 12. Second: The ', lang, '!', chr(10), '### deep `one`', chr(10), 'tail # end') AS body FROM documents WHERE text NOT LIKE '%# %')"
+    "'```', chr(10), 'code # x', chr(10), '```', chr(10), '# 12. Second: The ', lang, '!', chr(10), '### deep `one`', chr(10), 'tail # end') AS body FROM documents)"
 )
 
 
@@ -190,7 +190,7 @@ def markdown(t: Tables):
         F.lit("## Sub-Heading "), "source", nl, F.lit("```"), nl, F.lit("code # x"), nl, F.lit("```"), nl,
         F.lit("# 12. Second: The "), "lang", F.lit("!"), nl, F.lit("### deep `one`"), nl, F.lit("tail # end"),
     )
-    return t.documents.where(~F.col("text").contains("# ")).select("doc_id", body.alias("body"))
+    return t.documents.select("doc_id", body.alias("body"))
 
 
 @query(
@@ -201,19 +201,22 @@ def slugify(t: Tables):
     return t.conversations.select("conv_id", "turn", X.slugify(F.col("text")).alias("slug"))
 
 
+BLANKS, INLINE = "concat(' ', chr(9), chr(10), chr(13), chr(12), chr(11))", "concat(' ', chr(9), chr(13), chr(12), chr(11))"
 SECTION_SQL = (
-    ", sp AS (SELECT doc_id, regexp_split_to_array(replace(replace(body, concat(chr(10), '# 1. '), concat(chr(1), '# 1. ')), concat(chr(10), '# 12. '), concat(chr(1), '# 12. ')), chr(1)) AS a FROM md), "
-    "sec AS (SELECT doc_id, unnest(range(len(a))) AS position, trim(unnest(a), concat(' ', chr(9), chr(10), chr(13), chr(12), chr(11))) AS raw FROM sp)"
+    r", sp AS (SELECT doc_id, string_split(regexp_replace(body, '\n(# [0-9]+\. )', concat(chr(1), '\1'), 'g'), chr(1)) AS a FROM md), "
+    f"sec AS (SELECT doc_id, unnest(range(len(a))) AS position, trim(unnest(a), {BLANKS}) AS raw FROM sp), "
+    f"hd AS (SELECT *, trim(string_split(raw, chr(10))[1], {INLINE}) AS head, CASE WHEN contains(raw, chr(10)) THEN substr(raw, instr(raw, chr(10)) + 1) ELSE '' END AS rest FROM sec WHERE raw <> '') "
 )
 
 
 @query(
     "sca16_split_sections",
     "WITH " + MARKDOWN + SECTION_SQL
-    + r""" SELECT doc_id, position, CASE position WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 12 END AS number,
-      CASE WHEN position = 0 THEN concat('Intro ', doc_id) WHEN position = 1 THEN concat('First ', (SELECT lang FROM documents d WHERE d.doc_id = sec.doc_id), ' Part') ELSE concat('Second: The ', (SELECT lang FROM documents d WHERE d.doc_id = sec.doc_id), '!') END AS title,
-      length(substr(raw, instr(raw, chr(10)) + 1)) AS body_length,
-      CASE WHEN position = 0 THEN '' WHEN position = 1 THEN concat('Sub-Heading ', (SELECT source FROM documents d WHERE d.doc_id = sec.doc_id)) ELSE 'deep one' END AS headings FROM sec""",
+    + r""" SELECT doc_id, position, CASE WHEN regexp_matches(head, '^#\s*[0-9]+\.\s*') THEN CAST(regexp_extract(head, '^#\s*([0-9]+)\.', 1) AS BIGINT) WHEN starts_with(head, '#') THEN 0 ELSE position END AS number,
+      replace(trim(regexp_replace(head, '^#\s*([0-9]+\.\s*)?', '')), '`', '') AS title, length(rest) AS body_length,
+      array_to_string(list_transform(list_filter(list_transform(string_split(rest, chr(10)), lambda l: trim(l, """
+    + INLINE
+    + r""")), lambda l: starts_with(l, '## ') OR starts_with(l, '### ')), lambda l: replace(trim(regexp_replace(l, '^#+ ', '')), '`', '')), ';') AS headings FROM hd""",
 )
 def split_sections(t: Tables):
     sections = X.split_sections(markdown(t), "doc_id", "body")
@@ -241,7 +244,7 @@ def plain_text(t: Tables):
 
 @query(
     "srt10_search",
-    "WITH " + MARKDOWN + ", x AS (SELECT d.doc_id, source, lang, text FROM documents d WHERE text NOT LIKE '%# %'), "
+    "WITH " + MARKDOWN + ", x AS (SELECT d.doc_id, source, lang, text FROM documents d), "
     + """s AS (SELECT doc_id, CASE WHEN lower(source) = 'src1' THEN 100 WHEN contains(lower(source), 'src1') THEN 50 WHEN contains(lower(text), 'src1') THEN 20 ELSE 0 END
       + CASE WHEN contains(lower(concat('about ', lang, ' ', source)), 'src1') THEN 35 ELSE 0 END AS score FROM x)
     SELECT doc_id, CAST(score AS BIGINT) AS score, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank FROM s WHERE score > 0""",
@@ -250,8 +253,7 @@ def search(t: Tables):
     from wavelake.plans.ordered import ordered_index
 
     heading = F.array(F.concat(F.lit("About "), "lang", F.lit(" "), "source"))
-    rows = t.documents.where(~F.col("text").contains("# "))
-    scored = rows.select("doc_id", X.search_score(F.col("source"), F.col("text"), heading, " Src1 ").alias("score")).where("score > 0")
+    scored = t.documents.select("doc_id", X.search_score(F.col("source"), F.col("text"), heading, " Src1 ").alias("score")).where("score > 0")
     return ordered_index(scored, [F.col("score").desc(), "doc_id"], "rank").select("doc_id", "score", "rank")
 
 

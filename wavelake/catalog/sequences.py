@@ -80,14 +80,14 @@ def analysis_frames(t: Tables):
 @query(
     "win7_deep_filter",
     sql(FRAME_BINS)
-    + """, z AS (SELECT signal_id, frame, bin, v AS re, v * 0.5 - 0.1 AS im FROM frame_bins WHERE bin < 12),
+    + """, z AS (SELECT signal_id, frame, bin, v AS re, v * 0.5 - 0.1 AS im FROM frame_bins),
     c AS (SELECT signal_id, frame, bin, unnest(range(5)) AS tap, re FROM z),
     d AS (SELECT *, re * (tap + 1) / 5 AS c_re, (bin - tap) / 20.0::DOUBLE AS c_im FROM c)
     SELECT d.signal_id, d.frame, d.bin, round(sum(z.re * c_re - z.im * c_im), 6) + 0.0 AS re, round(sum(z.re * c_im + z.im * c_re), 6) + 0.0 AS im
     FROM d JOIN z ON z.signal_id = d.signal_id AND z.bin = d.bin AND z.frame = d.frame - 2 + d.tap GROUP BY ALL""",
 )
 def deep_filter(t: Tables):
-    bins = t.views.frame_bins.where("bin < 12").select(
+    bins = t.views.frame_bins.select(
         "signal_id", "frame", "bin", F.col("v").alias("re"), (F.col("v") * 0.5 - 0.1).alias("im")
     )
     taps = bins.select("signal_id", "frame", "bin", "re", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("tap"))

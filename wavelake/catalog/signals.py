@@ -158,7 +158,7 @@ def measured_snr(t: Tables):
 
 
 COMPOSITE_SQL = (
-    ", plan AS (SELECT k AS event, k % 60 AS sample_id, k // 60 % 4 AS pick, k % 100 AS source, k % 17 AS a, k % 17 + 5 + k % 23 AS b, k % 31 AS d FROM records WHERE k % 10 < 4), "
+    ", plan AS (SELECT k AS event, k % 60 AS sample_id, k // 60 % 4 AS pick, k % 100 AS source, k % 17 AS a, k % 17 + 5 + k % 23 AS b, k % 31 AS d FROM records), "
     "pl AS (SELECT sample_id, pick, t - a AS i, b - a AS n, least(CASE WHEN pick % 2 = 1 THEN 3 ELSE 0 END, (b - a) // 2) AS f, t - a + d AS t, x FROM plan JOIN sig_samples ON signal_id = source AND t >= a AND t < b), "
     "fd AS (SELECT sample_id, pick, t, x * CASE WHEN f = 0 THEN 1 ELSE least(1.0::DOUBLE, i / f, (n - 1 - i) / f) END AS x FROM pl), "
     "rm AS (SELECT sample_id, pick, sqrt(avg(x * x)) AS rms FROM fd GROUP BY sample_id, pick) "
@@ -172,7 +172,7 @@ COMPOSITE_SQL = (
 )
 def composite_noise(t: Tables):
     k = F.col("k")
-    plan = t.views.records.where(k % 10 < 4).select(
+    plan = t.views.records.select(
         (k % 60).alias("sample_id"), (F.floor(k / 60) % 4).alias("pick"), (k % 100).alias("source"), (k % 17).alias("source_start_sample"),
         (k % 17 + 5 + k % 23).alias("source_end_sample"), (k % 31).alias("destination_start_sample"),
     )
@@ -280,11 +280,11 @@ def rms_normalize_reversible(t: Tables):
 
 @query(
     "sig16_blend",
-    sql(SIG_PAIRS) + "SELECT signal_id, t, round(0.7 * est + 0.3 * noisy, 6) + 0.0 AS x FROM sig_pairs WHERE t < 60",
+    sql(SIG_PAIRS) + "SELECT signal_id, t, round(0.7 * est + 0.3 * noisy, 6) + 0.0 AS x FROM sig_pairs",
 )
 def blend(t: Tables):
     pairs = t.views.sig_pairs
-    enhanced = pairs.where("t < 60").select("signal_id", "t", "block", F.col("est").alias("x"))
+    enhanced = pairs.select("signal_id", "t", "block", F.col("est").alias("x"))
     return six(S.blend(enhanced, pairs.select("signal_id", "t", F.col("noisy").alias("x")), 0.7), "x", keep=("signal_id", "t"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelake.plans.ordered import block_of, index_within, ordered_index
@@ -135,9 +135,7 @@ def category_members(noises: DataFrame) -> DataFrame:
 def category_groups(noises: DataFrame) -> DataFrame:
     """One row per category: its rank (names ascending, null last) and its number of files."""
     counts = noises.groupBy("category").agg(F.count(F.lit(1)).alias("files"))
-    # One row per category: the window orders category names, not files.
-    order = Window.orderBy(F.col("category").asc_nulls_last())
-    return counts.withColumn("category_idx", (F.row_number().over(order) - 1).cast("bigint"))
+    return ordered_index(counts, [F.col("category").asc_nulls_last()], "category_idx")
 
 
 def mark_duplicates(rows: DataFrame) -> DataFrame:

@@ -141,7 +141,8 @@ def locate(wanted: DataFrame, root_files: DataFrame, members: DataFrame, prefix:
     return joined.select("relpath", location.alias("location"))
 
 
-def _to_buckets(intervals: DataFrame, start: str, end: str, size: int) -> DataFrame:
+def to_buckets(intervals: DataFrame, start: str, end: str, size: int) -> DataFrame:
+    """One row per fixed position bucket that a half-open interval touches."""
     first, last = F.floor(F.col(start) / size), F.floor((F.col(end) - 1) / size)
     return intervals.where(F.col(start) < F.col(end)).withColumn("_bucket", F.explode(F.sequence(first, last)))
 
@@ -153,7 +154,7 @@ def mask_from_regions(samples: DataFrame, regions: DataFrame, keys: Sequence[str
     the range condition into an equi-join on (signal, bucket) with a residual.
     """
     disjoint = merge_intervals(regions, keys, 1)
-    pieces = _to_buckets(disjoint, "start_sample", "end_sample", bucket)
+    pieces = to_buckets(disjoint, "start_sample", "end_sample", bucket)
     rows = samples.withColumn("_bucket", F.floor(F.col("t") / bucket))
     inside = (F.col("s.t") >= F.col("r.start_sample")) & (F.col("s.t") < F.col("r.end_sample"))
     on = F.col("s._bucket") == F.col("r._bucket")
@@ -169,7 +170,7 @@ def place_segments(source_samples: DataFrame, plan: DataFrame, bucket: int = 409
     ``source_samples`` has (source, t, x); ``plan`` has (sample_id, pick, source, source_start_sample,
     source_end_sample, destination_start_sample) and any other columns. The equi-join key is (source, bucket).
     """
-    pieces = _to_buckets(plan, "source_start_sample", "source_end_sample", bucket)
+    pieces = to_buckets(plan, "source_start_sample", "source_end_sample", bucket)
     rows = source_samples.select("source", "t", "x", F.floor(F.col("t") / bucket).alias("_bucket"))
     inside = (F.col("t") >= F.col("source_start_sample")) & (F.col("t") < F.col("source_end_sample"))
     joined = pieces.join(rows, ["source", "_bucket"]).where(inside)

@@ -19,11 +19,8 @@ def noise_pool(noises: DataFrame) -> DataFrame:
 
 def pool_groups(pool: DataFrame) -> DataFrame:
     """One row per category of a numbered pool: its rank, first index and size."""
-    from pyspark.sql import Window
-
     groups = pool.groupBy("category").agg(F.min("idx").alias("start"), F.count(F.lit(1)).alias("files"))
-    # One row per category: the window orders category names only.
-    return groups.withColumn("group_idx", (F.row_number().over(Window.orderBy("start")) - 1).cast("bigint"))
+    return ordered_index(groups, ["start"], "group_idx")
 
 
 def num_noises(draw_value: Column, lo: int, hi: int) -> Column:

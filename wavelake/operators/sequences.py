@@ -15,6 +15,7 @@ from wavelake.plans.ordered import (
     index_within,
     ordered_index,
     ordered_lag,
+    ordered_prefix,
     ordered_rank,
     ordered_running,
 )
@@ -104,11 +105,8 @@ def sequential_ids(splits: DataFrame, chunk: int = BLOCK) -> DataFrame:
 
     A split is first cut into chunks of ids, which are spread over tasks, and only then unrolled.
     """
-    # One row per split: the window orders the split list.
-    before = F.coalesce(
-        F.sum("count").over(Window.orderBy("split_ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    ranges = splits.where(F.col("count") > 0).withColumn("_start", (before + 1).cast("bigint"))
+    ranges = ordered_prefix(splits.where(F.col("count") > 0), ["split_ord"], "count", "_earlier")
+    ranges = ranges.withColumn("_start", F.col("_earlier") + 1)
     ranges = ranges.withColumn("_end", (F.col("_start") + F.col("count") - 1).cast("bigint"))
     chunks = ranges.select("split", "_end", F.explode(F.sequence("_start", "_end", F.lit(chunk).cast("bigint"))).alias("_at"))
     chunks = chunks.repartition("split", "_at")

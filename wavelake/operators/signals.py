@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from wavelake.functions import metrics as M
 from wavelake.functions.scalars import db_to_amplitude, fade_gain, pcm_decode, pcm_encode
+from wavelake.operators.matching import to_buckets
 from wavelake.operators.rules import clip_gain
 from wavelake.plans.batches import empty, plain
 from wavelake.plans.draws import unit
@@ -595,12 +596,16 @@ def align_and_gain_match(
 # Segments -------------------------------------------------------------------------------------------------------
 
 
-def crop_pad_pairs(pairs: DataFrame, starts: DataFrame, segment: int, values: Sequence[str], keys: Sequence[str] = SIGNAL) -> DataFrame:
+def crop_pad_pairs(
+    pairs: DataFrame, starts: DataFrame, segment: int, values: Sequence[str], keys: Sequence[str] = SIGNAL, bucket: int = 4096
+) -> DataFrame:
     """Fixed-length segments from one offset per (signal, item) for all value columns; zeros after a short signal.
 
     ``starts`` has (keys, item, start, length).
     """
-    rows = pairs.join(starts, list(keys)).where((F.col("t") >= F.col("start")) & (F.col("t") < F.col("start") + segment))
+    wanted = to_buckets(starts.withColumn("_end", F.col("start") + segment), "start", "_end", bucket)
+    rows = pairs.withColumn("_bucket", F.floor(F.col("t") / bucket)).join(wanted, [*keys, "_bucket"])
+    rows = rows.where((F.col("t") >= F.col("start")) & (F.col("t") < F.col("_end")))
     found = rows.select(*keys, "item", (F.col("t") - F.col("start")).alias("t"), *values)
     missing = starts.where(F.col("length") - F.col("start") < segment)
     zeros = missing.select(

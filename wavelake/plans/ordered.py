@@ -173,6 +173,22 @@ def ordered_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx
     )
 
 
+def ordered_prefix(df: DataFrame, order: Sequence[str | Column], column: str, name: str) -> DataFrame:
+    """Sum of ``column`` over all earlier rows of one total order over the whole table; see `ordered_index`."""
+    parts = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.groupBy("_part").agg(F.sum(column).alias("_total")).select(
+        "_part", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before")
+    )
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        parts.withColumn("_at", F.coalesce(F.sum(column).over(inside), F.lit(0)))
+        .join(F.broadcast(offsets), "_part")
+        .withColumn(name, (F.col("_before") + F.col("_at")).cast("bigint"))
+        .drop("_part", "_at", "_before")
+    )
+
+
 def index_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "idx") -> DataFrame:
     """0-based index of every row inside its key, for orders that offer no natural block column.
 
