@@ -424,21 +424,28 @@ def batches(t: Tables):
     )
 
 
+def chain_sql(source: str) -> str:
+    """SQL of the clean chain (half gain as enhancer, 0.8 wet) over a CTE of samples."""
+    return (
+        f", dc AS (SELECT signal_id, t, x - avg(x) OVER (PARTITION BY signal_id) AS x FROM {source}), f1 AS ("
+        + FILTERED.format(s="dc", taps="hp") + "), n1 AS (" + NORMALIZED.format(s="f1", db="-26.0")
+        + "), en AS (SELECT signal_id, t, x * 0.5 AS x FROM n1), bl AS (SELECT en.signal_id, en.t, 0.8 * en.x + 0.2 * n1.x AS x FROM en JOIN n1 ON n1.signal_id = en.signal_id AND n1.t = en.t), f2 AS ("
+        + FILTERED.format(s="bl", taps="bp") + "), n2 AS (" + NORMALIZED.format(s="f2", db="-26.0")
+        + "), p AS (SELECT signal_id, t, x, max(abs(x)) OVER (PARTITION BY signal_id) + 1e-12 AS p FROM n2) SELECT {signal} AS signal_id, t, round(x * CASE WHEN p > 0.99 THEN 0.99 / p ELSE 1 END, 6) + 0.0 AS x FROM p"
+    )
+
+
+def half_gain(rows):
+    return rows.withColumn("x", F.col("x") * 0.5)
+
+
 @query(
     "sig32_clean_chain",
-    sql(SIG_SAMPLES, taps_sql("hp", HIGH), taps_sql("bp", BAND))
-    + ", dc AS (SELECT signal_id, t, x - avg(x) OVER (PARTITION BY signal_id) AS x FROM sig_samples), f1 AS (" + FILTERED.format(s="dc", taps="hp")
-    + "), n1 AS (" + NORMALIZED.format(s="f1", db="-26.0")
-    + "), en AS (SELECT signal_id, t, x * 0.5 AS x FROM n1), bl AS (SELECT en.signal_id, en.t, 0.8 * en.x + 0.2 * n1.x AS x FROM en JOIN n1 ON n1.signal_id = en.signal_id AND n1.t = en.t), f2 AS ("
-    + FILTERED.format(s="bl", taps="bp") + "), n2 AS (" + NORMALIZED.format(s="f2", db="-26.0")
-    + "), p AS (SELECT signal_id, t, x, max(abs(x)) OVER (PARTITION BY signal_id) + 1e-12 AS p FROM n2) SELECT signal_id, t, round(x * CASE WHEN p > 0.99 THEN 0.99 / p ELSE 1 END, 6) + 0.0 AS x FROM p",
+    sql(SIG_SAMPLES, taps_sql("hp", HIGH), taps_sql("bp", BAND)) + chain_sql("sig_samples").replace("{signal}", "signal_id"),
 )
 def clean_chain(t: Tables):
-    def enhancer(rows):
-        return rows.withColumn("x", F.col("x") * 0.5)
-
     samples = t.views.sig_samples.select("signal_id", "t", "block", "x")
-    rows = S.clean_chain(samples, HIGH, BAND, enhancer, wet=0.8, normalize_after=True)
+    rows = S.clean_chain(samples, HIGH, BAND, half_gain, wet=0.8, normalize_after=True)
     return six(rows, "x", keep=("signal_id", "t"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wavelake.catalog.registry import ORACLES, Tables, query, rounded
 from wavelake.catalog.spectra import impulse_flags as _batch  # noqa: F401  (registers the batch twin first)
 from wavelake.catalog.planning import CHUNK_ROWS, SEED, chunk_rows, d
-from wavelake.catalog.views import SIG_SAMPLES, sql
+from wavelake.catalog.views import FRAME_BINS, SIG_SAMPLES, sql
 from wavelake.operators.tablefunctions import register_table_functions
 from wavelake.plans.draws import draw
 from wavelake.session import ensure_checkpoint_dir
@@ -51,7 +51,7 @@ def sessions(t: Tables):
     return rows.select("signal_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "stretches")
 
 
-@query("stf1_impulse_flags_stream", ORACLES["stf1_impulse_flags"])
+@query("stf1_stf6_impulse_flags_stream", ORACLES["stf1_impulse_flags"])
 def impulse_stream(t: Tables):
     """The detector as a stream that stops and resumes twice; equal to one batch run, as its state is carried."""
     P.use_rocksdb(t.spark)
@@ -64,6 +64,24 @@ def impulse_stream(t: Tables):
     return flags.select("signal_id", "frame", "flag", rounded(F.col("severity")).alias("severity"))
 
 
+@query(
+    "stf5_overlap_add_stream",
+    sql(FRAME_BINS)
+    + "SELECT a.signal_id, a.frame, a.bin AS i, round(a.v + coalesce(b.v, 0), 6) + 0.0 AS y FROM frame_bins a LEFT JOIN frame_bins b ON b.signal_id = a.signal_id AND b.frame = a.frame - 1 AND b.bin = a.bin + 32 WHERE a.bin < 32",
+)
+def overlap_stream(t: Tables):
+    """The half-frame memory is carried from one run of the stream to the next."""
+    P.use_rocksdb(t.spark)
+    folder = f"{ensure_checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    frames = t.views.frames.select("signal_id", "frame", "x")
+    part = F.least(F.floor(F.col("frame") / 20), F.lit(1))
+    for i in range(2):
+        frames.where(part == i).write.mode("append").parquet(f"{folder}/in")
+        hops = W.run_available(P.overlap_add(W.read_frames(t.spark, f"{folder}/in", frames.schema), 32), folder)
+    rows = hops.select("signal_id", "frame", F.posexplode("y").alias("i", "y"))
+    return rows.select("signal_id", "frame", F.col("i").cast("bigint").alias("i"), rounded(F.col("y")).alias("y"))
+
+
 @query(
     "udf4_table_functions",
     sql(CHUNK_ROWS)

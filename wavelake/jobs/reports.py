@@ -18,15 +18,13 @@ from wavelake.operators import scores as C
 from wavelake.operators import signals as S
 from wavelake.operators.sequences import select_lowest_per_cell
 from wavelake.plans.ordered import BLOCK, with_block
+from wavelake.plans.totals import beside
 from wavelake.schema import RESULT_FIELDS, SAMPLE_RATE
 
-_ONE = "_one"
-
 
 def _side_by_side(parts: Sequence[DataFrame]) -> DataFrame:
     """One-row tables as one row."""
-    keyed = [p.withColumn(_ONE, F.lit(1)) for p in parts]
-    return reduce(lambda a, b: a.join(b, _ONE), keyed).drop(_ONE)
+    return reduce(beside, parts)
 
 
 def explode_noises(records: DataFrame) -> DataFrame:

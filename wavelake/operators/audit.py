@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelake.plans.ordered import block_of, index_within, ordered_index
+from wavelake.plans.totals import beside
 
 
 def usage_counts(records: DataFrame, noises: DataFrame) -> DataFrame:
@@ -61,18 +62,16 @@ def distinct_counts(records: DataFrame, noises: DataFrame, sources: DataFrame) -
         F.count_distinct("source").alias("noise_sources_used"), F.count_distinct("category").alias("noise_categories_used")
     )
     pool = sources.agg(F.count(F.lit(1)).alias("sources"), F.count_distinct("category").alias("noise_categories"))
-    one = F.lit(1).alias("_one")
-    return used.select("*", one).join(noise.select("*", one), "_one").join(pool.select("*", one), "_one").drop("_one")
+    return beside(beside(used, noise), pool)
 
 
 def conditional_counts(records: DataFrame, noises: DataFrame) -> DataFrame:
-    one = F.lit(1).alias("_one")
     left = records.agg(F.count_if(F.coalesce("clipping_prevented", F.lit(False))).alias("clipping_gain_samples"))
     right = noises.agg(
         F.count_if(F.coalesce("looped", F.lit(False))).alias("looped_noises"),
         F.sum(F.coalesce("n_events", F.lit(0))).cast("bigint").alias("impulsive_events"),
     )
-    return left.select("*", one).join(right.select("*", one), "_one").drop("_one")
+    return beside(left, right)
 
 
 def split_totals(records: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wavelake.functions.scalars import extension, stem
 from wavelake.plans.ordered import merge_intervals
+from wavelake.plans.totals import beside
 
 
 def with_stem(files: DataFrame) -> DataFrame:
@@ -107,7 +108,7 @@ def verify_output(records: DataFrame, files: DataFrame) -> DataFrame:
         F.count_if(F.col("n") > 1).alias("duplicate_ids"),
         F.coalesce(F.sum("bad"), F.lit(0)).alias("name_mismatches"),
     )
-    both = ids.withColumn("_one", F.lit(1)).join(paths.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    both = beside(ids, paths)
     clean = F.lit(True)
     for problem in ("duplicate_ids", "name_mismatches", "clean_mismatches", "noisy_mismatches"):
         clean = clean & (F.col(problem) == 0)
@@ -239,9 +240,8 @@ def attach_reference(primary: DataFrame, reference: DataFrame) -> DataFrame:
 
 def draw_by_index(samples: DataFrame, indexed_pool: DataFrame, draw: str, idx: str = "idx") -> DataFrame:
     """Uniform pick: each sample takes the pool row whose index is ``draw mod n``. A plain equi-join on the index."""
-    n = indexed_pool.agg(F.count(F.lit(1)).alias("n"))
-    numbered = samples.withColumn("_one", F.lit(1)).join(n.withColumn("_one", F.lit(1)), "_one")
-    return numbered.withColumn(idx, F.col(draw) % F.col("n")).drop("n", "_one").join(indexed_pool, idx)
+    size = indexed_pool.agg(F.count(F.lit(1))).scalar()
+    return samples.withColumn(idx, F.col(draw) % size).join(indexed_pool, idx)
 
 
 def first_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

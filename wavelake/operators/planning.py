@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wavelake.plans.draws import below, between, distinct_indices, draw
 from wavelake.plans.ordered import ordered_index
+from wavelake.plans.totals import beside
 from wavelake.session import cut_lineage
 
 
@@ -27,15 +28,10 @@ def num_noises(draw_value: Column, lo: int, hi: int) -> Column:
     return between(draw_value, F.lit(lo), F.lit(hi))
 
 
-def _with_totals(samples: DataFrame, totals: DataFrame) -> DataFrame:
-    """Adds the columns of a one-row table through a constant equi-key; the one-row side is tiny by construction."""
-    return samples.withColumn("_one", F.lit(1)).join(totals.withColumn("_one", F.lit(1)), "_one").drop("_one")
-
-
 def pick_any(samples: DataFrame, pool: DataFrame, seed: int, count: str = "n") -> DataFrame:
     """``n`` distinct files per sample, at most the pool size: rows (k, slot, idx)."""
     total = pool.agg(F.count(F.lit(1)).alias("_files"))
-    rows = _with_totals(samples.select("k", F.col(count).alias("_n")), total)
+    rows = beside(samples.select("k", F.col(count).alias("_n")), total)
     chosen = distinct_indices(F.col("_files"), F.col("_n"), seed, "any", F.col("k"))
     return rows.select("k", F.posexplode(chosen).alias("slot", "idx"))
 
@@ -49,7 +45,7 @@ def pick_distinct_categories(
     takes every category once and fills up from the remaining files. ``groups`` is `pool_groups`.
     """
     totals = groups.agg(F.count(F.lit(1)).alias("_groups"), F.coalesce(F.sum("files"), F.lit(0)).alias("_files"))
-    rows = _with_totals(samples.select("k", F.col(count).alias("_n")), totals)
+    rows = beside(samples.select("k", F.col(count).alias("_n")), totals)
     rows = rows.withColumn("_n", F.least("_n", "_files")).where(F.col("_n") > 0)
     if mode == "require_different":
         rows = rows.where(F.col("_groups") >= F.col("_n"))
@@ -98,7 +94,7 @@ def pick_noises(
     wanted = groups.where(is_required)
     # The wanted categories are named in the configuration, so this list is as short as the configuration.
     listed = wanted.agg(F.collect_list(F.struct("start", "files", "group_idx")).alias("_wanted"))
-    rows = _with_totals(samples.select("k", F.col(count).alias("n")), listed)
+    rows = beside(samples.select("k", F.col(count).alias("n")), listed)
     first = rows.select("k", F.explode("_wanted").alias("g")).select(
         "k", (F.col("g.start") + below(draw(seed, "file", F.col("k"), F.col("g.group_idx")), F.col("g.files"))).alias("idx")
     )

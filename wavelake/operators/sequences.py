@@ -19,6 +19,7 @@ from wavelake.plans.ordered import (
     ordered_rank,
     ordered_running,
 )
+from wavelake.plans.totals import beside
 
 
 def select_lowest_per_cell(rows: DataFrame) -> DataFrame:
@@ -133,8 +134,7 @@ def epoch_order(rows: DataFrame, key: str, seed: int, epochs: int, batch_size: i
     spread = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("_draw", F.md5(text))
     spread = spread.withColumn("block", F.conv(F.substring("_draw", 1, 3), 16, 10).cast("bigint"))
     ranked = ordered_rank(spread, ["epoch"], ["_draw", key], "within").drop("_draw", "block")
-    total = rows.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
-    placed = ranked.withColumn("_one", F.lit(1)).join(total, "_one").drop("_one")
+    placed = beside(ranked, rows.agg(F.count(F.lit(1)).alias("_n")))
     placed = placed.withColumn("position", F.col("epoch") * F.col("_n") + F.col("within")).drop("_n")
     return placed.withColumn("step", F.floor(F.col("position") / batch_size).cast("bigint"))
 
