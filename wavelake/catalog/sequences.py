@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from wavelake.catalog.registry import Tables, query, rounded
 from wavelake.catalog.rules import AUDITED, audited
-from wavelake.catalog.views import FRAME_BINS, RECORDS, SIG_SAMPLES, SOURCES, sql
+from wavelake.catalog.views import FRAME_BINS, RECORDS, SIG_SAMPLES, SOURCES, sql, utc_instant
 from wavelake.operators import sequences as Q
 from wavelake.plans import ordered as O
 
@@ -185,7 +185,7 @@ def bad_step_budget(t: Tables):
     SELECT run, commit_id, total, done, round(CASE WHEN el > 0 THEN done / el END, 6) + 0.0 AS rate, round((total - done) / (CASE WHEN el > 0 THEN done / el END), 3) + 0.0 AS eta_seconds FROM d""",
 )
 def progress(t: Tables):
-    seconds = F.unix_micros(F.col("ts").cast("timestamp"))
+    seconds = F.unix_micros(utc_instant("ts"))
     totals = t.events.groupBy(F.col("user_id").alias("run")).agg((F.count(F.lit(1)) + 50).alias("total"))
     rows = t.events.select(
         F.col("user_id").alias("run"), F.col("event_id").alias("commit_id"), F.floor(seconds / 1000000).alias("at_seconds")

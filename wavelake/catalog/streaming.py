@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wavelake.catalog.registry import ORACLES, Tables, query, rounded
 from wavelake.catalog.spectra import impulse_flags as _batch  # noqa: F401  (registers the batch twin first)
 from wavelake.catalog.planning import CHUNK_ROWS, SEED, chunk_rows, d
-from wavelake.catalog.views import FRAME_BINS, SIG_SAMPLES, sql
+from wavelake.catalog.views import FRAME_BINS, SIG_SAMPLES, sql, utc_instant
 from wavelake.operators.tablefunctions import register_table_functions
 from wavelake.plans.draws import draw
 from wavelake.session import ensure_checkpoint_dir
@@ -16,7 +16,7 @@ from wavelake.streaming import windows as W
 
 
 def activity(t: Tables):
-    return t.events.select(F.col("user_id").alias("signal_id"), F.col("ts").cast("timestamp").alias("ts"), "value", "event_id")
+    return t.events.select(F.col("user_id").alias("signal_id"), utc_instant("ts").alias("ts"), "value", "event_id")
 
 
 @query(

@@ -54,6 +54,11 @@ SCORES = (
 VIEW_BLOCK = 4096
 
 
+def utc_instant(column: str):
+    """A time without zone, read as UTC, whatever the zone of the session."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(column)).cast("timestamp")
+
+
 def sql(*views: str) -> str:
     """The WITH clause of the named views."""
     return "WITH " + ", ".join(views) + " "

@@ -19,6 +19,9 @@ def tier_of(category: Column) -> Column:
     return result
 
 
+# The texts of the flags below are fixed values: other tools read them.
+
+
 def _flags(*conditions: tuple[Column, Column]) -> Column:
     """The texts of the conditions that hold, in the given order."""
     return F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), text) for test, text in conditions]))

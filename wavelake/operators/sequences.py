@@ -132,7 +132,7 @@ def epoch_order(rows: DataFrame, key: str, seed: int, epochs: int, batch_size: i
     """
     text = F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col(key).cast("string"))
     spread = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("_draw", F.md5(text))
-    spread = spread.withColumn("block", F.conv(F.substring("_draw", 1, 3), 16, 10).cast("bigint"))
+    spread = spread.withColumn("block", F.conv(F.substring("_draw", 1, 4), 16, 10).cast("bigint"))
     ranked = ordered_rank(spread, ["epoch"], ["_draw", key], "within").drop("_draw", "block")
     placed = beside(ranked, rows.agg(F.count(F.lit(1)).alias("_n")))
     placed = placed.withColumn("position", F.col("epoch") * F.col("_n") + F.col("within")).drop("_n")

@@ -500,7 +500,8 @@ def phat_lag(
         a[group["t"]], b[group["t"]] = group["_r"], group["_d"]
         cc = np.fft.irfft(_whiten(np.fft.rfft(a), np.fft.rfft(b)), n)
         reach = min(max_shift, n // 2)
-        lag = int(np.argmax(np.concatenate([cc[-reach:], cc[: reach + 1]]))) - reach if reach else 0
+        lags = np.arange(-reach, reach + 1)
+        lag = int(lags[np.argmax(cc[lags % n])])
         return plain(pd.DataFrame({**{k: [group[k].iloc[0]] for k in keys}, "lag": [lag]}))
 
     schema = T.StructType([*key_fields, T.StructField("lag", T.LongType())])

@@ -88,15 +88,16 @@ def impulse_scan(
 ):
     """Flags and severities of consecutive frames from a carried state; returns (flags, severities, floor, held)."""
     level = np.maximum(np.asarray(energy, dtype=np.float64), 1e-12)
-    flags, severity = np.zeros(len(level), dtype=bool), np.zeros(len(level))
+    rises, active, left = np.zeros(len(level)), np.zeros(len(level), dtype=bool), int(held)
     for t, e in enumerate(level):
         floor = e if floor is None else floor
-        jump = 10.0 * np.log10(e / floor)
-        held = hold if jump > jump_db else max(held - 1, 0)
-        flags[t], severity[t] = held > 0, min(max(jump, 0.0) / 40.0, 1.0)
-        if not held:
-            floor = alpha * floor + (1.0 - alpha) * e
-    return flags, severity, None if floor is None else float(floor), held
+        rises[t] = 10.0 * np.log10(e / floor)
+        # Frames the flag still lasts; the floor follows the energy only while it is down.
+        left = hold if rises[t] > jump_db else left - (left > 0)
+        active[t] = left > 0
+        if not left:
+            floor += (1.0 - alpha) * (e - floor)
+    return active, np.clip(rises / 40.0, 0.0, 1.0), None if floor is None else float(floor), left
 
 
 def impulse_flags(energies: DataFrame, keys: Sequence[str] = ("signal_id",), block: int = 65_536) -> DataFrame:
@@ -167,26 +168,30 @@ def impulse_flags(energies: DataFrame, keys: Sequence[str] = ("signal_id",), blo
 
 
 def cancel_step(state: dict, s, y, x, mask, frozen: bool, erased, bypass: bool, p: dict):
-    """One frame of the per-bin canceller over a vector of bins. Returns (z, grew, skipped, adapted); updates ``state``."""
+    """One frame of the per-bin canceller over a vector of bins. Returns (z, diverged, skipped, learned); updates ``state``.
+
+    What the reference explains is taken out with the filter from before this frame. A bin that gets louder by it keeps
+    its input, and its filter starts over.
+    """
     prev, state["mask"] = state["mask"], mask
     none = np.zeros(len(s), dtype=bool)
     if bypass:
         return s.copy(), none, none, none
-    w = state["w"]
-    ratio = s / (y + p["eps"])
-    size = np.abs(ratio)
-    ratio = np.where(size > p["g_max"], ratio * (p["g_max"] / np.maximum(size, 1e-30)), ratio)
-    leak = w * (ratio * x)
-    usable = (np.abs(s) > p["noise_floor"]) & (np.abs(leak) > p["noise_floor"])
-    z = np.where(usable, s - leak, s)
-    grew = np.abs(z) > np.abs(s)
-    z = np.where(grew, s, z)
-    adapt = none if frozen else (prev < p["mask_threshold"]) & ~erased
-    if adapt.any():
-        step = p["mu"] * np.conj(x) * (y - w * x) / (np.abs(x) ** 2 + p["delta"])
-        w = np.where(adapt, w + step, w)
-    state["w"] = np.where(grew, 0, w).astype(np.complex64)
-    return z, grew, ~usable, adapt
+    w, floor = state["w"], p["noise_floor"]
+    shifted = y + np.complex64(p["eps"])
+    gain = s * np.conj(shifted) / np.maximum(shifted.real**2 + shifted.imag**2, np.float32(1e-30))
+    gain *= np.minimum(1.0, p["g_max"] / np.maximum(np.abs(gain), 1e-30))
+    explained = (w * gain * x).astype(np.complex64)
+    level = np.abs(s)
+    skipped = (level <= floor) | (np.abs(explained) <= floor)
+    cleaned = s - explained
+    diverged = ~skipped & (np.abs(cleaned) > level)
+    z = np.where(skipped | diverged, s, cleaned)
+    learn = none if frozen else (prev < p["mask_threshold"]) & ~erased
+    error = y - w * x
+    update = p["mu"] * np.conj(x) * error / (x.real**2 + x.imag**2 + p["delta"])
+    state["w"] = np.where(diverged, 0, np.where(learn, w + update, w)).astype(np.complex64)
+    return z, diverged, skipped, learn
 
 
 # Fixed values of the canceller.
@@ -244,13 +249,13 @@ def nlms_cancel(frames: DataFrame, bins_per_group: int = 32, **overrides: float)
                     state = {"w": np.zeros(len(s), np.complex64), "mask": np.ones(len(s), np.float32)}
                 mask, erased = np.asarray(row.mask, dtype=np.float32), np.asarray(row.erased, dtype=bool)
                 bypass = bool(row.ref_clipped or row.dead)
-                z, grew, skipped, adapted = cancel_step(
+                z, diverged, skipped, learned = cancel_step(
                     state, s, y, x, mask, bool(row.impulse or row.impulse_tail), erased, bypass, params
                 )
                 done.append(
                     (row.signal_id, row.frame, key[1], z.real.astype(float), z.imag.astype(float),
                      float(np.sum(np.abs(s) ** 2)), float(np.sum(np.abs(z) ** 2)),
-                     int(grew.sum()), int(skipped.sum()), int(adapted.sum()), bool(row.ref_clipped), bypass and not row.ref_clipped)
+                     int(diverged.sum()), int(skipped.sum()), int(learned.sum()), bool(row.ref_clipped), bypass and not row.ref_clipped)
                 )
             yield plain(pd.DataFrame(done, columns=[f.name for f in out.fields]))
 
