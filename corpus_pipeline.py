@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelake.llm import mixing, neardup, secret_scan
+from wavelake.llm import contamination, mixing, neardup, quality, secret_scan
 from wavelake.llm.common import write_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that fail the fixed rules or that the model rejects."""
+    model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    judged = docs.select(*COLUMNS, quality.judge_quality(F.col("text"), model).alias("_quality"))
+    return judged.where("_quality.kept").select(*COLUMNS)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each class of near duplicates (five words, 0.8)."""
     classes = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept"))
@@ -20,6 +27,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that contain a benchmark item, question and answer."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return contamination.clean_documents(docs.select(*COLUMNS), items)
+
+
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret by a mark; n_chars follows the text. Models learn from the documents of this stage."""
     weights = secret_scan.fit_weights(secret_scan.labelled_samples(docs))
@@ -39,7 +52,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality_rules", quality_rules),
     ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
     ("scan_secrets", scan_secrets),
     ("mix", mix),
 ]

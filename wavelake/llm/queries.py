@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelake.llm import chat, mixing, neardup, secret_scan
+from wavelake.llm import (
+    chat,
+    contamination,
+    extraction,
+    language,
+    mixing,
+    neardup,
+    pii,
+    quality,
+    secret_scan,
+    toxicity,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +37,23 @@ def op2_perspective_rotation(spark: SparkSession, folder: str) -> DataFrame:
     return rotated.withColumn("mask", chat.mask_text(F.col("mask")))
 
 
+def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_identifiers(_documents(spark, folder))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+def _remainder(divisor: int) -> Column:
+    """Fold of a document: crc32 of doc_id as text, by a divisor; null doc_ids have none."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
+
+
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    model = language.fit_languages(docs.where(_remainder(3) != 1))
+    held_out = docs.select("doc_id", "text", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"))
+    return held_out.withColumn("p", language.predict_language(F.col("text"), model)).select("doc_id", "held_out", "p.*")
+
+
 def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = _documents(spark, folder)
     weights = secret_scan.fit_weights(secret_scan.labelled_samples(docs))
@@ -43,12 +71,44 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    model = toxicity.fit_toxicity(docs, _table(spark, folder, "labels").where(_remainder(5) != 0))
+    held_out = docs.select("doc_id", "text", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"))
+    return held_out.withColumn("p", toxicity.judge_toxicity(F.col("text"), model)).select("doc_id", "held_out", "p.*")
+
+
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, folder), width=3, threshold=(85, 100))
 
 
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    return quality.score_documents(docs, quality.fit_quality(docs, _table(spark, folder, "labels")))
+
+
+def op9_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination.contaminated_pairs(_documents(spark, folder), _table(spark, folder, "benchmark"))
+
+
+def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.extract_pages(_table(spark, folder, "pages"))
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_source_mix, op2_perspective_rotation, op5_secret_scan, op7_near_duplicates)
+    f.__name__: f
+    for f in (
+        op1_source_mix,
+        op2_perspective_rotation,
+        op3_personal_data,
+        op4_language,
+        op5_secret_scan,
+        op6_toxicity,
+        op7_near_duplicates,
+        op8_quality_rules,
+        op9_benchmark_leaks,
+        op10_main_text,
+    )
 }
 
 SQL = {
