@@ -86,7 +86,7 @@ def test_same_seed_same_samples(spark, library, made):
 
 
 def test_resume_makes_only_the_rest(spark, library, made):
-    done = made.records.select("sample_id", "split").limit(6)
+    done = made.records.select("sample_id", "split").orderBy("sample_id").limit(6)
     rest = D.generate_dataset(spark, CONFIG, *library, done=done, size=64)
     ids = {r.sample_id for r in rest.records.collect()}
     assert ids.isdisjoint({r.sample_id for r in done.collect()})

@@ -115,3 +115,13 @@ def test_distinct_indices(spark, n, k):
     for r in df.collect():
         assert len(r.p) == len(set(r.p)) == min(n, k)
         assert all(0 <= i < n for i in r.p)
+
+
+def test_null_keys_keep_their_rows(spark):
+    rows = spark.createDataFrame([(None, 0, 1.0), (None, 1, 2.0), ("a", 0, 3.0)], "k string, t bigint, x double")
+    rows = O.with_block(rows, "t", 1)
+    assert O.ordered_rank(rows, ["k"], ["t"], "r").count() == 3
+    assert O.ordered_lag(rows, ["k"], ["t"], {"p": "x"}).where("p = 1.0").count() == 1
+    assert O.ordered_running(rows, ["k"], ["t"], "x", "sum", "s").where("s = 3.0").count() == 2
+    assert O.block_totals(rows, ["k"]).where("_n = 2").count() == 2
+    assert O.attach(rows, rows.groupBy("k").count(), ["k"]).count() == 3

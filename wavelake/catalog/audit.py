@@ -85,8 +85,8 @@ def noise_count_distribution(t: Tables):
     "agg20_inventory_hash",
     sql(SOURCES)
     + """, l AS (SELECT 0 AS o, rel, size FROM sources UNION ALL SELECT 1, replace(rel, 'wav/', 'noise/'), size + 7 FROM sources WHERE category IS NOT NULL),
-    i AS (SELECT concat(rel, '|', size, chr(10)) AS line, row_number() OVER (ORDER BY o, rel) - 1 AS idx FROM l),
-    c AS (SELECT idx // 100000 AS chunk, sha256(string_agg(line, '' ORDER BY idx)) AS digest, count(*) AS n FROM i GROUP BY 1)
+    i AS (SELECT sha256(concat(rel, '|', size, chr(10))) AS digest, row_number() OVER (ORDER BY o, rel) - 1 AS idx FROM l),
+    c AS (SELECT idx // 4096 AS chunk, sha256(string_agg(digest, '' ORDER BY idx)) AS digest, count(*) AS n FROM i GROUP BY 1)
     SELECT CASE WHEN count(*) = 1 THEN max(digest) ELSE sha256(string_agg(digest, '' ORDER BY chunk)) END AS inventory_hash, CAST(sum(n) AS BIGINT) AS sources FROM c""",
 )
 def inventory_hash(t: Tables):

@@ -139,7 +139,7 @@ def trailing_index(t: Tables):
 
 @query(
     "sca13_config_hash",
-    """SELECT o_orderkey AS k, sha256(concat('[{"key":"priority","value":"', o_orderpriority, '"},{"key":"status","value":"', o_orderstatus, '"}]')) AS hash FROM orders""",
+    """SELECT o_orderkey AS k, sha256(concat('{"priority":"', o_orderpriority, '","status":"', o_orderstatus, '"}')) AS hash FROM orders""",
 )
 def config_hash(t: Tables):
     config = F.create_map(

@@ -147,11 +147,11 @@ def sequential_ids(t: Tables):
 @query(
     "win11_epoch_order",
     sql(RECORDS)
-    + """, e AS (SELECT k, unnest([0, 1]) AS epoch FROM records), o AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY md5(concat_ws(':', 26052, epoch, k)), k) - 1 AS within FROM e),
+    + """, e AS (SELECT k, unnest([0, 1]) AS epoch FROM records), o AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY md5(concat_ws(':', 7301, epoch, k)), k) - 1 AS within FROM e),
     p AS (SELECT *, epoch * (SELECT count(*) FROM records) + within AS position FROM o) SELECT k, epoch, within, position, position // 16 AS step FROM p""",
 )
 def epoch_order(t: Tables):
-    return Q.epoch_order(t.views.records.select("k"), "k", 26052, 2, 16)
+    return Q.epoch_order(t.views.records.select("k"), "k", 7301, 2, 16)
 
 
 @query(

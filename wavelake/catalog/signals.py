@@ -187,14 +187,14 @@ def composite_noise(t: Tables):
     "sig11_remix",
     sql(SIG_PAIRS)
     + ", p AS (SELECT signal_id, avg(clean * clean) AS ps, avg((noisy - clean) * (noisy - clean)) AS pn FROM sig_pairs GROUP BY signal_id), "
-    + "g AS (SELECT signal_id, CASE WHEN ps < 1e-10 OR pn < 1e-12 THEN 1 ELSE sqrt(ps / (pn * pow(10, (-10 + 10 * (" + d("26052", "'remix'", "signal_id") + " / 4294967296.0::DOUBLE)) / 10))) END AS g FROM p), "
+    + "g AS (SELECT signal_id, CASE WHEN ps < 1e-10 OR pn < 1e-12 THEN 1 ELSE sqrt(ps / (pn * pow(10, (-10 + 10 * (" + d("7301", "'remix'", "signal_id") + " / 4294967296.0::DOUBLE)) / 10))) END AS g FROM p), "
     + """m AS (SELECT s.signal_id, t, clean * 3 AS clean, clean * 3 + g * (noisy - clean) * 3 AS noisy FROM sig_pairs s JOIN g ON g.signal_id = s.signal_id),
     k AS (SELECT signal_id, CASE WHEN max(abs(noisy)) > 0.99 THEN 0.99 / max(abs(noisy)) ELSE 1 END AS k FROM m GROUP BY signal_id)
     SELECT m.signal_id, t, round(clean * k, 6) + 0.0 AS clean, round(noisy * k, 6) + 0.0 AS noisy FROM m JOIN k ON k.signal_id = m.signal_id""",
 )
 def remix(t: Tables):
     pairs = t.views.sig_pairs.withColumn("clean", F.col("clean") * 3).withColumn("noisy", F.col("noisy") * 3)
-    rows = S.remix(pairs, draw(26052, "remix", F.col("signal_id")), -10.0, 0.0)
+    rows = S.remix(pairs, draw(7301, "remix", F.col("signal_id")), -10.0, 0.0)
     return six(rows, "clean", "noisy", keep=("signal_id", "t"))
 
 

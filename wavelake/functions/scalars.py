@@ -84,7 +84,7 @@ def trailing_index(identifier: Column) -> Column:
 
 def strip_prefix(path: Column, prefix: str) -> Column:
     """The path without its required prefix; null where the prefix is absent."""
-    return F.when(path.startswith(prefix), F.substring(path, len(prefix) + 1, 1 << 20))
+    return F.when(path.startswith(prefix), path.substr(F.lit(len(prefix) + 1), F.length(path)))
 
 
 def optional_prefix(path: Column, prefix: str) -> Column:
@@ -196,7 +196,6 @@ def clamped_ratio(s: Column, y: Column, eps: float = 1e-8, limit: float = 1.5) -
 
 
 def config_hash(config: Column, ignored: list[str]) -> Column:
-    """SHA-256 over the key-sorted JSON of a map, without the ignored keys."""
+    """SHA-256 over the key-sorted JSON object of a map, without the ignored keys. Values may be nested."""
     kept = F.map_filter(config, lambda key, _: ~key.isin(ignored)) if ignored else config
-    entries = F.array_sort(F.map_entries(kept))
-    return F.sha2(F.to_json(entries), 256)
+    return F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(kept)))), 256)

@@ -101,25 +101,28 @@ def flag_frequencies(manifest: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def inventory_hash(sources: DataFrame, chunk: int = 100_000) -> DataFrame:
-    """Digest of an inventory: SHA-256 over its ordered ``rel|size`` lines.
+def inventory_hash(sources: DataFrame, fan: int = 4096) -> DataFrame:
+    """Digest of an inventory: a hash tree over its ordered ``rel|size`` lines.
 
-    ``sources`` has (kind_ord, rel, size). Lines are hashed in chunks of the total order. An inventory of one chunk
-    has the plain SHA-256 of its text; a larger one has the SHA-256 over its chunk digests in order, so no task ever
-    holds the whole inventory.
+    ``sources`` has (kind_ord, rel, size). The digests of the lines, in their total order, are joined ``fan`` at a time
+    and hashed, level by level, until one is left; at least one level is built. The rule is the same for every size and
+    no task holds more than ``fan`` digests. An empty inventory has the digest of the empty text.
     """
     numbered = ordered_index(sources.select("kind_ord", "rel", "size"), ["kind_ord", "rel"], "idx")
     line = F.concat("rel", F.lit("|"), F.col("size").cast("string"), F.lit("\n"))
-    lines = numbered.select(block_of(F.col("idx"), chunk).alias("chunk"), "idx", line.alias("line"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "line"))), lambda s: s["line"]), "")
-    chunks = lines.groupBy("chunk").agg(F.sha2(joined, 256).alias("digest"), F.count(F.lit(1)).alias("lines"))
-    digests = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "digest"))), lambda s: s["digest"])
-    total = chunks.agg(digests.alias("digests"), F.sum("lines").alias("sources"))
-    return total.select(
-        F.when(F.size("digests") == 1, F.element_at("digests", 1))
-        .otherwise(F.sha2(F.array_join("digests", ""), 256))
-        .alias("inventory_hash"),
-        "sources",
+    level = numbered.select("idx", F.sha2(line, 256).alias("digest"), F.lit(1).cast("bigint").alias("lines"))
+    left = numbered.count()
+    while True:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "digest"))), lambda s: s["digest"]), "")
+        level = (
+            level.groupBy(block_of(F.col("idx"), fan).alias("idx"))
+            .agg(F.sha2(joined, 256).alias("digest"), F.sum("lines").cast("bigint").alias("lines"))
+        )
+        left = -(-left // fan)
+        if left <= 1:
+            break
+    return level.agg(
+        F.coalesce(F.max("digest"), F.sha2(F.lit(""), 256)).alias("inventory_hash"), F.coalesce(F.sum("lines"), F.lit(0)).alias("sources")
     )
 
 

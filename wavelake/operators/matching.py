@@ -133,7 +133,7 @@ def locate(wanted: DataFrame, root_files: DataFrame, members: DataFrame, prefix:
     """
     in_roots = root_files.groupBy("relpath").agg(F.min_by("root", "root_ord").alias("root"))
     in_archives = members.groupBy("member").agg(F.min("archive_ord").alias("archive_ord"))
-    member = F.when(F.col("relpath").startswith(prefix), F.substring("relpath", len(prefix) + 1, 1 << 20)).otherwise(F.col("relpath"))
+    member = F.when(F.col("relpath").startswith(prefix), F.col("relpath").substr(F.lit(len(prefix) + 1), F.length("relpath"))).otherwise(F.col("relpath"))
     rows = wanted.select("relpath").distinct().withColumn("member", member)
     joined = rows.join(in_roots, "relpath", "left").join(in_archives, "member", "left")
     location = F.when(F.col("root").isNotNull(), F.concat("root", F.lit("/"), "relpath")).when(

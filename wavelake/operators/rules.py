@@ -80,7 +80,7 @@ def validate_pairs(measures: DataFrame) -> DataFrame:
     flags = (
         F.when(noisy_missing, F.array(F.lit("noisy missing")))
         .when(clean_missing, F.array(F.lit("clean missing")))
-        .when(unreadable, F.array(F.substring(F.concat(F.lit("unreadable: "), F.col("read_error")), 1, 200)))
+        .when(unreadable, F.array(F.concat(F.lit("unreadable: "), F.col("read_error"))))
         .when(F.size(layout) > 0, layout)
         .otherwise(F.concat(content, soft))
     )

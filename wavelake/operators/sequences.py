@@ -58,14 +58,20 @@ def deep_filter(bins: DataFrame, taps: DataFrame, order: int = 5, lookahead: int
     """Complex FIR over the frames of each bin: tap ``o`` of a frame weighs frame - (order - 1 - lookahead) + o.
 
     ``taps`` has (signal_id, frame, bin, tap, c_re, c_im). Frames outside the signal weigh as zero, so an inner join is
-    exact; the sum pre-aggregates.
+    exact; the sum pre-aggregates. Bins of a frame without taps pass through unchanged.
     """
     reach = taps.withColumn("_source", F.col("frame") - (order - 1 - lookahead) + F.col("tap"))
     source = bins.select("signal_id", F.col("frame").alias("_source"), "bin", "re", "im")
     joined = reach.join(source, ["signal_id", "_source", "bin"])
     re = F.col("re") * F.col("c_re") - F.col("im") * F.col("c_im")
     im = F.col("re") * F.col("c_im") + F.col("im") * F.col("c_re")
-    return joined.groupBy("signal_id", "frame", "bin").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
+    filtered = joined.groupBy("signal_id", "frame", "bin").agg(F.sum(re).alias("_re"), F.sum(im).alias("_im"))
+    at = ["signal_id", "frame", "bin"]
+    # Where a frame has taps but all of them reach outside the signal, the output is zero, not the input.
+    tapped = taps.select(*at).distinct().withColumn("_tapped", F.lit(True))
+    rows = bins.select(*at, "re", "im").join(tapped, at, "left").join(filtered, at, "left")
+    value = lambda part: F.when(F.col("_tapped"), F.coalesce(f"_{part}", F.lit(0.0))).otherwise(F.col(part)).alias(part)
+    return rows.select(*at, value("re"), value("im"))
 
 
 def collision_free_names(files: DataFrame) -> DataFrame:

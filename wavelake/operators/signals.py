@@ -453,14 +453,13 @@ def cross_correlation(
 def best_lag(
     pairs: DataFrame,
     max_lag: int = 2400,
-    limit: int = 480_000,
     ref: str = "clean",
     other: str = "noisy",
     keys: Sequence[str] = SIGNAL,
     size: int = BLOCK,
 ) -> DataFrame:
-    """Lag with the largest absolute correlation, the smallest such lag on ties. ``limit`` is the compared length."""
-    table = cross_correlation(pairs.where(F.col("t") < limit), max_lag, ref, other, keys, size)
+    """Lag with the largest absolute correlation over the whole signal, the smallest such lag on ties."""
+    table = cross_correlation(pairs, max_lag, ref, other, keys, size)
     top = F.max(F.struct(F.abs("correlation").alias("size"), (-F.col("lag")).alias("minus_lag"))).alias("_top")
     return table.groupBy(*keys).agg(top).select(*keys, (-F.col("_top.minus_lag")).alias("lag"))
 
@@ -477,13 +476,12 @@ def phat_lag(
     other: str = "noisy",
     keys: Sequence[str] = SIGNAL,
     size: int = BLOCK,
-    whole: int = 1 << 20,
 ) -> DataFrame:
     """Lag of ``other`` against ``ref`` by the phase transform, within +-max_shift.
 
-    The transform needs the spectrum of the whole signal. Signals whose FFT has at most ``whole`` points are done in one
-    group each. Longer ones use an FFT split over the cluster: N = N1 * N2 points as N2 transforms of N1 points, a
-    twiddle, and N1 transforms of N2 points, with a shuffle in between, so no group exceeds about the root of N.
+    The transform needs the spectrum of the whole signal, so the FFT is split over the cluster: N = N1 * N2 points as
+    N2 transforms of N1 points, a twiddle, and N1 transforms of N2 points, with a shuffle in between. No group exceeds
+    about the root of N, and signals of every length are treated alike.
     """
     r, d = F.col(ref), F.col(other)
     bits = F.ceil(F.log2(F.greatest(F.lit(2) * F.col("_n") - 1, F.lit(1)).cast("double"))).cast("int")
@@ -491,27 +489,12 @@ def phat_lag(
     rows = block_totals(rows, keys, {"_sr": F.col("_r"), "_sd": F.col("_d")}).withColumn("_bits", bits)
     rows = rows.withColumn("_r", F.col("_r") - F.col("_sr") / F.col("_n")).withColumn("_d", F.col("_d") - F.col("_sd") / F.col("_n"))
     rows = rows.select(*keys, "t", "_bits", "_r", "_d")
-    limit_bits = max(int(whole).bit_length() - 1, 1)
     key_fields = [pairs.schema[k] for k in keys]
 
-    def in_one(group: pd.DataFrame) -> pd.DataFrame:
-        n = 1 << int(group["_bits"].iloc[0])
-        a, b = np.zeros(n), np.zeros(n)
-        a[group["t"]], b[group["t"]] = group["_r"], group["_d"]
-        cc = np.fft.irfft(_whiten(np.fft.rfft(a), np.fft.rfft(b)), n)
-        reach = min(max_shift, n // 2)
-        lags = np.arange(-reach, reach + 1)
-        lag = int(lags[np.argmax(cc[lags % n])])
-        return plain(pd.DataFrame({**{k: [group[k].iloc[0]] for k in keys}, "lag": [lag]}))
-
-    schema = T.StructType([*key_fields, T.StructField("lag", T.LongType())])
-    short = spread_groups(rows.where(F.col("_bits") <= limit_bits), *keys).groupBy(*keys).applyInPandas(in_one, schema)
-
     # N1 points per first transform, N2 per second one; t = N2 * n1 + n2.
-    long = rows.where(F.col("_bits") > limit_bits)
     bits1 = F.ceil(F.col("_bits") / 2).cast("int")
     n2_count = F.pow(F.lit(2.0), F.col("_bits") - bits1).cast("bigint")
-    long = long.withColumn("_n2", F.col("t") % n2_count).withColumn("_n1", F.floor(F.col("t") / n2_count))
+    long = rows.withColumn("_n2", F.col("t") % n2_count).withColumn("_n1", F.floor(F.col("t") / n2_count))
 
     def first(group: pd.DataFrame) -> pd.DataFrame:
         total = int(group["_bits"].iloc[0])
@@ -550,8 +533,7 @@ def phat_lag(
     parts = spread_groups(staged, *keys, "_k1").groupBy(*keys, "_k1").applyInPandas(second, last)
     table = parts.groupBy(*keys, "lag").agg(F.sum("part").alias("value"))
     top = F.max(F.struct("value", (-F.col("lag")).alias("minus_lag"))).alias("_top")
-    split = table.groupBy(*keys).agg(top).select(*keys, (-F.col("_top.minus_lag")).alias("lag"))
-    return short.unionByName(split)
+    return table.groupBy(*keys).agg(top).select(*keys, (-F.col("_top.minus_lag")).alias("lag"))
 
 
 def align_and_gain_match(

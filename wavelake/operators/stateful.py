@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavelake.plans.batches import plain
-from wavelake.plans.ordered import spread_groups, with_block
+from wavelake.plans.ordered import join_on, ordered_rank, spread_groups, with_block
 from wavelake.session import cut_lineage
 
 # Fixed values of the impulse detector.
@@ -28,7 +28,9 @@ EMA_BLOCK = 2048
 def exponential_mean(
     df: DataFrame, keys: Sequence[str], column: str, alpha: float, initial: Column, name: str, block: int = EMA_BLOCK
 ) -> DataFrame:
-    """s = alpha * s + (1 - alpha) * x over consecutive frames of a key, starting from ``initial``.
+    """s = alpha * s + (1 - alpha) * x over the frames of a key in order, starting from ``initial``.
+
+    The recurrence goes from row to row, so the mean holds over frames that are missing, as it does in a stream.
 
     Inside a block the recurrence is a scaled running sum, a plain window sum. The value at the end of a block decays
     by alpha^block over the next one, so the carried term needs only the few earlier blocks that are above the
@@ -36,8 +38,9 @@ def exponential_mean(
     """
     while -block * log(alpha) > 570.0:
         block //= 2
-    rows = with_block(df, "frame", block)
-    k = F.col("frame") - F.col("block") * block
+    placed = ordered_rank(with_block(df, "frame", block), keys, ["frame"], "_pos").drop("block")
+    rows = with_block(placed, "_pos", block)
+    k = F.col("_pos") - F.col("block") * block
     x = F.col(column)
     grown = x * F.pow(F.lit(alpha), -k)
     local = Window.partitionBy(*keys, "block").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
@@ -53,9 +56,10 @@ def exponential_mean(
     )
     state = carried + F.col("_initial") * F.pow(F.lit(alpha), F.col("block") * block)
     states = ends.select(*keys, "block", state.alias("_state"))
-    joined = rows.withColumn("_local", F.lit(1 - alpha) * F.sum(grown).over(local)).join(states, [*keys, "block"])
+    joined = rows.withColumn("_local", F.lit(1 - alpha) * F.sum(grown).over(local))
+    joined = join_on(joined, states, [*keys, "block"])
     value = F.pow(F.lit(alpha), k) * (F.col("_local") + F.lit(alpha) * F.col("_state"))
-    return joined.withColumn(name, value).drop("_local", "_state", "block")
+    return joined.withColumn(name, value).drop("_local", "_state", "_pos", "block")
 
 
 def linspace(position: Column, start: float, stop: float, count: int) -> Column:
@@ -78,6 +82,12 @@ def unit_norm(bins: DataFrame, alpha: float = 0.99, count: int = 96) -> DataFram
     return rows.withColumn("re", F.col("re") / scale).withColumn("im", F.col("im") / scale).drop("_size", "_mean")
 
 
+def following_floor(level: np.ndarray, floor: float, alpha: float) -> np.ndarray:
+    """The floor before each of some consecutive frames that it follows, and after the last one."""
+    k = np.arange(1, len(level) + 1)
+    return np.concatenate([[floor], alpha**k * (floor + (1 - alpha) * np.cumsum(level / alpha**k))])
+
+
 def impulse_scan(
     energy: np.ndarray,
     floor: float | None,
@@ -85,19 +95,44 @@ def impulse_scan(
     jump_db: float = JUMP_DB,
     alpha: float = FLOOR_ALPHA,
     hold: int = HOLD_FRAMES,
+    stretch: int = 512,
 ):
-    """Flags and severities of consecutive frames from a carried state; returns (flags, severities, floor, held)."""
+    """Flags and severities of consecutive frames from a carried state; returns (flags, severities, floor, held).
+
+    Time falls into two kinds of stretches, each solved as a whole. While the flag is down the floor is a linear
+    recurrence of the energy, so a scaled sum gives it for a stretch and a comparison the first jump in it. While the
+    flag is up the floor stands still, so the jumps ahead are known at once, and the flag ends ``hold`` frames after
+    the first jump that no other one follows within ``hold`` frames.
+    """
     level = np.maximum(np.asarray(energy, dtype=np.float64), 1e-12)
-    rises, active, left = np.zeros(len(level)), np.zeros(len(level), dtype=bool), int(held)
-    for t, e in enumerate(level):
-        floor = e if floor is None else floor
-        rises[t] = 10.0 * np.log10(e / floor)
-        # Frames the flag still lasts; the floor follows the energy only while it is down.
-        left = hold if rises[t] > jump_db else left - (left > 0)
-        active[t] = left > 0
-        if not left:
-            floor += (1.0 - alpha) * (e - floor)
-    return active, np.clip(rises / 40.0, 0.0, 1.0), None if floor is None else float(floor), left
+    n = len(level)
+    if not n:
+        return np.zeros(0, dtype=bool), np.zeros(0), floor, int(held)
+    floor = float(level[0]) if floor is None else floor
+    ratio = 10.0 ** (jump_db / 10.0)
+    active, before = np.zeros(n, dtype=bool), np.empty(n)
+    at, jump = 0, int(held) - hold - 1  # the carried flag comes from a jump at this place
+    end = jump + hold if held else 0
+    while at < n:
+        if at >= end:
+            floors = following_floor(level[at : at + stretch], floor, alpha)
+            jumps = np.flatnonzero(level[at : at + stretch] > ratio * floors[:-1])
+            if not len(jumps):
+                before[at : at + stretch] = floors[:-1]
+                at, floor = at + len(floors) - 1, float(floors[-1])
+                continue
+            calm = int(jumps[0])
+            before[at : at + calm] = floors[:calm]
+            at, floor, jump = at + calm, float(floors[calm]), at + calm
+        ahead = np.concatenate([[jump], np.flatnonzero(level[max(at, jump + 1) :] > ratio * floor) + max(at, jump + 1)])
+        gaps = np.flatnonzero(np.diff(ahead) > hold)
+        jump = int(ahead[gaps[0]] if len(gaps) else ahead[-1])
+        end = jump + hold
+        active[at:end] = True
+        before[at:end] = floor
+        at = end
+    severity = np.clip(10.0 * np.log10(level / before) / 40.0, 0.0, 1.0)
+    return active, severity, floor, max(0, end - n + 1) if end > n - 1 and active[-1] else 0
 
 
 def impulse_flags(energies: DataFrame, keys: Sequence[str] = ("signal_id",), block: int = 65_536) -> DataFrame:
@@ -167,31 +202,53 @@ def impulse_flags(energies: DataFrame, keys: Sequence[str] = ("signal_id",), blo
 # Residual canceller ---------------------------------------------------------------------------------------------
 
 
-def cancel_step(state: dict, s, y, x, mask, frozen: bool, erased, bypass: bool, p: dict):
-    """One frame of the per-bin canceller over a vector of bins. Returns (z, diverged, skipped, learned); updates ``state``.
+def cancel_frames(state: dict, frames: dict[str, np.ndarray], p: dict) -> dict[str, np.ndarray]:
+    """Canceller over consecutive frames of some bins: arrays (frames, bins) in and out; updates ``state``.
 
-    What the reference explains is taken out with the filter from before this frame. A bin that gets louder by it keeps
-    its input, and its filter starts over.
+    The filter w of a bin changes by an affine map from frame to frame, w <- keep w + add, whose factors depend on the
+    input only and are formed for all frames at once, as is the share of the reference that a unit filter explains
+    (``reach``). What is left to a loop over frames is the map itself and its reset where the output would be louder.
+    ``frames``: complex s, y, x; mask, erased (frames, bins); frozen, bypass (frames).
     """
-    prev, state["mask"] = state["mask"], mask
-    none = np.zeros(len(s), dtype=bool)
-    if bypass:
-        return s.copy(), none, none, none
-    w, floor = state["w"], p["noise_floor"]
-    shifted = y + np.complex64(p["eps"])
-    gain = s * np.conj(shifted) / np.maximum(shifted.real**2 + shifted.imag**2, np.float32(1e-30))
-    gain *= np.minimum(1.0, p["g_max"] / np.maximum(np.abs(gain), 1e-30))
-    explained = (w * gain * x).astype(np.complex64)
-    level = np.abs(s)
-    skipped = (level <= floor) | (np.abs(explained) <= floor)
-    cleaned = s - explained
-    diverged = ~skipped & (np.abs(cleaned) > level)
-    z = np.where(skipped | diverged, s, cleaned)
-    learn = none if frozen else (prev < p["mask_threshold"]) & ~erased
-    error = y - w * x
-    update = p["mu"] * np.conj(x) * error / (x.real**2 + x.imag**2 + p["delta"])
-    state["w"] = np.where(diverged, 0, np.where(learn, w + update, w)).astype(np.complex64)
-    return z, diverged, skipped, learn
+    s, y, x = frames["s"], frames["y"], frames["x"]
+    mask = frames["mask"]
+    earlier = np.concatenate([state["mask"][None], mask[:-1]])
+    used = ~frames["bypass"][:, None]
+    learned = used & ~frames["frozen"][:, None] & ~frames["erased"] & (earlier < p["mask_threshold"])
+    rate = np.where(learned, p["mu"] / (np.abs(x) ** 2 + p["delta"]), 0)
+    keep = 1 - rate * np.abs(x) ** 2
+    add = rate * np.conj(x) * y
+    noisy = y + p["eps"]
+    gain = s / np.where(noisy == 0, 1, noisy)
+    reach = x * gain * np.minimum(1, p["g_max"] / np.maximum(np.abs(gain), 1e-30))
+    loud = np.abs(s)
+    quiet = loud <= p["noise_floor"]
+    w = state["w"]
+    explained, diverged, skipped = np.zeros_like(s), np.zeros(s.shape, bool), np.zeros(s.shape, bool)
+    for t in np.flatnonzero(used):
+        guess = w * reach[t]
+        skipped[t] = quiet[t] | (np.abs(guess) <= p["noise_floor"])
+        diverged[t] = ~skipped[t] & (np.abs(s[t] - guess) > loud[t])
+        explained[t] = np.where(skipped[t] | diverged[t], 0, guess)
+        w = np.where(diverged[t], 0, keep[t] * w + add[t])
+    state["w"], state["mask"] = w, mask[-1]
+    return {"z": s - explained, "diverged": diverged, "skipped": skipped, "learned": learned}
+
+
+def frame_arrays(rows: pd.DataFrame) -> dict[str, np.ndarray]:
+    """Columns of canceller rows as arrays (frames, bins)."""
+    stack = lambda name: np.stack(rows[name].to_numpy()).astype(np.float64)
+    out = {c: stack(f"{c}_re") + 1j * stack(f"{c}_im") for c in "syx"}
+    out["mask"] = stack("mask")
+    out["erased"] = (
+        np.stack(rows["erased"].to_numpy()).astype(bool) if "erased" in rows else np.zeros(out["mask"].shape, bool)
+    )
+    out["frozen"] = (rows["impulse"] | rows["impulse_tail"]).to_numpy(dtype=bool)
+    return out
+
+
+def initial_filter(bins: int) -> dict:
+    return {"w": np.zeros(bins, np.complex128), "mask": np.ones(bins)}
 
 
 # Fixed values of the canceller.
@@ -240,24 +297,28 @@ def nlms_cancel(frames: DataFrame, bins_per_group: int = 32, **overrides: float)
     def run(batches):
         key, state = None, None
         for batch in batches:
-            done = []
-            for row in batch.itertuples(index=False):
-                s, y, x = (np.asarray(getattr(row, f"{n}_re")) + 1j * np.asarray(getattr(row, f"{n}_im")) for n in "syx")
-                s, y, x = s.astype(np.complex64), y.astype(np.complex64), x.astype(np.complex64)
-                if (row.signal_id, row[2]) != key:
-                    key = (row.signal_id, row[2])
-                    state = {"w": np.zeros(len(s), np.complex64), "mask": np.ones(len(s), np.float32)}
-                mask, erased = np.asarray(row.mask, dtype=np.float32), np.asarray(row.erased, dtype=bool)
-                bypass = bool(row.ref_clipped or row.dead)
-                z, diverged, skipped, learned = cancel_step(
-                    state, s, y, x, mask, bool(row.impulse or row.impulse_tail), erased, bypass, params
-                )
-                done.append(
-                    (row.signal_id, row.frame, key[1], z.real.astype(float), z.imag.astype(float),
-                     float(np.sum(np.abs(s) ** 2)), float(np.sum(np.abs(z) ** 2)),
-                     int(diverged.sum()), int(skipped.sum()), int(learned.sum()), bool(row.ref_clipped), bypass and not row.ref_clipped)
+            batch = batch.reset_index(drop=True)
+            changes = (batch["signal_id"] != batch["signal_id"].shift()) | (batch["_group"] != batch["_group"].shift())
+            for _, part in batch.groupby(changes.cumsum(), sort=False):
+                now = (part["signal_id"].iat[0], part["_group"].iat[0])
+                frames = frame_arrays(part)
+                if now != key:
+                    key, state = now, initial_filter(frames["mask"].shape[1])
+                clipped, dead = part["ref_clipped"].to_numpy(dtype=bool), part["dead"].to_numpy(dtype=bool)
+                frames["bypass"] = clipped | dead
+                done = cancel_frames(state, frames, params)
+                z = done["z"]
+                yield plain(
+                    pd.DataFrame(
+                        {
+                            "signal_id": part["signal_id"].to_numpy(), "frame": part["frame"].to_numpy(),
+                            "_group": part["_group"].to_numpy(), "z_re": list(z.real), "z_im": list(z.imag),
+                            "s_energy": (np.abs(frames["s"]) ** 2).sum(axis=1), "z_energy": (np.abs(z) ** 2).sum(axis=1),
+                            "bin_guard": done["diverged"].sum(axis=1), "floor_skip": done["skipped"].sum(axis=1),
+                            "adapted": done["learned"].sum(axis=1), "by_clip": clipped, "by_dead": dead & ~clipped,
+                        }
+                    )
                 )
-            yield plain(pd.DataFrame(done, columns=[f.name for f in out.fields]))
 
     parts = rows.mapInPandas(run, out)
     # All groups of a frame meet again: one entry per group, in group order.

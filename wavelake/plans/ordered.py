@@ -30,6 +30,13 @@ def _row_window(keys: Sequence[str], order: Sequence[str]) -> Window:
     return Window.partitionBy(*keys, "block").orderBy(*order)
 
 
+def join_on(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on equally named columns in which null matches null; keeps the columns of ``left`` once."""
+    names = {c: f"_on{i}" for i, c in enumerate(on)}
+    renamed = right.withColumnsRenamed(names)
+    return left.join(renamed, null_safe(list(names), list(names.values())), how).drop(*names.values())
+
+
 def _earlier_blocks(keys: Sequence[str]) -> Window:
     return Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
 
@@ -50,12 +57,8 @@ def ordered_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
         .agg(F.count(F.lit(1)).alias("_rows"))
         .select(*keys, "block", F.coalesce(F.sum("_rows").over(_earlier_blocks(keys)), F.lit(0)).alias("_before"))
     )
-    return (
-        df.withColumn("_at", F.row_number().over(_row_window(keys, order)))
-        .join(starts, [*keys, "block"])
-        .withColumn(name, (F.col("_before") + F.col("_at") - 1).cast("bigint"))
-        .drop("_at", "_before")
-    )
+    placed = join_on(df.withColumn("_at", F.row_number().over(_row_window(keys, order))), starts, [*keys, "block"])
+    return placed.withColumn(name, (F.col("_before") + F.col("_at") - 1).cast("bigint")).drop("_at", "_before")
 
 
 def ordered_lag(
@@ -73,7 +76,7 @@ def ordered_lag(
     staged = df.withColumn("_at", F.row_number().over(window))
     for name, source in values.items():
         staged = staged.withColumn(name, F.lag(source).over(window))
-    joined = staged.join(carried, [*keys, "block"])
+    joined = join_on(staged, carried, [*keys, "block"])
     for name in values:
         edge = F.col("_carried")[name]
         if name in first:
@@ -99,7 +102,7 @@ def ordered_running(
         .agg(agg(column).alias("_total"))
         .select(*keys, "block", agg("_total").over(_earlier_blocks(keys)).alias("_carried"))
     )
-    joined = df.withColumn("_local", agg(column).over(frame)).join(carried, [*keys, "block"])
+    joined = join_on(df.withColumn("_local", agg(column).over(frame)), carried, [*keys, "block"])
     if how == "sum":
         merged = F.coalesce(F.col("_local") + F.col("_carried"), F.col("_local"), F.col("_carried"))
     else:
@@ -113,8 +116,8 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     ``stats`` first spreads over the distinct (key, block) pairs, then meets the rows on (key, block), so a key with a
     large share of all rows is spread over its blocks instead of landing in one join task.
     """
-    spread = df.select(*keys, "block").distinct().join(stats, list(keys))
-    return df.join(spread, [*keys, "block"])
+    spread = join_on(df.select(*keys, "block").distinct(), stats, keys)
+    return join_on(df, spread, [*keys, "block"])
 
 
 def block_totals(
@@ -138,7 +141,7 @@ def block_totals(
         *[F.sum(name).over(whole).alias(name) for name in ["_n", *sums]],
         *[F.max(name).over(whole).alias(name) for name in maxima],
     )
-    return df.join(totals, [*keys, "block"])
+    return join_on(df, totals, [*keys, "block"])
 
 
 def ordered_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx") -> DataFrame:

@@ -36,7 +36,7 @@ def _root(root: str) -> str:
 
 
 def relative(path: Column, root: str) -> Column:
-    return F.substring(_plain(path), len(_root(root)) + 2, 1 << 20)
+    return _plain(path).substr(F.lit(len(_root(root)) + 2), F.length(_plain(path)))
 
 
 def scan_files(spark: SparkSession, root: str, subdir: str, extensions: Sequence[str] = AUDIO_EXTENSIONS) -> DataFrame:
@@ -63,7 +63,7 @@ def with_attributes(
     sidecar: DataFrame | None = None,
 ) -> DataFrame:
     """Provenance columns of clean or noise files: defaults, then path, then sidecar. Nothing is guessed."""
-    below = F.substring("rel", len(subdir) + 2, 1 << 20)
+    below = F.col("rel").substr(F.lit(len(subdir) + 2), F.length("rel"))
     fields = CLEAN_FIELDS if kind == "clean" else NOISE_FIELDS
     values = {f: F.lit(None).cast("string") for f in fields}
     values[f"{kind}_dataset"] = F.lit(dataset).cast("string")
@@ -152,19 +152,23 @@ def scan_archives(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def read_members(spark: SparkSession, paths: Sequence[str], members: Sequence[str]) -> DataFrame:
-    """Content of archive members as (path, content), addressable like files."""
+    """Content of archive members as (path, content), addressable like files; the first archive that has a name wins."""
     wanted = set(members)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
                 with zipfile.ZipFile(io.BytesIO(bytes(content))) as archive:
-                    for name in archive.namelist():
+                    for name in dict.fromkeys(archive.namelist()):
                         if name in wanted:
                             yield plain(pd.DataFrame({"path": [f"zip:{name}"], "content": [archive.read(name)]}))
 
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
-    return files.mapInPandas(extract, "path STRING, content BINARY")
+    def found(order: int, path: str) -> DataFrame:
+        files = spark.read.format("binaryFile").load(path).select("path", "content")
+        return files.mapInPandas(extract, "path STRING, content BINARY").withColumn("_ord", F.lit(order))
+
+    rows = reduce(DataFrame.unionByName, [found(i, p) for i, p in enumerate(paths)])
+    return rows.groupBy("path").agg(F.min_by("content", "_ord").alias("content"))
 
 
 def scan_stages(spark: SparkSession, stages: dict[str, str], extensions: Sequence[str] = (".wav", ".mp3")) -> DataFrame:

@@ -44,8 +44,10 @@ def write_inventory(sources: DataFrame, kind: str, path: str, mode: str = "appen
 
 
 def write_document(row: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A one-row table as one JSON document (run configuration, summary totals)."""
-    row.limit(1).coalesce(1).write.mode(mode).option("ignoreNullFields", "false").json(path)
+    """A one-row table as one JSON document (run configuration, summary totals). More or fewer rows are an error."""
+    if len(row.take(2)) != 1:
+        raise ValueError("a document is written from exactly one row")
+    row.coalesce(1).write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
 def write_csv(df: DataFrame, path: str, fields: Sequence[str], mode: str = "errorifexists") -> None:

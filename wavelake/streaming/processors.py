@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from wavelake.operators.stateful import CANCELLER, DEAD_POWER, cancel_step, impulse_scan
+from wavelake.operators.stateful import CANCELLER, DEAD_POWER, cancel_frames, frame_arrays, impulse_scan, initial_filter
 from wavelake.plans.batches import plain
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -107,32 +107,23 @@ class OverlapAddProcessor(SignalProcessor):
 
 
 class CancellerProcessor(SignalProcessor):
-    state_schema = "w_re array<float>, w_im array<float>, mask array<float>"
+    state_schema = "w_re array<double>, w_im array<double>, mask array<double>"
 
     def __init__(self, **overrides: float):
         self.params = {**CANCELLER, **overrides}
 
     def step(self, group, stored):
-        size = len(group["mask"].iloc[0])
+        frames = frame_arrays(group)
+        state = initial_filter(frames["mask"].shape[1])
         if stored:
-            w = np.asarray(stored[0], np.float32) + 1j * np.asarray(stored[1], np.float32)
-            state = {"w": w.astype(np.complex64), "mask": np.asarray(stored[2], np.float32)}
-        else:
-            state = {"w": np.zeros(size, np.complex64), "mask": np.ones(size, np.float32)}
-        out = []
-        for row in group.to_dict("records"):
-            s, y, x = (
-                (np.asarray(row[f"{n}_re"]) + 1j * np.asarray(row[f"{n}_im"])).astype(np.complex64) for n in "syx"
-            )
-            erased = np.asarray(row.get("erased", np.zeros(size)), dtype=bool)
-            bypass = bool(row["ref_clipped"]) or float(np.mean(np.abs(x) ** 2)) < DEAD_POWER
-            frozen = bool(row["impulse"] or row["impulse_tail"])
-            z, *_ = cancel_step(state, s, y, x, np.asarray(row["mask"], np.float32), frozen, erased, bypass, self.params)
-            z = s if np.sum(np.abs(z) ** 2) > np.sum(np.abs(s) ** 2) else z
-            out.append((row["signal_id"], row["frame"], z.real.astype(float), z.imag.astype(float)))
-        w = state["w"]
-        new = (w.real.tolist(), w.imag.tolist(), [float(m) for m in state["mask"]])
-        return pd.DataFrame(out, columns=["signal_id", "frame", "z_re", "z_im"]), new
+            re, im, mask = (np.asarray(v, np.float64) for v in stored)
+            state = {"w": re + 1j * im, "mask": mask}
+        frames["bypass"] = group["ref_clipped"].to_numpy(dtype=bool) | (np.mean(np.abs(frames["x"]) ** 2, axis=1) < DEAD_POWER)
+        s, z = frames["s"], cancel_frames(state, frames, self.params)["z"]
+        louder = (np.abs(z) ** 2).sum(axis=1) > (np.abs(s) ** 2).sum(axis=1)
+        z = np.where(louder[:, None], s, z)
+        out = group[["signal_id", "frame"]].assign(z_re=list(z.real), z_im=list(z.imag))
+        return out, (state["w"].real.tolist(), state["w"].imag.tolist(), state["mask"].tolist())
 
 
 def _apply(frames: DataFrame, processor: SignalProcessor, columns: str) -> DataFrame:
