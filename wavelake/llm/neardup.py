@@ -17,6 +17,8 @@ from wavelake.session import cut_lineage
 BASE, OFFSET, LARGEST = 1.02, 300, 65_535
 #: Elements that one round of vector work takes at most, but for a longer single text.
 CHUNK = 1_500_000
+#: Nodes of a bucket that may form pairs one by one, and nodes in a block of a larger family.
+FEW, BLOCK = 24, 400
 
 
 # ---- sketches -------------------------------------------------------------------------------------------------------
@@ -199,17 +201,20 @@ def near_duplicates(
     threshold: tuple[int, int] = (80, 100),
     bands: int = 42,
     rows: int | None = None,
-    margin: float = 0.15,
+    margin: float = 0.12,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): classes of documents that links of similar shingle sets connect.
 
     Documents with the same set are one node, so copies never form pairs. Nodes that share the register values of a
-    band share a bucket. In a bucket pivots are compared with the rest; the first pivot is the node with the most
-    collisions, which in a family of copies is the original. Compared pairs pass the joint likelihood estimate (less
-    ``margin``) and then the exact test on full sets. Nodes that are already in the pivot's class need no comparison,
-    a compared pivot leaves the bucket, and rounds with four times as many pivots each go on until no bucket holds two
-    classes. So no pair that shares a bucket and could join two classes stays untested, and no bucket is ever gathered
-    or paired up with itself. With 42 bands a pair at the threshold is missed with a probability below 4e-6.
+    band share a bucket. First every node is compared with the pivot of its buckets, the node with the most collisions,
+    which in a family of copies is the original: pairs pass the joint likelihood estimate (less ``margin``) and then the
+    exact test on full sets. What is left are buckets with nodes of two or more classes. Nodes leave that share too few
+    shingles with all the others there to link with any. Buckets of up to FEW nodes form the pairs that could share
+    enough, to be estimated and tested alike. Larger ones are families of similar texts: a family is dealt into blocks
+    of about BLOCK nodes and each pair of blocks is compared exactly inside one task, which returns at most one link for
+    each node. So every pair that shares a bucket and could join two classes is tested; with 42 bands a pair at the
+    threshold shares none with a probability below 4e-6. The cost of a family of k texts that resemble each other but
+    mostly don't link grows as k x k / BLOCK rows; linked families and copies cost one comparison for each node.
 
     ``rows`` in a band: 7 from a threshold of 0.85 on, else 6. Links need ``denominator x intersection >= numerator x
     union``. Fewer words than ``width`` make one shingle of the whole sequence. Null texts and texts without words have
@@ -240,42 +245,55 @@ def near_duplicates(
     known = nodes.join(degree.select("node"), "node", "left_semi")
     sketches = cut_lineage(known.select("node", "n", "sketch"))
     texts = _node_texts(docs, known, width)
-    labels, links, power = None, None, 0
-    while True:
-        if labels is None:
-            open_rows = members.withColumn("label", F.col("node"))
-        else:
-            open_rows = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            split = open_rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-            open_rows = write_table(open_rows.join(split.where("lo != hi"), "bucket", "left_semi"))
-            if open_rows.isEmpty():
-                break
-        group = F.pmod(F.xxhash64("node", F.lit(power)), F.lit(4**power))
-        pivots = open_rows.groupBy("bucket", group.alias("g")).agg(
-            F.max(F.struct("degree", "node", "label")).alias("p")
-        ).select("bucket", F.col("p.node").alias("pivot"), F.col("p.label").alias("pivot_label"))
-        pivots = cut_lineage(pivots)
-        pairs = (
-            open_rows.join(pivots, "bucket")
-            .where("node != pivot and label != pivot_label")
-            .select(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y"), "pivot")
-            .groupBy("x", "y")
-            .agg(F.max("pivot").alias("b"))
-            .select("b", F.when(F.col("b") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("a"))
-        )
-        side = lambda to: sketches.select(
-            F.col("node").alias(to), F.col("n").alias(f"n{to}"), F.col("sketch").alias(f"s{to}")
-        )
+    side = lambda to: sketches.select(
+        F.col("node").alias(to), F.col("n").alias(f"n{to}"), F.col("sketch").alias(f"s{to}")
+    )
+
+    def test(pairs: DataFrame) -> DataFrame:
         near = _estimated(pairs.join(side("a"), "a").join(side("b"), "b"), m, over / under - margin)
-        found = cut_lineage(_verified(near, texts, width, threshold))
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        members = write_table(
-            open_rows.select("bucket", "node", "degree").join(
-                pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti"
+        return cut_lineage(_verified(near, texts, width, threshold))
+
+    sized = members.join(sketches.select("node", "n"), "node")
+    pivots = sized.groupBy("bucket").agg(F.max(F.struct("degree", "node", "n")).alias("p"))
+    fits = under * F.least("n", "p.n") >= over * F.greatest("n", "p.n")
+    links = test(
+        sized.join(pivots, "bucket")
+        .where((F.col("node") != F.col("p.node")) & fits)
+        .select(F.col("node").alias("a"), F.col("p.node").alias("b"))
+        .distinct()
+    )
+    labels = components(links)
+
+    left = sized.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    left = cut_lineage(_undecided(left))
+    common = _common_sizes(texts, left, width).where(under * F.col("common") >= over * F.col("n"))
+    left = cut_lineage(_undecided(left.join(common.select("node", "common"), "node")))
+    if not left.isEmpty():
+        crowded = left.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("hub"))
+        crowded = crowded.where(F.col("size") > FEW)
+        families = components(
+            left.join(crowded, "bucket").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        ).withColumnRenamed("label", "family")
+        families = cut_lineage(families)
+        known_labels = left.select("node", "label").distinct()
+        within = cut_lineage(_family_links(families.join(known_labels, "node"), texts, width, threshold))
+        sparse = left.join(crowded.select("bucket"), "bucket", "left_anti").join(families, "node", "left")
+        names = ("node", "label", "n", "common", "family")
+        one = sparse.select("bucket", *(F.col(c).alias(f"a_{c}") for c in names))
+        other = sparse.select("bucket", *(F.col(c).alias(f"b_{c}") for c in names))
+        most = F.least("a_common", "b_common")
+        across = (
+            one.join(other, "bucket")
+            .where(
+                (F.col("a_node") < F.col("b_node"))
+                & (F.col("a_label") != F.col("b_label"))
+                & (under * most >= over * (F.col("a_n") + F.col("b_n") - most))
+                & ~F.coalesce(F.col("a_family") == F.col("b_family"), F.lit(False))
             )
+            .select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+            .distinct()
         )
-        power += 1
+        labels = components(links.unionByName(within).unionByName(test(across)))
     classes = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     smallest = classes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_node = classes.join(smallest, "label").select("node", "component_id")
@@ -291,6 +309,91 @@ def near_duplicates(
     )
 
 
+def _undecided(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold nodes of two or more classes."""
+    split = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
+    return rows.join(split.select("bucket"), "bucket", "left_semi")
+
+
+def _common_sizes(texts: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """(node, common): how many shingles of each node in ``rows`` some other of these nodes has, too."""
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for frame in frames:
+            for node, text in zip(frame["node"], frame["text"], strict=True):
+                members = text_set(text, width, hashes)
+                yield pd.DataFrame({"shingle": members.view(np.int64), "node": [node] * len(members)})
+
+    nodes = rows.select("node", "n").distinct()
+    shingles = texts.join(nodes, "node", "left_semi").mapInPandas(spread, "shingle long, node binary")
+    own = (
+        shingles.groupBy("shingle")
+        .agg(F.count("*").alias("owners"), F.first("node").alias("node"))
+        .where("owners = 1")
+        .groupBy("node")
+        .agg(F.count("*").alias("own"))
+    )
+    return nodes.join(own, "node", "left").select("node", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+
+
+def _intersections(sets: list[np.ndarray], others: list[np.ndarray], step: int = 16_384) -> np.ndarray:
+    """Sizes of the intersections of all sets with all others, by products of 0/1 matrices over their shingles."""
+    flat = np.concatenate([*sets, *others])
+    shingle, column = np.unique(flat, return_inverse=True)
+    shared = np.bincount(column) > 1
+    place = np.cumsum(shared) - 1
+    owner = np.repeat(np.arange(len(sets) + len(others)), [len(s) for s in (*sets, *others)])
+    keep = shared[column]
+    owner, column = owner[keep], place[column[keep]]
+    out = np.zeros((len(sets), len(others)), np.float32)
+    for at in range(0, int(shared.sum()), step):
+        on = (column >= at) & (column < at + step)
+        has = np.zeros((len(sets) + len(others), step), np.float32)
+        has[owner[on], column[on] - at] = 1
+        out += has[: len(sets)] @ has[len(sets) :].T
+    return out
+
+
+def _family_links(families: DataFrame, texts: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
+    """Links (a, b) that join the classes of a family (node, family, label), from exact comparisons of its blocks."""
+    over, under = threshold
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        hashes = WordHashes()
+        frame = frame.sort_values("node", ignore_index=True)
+        sets = [text_set(t, width, hashes) for t in frame["text"]]
+        rows, columns = (np.flatnonzero(frame["block"] == frame[k].iat[0]) for k in ("i", "j"))
+        sizes = np.array([len(s) for s in sets])
+        both = _intersections([sets[r] for r in rows], [sets[c] for c in columns])
+        union = sizes[rows][:, None] + sizes[columns][None, :] - both
+        head = {x: x for x in frame["label"]}
+
+        def find(x: bytes) -> bytes:
+            while head[x] != x:
+                head[x] = x = head[head[x]]
+            return x
+
+        found = []
+        for r, c in np.argwhere(under * both >= over * union):
+            a, b = rows[r], columns[c]
+            one, other = find(frame["label"][a]), find(frame["label"][b])
+            if one != other:
+                head[one] = other
+                found.append((frame["node"][a], frame["node"][b]))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = families.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pairs = dealt.select("*", every.alias("with")).select(
+        "family", "node", "label", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")
+    )
+    return (
+        pairs.join(texts, "node").groupBy("family", "i", "j").applyInPandas(compare, "a binary, b binary")
+    )
+
+
 def _node_texts(docs: DataFrame, known: DataFrame, width: int) -> DataFrame:
     """(node, text): one text for each node, found by its doc_id and confirmed by its set."""
 
@@ -300,6 +403,7 @@ def _node_texts(docs: DataFrame, known: DataFrame, width: int) -> DataFrame:
         for texts in batches:
             yield pd.Series([set_key(text_set(t, width, hashes)) for t in texts])
 
+    name = name.asNondeterministic()  # else the planner names every text to join on the names
     ids = known.select(F.col("doc_id").alias("_id"), F.col("node"))
     found = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
     return write_table(found.where(name("text") == F.col("node")).dropDuplicates(["node"]))
