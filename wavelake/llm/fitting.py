@@ -36,7 +36,8 @@ def fit_in_task(sample: DataFrame, fit: Callable[[pd.DataFrame], object]) -> obj
         yield pd.DataFrame({"model": [pickle.dumps(fit(rows))]})
 
     sample_columns = sample.columns
-    return pickle.loads(sample.repartition(1).mapInPandas(run, "model binary").first().model)
+    row = sample.repartition(1).mapInPandas(run, "model binary").first()
+    return pickle.loads(row.model) if row else fit(pd.DataFrame(columns=sample_columns))  # the planner drops empty input
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
