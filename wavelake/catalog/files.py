@@ -128,17 +128,17 @@ def inventory(t: Tables):
     return FI.read_inventory(t.spark, folder, "noise").select("idx", "rel", "size", "noise_category")
 
 
-@query("src8_snk5_manifest_round_trip", sql(MANIFEST_SQL) + "SELECT part, mixture_id, role, status AS meta_status FROM fin WHERE part = 'val'")
+@query("src8_snk5_manifest_round_trip", sql(MANIFEST_SQL) + "SELECT mixture_id, role, status AS meta_status FROM fin")
 def manifest(t: Tables):
     from wavelake.schema import MANIFEST_FIELDS
 
     folder = new_folder(t)
-    rows = manifests(t).where("part = 'val'")
+    rows = manifests(t)
     for name in MANIFEST_FIELDS:
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast("string"))
     K.write_csv(rows, folder, MANIFEST_FIELDS, K.write_mode(overwrite=True))
-    return FI.read_manifest(t.spark, folder).select(F.lit("val").alias("part"), "mixture_id", "role", "meta_status")
+    return FI.read_manifest(t.spark, folder).select("mixture_id", "role", "meta_status")
 
 
 @query(

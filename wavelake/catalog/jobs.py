@@ -38,10 +38,10 @@ MANIFEST_SQL = (
     + ", q AS (SELECT k, CAST(k AS VARCHAR) AS id, (['engine','wind','vehicle','helicopter','siren','gunfire','artillery','explosion','crowd'])[CAST(k % 9 AS INTEGER) + 1] AS category, * EXCLUDE (k) FROM records), "
     "tr AS (SELECT 'train' AS part, concat('mix_', CASE WHEN k % 100 = 12 THEN '00' ELSE id END) AS mixture_id, "
     "CASE WHEN split <> 'train' THEN 'FAIL' WHEN " + TIER_SQL.format(c="category") + " IS DISTINCT FROM CASE WHEN k % 29 = 0 THEN 'A' ELSE " + TIER_SQL.format(c="category") + " END THEN 'FAIL' "
-    "WHEN target_snr_db * 0.6 NOT BETWEEN -5 AND 20 THEN 'FAIL' WHEN clipping_prevented AND k % 3 = 0 THEN 'WARN' ELSE 'PASS' END AS ms, clipping_prevented AND k % 3 = 0 AS clip, category, NULL AS cell, NULL AS idx, 'train' AS role FROM q WHERE k % 3 > 0 OR k % 2 = 0), "
+    "WHEN target_snr_db * 0.6 NOT BETWEEN -5 AND 20 THEN 'FAIL' WHEN clipping_prevented AND k % 3 = 0 THEN 'WARN' ELSE 'PASS' END AS ms, clipping_prevented AND k % 3 = 0 AS clip, category, NULL AS cell, NULL AS idx, 'train' AS role FROM q), "
     "va AS (SELECT 'val' AS part, concat('val_', id) AS mixture_id, CASE WHEN k % 8 = 0 THEN 'FAIL' ELSE 'PASS' END AS ms, false AS clip, category, floor(target_snr_db) AS cell, k AS idx, "
-    "CASE WHEN k % 8 = 0 THEN 'invalid' WHEN k % 14 = 1 THEN 'eval_frozen' WHEN k % 22 = 3 THEN 'calibration' ELSE 'val_pool' END AS role FROM q WHERE k % 5 = 1), "
-    "te AS (SELECT 'test' AS part, concat('test_', id) AS mixture_id, CASE WHEN k % 8 = 0 THEN 'FAIL' ELSE 'PASS' END AS ms, false AS clip, category, floor(target_snr_db) AS cell, k AS idx, CASE WHEN k % 8 = 0 THEN 'invalid' ELSE 'test' END AS role FROM q WHERE k % 7 = 2), "
+    "CASE WHEN k % 8 = 0 THEN 'invalid' WHEN k % 14 = 1 THEN 'eval_frozen' WHEN k % 22 = 3 THEN 'calibration' ELSE 'val_pool' END AS role FROM q), "
+    "te AS (SELECT 'test' AS part, concat('test_', id) AS mixture_id, CASE WHEN k % 8 = 0 THEN 'FAIL' ELSE 'PASS' END AS ms, false AS clip, category, floor(target_snr_db) AS cell, k AS idx, CASE WHEN k % 8 = 0 THEN 'invalid' ELSE 'test' END AS role FROM q), "
     "al AS (FROM tr UNION ALL FROM va UNION ALL FROM te), "
     "dp AS (SELECT *, CASE WHEN ms <> 'FAIL' AND count(*) FILTER (WHERE ms <> 'FAIL') OVER (PARTITION BY part, mixture_id) > 1 THEN 'FAIL' ELSE ms END AS status, "
     "CASE WHEN part = 'train' THEN CASE WHEN mixture_id LIKE '%7' THEN 'WARN' ELSE 'PASS' END ELSE CASE WHEN idx % 3 = 0 THEN 'UNAVAILABLE' ELSE 'PASS' END END AS au FROM al), "
@@ -57,7 +57,7 @@ def manifests(t: Tables):
     category = F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), (k % 9 + 1).cast("int"))
     target = F.col("target_snr_db") * 0.6
     name = F.concat(F.lit("mix_"), F.when(k % 100 == 12, "00").otherwise(text))
-    train = rows.where("k % 3 > 0 OR k % 2 = 0").select(
+    train = rows.select(
         name.alias("mixture_id"), "split", category.alias("category"),
         F.when(k % 29 == 0, "A").otherwise(tier_of(category)).alias("tier"),
         target.alias("target_snr_db"), target.alias("measured_snr_db"), F.col("duration_seconds").alias("duration_sec"), F.lit(1).alias("n_events"),
@@ -65,9 +65,9 @@ def manifests(t: Tables):
         F.concat(F.lit("n/"), name).alias("noisy_path"), F.concat(F.lit("c/"), name).alias("clean_path"),
     )
 
-    def audit(prefix: str, where: str):
+    def audit(prefix: str):
         ident = F.concat(F.lit(prefix), text)
-        return rows.where(where).select(
+        return rows.select(
             ident.alias("mixture_id"), category.alias("category"), F.floor("target_snr_db").alias("snr_db"),
             F.when(k % 8 == 0, "FAIL").otherwise("PASS").alias("status"), F.lit("length").alias("reason"),
             ident.alias("noisy_member"), ident.alias("clean_member"),
@@ -75,7 +75,7 @@ def manifests(t: Tables):
 
     ids = rows.select(F.concat(F.lit("val_"), text).alias("mixture_id"), "k")
     paths = train.select("noisy_path", F.lit(True).alias("found"), F.col("mixture_id").endswith("7").alias("loud")).unionByName(
-        audit("val_", "k % 5 = 1").unionByName(audit("test_", "k % 7 = 2")).select(
+        audit("val_").unionByName(audit("test_")).select(
             F.concat(F.lit("mixtures/"), "noisy_member").alias("noisy_path"),
             (F.regexp_extract("mixture_id", r"(\d+)$", 1).cast("bigint") % 3 != 0).alias("found"), F.lit(False).alias("loud"),
         )
@@ -89,7 +89,7 @@ def manifests(t: Tables):
         *[F.lit(1.0).alias(c) for c in ("duration_sec", "duration_sec_meta", "measured_snr_db_audio", "measured_snr_db_meta")],
     )
     return R.build_manifests(
-        {"train": (train, "train")}, {"val": audit("val_", "k % 5 = 1"), "test": audit("test_", "k % 7 = 2")},
+        {"train": (train, "train")}, {"val": audit("val_"), "test": audit("test_")},
         [ids.where("k % 14 = 1"), ids.where("k % 28 = 1")], ids.where("k % 22 = 3"), measures,
     )
 

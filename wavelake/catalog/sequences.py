@@ -231,8 +231,8 @@ def limit_first(t: Tables):
 
 @query(
     "srt8_oversample",
-    sql(AUDITED) + "SELECT mixture_id, unnest(range(CASE WHEN tier = 'C' THEN 3 ELSE 1 END)) AS copy FROM usable WHERE role = 'train'",
+    sql(AUDITED) + "SELECT mixture_id, unnest(range(CASE WHEN tier = 'C' AND role = 'train' THEN 3 ELSE 1 END)) AS copy FROM usable",
 )
 def oversample(t: Tables):
-    rows = audited(t).where("role = 'train'")
-    return Q.oversample(rows, F.col("tier") == "C", 3).select("mixture_id", F.col("copy").cast("bigint").alias("copy"))
+    rare = (F.col("tier") == "C") & (F.col("role") == "train")
+    return Q.oversample(audited(t), rare, 3).select("mixture_id", F.col("copy").cast("bigint").alias("copy"))

@@ -252,25 +252,33 @@ def true_runs(df: DataFrame, keys: Sequence[str], position: str, flag: str, min_
     return merge_intervals(pieces, keys, 1, min_run)
 
 
-def exact_percentile(df: DataFrame, keys: Sequence[str], column: str, q: float, name: str, width: float = 0.1) -> DataFrame:
+def exact_percentile(df: DataFrame, keys: Sequence[str], column: str, q: float, name: str, cells: int = 4096) -> DataFrame:
     """Exact percentile with linear interpolation, one row per key, for groups of any size.
 
-    A histogram of ``width``-wide cells (partial aggregation) finds the cells that hold the two order statistics;
-    only the distinct values of those cells are then ranked by their counts.
+    A histogram of ``cells`` equal cells between the least and the largest value of a key (partial aggregation) finds
+    the cells that hold the two order statistics; only the distinct values of those cells are then ranked by their
+    counts. Null keys form a group.
     """
-    values = df.where(F.col(column).isNotNull()).withColumn("_cell", F.floor(F.col(column) / F.lit(width)))
-    counted = values.groupBy(*keys, "_cell", F.col(column).alias("_value")).agg(F.count(F.lit(1)).alias("_times"))
-    cells = counted.groupBy(*keys, "_cell").agg(F.sum("_times").alias("_rows"))
+    counted = (
+        df.where(F.col(column).isNotNull())
+        .groupBy(*keys, F.col(column).alias("_value"))
+        .agg(F.count(F.lit(1)).alias("_times"))
+    )
+    range_ = counted.groupBy(*keys).agg(F.min("_value").alias("_least"), F.max("_value").alias("_most"))
+    share_of_range = (F.col("_value") - F.col("_least")) / F.nullif(F.col("_most") - F.col("_least"), F.lit(0.0))
+    cell = F.least(F.coalesce(F.floor(share_of_range * cells), F.lit(0)), F.lit(cells - 1))
+    counted = join_on(counted, range_, keys).withColumn("_cell", cell).drop("_least", "_most")
+    filled = counted.groupBy(*keys, "_cell").agg(F.sum("_times").alias("_rows"))
     key_window = Window.partitionBy(*keys)
     ahead = key_window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        cells.withColumn("_n", F.sum("_rows").over(key_window))
+        filled.withColumn("_n", F.sum("_rows").over(key_window))
         .withColumn("_before", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)))
         .withColumn("_target", F.lit(q) * (F.col("_n") - 1))
         .where((F.ceil("_target") >= F.col("_before")) & (F.floor("_target") < F.col("_before") + F.col("_rows")))
         .select(*keys, "_cell", "_before", "_target")
     )
-    ranked = counted.join(placed, [*keys, "_cell"]).withColumn(
+    ranked = join_on(counted, placed, [*keys, "_cell"]).withColumn(
         "_upto",
         F.col("_before") + F.sum("_times").over(Window.partitionBy(*keys, "_cell").orderBy("_value")),
     )
