@@ -16,10 +16,15 @@ def with_stem(files: DataFrame) -> DataFrame:
     return files.withColumn("stem", stem(F.col("path"))).withColumn("ext", extension(F.col("path")))
 
 
-def one_per_stem(files: DataFrame, *keys: str) -> DataFrame:
-    """One file per (keys, stem): WAV before MP3, then by path. An aggregate, so copies shrink before the shuffle."""
+def preference() -> Column:
+    """Order of files with one stem: WAV before MP3, then by path."""
     rank = F.when(F.col("ext") == ".wav", 0).when(F.col("ext") == ".mp3", 1).otherwise(2)
-    return files.groupBy(*keys, "stem").agg(F.min(F.struct(rank.alias("rank"), F.col("path"))).alias("_first")).select(
+    return F.struct(rank.alias("rank"), F.col("path"))
+
+
+def one_per_stem(files: DataFrame, *keys: str) -> DataFrame:
+    """The preferred file per (keys, stem). An aggregate, so copies shrink before the shuffle."""
+    return files.groupBy(*keys, "stem").agg(F.min(preference()).alias("_first")).select(
         *keys, "stem", F.col("_first.path").alias("path")
     )
 
@@ -31,11 +36,17 @@ def pair_by_stem(clean: DataFrame, estimates: DataFrame) -> DataFrame:
 
 
 def match_all_stages(clean: DataFrame, staged: DataFrame, stages: Sequence[str]) -> DataFrame:
-    """Files of the stems present in clean and in every stage: (stem, stage, path)."""
-    files = one_per_stem(with_stem(staged.where(F.col("stage").isin(list(stages)))), "stage")
-    complete = files.groupBy("stem").agg(F.count_distinct("stage").alias("n")).where(F.col("n") == len(stages))
-    stems = with_stem(clean).select("stem").distinct()
-    return files.join(complete.select("stem").join(stems, "stem", "left_semi"), "stem", "left_semi")
+    """Files of the stems present in clean and in every stage: (stem, stage, path). One aggregation by stem."""
+    every = with_stem(clean).select("stem", "ext", "path", F.lit(None).cast("string").alias("stage")).unionByName(
+        with_stem(staged.where(F.col("stage").isin(list(stages)))).select("stem", "ext", "path", "stage")
+    )
+    paths = [F.min(F.when(F.col("stage") == s, preference()))["path"] for s in stages]
+    by_stem = every.groupBy("stem").agg(
+        F.count_if(F.col("stage").isNull()).alias("_clean"),
+        F.array(*[F.struct(F.lit(s).alias("stage"), p.alias("path")) for s, p in zip(stages, paths)]).alias("_files"),
+    )
+    complete = (F.col("_clean") > 0) & F.forall("_files", lambda f: f["path"].isNotNull())
+    return by_stem.where(complete).select("stem", F.explode("_files").alias("_f")).select("stem", "_f.stage", "_f.path")
 
 
 def skip_report(clean: DataFrame, staged: DataFrame, stages: Sequence[str]) -> DataFrame:
