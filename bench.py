@@ -45,6 +45,13 @@ HEADLINE = [
     "job2_dataset_summary",
     "job3_build_manifests",
     "job5_evaluate_systems",
+    "job1_generate_dataset",
+    "job4_evaluate_stages",
+    "job6_clean_batch",
+    "sig9_composite_noise",
+    "sig12_reconstruct_check",
+    "sig20_align_and_gain_match",
+    "sig32_clean_chain",
 ]
 
 

@@ -258,26 +258,11 @@ def transform_spectrum(function, column: str = "spec") -> Column:
     return transform(F.col(column))
 
 
-def spectral_gate(threshold: float = 0.05, floor: float = 0.1):
-    """Default model: damps the bins of a frame whose magnitude is below a share of the frame's largest."""
-
-    def load():
-        def predict(spec: np.ndarray) -> np.ndarray:
-            size = np.abs(spec)
-            keep = size >= threshold * size.max(axis=1, keepdims=True)
-            return np.where(keep, spec, spec * floor)
-
-        return predict
-
-    return load
-
-
-def enhance(frames: DataFrame, load=None, column: str = "spec") -> DataFrame:
+def enhance(frames: DataFrame, load, column: str = "spec") -> DataFrame:
     """Runs a model over spectra. ``load`` is called once per task and returns the predict function.
 
     Several models over one spectrum are several calls on the same ``frames``.
     """
-    load = load or spectral_gate()
 
     def run(batches):
         predict = load()
