@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelake.llm import contamination, mixing, neardup, quality, secret_scan
-from wavelake.llm.common import write_table
+from wavelake.llm.common import release_shuffles, write_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,10 +21,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each class of near duplicates (five words, 0.8)."""
     classes = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    # Rows without doc_id are in no class; rows that repeat a kept doc_id stay.
-    return (
-        docs.join(classes.distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
-    )
+    kept = write_table(classes.distinct())
+    del classes
+    release_shuffles(spark)
+    # Rows without doc_id are in no class and stay, as do rows that repeat a kept doc_id.
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

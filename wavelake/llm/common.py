@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 from collections.abc import Callable
@@ -9,7 +10,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelake.session import ensure_checkpoint_dir
@@ -41,6 +42,16 @@ def write_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Collects garbage, so that Spark drops the shuffle files and checkpoints of steps that nothing refers to.
+
+    Long operators call it between phases: else the files of finished phases stay on disk until the driver happens to
+    collect its garbage.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_udf(make: Callable[[], Callable[[str | None], tuple]], schema: str) -> Callable[[Column], Column]:
     """A column function from a text to a struct, run over Arrow batches. ``make`` is called once in each task."""
     names = [part.split()[0] for part in schema.split(",")]

@@ -10,11 +10,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelake.llm.common import LOWER_ASCII, U64, WORDS, WordHashes, mix64, shingle_hashes, write_table
+from wavelake.llm.common import (
+    LOWER_ASCII,
+    U64,
+    WORDS,
+    WordHashes,
+    mix64,
+    release_shuffles,
+    shingle_hashes,
+    write_table,
+)
 from wavelake.session import cut_lineage
 
-#: Base of the register scale, and the register of a minimum of 1.
-BASE, OFFSET, LARGEST = 1.02, 300, 65_535
+#: Base of the register scale, the register of a minimum of 1, and the largest register.
+BASE, OFFSET, LARGEST = 1.1, 30, 255
 #: Elements that one round of vector work takes at most, but for a longer single text.
 CHUNK = 1_500_000
 #: Nodes of a bucket that may form pairs one by one, and nodes in a block of a larger family.
@@ -42,7 +51,7 @@ def registers(sets: list[np.ndarray], m: int) -> np.ndarray:
     picks; a register keeps its earliest time, which for n elements is exponential with rate n. Times after a bound
     that depends on n cannot be minima if every register already has an earlier one, so an element stops there; the
     few sets with an open register go on to a larger bound. The stored value is floor(offset - log_b(minimum)),
-    truncated to two bytes: larger for earlier times, so the sketch of a union is the register-wise maximum.
+    truncated to one byte: larger for earlier times, so the sketch of a union is the register-wise maximum.
     """
     out = np.full((len(sets), m), np.inf)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -64,7 +73,7 @@ def registers(sets: list[np.ndarray], m: int) -> np.ndarray:
         todo, slack = todo[np.isinf(out[todo]).any(axis=1)], slack * 4
     with np.errstate(divide="ignore"):
         values = np.floor(OFFSET - np.log(out) / np.log(BASE))
-    return np.clip(values, 0, LARGEST).astype("<u2")
+    return np.clip(values, 0, LARGEST).astype(np.uint8)
 
 
 def merge_registers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -130,7 +139,7 @@ def _estimated(pairs: DataFrame, m: int, least: float) -> DataFrame:
         out = np.empty(len(sa))
         for at in range(0, len(sa), 4000):
             part = slice(at, at + 4000)
-            x, y = (np.frombuffer(b"".join(s.iloc[part]), "<u2").reshape(-1, m) for s in (sa, sb))
+            x, y = (np.frombuffer(b"".join(s.iloc[part]), np.uint8).reshape(-1, m) for s in (sa, sb))
             out[part] = joint_estimate(
                 x, y, na.iloc[part].to_numpy(dtype=float), nb.iloc[part].to_numpy(dtype=float)
             )
@@ -199,7 +208,7 @@ def near_duplicates(
     docs: DataFrame,
     width: int = 5,
     threshold: tuple[int, int] = (80, 100),
-    bands: int = 42,
+    bands: int | None = None,
     rows: int | None = None,
     margin: float = 0.12,
 ) -> DataFrame:
@@ -212,17 +221,18 @@ def near_duplicates(
     shingles with all the others there to link with any. Buckets of up to FEW nodes form the pairs that could share
     enough, to be estimated and tested alike. Larger ones are families of similar texts: a family is dealt into blocks
     of about BLOCK nodes and each pair of blocks is compared exactly inside one task, which returns at most one link for
-    each node. So every pair that shares a bucket and could join two classes is tested; with 42 bands a pair at the
+    each node. So every pair that shares a bucket and could join two classes is tested; a pair at the
     threshold shares none with a probability below 4e-6. The cost of a family of k texts that resemble each other but
     mostly don't link grows as k x k / BLOCK rows; linked families and copies cost one comparison for each node.
 
-    ``rows`` in a band: 7 from a threshold of 0.85 on, else 6. Links need ``denominator x intersection >= numerator x
-    union``. Fewer words than ``width`` make one shingle of the whole sequence. Null texts and texts without words have
+    36 bands of 7 registers from a threshold of 0.85 on, else 42 bands of 6. Links need ``denominator x intersection >=
+    numerator x union``. Fewer words than ``width`` make one shingle of the whole sequence. Null texts and texts without words have
     no shingles and link with nothing; null doc_ids keep a null component_id and are kept. Rows that repeat a doc_id
     are classified by their own text. component_id is the smallest doc_id of the class; kept is doc_id = component_id.
     """
     over, under = threshold
-    rows = rows or (7 if over / under >= 0.85 else 6)
+    strict = over / under >= 0.85
+    rows, bands = rows or (7 if strict else 6), bands or (36 if strict else 42)
     m = bands * rows
     sketched = write_table(sketch_documents(docs, width, bands, rows))
     nodes = sketched.where("node is not null").groupBy("node").agg(
@@ -234,7 +244,7 @@ def near_duplicates(
         "node",
         F.explode(
             F.transform(
-                every, lambda i: F.xxhash64(i, F.substring("sketch", i * (2 * rows) + 1, F.lit(2 * rows)))
+                every, lambda i: F.xxhash64(i, F.substring("sketch", i * rows + 1, F.lit(rows)))
             )
         ).alias("bucket"),
     )
@@ -242,9 +252,13 @@ def near_duplicates(
     colliding = banded.join(shared, "bucket")
     degree = colliding.groupBy("node").agg(F.sum("size").alias("degree"))
     members = write_table(colliding.select("bucket", "node").join(degree, "node"))
-    known = nodes.join(degree.select("node"), "node", "left_semi")
-    sketches = cut_lineage(known.select("node", "n", "sketch"))
+    known = cut_lineage(nodes.join(degree.select("node"), "node", "left_semi"))
+    sketches = known.select("node", "n", "sketch")
+    del banded, shared, colliding, degree
+    release_shuffles(docs.sparkSession)
     texts = _node_texts(docs, known, width)
+    del known
+    release_shuffles(docs.sparkSession)
     side = lambda to: sketches.select(
         F.col("node").alias(to), F.col("n").alias(f"n{to}"), F.col("sketch").alias(f"s{to}")
     )
@@ -263,6 +277,7 @@ def near_duplicates(
         .distinct()
     )
     labels = components(links)
+    release_shuffles(docs.sparkSession)
 
     left = sized.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     left = cut_lineage(_undecided(left))
@@ -294,6 +309,7 @@ def near_duplicates(
             .distinct()
         )
         labels = components(links.unionByName(within).unionByName(test(across)))
+    release_shuffles(docs.sparkSession)
     classes = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     smallest = classes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_node = classes.join(smallest, "label").select("node", "component_id")
