@@ -20,12 +20,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each class of near duplicates (five words, 0.8)."""
-    classes = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    kept = write_table(classes.distinct())
+    classes = neardup.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    # The ids that go are far fewer than those that stay. Rows without doc_id are in no class and stay.
+    gone = write_table(classes.where("not kept").select(F.col("doc_id").alias("_gone")))
     del classes
     release_shuffles(spark)
-    # Rows without doc_id are in no class and stay, as do rows that repeat a kept doc_id.
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
