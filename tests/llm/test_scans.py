@@ -70,6 +70,27 @@ def test_disguises_map_back_to_the_source(text, kind, found):
     assert found in [text[s:e] for s, e in spans] or [text[s:e] for s, e in added[kind]] == [found]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "base", "whole"),
+    [
+        ("to jоhn@example.com now", "email", "hn@example.com", "jоhn@example.com"),
+        ("to john@example.cоm now", "email", "john@example.c", "john@example.cоm"),
+        ("to john@example.c\u200bom now", "email", "john@example.c", "john@example.c\u200bom"),
+        ("to ann@mail4.example [dot] com now", "email", "ann@mail4.example", "ann@mail4.example [dot] com"),
+        ("call +49 30 55512\uff13\uff14 now", "phone", "+49 30 55512", "+49 30 55512\uff13\uff14"),
+    ],
+)
+def test_a_fragment_does_not_hide_the_whole_identifier(text, kind, base, whole):
+    found = pii.find(text)
+    assert [text[s:e] for s, e in found[0][kind]] == [base]
+    assert [text[s:e] for s, e in found[1][kind]] == [whole]
+
+
+def test_what_the_base_finds_whole_is_not_added_again():
+    text = "а mail john@example.com and +49 30 5551234, card 4111 1111 1111 1111 and 10.0.0.1"
+    assert not any(pii.find(text)[1].values())
+
+
 def test_clean_text_has_no_identifiers():
     for text in ("at the end. the at of than dot", "one two three four", "a dot at b", "un deux un un un"):
         assert pii.find(text) == ({k: [] for k in pii.KINDS}, {k: [] for k in pii.KINDS})

@@ -212,7 +212,7 @@ def find(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
             taken = sorted(s for spans in base.values() for s in spans)
             for kind, finder in FINDERS.items():
                 for span in map(tape.source, finder(tape.text)):
-                    if all(span[1] <= s or e <= span[0] for s, e in taken):
+                    if not any(s <= span[0] and span[1] <= e for s, e in taken):
                         added[kind].append(span)
                         taken.append(span)
     return base, added
@@ -227,8 +227,8 @@ def identifiers(text: Column) -> Column:
 
     The base patterns run on the text itself. Then transducers make a normalised copy (lookalike letters, characters
     without width, digits of other scripts, spelled digits, words and brackets for @ and dots), each keeping for every
-    character the source range it stands for; identifiers found there that touch no span so far are added, as source
-    spans. A null text counts as empty.
+    character the source range it stands for; identifiers found there that lie inside no span so far are added, as
+    source spans: a wider one stands beside the base span that is a fragment of it. A null text counts as empty.
     """
 
     def make():
