@@ -86,6 +86,35 @@ def test_a_fragment_does_not_hide_the_whole_identifier(text, kind, base, whole):
     assert [text[s:e] for s, e in found[1][kind]] == [whole]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("call +४९ ३० ५५५१२३४ now", "phone", "+४९ ३० ५५५१२३४"),
+        ("call +๔๙ 30 5551234 now", "phone", "+๔๙ 30 5551234"),
+        ("call +৪৯ 30 5551234 now", "phone", "+৪৯ 30 5551234"),
+        ("from 𝟏𝟗𝟐.168.0.1 on", "ip", "𝟏𝟗𝟐.168.0.1"),
+        ("mail john@example dot com now", "email", "john@example dot com"),
+        ("mail john at example.com now", "email", "john at example.com"),
+        ("mail jo at mail dot example dot com now", "email", "jo at mail dot example dot com"),
+        ("call +49 30 five five five 1234 now", "phone", "+49 30 five five five 1234"),
+        ("call +49 (30) 555123 four now", "phone", "+49 (30) 555123 four"),
+        ("call plus 49 30 5551234 now", "phone", "plus 49 30 5551234"),
+        ("call plus four nine 30 555 12 34 now", "phone", "plus four nine 30 555 12 34"),
+        ("pay 4111 1111 1111 111 one now", "card", "4111 1111 1111 111 one"),
+        ("pay four 111 1111 1111 1111 now", "card", "four 111 1111 1111 1111"),
+        ("host 192.168.0.one up", "ip", "192.168.0.one"),
+        ("host one.one.one.one up", "ip", "one.one.one.one"),
+    ],
+)
+def test_one_disguised_part_is_enough(text, kind, found):
+    assert found in [text[s:e] for s, e in pii.find(text)[1][kind]]
+
+
+def test_sentences_are_no_addresses():
+    for text in ("look at example.com", "he was at home.The end", "open at 10.30 or 11.45", "run\nat java.lang.Thread", "ſix ſeven"):
+        assert not any(pii.find(text)[1].values())
+
+
 def test_what_the_base_finds_whole_is_not_added_again():
     text = "а mail john@example.com and +49 30 5551234, card 4111 1111 1111 1111 and 10.0.0.1"
     assert not any(pii.find(text)[1].values())

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import unicodedata
+from collections.abc import Sequence
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,34 +50,35 @@ DIGIT_NAMES = {
     for digit, name in enumerate(names.split())
 } | {"oh": "0"}
 
-#: A run of at least seven digits, groups of digits or names of digits. A text needs so many names to be looked at.
-_NAME = "|".join(sorted(DIGIT_NAMES, key=len, reverse=True))
-SPELLED = re.compile(rf"(?<!\w)(?:\+ ?)?(?:(?:{_NAME}|[0-9]+)(?:[ ,.-]+(?=\S)|$|(?!\w))){{7,}}", re.IGNORECASE)
-SPELLED_DIGIT = re.compile(rf"(?<!\w)(?:{_NAME})(?!\w)", re.IGNORECASE)
-LEAST_NAMES = 3
-#: Marks for @ and a dot: bracketed anywhere, plain words only together in ``name at host dot domain``.
+#: What each single character is replaced by: lookalikes, full-width forms, digits of any script, none without width.
+PLAIN = (
+    {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF01, 0xFF5F)}
+    | {c: str(unicodedata.decimal(c)) for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isdecimal()}
+    | LOOKALIKES
+    | dict.fromkeys(INVISIBLE, "")
+)
+#: A word, and what may lie between two words of a run of digits: between names, else where digits are on a side.
+TOKEN = re.compile(r"\w+")
+BETWEEN_NAMES = re.compile(r"[ ,.()-]+")
+BETWEEN_DIGITS = re.compile(r"[ ()-]+|\.")
+PLUS = "plus"
+#: Marks for @ and a dot: bracketed anywhere, plain words only where the other side of the address is.
 BRACKETED_AT = re.compile(r"[\[({<]\s*(?:at|@)\s*[\])}>]\s*", re.IGNORECASE)
 BRACKETED_DOT = re.compile(r"[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*", re.IGNORECASE)
 WORDED = re.compile(
-    r"(?<![\w.%+-])[A-Za-z0-9._%+-]+(?P<at>\s+at\s+)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*?"
-    r"\s+dot\s+[A-Za-z]{2,}(?!\w)",
-    re.IGNORECASE,
+    r"(?<=[A-Za-z0-9._%+-])(?:(?P<at>\s++at\s+)|@)(?P<host>[A-Za-z0-9-]++(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]++)++)(?!\w)",
+    re.IGNORECASE | re.ASCII,
 )
 WORDED_DOT = re.compile(r"\s+dot\s+", re.IGNORECASE)
-#: Greek and Cyrillic letters, full-width forms, digits of other scripts, characters without width.
-ODD = re.compile(r"[\u0370-\u03ff\u0400-\u052f\uff01-\uff5e\u0660-\u0669\u06f0-\u06f9" + INVISIBLE + "]")
-
-
-def may_hide(text: str) -> bool:
-    """Whether a text has any sign of a disguise; all others equal their normalised copies."""
-    if not text.isascii() and ODD.search(text):
-        return True
-    if any(c in text for c in "[({<") and (BRACKETED_AT.search(text) or BRACKETED_DOT.search(text)):
-        return True
-    words = text.lower().replace(",", " ").replace(".", " ").replace("-", " ").split()
-    if "dot" in words and "at" in words:
-        return True
-    return sum(map(DIGIT_NAMES.__contains__, words)) >= LEAST_NAMES
+HOST_DOT = re.compile(r"\s+dot\s+|\.", re.IGNORECASE)
+LAST_LABEL = re.compile(r"[A-Za-z]{2,}")
+#: Words that come before "at" in a sentence. Before a domain without any disguise they are no local part.
+PROSE = frozenset(
+    "a all and are arrive arrived ask at available be been buy call called check click contact download find found here "
+    "him her host hosted i is it join know live look looked looking looks me meet met more not now off on online or order "
+    "out page read register registered see seen site sold start stay stayed that them there they this those up us visit "
+    "was we website were work worked working works you".split()
+)
 
 
 Span = tuple[int, int]
@@ -127,10 +131,10 @@ FINDERS = dict(zip(KINDS, (emails, ips, cards, phones), strict=True))
 class Tape:
     """A text with, for each character, the source range that it stands for. Each transducer writes a new tape."""
 
-    def __init__(self, text: str, first: list[int] | None = None, last: list[int] | None = None):
+    def __init__(self, text: str, first: Sequence[int] | None = None, last: Sequence[int] | None = None):
         self.text = text
-        self.first = list(range(len(text))) if first is None else first
-        self.last = list(range(1, len(text) + 1)) if last is None else last
+        self.first = range(len(text)) if first is None else first
+        self.last = range(1, len(text) + 1) if last is None else last
 
     def replace(self, edits: list[tuple[int, int, str]]) -> Tape:
         """Replaces ranges (in order, apart from each other); every new character stands for its whole range."""
@@ -154,18 +158,9 @@ class Tape:
 
 def _plain_characters(tape: Tape) -> Tape:
     """Homoglyphs, full-width forms and digits of other scripts as ASCII; characters without width vanish."""
-    edits = []
-    for i, c in enumerate(tape.text):
-        if c < "\u00ad":
-            continue
-        new = "" if c in INVISIBLE else LOOKALIKES.get(c, c)
-        if new == c and "\uff01" <= c <= "\uff5e":
-            new = unicodedata.normalize("NFKC", c)
-        elif new == c and c.isdecimal():
-            new = str(unicodedata.decimal(c))
-        if new != c:
-            edits.append((i, i + 1, new))
-    return tape.replace(edits)
+    if tape.text.isascii() or PLAIN.keys().isdisjoint(tape.text):
+        return tape
+    return tape.replace([(i, i + 1, PLAIN[c]) for i, c in enumerate(tape.text) if c in PLAIN])
 
 
 def _bracketed(tape: Tape, mark: re.Pattern, new: str) -> Tape:
@@ -180,25 +175,90 @@ def _bracketed(tape: Tape, mark: re.Pattern, new: str) -> Tape:
 
 
 def _marks(tape: Tape) -> Tape:
-    """Disguised @ and dots."""
-    tape = _bracketed(_bracketed(tape, BRACKETED_AT, "@"), BRACKETED_DOT, ".")
+    """Disguised @ and dots. One disguise is enough: ``name@host dot domain`` and ``name at host.domain`` count too."""
+    if any(c in tape.text for c in "[({<"):
+        tape = _bracketed(_bracketed(tape, BRACKETED_AT, "@"), BRACKETED_DOT, ".")
     edits = []
     for m in WORDED.finditer(tape.text):
-        edits.append((*m.span("at"), "@"))
-        edits += [(*d.span(), ".") for d in WORDED_DOT.finditer(tape.text, m.end("at"), m.end())]
+        first, last = m.span("host")
+        # The domain ends with its last label that can be one.
+        dots = list(HOST_DOT.finditer(tape.text, first, last))
+        while dots and not LAST_LABEL.fullmatch(tape.text, dots[-1].end(), last):
+            last = dots.pop().start()
+        spelled = [d.span() for d in dots if d.group() != "."]
+        if not dots or not (spelled or m["at"]):
+            continue
+        if m["at"]:
+            if not spelled and not _addressed(tape.text, m, last):
+                continue
+            edits.append((*m.span("at"), "@"))
+        edits += [(*d, ".") for d in spelled]
     return tape.replace(edits)
 
 
+def _addressed(text: str, m: re.Match, last: int) -> bool:
+    """Whether ``word at domain``, all else written out, can be an address and no sentence or two of them."""
+    start = m.start()
+    while start > 0 and text[start - 1] in LOCAL_CHARACTERS:
+        start -= 1
+    end = text[text.rindex(".", 0, last) + 1 : last]
+    one_case = end.islower() or text[m.start("host") : last].isupper()
+    return one_case and "\n" not in m["at"] and text[start : m.start()].lower() not in PROSE
+
+
 def _spelled_digits(tape: Tape) -> Tape:
-    """Names of digits in long runs; separators between the digits of a run stay one space at most."""
-    edits = []
-    for run in SPELLED.finditer(tape.text):
-        names = list(SPELLED_DIGIT.finditer(tape.text, *run.span()))
-        for k, m in enumerate(names):
-            edits.append((*m.span(), DIGIT_NAMES[m.group().lower()]))
-            if k + 1 < len(names) and not tape.text[m.end() : names[k + 1].start()].strip(" ,.-"):
-                edits.append((m.end(), names[k + 1].start(), ""))
-    return tape.replace([e for e in edits if e[1] > e[0]])
+    """Names of digits beside digits or other names, and a spelled plus before them.
+
+    Separators between two names vanish, apart from the dots of four numbers; others stay. How many digits make an
+    identifier is left to the finders.
+    """
+    text = tape.text
+    words = TOKEN.findall(text.lower())
+    if not any(a in DIGIT_NAMES and _counts(b) or b in DIGIT_NAMES and _counts(a) or a == PLUS and _counts(b) for a, b in pairwise(words)):
+        return tape
+    edits: list[tuple[int, int, str]] = []
+    run: list[tuple[int, int, str, bool]] = []  # start, end, digits, whether spelled
+    plus: tuple[int, int] | None = None
+
+    def finish() -> None:
+        nonlocal plus
+        names = sum(r[3] for r in run)
+        if run and (plus or names and len(run) > 1):
+            if plus:
+                edits.append((plus[0], run[0][0], "+"))
+            elif names and run[0][0] > 1 and text[run[0][0] - 2 : run[0][0]] == "+ ":
+                edits.append((run[0][0] - 1, run[0][0], ""))
+            dotted = len(run) == 4 and all(text[a[1] : b[0]] == "." for a, b in pairwise(run))
+            for k, (first, end, digits, spelled) in enumerate(run):
+                if spelled:
+                    edits.append((first, end, digits))
+                    if k + 1 < len(run) and run[k + 1][3] and not dotted:
+                        edits.append((end, run[k + 1][0], ""))
+        run.clear()
+        plus = None
+
+    for m in TOKEN.finditer(text):
+        first, end = m.span()
+        word = m.group().lower()
+        spelled = word in DIGIT_NAMES
+        if spelled or word.isascii() and word.isdigit():
+            if run:
+                rule = BETWEEN_NAMES if spelled and run[-1][3] else BETWEEN_DIGITS
+                if not rule.fullmatch(text, run[-1][1], first):
+                    finish()
+            elif plus and text[plus[1] : first].strip(" "):
+                plus = None
+            run.append((first, end, DIGIT_NAMES[word] if spelled else word, spelled))
+        else:
+            finish()
+            if word == PLUS:
+                plus = (first, end)
+    finish()
+    return tape.replace(edits)
+
+
+def _counts(word: str) -> bool:
+    return word in DIGIT_NAMES or word[0].isdigit() or word[-1].isdigit()
 
 
 def find(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
@@ -206,15 +266,14 @@ def find(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     some = DIGIT.search(text)
     base = {kind: finder(text) if some or kind == "email" else [] for kind, finder in FINDERS.items()}
     added: dict[str, list[Span]] = {kind: [] for kind in KINDS}
-    if may_hide(text):
-        tape = _spelled_digits(_marks(_plain_characters(Tape(text))))
-        if tape.text != text:
-            taken = sorted(s for spans in base.values() for s in spans)
-            for kind, finder in FINDERS.items():
-                for span in map(tape.source, finder(tape.text)):
-                    if not any(s <= span[0] and span[1] <= e for s, e in taken):
-                        added[kind].append(span)
-                        taken.append(span)
+    tape = _spelled_digits(_marks(_plain_characters(Tape(text))))
+    if tape.text != text:
+        taken = sorted(s for spans in base.values() for s in spans)
+        for kind, finder in FINDERS.items():
+            for span in map(tape.source, finder(tape.text)):
+                if not any(s <= span[0] and span[1] <= e for s, e in taken):
+                    added[kind].append(span)
+                    taken.append(span)
     return base, added
 
 
