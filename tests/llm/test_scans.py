@@ -281,6 +281,34 @@ def test_leaks_need_question_and_answer(spark):
     assert contamination.contaminated_pairs(edge_table(spark), items).count() == 0
 
 
+def leaked(text, item, fillers=()):
+    rows = [(0, item), *((i + 1, f) for i, f in enumerate(fillers))]
+    frequency = {}
+    for _, t in rows:
+        for w in set(contamination.tokens(t)):
+            frequency[w] = frequency.get(w, 0) + 1
+    index = contamination.build_index(rows, frequency, len(rows), 12.0)
+    return 0 in contamination.verified(index, contamination.tokens(text), 0.7, 0.6, 0.6)
+
+
+def test_every_passage_above_the_threshold_is_verified():
+    item = "Which river runs past the old stone mill of Arden in the spring? The silver Wend does so."
+    shuffled = " ".join(sorted(contamination.tokens(item)))
+    gap = " filler" * 60 + " "
+    edited = item.replace("old stone", "ancient stone")
+    for copy in (item, edited):
+        assert leaked(shuffled + gap + copy, item) and leaked(copy + gap + shuffled, item)
+    assert not leaked(shuffled + gap + shuffled, item)
+
+
+def test_one_changed_word_in_a_short_answer():
+    question = "Which river runs past the old stone mill of Arden in the spring of every year?"
+    for answer in ("The golden Wend does.", "The Wend does.", "The silver old Wend does."):
+        assert leaked(f"{question} {answer}", f"{question} The silver Wend does.")
+    assert not leaked(f"{question} A golden Rhine does.", f"{question} The silver Wend does.")
+    assert contamination.overlap(["a", "b"], ["a", "c"]) == 0 and contamination.overlap(["a"], ["b"]) == 0
+
+
 def test_leak_query_finds_all_whole_items(spark):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()}
     want = {(d, i) for d, t in texts(spark).items() for i, x in items.items() if x in t}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -20,6 +21,8 @@ K1, B = 1.2, 0.75
 BLOCK = 4
 #: Items that one index holds at most; further items are searched by further indexes, one after the other.
 INDEX_ITEMS = 20_000
+#: Words of a part up to which one changed word can take more than 0.4 of its trigrams.
+SHORT_PART = 9
 
 
 def tokens(text: str | None) -> list[str]:
@@ -43,10 +46,40 @@ def grams(words: list[str], n: int = 3) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
-def overlap(part: list[str], passage: list[str]) -> float:
-    """Share of a part's word trigrams that the passage has (shorter parts: the whole part); 1 for an empty part."""
+def one_edit(part: list[str], passage: list[str]) -> bool:
+    """Whether the passage has the part with at most one word changed, left out or put in."""
+    n = len(part)
+    for start in range(len(passage)):
+        same = 0
+        while same < n and start + same < len(passage) and passage[start + same] == part[same]:
+            same += 1
+        at, rest = start + same, n - same
+        if rest <= 1:
+            return True
+        # What follows the first difference must be the rest: changed, left out of the passage, put into it.
+        for skip_passage, skip_part in ((1, 1), (0, 1), (1, 0)):
+            tail = part[same + skip_part :]
+            if same + len(tail) >= n - 1 and passage[at + skip_passage : at + skip_passage + len(tail)] == tail:
+                return True
+    return False
+
+
+def overlap(part: list[str], passage: list[str], known: dict[int, set] | None = None) -> float:
+    """Share of a part's word trigrams that the passage has (shorter parts: the whole part); 1 for an empty part.
+
+    One changed word takes three trigrams, most of those of a short part. A part of three to nine words that the
+    passage has but for one word counts as the share of the words left. ``known`` keeps the passage's grams.
+    """
     wanted = grams(part)
-    return len(wanted & grams(passage, min(3, len(part)))) / len(wanted) if wanted else 1.0
+    if not wanted:
+        return 1.0
+    width, known = min(3, len(part)), {} if known is None else known
+    if width not in known:
+        known[width] = grams(passage, width)
+    share = len(wanted & known[width]) / len(wanted)
+    if share < 1 and 3 <= len(part) <= SHORT_PART and one_edit(part, passage):
+        share = max(share, 1 - 1 / len(part))
+    return share
 
 
 @dataclass
@@ -106,8 +139,8 @@ def _walk(first: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first[terms][owner] + offset, owner
 
 
-def search(index: Index, words: list[str], least: float) -> dict[int, tuple[float, int]]:
-    """Item place -> (best score, passage) of the items that score at least ``least`` for a passage of the text.
+def matches(index: Index, words: list[str], least: float) -> Iterator[tuple[int, float, int]]:
+    """(item place, score, passage) of every item that scores at least ``least`` for a passage, in order of passages.
 
     Passages are windows of two halves, one half apart. The terms of a passage are its query. As in block-max WAND,
     terms whose list bound is so low that a passage full of them stays below half the threshold are not walked; they
@@ -117,7 +150,7 @@ def search(index: Index, words: list[str], least: float) -> dict[int, tuple[floa
     known = np.fromiter(map(index.vocabulary.get, words, repeat(-1)), np.int64, len(words))
     at = np.flatnonzero(known >= 0)
     if not len(at) or not index.items:
-        return {}
+        return
     n_terms, n_blocks = len(index.vocabulary), -(-len(index.items) // BLOCK)
     n_halves = -(-len(words) // index.half)
     pairs = np.unique((at // index.half) * n_terms + known[at])  # each term once in a half
@@ -130,7 +163,6 @@ def search(index: Index, words: list[str], least: float) -> dict[int, tuple[floa
     bounds = bounds.reshape(n_halves, n_blocks) + bound[:, None]
     if n_halves > 1:
         bounds = bounds[:-1] + bounds[1:]
-    found: dict[int, tuple[float, int]] = {}
     slack = 1e-9
     for passage in np.flatnonzero(bounds.max(axis=1) >= least - slack):
         query = np.unique(term[(half == passage) | (half == passage + 1)])
@@ -138,8 +170,36 @@ def search(index: Index, words: list[str], least: float) -> dict[int, tuple[floa
         posting = posting[bounds[passage][index.item[posting] // BLOCK] >= least - slack]
         scores = np.bincount(index.item[posting], weights=index.impact[posting], minlength=len(index.items))
         for place in np.flatnonzero(scores >= least - slack):
-            if scores[place] > found.get(place, (0.0, 0))[0]:
-                found[int(place)] = (float(scores[place]), int(passage))
+            yield int(place), float(scores[place]), int(passage)
+
+
+def search(index: Index, words: list[str], least: float) -> dict[int, tuple[float, int]]:
+    """Item place -> (best score, passage) of ``matches``; the first of equal ones."""
+    found: dict[int, tuple[float, int]] = {}
+    for place, score, passage in matches(index, words, least):
+        if score > found.get(place, (0.0, 0))[0]:
+            found[place] = (score, passage)
+    return found
+
+
+def verified(
+    index: Index, words: list[str], least_score: float, least_question: float, least_answer: float
+) -> dict[int, tuple[float, float, float]]:
+    """Item place -> (score, question overlap, answer overlap) in its best passage of those that have both parts.
+
+    Every passage that reaches the score is checked: BM25 knows no order, so the best one may have the words alone.
+    """
+    found: dict[int, tuple[float, float, float]] = {}
+    at, window, known = -1, [], {}
+    for place, score, passage in matches(index, words, least_score):
+        if passage != at:
+            at, window, known = passage, words[passage * index.half : (passage + 2) * index.half], {}
+        _, question, answer = index.items[place]
+        if place in found and found[place][0] >= score:
+            continue
+        a = overlap(answer, window, known)
+        if a >= least_answer and (q := overlap(question, window, known)) >= least_question:
+            found[place] = (score, q, a)
     return found
 
 
@@ -176,21 +236,18 @@ def leaks(
     """Array of (item_id, score, question_overlap, answer_overlap) of the items that a text contains.
 
     BM25 with a passage as the query retrieves every item that reaches ``least_score`` of its score for itself; it is
-    contained if the passage has enough word trigrams of its question and of its answer.
+    contained if one of these passages has enough word trigrams of its question and of its answer.
     """
 
     @F.pandas_udf(f"array<struct<item_id:{id_type},score:double,question_overlap:double,answer_overlap:double>>")
     def find(texts: pd.Series) -> pd.Series:
         out = []
         for text in texts:
-            words = tokens(text)
-            hits = []
-            for place, (score, passage) in sorted(search(index, words, least_score).items()):
-                key, question, answer = index.items[place]
-                window = words[passage * index.half : (passage + 2) * index.half]
-                q, a = overlap(question, window), overlap(answer, window)
-                if q >= least_question and a >= least_answer:
-                    hits.append({"item_id": key, "score": score, "question_overlap": q, "answer_overlap": a})
+            found = verified(index, tokens(text), least_score, least_question, least_answer)
+            hits = [
+                {"item_id": index.items[place][0], "score": score, "question_overlap": q, "answer_overlap": a}
+                for place, (score, q, a) in sorted(found.items())
+            ]
             out.append(hits)
         return pd.Series(out)
 
