@@ -118,6 +118,28 @@ def test_markov_models_find_other_keys(spark):
     assert secret_scan.find_secrets(table, weights, 8, 0.3).orderBy("doc_id").select(red).first()[0].startswith("see [SECRET] or adm")
 
 
+def test_short_joined_and_partly_known_keys(spark):
+    weights = secret_scan.fit_weights(secret_scan.labelled_samples(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    key, other = "Z4kQ9xT2mV7bR0", "Q7z0PkR3wVt9XbL5mJ2d"
+    word = "andthtionatti"
+    hexes = "24be64439e3e49cf46b2d7c90f3602a3"
+    cases = [
+        (f"see {key} now", [key]),
+        (f"see {word * 4}/{other}/{word * 4} now", [other]),
+        (f"see {word * 6}_{other}-{word * 6}+{key} now", [other, key]),
+        (f"see X9{other}G{hexes}GqZ7 now", [f"X9{other}G", "GqZ7"]),
+        (f"see {other}AKIA{'Z9' * 8} now", [other]),
+        (f"see {word} and {word * 3} now", []),
+    ]
+    table = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id bigint, text string")
+    found = {r.doc_id: r.added for r in secret_scan.find_secrets(table, weights).collect()}
+    for i, (text, want) in enumerate(cases):
+        assert [text[s.start : s.end] for s in found[i]] == want
+    spans = F.array_sort(F.concat("base", "added"))
+    clean = secret_scan.find_secrets(table.where("doc_id = 3"), weights).select(secret_scan.redacted(F.col("text"), spans)).first()[0]
+    assert clean.replace("[SECRET]", "") == "see  now"
+
+
 def test_models_without_samples(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert set(secret_scan.fit_weights(secret_scan.labelled_samples(empty))) == {0.0}

@@ -16,9 +16,12 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "markov")
 
-#: Strings that the models judge, and those that they learn ordinary identifiers from.
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Strings that the models judge, and learn ordinary identifiers from.
 LEARNED = r"[A-Za-z0-9+/_-]{12,}={0,2}"
+#: A shorter string needs its share of the total, and a stretch of a run a piece without separators.
+FULL_LENGTH = 20
+LEAST_LENGTH = 12
+PIECE = r"[A-Za-z0-9]{8}"
 #: Codes of characters are below this.
 CODES = 128
 SPAN = "struct<start:int,kind:int,end:int>"
@@ -28,10 +31,13 @@ def _empty() -> Column:
     return F.expr(f"cast(array() as array<{SPAN}>)")
 
 
-def _found(text: Column, pattern: str, kind: int, keep=None) -> Column:
-    """Spans of the leftmost non-overlapping matches, from the lengths of the matches and of the pieces between them."""
+def _found(text: Column, pattern: str, kind: int, keep=None, parts=None) -> Column:
+    """Spans of the leftmost non-overlapping matches, from the lengths of the matches and of the pieces between them.
+
+    ``keep`` says which matches count; ``parts`` gives what of a match counts, as structs (first, end).
+    """
     kind_lit = F.lit(kind)
-    parts = F.zip_with(
+    pieces = F.zip_with(
         F.split(text, pattern, -1),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match")),
@@ -41,13 +47,22 @@ def _found(text: Column, pattern: str, kind: int, keep=None) -> Column:
     def step(acc, x):
         first = (acc["at"] + x["gap"]).cast("int")
         last = (first + F.coalesce(F.length(x["match"]), F.lit(0))).cast("int")
+        if parts is not None:
+            place = lambda p: F.struct(
+                (first + p["first"]).cast("int").alias("start"), kind_lit.alias("kind"), (first + p["end"]).cast("int").alias("end")
+            )
+            found = F.transform(parts(x["match"]), place)
+            return F.struct(
+                last.alias("at"),
+                F.when(x["match"].isNotNull(), F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"),
+            )
         good = x["match"].isNotNull() if keep is None else F.coalesce(keep(x["match"]), F.lit(False))
         span = F.struct(first.alias("start"), kind_lit.alias("kind"), last.alias("end"))
         return F.struct(
             last.alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out")
         )
 
-    spans = F.aggregate(parts, start, step, lambda acc: acc["out"])
+    spans = F.aggregate(pieces, start, step, lambda acc: acc["out"])
     return F.when(text.rlike(pattern), spans).otherwise(_empty())
 
 
@@ -132,17 +147,91 @@ def fit_weights(samples: DataFrame, smoothing: float = 1.0) -> list[float]:
     return [round(logp(True, k) - logp(False, k), 4) for k in range(CODES * CODES)]
 
 
-def log_ratio(token: Column, weights: list[float]) -> Column:
-    """Log-likelihood of a token as random over its log-likelihood as ordinary."""
+def _gains(token: Column, weights: list[float]) -> Column:
+    """Log ratio of each pair of neighbours of a token, and a null at the end."""
     table = F.from_json(F.lit(json.dumps(weights)), "array<double>")  # folded to a constant by the optimizer
-    start = F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum"))
+    codes = F.transform(F.split(token, ""), F.ascii)
+    return F.zip_with(codes, F.slice(codes, 2, 1 << 30), lambda a, b: F.get(table, a * CODES + b))
+
+
+def random_spans(token: Column, weights: list[float], least_total: float, least_mean: float) -> Column:
+    """Spans of a token that look random, as structs (first, end): the whole token, or else stretches of it.
+
+    One pass keeps the total and a running sum. The sum starts anew where it falls to zero or by ``least_total`` below
+    its peak, so a key stands out from ordinary words joined to it. A stretch goes from the start of a sum to its peak
+    and is widened to the next separators; a separator at its border, with one character of the word beyond it, goes.
+    """
+    int_of = lambda k: F.lit(k).cast("int")
+    start = F.struct(
+        int_of(0).alias("at"),
+        F.lit(0.0).alias("total"),
+        F.lit(0.0).alias("sum"),
+        int_of(0).alias("first"),
+        F.lit(0.0).alias("peak"),
+        int_of(0).alias("end"),
+        F.expr("cast(array() as array<struct<first:int,end:int>>)").alias("out"),
+    )
 
-    def step(acc, c):
-        code = F.ascii(c)
-        gain = F.when(acc["last"] > 0, F.get(table, acc["last"] * CODES + code)).otherwise(0.0)
-        return F.struct(code.alias("last"), (acc["sum"] + gain).alias("sum"))
+    def enough(total: Column, pairs: Column) -> Column:
+        share = F.least(F.lit(1.0), F.greatest(pairs, F.lit(LEAST_LENGTH - 1)) / F.lit(float(FULL_LENGTH - 1)))
+        return (total >= least_total * share) & (total >= least_mean * pairs)
 
-    return F.aggregate(F.split(token, ""), start, step, lambda acc: acc["sum"])
+    def step(acc, gain):
+        total = acc["sum"] + gain
+        stop = gain.isNull() | (total <= 0) | (total < acc["peak"] - least_total)
+        good = stop & enough(acc["peak"], acc["end"] - acc["first"] - 1)
+        after = (acc["at"] + 1).cast("int")
+        span = F.struct(acc["first"].alias("first"), acc["end"].alias("end"))
+        return F.struct(
+            after.alias("at"),
+            (acc["total"] + F.coalesce(gain, F.lit(0.0))).alias("total"),
+            F.when(stop, 0.0).otherwise(total).alias("sum"),
+            F.when(stop, after).otherwise(acc["first"]).alias("first"),
+            F.when(stop, 0.0).otherwise(F.greatest(acc["peak"], total)).alias("peak"),
+            F.when(~stop & (total > acc["peak"]), (after + 1).cast("int")).otherwise(acc["end"]).alias("end"),
+            F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
+        )
+
+    length = F.length(token)
+
+    def widened(s):
+        before = F.length(F.regexp_extract(F.substring(token, F.lit(1), s["first"]), "[A-Za-z0-9]*$", 0))
+        inner = token.substr(s["first"] + 1, s["end"] - s["first"])
+        lead = F.length(F.regexp_extract(inner, "^[A-Za-z0-9]?[+/_-]+", 0))
+        trail = F.length(F.regexp_extract(inner, "[+/_-]+[A-Za-z0-9]?$", 0))
+        after = F.length(F.regexp_extract(token.substr(s["end"] + 1, length), "^[A-Za-z0-9]*=*", 0))
+        return F.struct(
+            F.when(lead > 0, s["first"] + lead).otherwise(s["first"] - before).cast("int").alias("first"),
+            F.when(trail > 0, s["end"] - trail).otherwise(s["end"] + after).cast("int").alias("end"),
+        )
+
+    def decide(acc):
+        whole = F.array(F.struct(int_of(0).alias("first"), length.cast("int").alias("end")))
+        stretches = F.filter(acc["out"], lambda s: token.substr(s["first"] + 1, s["end"] - s["first"]).rlike(PIECE))
+        return F.when(enough(acc["total"], length - 1), whole).otherwise(F.transform(stretches, widened))
+
+    return F.aggregate(_gains(token, weights), start, step, decide)
+
+
+def _outside(span: Column, base: Column) -> Column:
+    """The parts of a span outside sorted base spans."""
+    kind = F.lit(KINDS.index("markov"))
+    part = lambda first, end: F.array(F.struct(first.alias("start"), kind.alias("kind"), end.alias("end")))
+    start = F.struct(span["start"].alias("at"), _empty().alias("out"))
+
+    def step(acc, b):
+        last = F.least(b["start"], span["end"])
+        return F.struct(
+            F.greatest(acc["at"], b["end"]).alias("at"),
+            F.when(last > acc["at"], F.concat(acc["out"], part(acc["at"], last))).otherwise(acc["out"]).alias("out"),
+        )
+
+    def end(acc):
+        rest = part(acc["at"], span["end"])
+        return F.when(acc["at"] < span["end"], F.concat(acc["out"], rest)).otherwise(acc["out"])
+
+    touching = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+    return F.aggregate(touching, start, step, end)
 
 
 def find_secrets(
@@ -150,22 +239,22 @@ def find_secrets(
 ) -> DataFrame:
     """The rows of ``docs`` with ``base`` (spans of the fixed patterns) and ``added`` (spans found by the models).
 
-    The models judge each maximal run of 20 or more token characters that no base span touches: it is a secret if its
-    log ratio is at least ``least_total`` and at least ``least_mean`` for each pair of neighbours. Spans are arrays of
-    (start, kind, end) in code points, end exclusive; kind indexes ``KINDS``. A null text has no spans. Columns of
-    ``docs`` with these two names are replaced. Nothing is shuffled: each text is scanned where it is read.
+    The models judge each maximal run of 12 or more token characters: it is a secret if its log ratio is at least
+    ``least_total`` (for less than 20 characters, their share of it) and at least ``least_mean`` for each pair of
+    neighbours. Where the whole run is none, its stretches are judged alike. What lies outside base spans is added.
+    Spans are arrays of (start, kind, end) in code points, end exclusive; kind indexes ``KINDS``. A null text has no
+    spans. Columns of ``docs`` with these two names are replaced. Nothing is shuffled: each text is scanned where it
+    is read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-
-    def random_looking(match):
-        total = log_ratio(match, weights)
-        return (total >= least_total) & (total >= least_mean * (F.length(match) - 1))
-
-    touches = lambda m: F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+    judged = lambda match: random_spans(match, weights, least_total, least_mean)
+    split = lambda m: F.filter(
+        _outside(m, F.col("base")), lambda s: text.substr(s["start"] + 1, s["end"] - s["start"]).rlike("[A-Za-z0-9]")
+    )
     return (
         docs.withColumn("base", base_spans(text))
-        .withColumn("added", _found(text, CANDIDATE, 3, random_looking))
-        .withColumn("added", F.filter("added", lambda m: ~touches(m)))
+        .withColumn("added", _found(text, LEARNED, KINDS.index("markov"), parts=judged))
+        .withColumn("added", F.when(F.size("base") > 0, F.flatten(F.transform("added", split))).otherwise(F.col("added")))
     )
 
 
