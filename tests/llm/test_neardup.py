@@ -104,3 +104,28 @@ def test_pipeline_takes_effect(spark):
     assert not ids & leaked
     docs.unpersist()
     first.unpersist()
+
+
+def test_near_dedup_keeps_one_row_of_repeats_and_null_ids(spark):
+    import corpus_pipeline as P
+
+    one, other, third = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    near = one + " tail"
+    rows = [(5, one), (5, one), (-3, near), (7, other), (7, third), (None, third), (None, third), (None, other), (9, None), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = sorted(((r.doc_id, r.text) for r in P.near_dedup(spark, docs, "").collect()), key=str)
+    assert kept == sorted([(-3, near), (7, other), (7, third), (9, None), (9, None)], key=str)
+    alone = [r.text for r in P.near_dedup(spark, docs.where("doc_id is null"), "").collect()]
+    assert sorted(alone) == [other, third]
+
+
+def test_mix_returns_the_text_of_its_rows(spark):
+    import corpus_pipeline as P
+
+    rows = [(i % 40 if i % 5 else None, f"text{i} " + "w " * (i % 11), f"s{i % 3}" if i % 7 else None) for i in range(120)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    mixed = P.mix(spark, docs, "").collect()
+    want = P.mixing.mix_sources(docs).where("copies > 0").collect()
+    key = lambda r: str((r.doc_id, r.source, r.size, r.copies, r.taken))
+    assert sorted(map(key, mixed)) == sorted(map(key, want))
+    assert len({r.text for r in mixed}) == len(mixed) and {(r.doc_id, r.text, r.source) for r in mixed} <= set(rows)
