@@ -331,6 +331,24 @@ def test_pages_by_definition(spark):
         assert r.text == "\n".join(x for x in lines if x) and r.n_chars == len(r.text)
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "with-ads", "nav-fixed", "page-with-banner", "sidebar", "widget"])
+def test_a_name_on_a_wrapper_does_not_empty_the_page(name):
+    body = "".join(f"<p>Paragraph {i} tells a long and winding story about the sea and the men on it.</p>" for i in range(8))
+    for title in ("<h1>Title</h1>", ""):
+        page = f'<html><body><div class="{name}"><div>{title}{body}</div></div><div class="ad">Buy this now</div></body></html>'
+        text = extraction.main_text(page)
+        assert text.count("Paragraph") == 8 and "Buy" not in text and ("Title" in text) == bool(title)
+
+
+def test_names_inside_an_article_are_hints():
+    body = "".join(f"<p>Paragraph {i} tells a long and winding story about the sea and the men on it.</p>" for i in range(8))
+    parts = '<h1 class="entry-header">Head</h1>', body, '<section id="related-work"><p>Others wrote of this.</p></section>', '<p class="notice-period">A month is due.</p>'
+    noise = '<div class="ad-box sidebar">One</div><p>x <span class="ad">Two</span></p><div id="comments"><article class="comment">Three</article></div>'
+    text = extraction.main_text(f"<html><body><article>{''.join(parts)}{noise}</article></body></html>")
+    assert all(x in text for x in ("Head", "Paragraph 7", "Others wrote", "A month")) and not any(x in text for x in ("One", "Two"))
+    assert "Three" not in text
+
+
 def test_density_without_names():
     links = "".join(f"<li><a href=/{i}>entry {i}</a></li>" for i in range(30))
     body = "".join(f"<p>Paragraph {i} tells a long and winding story about the sea and the men on it.</p>" for i in range(8))

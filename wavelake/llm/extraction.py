@@ -37,7 +37,8 @@ DROPPED = frozenset(
     "head nav footer aside form script style noscript template svg canvas button select textarea iframe object menu "
     "dialog title input xmp noembed noframes".split()
 )
-#: Class or id words of what surrounds an article: whole words, and beginnings of words.
+#: Class or id names hint at what surrounds an article: by their last word, or by the beginning of the name. A name
+#: like ``has-sidebar`` says what a page has or lacks and hints at nothing.
 SURROUND = frozenset(
     "ad ads adv nav navbar menu footer header masthead topbar toolbar sidebar aside widget share sharing social related "
     "comment comments reply replies disqus cookie cookies consent gdpr notice notices alert banner popup modal overlay "
@@ -45,29 +46,44 @@ SURROUND = frozenset(
 )
 SURROUND_START = ("advert", "sidebar", "comment", "cookie", "sponsor", "breadcrumb", "newsletter", "navigation", "banner")
 KEPT = frozenset("html body article main".split())
-HINT_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+CORE = frozenset("article main h1".split())
+#: Characters outside links from which an element can be the text of a page.
+BODY_SIZE = 100
+STATES = frozenset("no not has have with without hide show".split())
+HINT_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def surrounds(tag: str, rest: str, in_article: bool) -> bool:
-    """Whether an element is no part of an article by its kind, its class or id, or because it is hidden."""
+def hints(value: str) -> bool:
+    """Whether a class or id names what surrounds an article."""
+    for name in value.split():
+        words = [w.lower() for w in HINT_WORDS.findall(name)]
+        if not words or STATES.intersection(words[:-1]):
+            continue
+        if words[-1] in SURROUND or words[0].startswith(SURROUND_START) or words[-1].startswith(SURROUND_START):
+            return True
+    return False
+
+
+def surrounds(tag: str, rest: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is no part of an article by its kind or because it is hidden; whether its names hint so."""
     if tag in DROPPED or (tag == "header" and not in_article):
-        return True
-    if tag in KEPT or "=" not in rest and "hidden" not in rest:
-        return False
+        return True, False
+    if "=" not in rest and "hidden" not in rest:
+        return False, False
+    hint = False
     for m in ATTRIBUTE.finditer(rest):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            for word in HINT_WORDS.findall(value):
-                word = word.lower()
-                if word in SURROUND or word.startswith(SURROUND_START):
-                    return True
+            hint = hint or hints(value)
+        elif tag in KEPT:
+            continue
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return True, hint
         elif name == "style" and "display:none" in value.lower().replace(" ", ""):
-            return True
+            return True, hint
         elif name == "role" and value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"):
-            return True
-    return False
+            return True, hint
+    return False, hint
 
 
 @dataclass
@@ -77,16 +93,18 @@ class Tree:
     tag: list[str] = field(default_factory=list)
     parent: list[int] = field(default_factory=list)
     dropped: list[bool] = field(default_factory=list)
+    hint: list[bool] = field(default_factory=list)
     tags: list[int] = field(default_factory=list)
     link_tags: list[int] = field(default_factory=list)
     chars: list[int] = field(default_factory=list)
     link_chars: list[int] = field(default_factory=list)
     texts: list[tuple[int, int, str]] = field(default_factory=list)  # (element, block, text)
 
-    def add(self, tag: str, parent: int, dropped: bool) -> int:
+    def add(self, tag: str, parent: int, dropped: bool, hint: bool = False) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
         self.dropped.append(dropped)
+        self.hint.append(hint)
         for counts in (self.tags, self.link_tags, self.chars, self.link_chars):
             counts.append(0)
         return len(self.tag) - 1
@@ -154,14 +172,15 @@ def parse(page: str) -> Tree:
         if tag in ENDS and (k := last(ENDS[tag], frozenset(("ul", "ol", "dl", "table")))):
             close(k)
         parent = open_[-1][1]
-        gone = tree.dropped[parent] or surrounds(tag, rest, articles > 0)
-        if inline and not (gone and not tree.dropped[parent]):
+        gone, hint = (True, False) if tree.dropped[parent] else surrounds(tag, rest, articles > 0)
+        if inline and (tree.dropped[parent] or not (gone or hint)):
             node = parent
             if not gone:
                 tree.tags[node] += 1
                 tree.link_tags[node] += tag == "a"
         else:
-            node = tree.add(tag, parent, gone)
+            node = tree.add(tag, parent, gone, hint)
+            tree.link_tags[node] += tag == "a"
         if tag == "br":
             tree.texts.append((node, block, " "))
         if tag in VOID or rest.endswith("/"):
@@ -179,6 +198,35 @@ def parse(page: str) -> Tree:
     return tree
 
 
+def drop_hinted(tree: Tree) -> None:
+    """Drops the elements whose names hint at surroundings, unless they hold what the page is about.
+
+    An element stays if it holds an article, main or h1 whose own name doesn't hint at surroundings, or BODY_SIZE
+    characters and most of the text outside links; on a page without these three, also if it holds as much as is left.
+    """
+    if not any(tree.hint):
+        return
+    n = len(tree.tag)
+    plain = [0 if tree.dropped[i] else tree.chars[i] - tree.link_chars[i] for i in range(n)]
+    own = list(plain)
+    core = [tree.tag[i] in CORE and not tree.dropped[i] and not (tree.hint[i] and tree.tag[i] == "article") for i in range(n)]
+    holds = list(core)
+    for i in range(n - 1, 0, -1):
+        plain[tree.parent[i]] += plain[i]
+        holds[tree.parent[i]] |= holds[i]
+    going = [tree.hint[i] and tree.tag[i] not in KEPT and not holds[i] for i in range(n)]
+    large = [plain[i] >= BODY_SIZE for i in range(n)]
+    going = [going[i] and not (large[i] and 2 * plain[i] > plain[0]) for i in range(n)]
+    under = list(going)
+    for i in range(1, n):
+        under[i] = under[i] or under[tree.parent[i]]
+    if not any(core):
+        left = sum(own[i] for i in range(n) if not under[i])
+        going = [going[i] and not (large[i] and plain[i] >= left) for i in range(n)]
+    for i in range(1, n):
+        tree.dropped[i] = tree.dropped[i] or going[i] or tree.dropped[tree.parent[i]]
+
+
 def content_elements(tree: Tree) -> list[bool]:
     """Which elements lie in the main text.
 
@@ -238,6 +286,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     tree = parse(page)
+    drop_hinted(tree)
     content = content_elements(tree)
     blocks: dict[int, list[str]] = {}
     for node, block, text in tree.texts:
@@ -251,7 +300,7 @@ def extract_text(page: Column) -> Column:
     """Struct (text, n_chars) of a page: its main text and the length in code points.
 
     Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, comments of readers and hidden elements
-    go by kind, class or id; the density decides among the rest. A null or empty page, or one without text, gives an
+    go by kind, or by a class or id that hints at them unless they hold the page's text; the density decides the rest. A null or empty page, or one without text, gives an
     empty text. Whole pages are read, each on its own; nothing is shuffled.
     """
 
