@@ -15,6 +15,7 @@ from wavelake.llm import (
     pii,
     quality,
     secret_scan,
+    spelling,
     toxicity,
 )
 
@@ -95,6 +96,11 @@ def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return extraction.extract_pages(_table(spark, folder, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    found = spelling.spelling_variants(_documents(spark, folder))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -108,10 +114,12 @@ QUERIES = {
         op8_quality_rules,
         op9_benchmark_leaks,
         op10_main_text,
+        op11_spelling_variants,
     )
 }
 
 SQL = {
     "op1_source_mix": mixing.SQL,
     "op2_perspective_rotation": chat.SQL,
+    "op11_spelling_variants": spelling.SQL,
 }
