@@ -9,6 +9,7 @@ from wavelake.llm import (
     chat,
     contamination,
     extraction,
+    hard_negatives,
     language,
     mixing,
     neardup,
@@ -101,6 +102,12 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hard_negatives.scaled_vectors(_table(spark, folder, "embeddings").withColumn("label", moved))
+    return hard_negatives.mine_hard_negatives(vectors, F.col("id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -115,6 +122,7 @@ QUERIES = {
         op9_benchmark_leaks,
         op10_main_text,
         op11_spelling_variants,
+        op12_hard_negatives,
     )
 }
 
@@ -122,4 +130,5 @@ SQL = {
     "op1_source_mix": mixing.SQL,
     "op2_perspective_rotation": chat.SQL,
     "op11_spelling_variants": spelling.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
 }
