@@ -11,6 +11,7 @@ from wavelake.llm import (
     extraction,
     hard_negatives,
     language,
+    language_model,
     mixing,
     neardup,
     pii,
@@ -108,6 +109,14 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.mine_hard_negatives(vectors, F.col("id") % 100 == 0)
 
 
+def op13_model_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    model = language_model.fit_model(docs.where(_remainder(5) != 1))
+    held_out = docs.select("doc_id", "text", F.coalesce(_remainder(5) == 1, F.lit(False)).alias("held_out"))
+    scored = language_model.score_texts(held_out, model)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -123,6 +132,7 @@ QUERIES = {
         op10_main_text,
         op11_spelling_variants,
         op12_hard_negatives,
+        op13_model_scores,
     )
 }
 
