@@ -13,17 +13,18 @@ a bound; beyond it, the n-grams of the texts travel to the segments instead, wit
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavelake.llm.common import LOWER_ASCII, U64, WORDS, WordHashes, mix64, release_shuffles, shingle_hashes, write_table
+from wavelake.llm.common import LOWER_ASCII, U64, WORDS, mix64, release_shuffles, shingle_hashes, write_table
 
 ORDER = 2
 #: Levels of counts: each begins at RATIO times the one before, or one higher.
@@ -35,7 +36,7 @@ BROADCAST = 128 << 20
 #: Words with at least a share of one in HEAVY of all training tokens are broadcast, so they are HEAVY at most.
 HEAVY = 1 << 20
 #: Tokens worked on together in a task; tokens of a chunk and rows of a group where n-grams travel.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 CHUNK = 4096
 GROUP = 2 << 20
 #: Stand for what precedes a text and for its end.
@@ -62,59 +63,112 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(LEVELS, counts, side="right")
 
 
-def _pieces(text: str | None, hashes: WordHashes, order: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(what precedes, tokens) of every stretch of a whole text; the last stretch ends with the end token."""
-    lower = (text or "").lower() if (text or "").isascii() else text.translate(LOWER_ASCII)
+class Vocabulary(dict):
+    """Numbers of the words that a task has met, with their 1-gram hashes and what ``about`` tells of new hashes.
+
+    Words are looked up once for each occurrence; hashes, counts and levels are then taken from arrays. It starts over
+    when it is asked to make room and holds more than ``limit`` words; results don't depend on that.
+    """
+
+    def __init__(self, about: Callable[[np.ndarray], list[np.ndarray]] | None = None, limit: int = 300_000):
+        super().__init__()
+        self.about, self.limit = about, limit
+        self._start()
+
+    def _start(self) -> None:
+        self.clear()
+        self.fresh: list[int] = []
+        self.columns: list[np.ndarray] = []
+        self.hashes = np.empty(0, U64)
+        self.number_of([None])
+
+    def make_room(self) -> None:
+        if len(self) > self.limit:
+            self._start()
+
+    def __missing__(self, word: str | None) -> int:
+        self.fresh.append(END if word is None else xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")))
+        number = self[word] = len(self)
+        return number
+
+    def number_of(self, words: list) -> np.ndarray:
+        """Numbers of words; None is the end of a text, number 0."""
+        found = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        if self.fresh:
+            fresh = shingle_hashes(np.array(self.fresh, U64), 1)
+            told = self.about(fresh) if self.about else []
+            self.columns = [np.concatenate(c) for c in zip(self.columns, told)] if len(self.hashes) else told
+            self.hashes = np.concatenate([self.hashes, fresh])
+            self.fresh = []
+        return found
+
+
+def _pieces(text: str | None, words_of: Vocabulary, order: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hashes of what precedes, hashes, numbers) of every stretch of a whole text; the last one ends with the end token."""
+    text = text or ""
+    lower = text.lower() if text.isascii() else text.translate(LOWER_ASCII)
     before = np.full(order - 1, START, U64)
     words = (m.group() for m in WORDS.finditer(lower)) if len(lower) > 8 * size else iter(WORDS.findall(lower))
     while True:
-        tokens = hashes.of(list(islice(words, size)))
-        if len(tokens) < size:
-            yield before, np.append(tokens, U64(END))
+        part = list(islice(words, size))
+        last = len(part) < size
+        numbers = words_of.number_of([*part, None] if last else part)
+        hashes = words_of.hashes[numbers]
+        yield before, hashes, numbers
+        if last:
             return
-        yield before, tokens
-        before = np.concatenate([before, tokens])[len(before) + len(tokens) - (order - 1) :]
+        before = np.concatenate([before, hashes])[len(before) + len(hashes) - (order - 1) :]
 
 
 @dataclass
 class Stretch:
-    """Tokens of several pieces: the hash of the n-gram that ends at each, and of each history, for every order."""
+    """Tokens of several pieces: their word numbers, and for every order the hash of the n-gram that ends at each token
+    and of the history before it. An n-gram is hashed from the hashes of its words; one word is its own 1-gram."""
 
+    numbers: np.ndarray
     grams: list[np.ndarray]  # at index o - 1, those of o tokens
     histories: list[np.ndarray]  # at index o - 1, those of o - 1 tokens; none for o = 1
     lengths: np.ndarray  # tokens of each piece
 
 
-def stretch_of(pieces: list[tuple[np.ndarray, np.ndarray]], order: int) -> Stretch:
-    whole = np.concatenate([part for piece in pieces for part in piece])
-    lengths = np.array([len(tokens) for _, tokens in pieces])
+def _runs(hashes: np.ndarray, width: int) -> np.ndarray:
+    return hashes if width == 1 else shingle_hashes(hashes, width)
+
+
+def stretch_of(pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]], order: int) -> Stretch:
+    whole = np.concatenate([part for before, hashes, _ in pieces for part in (before, hashes)])
+    lengths = np.array([len(hashes) for _, hashes, _ in pieces])
     starts = np.cumsum(lengths + (order - 1)) - lengths
     at = np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-    runs = [shingle_hashes(whole, o) for o in range(1, order + 1)]
+    runs = [_runs(whole, o) for o in range(1, order + 1)]
     grams = [runs[o - 1][at - (o - 1)] for o in range(1, order + 1)]
     histories = [np.empty(0, U64), *(runs[o - 2][at - (o - 1)] for o in range(2, order + 1))]
-    return Stretch(grams, histories, lengths)
+    return Stretch(np.concatenate([numbers for _, _, numbers in pieces]), grams, histories, lengths)
 
 
 def _counted(batches: Iterator[pd.DataFrame], order: int) -> Iterator[pd.DataFrame]:
     """Counts of the n-grams of each batch: ``size`` tokens, or 0 for what precedes a text."""
-    hashes = WordHashes()
+    words_of = Vocabulary()
 
     def counted(pieces, texts: int) -> pd.DataFrame:
         stretch = stretch_of(pieces, order)
-        parts = [(o, *np.unique(grams, return_counts=True)) for o, grams in enumerate(stretch.grams, 1)]
+        times = np.bincount(stretch.numbers)
+        seen = np.flatnonzero(times)
+        parts = [(1, words_of.hashes[seen], times[seen])]
+        parts += [(o, *np.unique(stretch.grams[o - 1], return_counts=True)) for o in range(2, order + 1)]
         if texts:
-            pads = [shingle_hashes(np.full(k, START, U64), k) for k in range(1, order)]
+            pads = [_runs(np.full(k, START, U64), k) for k in range(1, order)]
             parts += [(0, pad, np.array([texts])) for pad in pads]
         size = np.concatenate([np.full(len(h), o, np.int8) for o, h, _ in parts])
         h = np.concatenate([h for _, h, _ in parts]).view(np.int64)
+        words_of.make_room()
         return pd.DataFrame({"size": size, "h": h, "n": np.concatenate([n for _, _, n in parts]).astype(np.int64)})
 
     pieces, tokens, texts = [], 0, 0
     for batch in batches:
         for text in batch["text"]:
             texts += 1
-            for piece in _pieces(text, hashes, order, TOGETHER):
+            for piece in _pieces(text, words_of, order, TOGETHER):
                 pieces.append(piece)
                 tokens += len(piece[1])
                 if tokens >= TOGETHER:
@@ -133,11 +187,11 @@ def count_ngrams(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return rows.groupBy("size", "h").agg(F.sum("n").alias("n"))
 
 
-def _level_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        level = level_of(batch["n"].to_numpy())
-        rows = pd.DataFrame({"size": batch["size"], "level": level, "grams": 1, "tokens": batch["n"]})
-        yield rows.groupby(["size", "level"], as_index=False).sum()
+def _level(n: Column) -> Column:
+    """Level of a count; the first levels are the counts themselves."""
+    plain = int(np.argmax(np.diff(LEVELS) > 1)) + 1
+    above = F.size(F.filter(F.array(*(F.lit(int(x)) for x in LEVELS)), lambda least: least <= n))
+    return F.when(n <= plain, n.cast("int")).otherwise(above)
 
 
 def _prior(contexts: pd.DataFrame, once: float) -> float:
@@ -152,8 +206,12 @@ def _prior(contexts: pd.DataFrame, once: float) -> float:
 
 
 def _places(h: np.ndarray, segments: int) -> np.ndarray:
-    """The segment of each hash."""
-    return (mix64(h ^ U64(0x5345474D454E5453)) >> U64(16)) % U64(segments)
+    """The segment of each hash: by its upper bits; `_marks` mixes the hash again."""
+    return (h >> U64(40)) % U64(segments)
+
+
+def _place(h: Column, segments: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(h, 40), F.lit(segments).cast("long")).cast("int")
 
 
 def _marks(h: np.ndarray, level: np.ndarray | int, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,8 +269,8 @@ def fit_model(docs: DataFrame, order: int = ORDER) -> Model:
     spark = docs.sparkSession
     counts = write_table(count_ngrams(docs, order))
     release_shuffles(spark)
-    levels = counts.mapInPandas(_level_counts, "size byte, level int, grams long, tokens long")
-    levels = levels.groupBy("size", "level").agg(F.sum("grams").alias("grams"), F.sum("tokens").alias("tokens")).toPandas()
+    levelled = counts.select("size", "h", "n", _level(F.col("n")).alias("level"))
+    levels = levelled.groupBy("size", "level").agg(F.count(F.lit(1)).alias("grams"), F.sum("n").alias("tokens")).toPandas()
     of = {size: levels[levels["size"] == size] for size in range(order + 1)}
     once = [int(of[o].loc[of[o]["level"] == 1, "grams"].sum()) for o in range(1, order + 1)]
     priors = [_prior(of[o - 1], once[o - 1]) if len(of[o - 1]) else 1.0 for o in range(2, order + 1)]
@@ -220,16 +278,11 @@ def fit_model(docs: DataFrame, order: int = ORDER) -> Model:
     segments = max(1, -(-entries * BITS // (8 * SEGMENT)))
     words = max(16, -(-entries * BITS // (64 * segments)))
 
-    def with_segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            place = _places(batch["h"].to_numpy().view(U64), segments).astype(np.int32)
-            yield pd.DataFrame({"segment": place, "h": batch["h"], "level": level_of(batch["n"].to_numpy()).astype(np.int16)})
-
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
         bits = fill_segment(rows["h"].to_numpy().view(U64), rows["level"].to_numpy(), words)
         return pd.DataFrame({"segment": rows["segment"].iloc[:1], "bits": [bits.tobytes()]})
 
-    placed = counts.mapInPandas(with_segment, "segment int, h long, level short")
+    placed = levelled.select(_place(F.col("h"), segments).alias("segment"), "h", F.col("level").cast("short").alias("level"))
     filled = write_table(placed.groupBy("segment").applyInPandas(fill, "segment int, bits binary"))
     release_shuffles(spark)
     tokens, distinct = int(of[1]["tokens"].sum()), int(of[1]["grams"].sum())
@@ -245,12 +298,22 @@ def token_logs(grams: list[np.ndarray], histories: list[np.ndarray], model: dict
     return np.log10(p)
 
 
-def _levels_in(stretch: Stretch, levels) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Levels of all n-grams and histories of a stretch; ``levels`` is asked once for each distinct one."""
-    parts = [*stretch.grams, *stretch.histories[1:]]
-    distinct, back = np.unique(np.concatenate(parts), return_inverse=True)
-    found = np.split(levels(distinct)[back], np.cumsum([len(p) for p in parts])[:-1])
-    return found[: len(stretch.grams)], [found[0][:0], *found[len(stretch.grams) :]]
+def _history_levels(stretch: Stretch, grams: list[np.ndarray], levels) -> list[np.ndarray]:
+    """Levels of the histories: of a token within a piece, the n-gram that ends at the token before it."""
+    first = np.zeros(len(stretch.numbers), bool)
+    first[np.cumsum(stretch.lengths) - stretch.lengths] = True
+    at = np.flatnonzero(first)
+    found = [grams[0][:0]]
+    for o in range(2, len(grams) + 1):
+        before = np.concatenate([grams[o - 2][:1], grams[o - 2][:-1]])
+        before[at] = levels(stretch.histories[o - 1][at])
+        found.append(before)
+    return found
+
+
+def _laid_out(stretch: Stretch) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams and histories of a stretch, and where each is used, order by order."""
+    return np.unique(np.concatenate([*stretch.grams, *stretch.histories[1:]]), return_inverse=True)
 
 
 _PASS = "_key long, n_tokens long, n_known long, base_score double, score double, rare array<long>, rare_n array<int>"
@@ -258,7 +321,6 @@ _PASS = "_key long, n_tokens long, n_known long, base_score double, score double
 
 def _score_batches(batches: Iterator[pd.DataFrame], model: dict, heavy, bits) -> Iterator[pd.DataFrame]:
     """One row for each text: its base score over frequent words, its other words, and its score where ``bits`` are given."""
-    hashes = WordHashes()
     order, key = model["order"], TaskContext.get().partitionId() << 33
     unit = math.log10(model["tokens"] + 0.5 * (model["distinct"] + 1))
     heavy_h, heavy_n = heavy.value
@@ -267,6 +329,16 @@ def _score_batches(batches: Iterator[pd.DataFrame], model: dict, heavy, bits) ->
     def levels(h: np.ndarray) -> np.ndarray:
         return probe_levels(h, table, _places(h, model["segments"]) * U64(model["words"]), model["words"])
 
+    def about(h: np.ndarray) -> list[np.ndarray]:
+        """Exact count of a frequent word (0 for others) and level of each new word."""
+        if len(heavy_h):
+            near = np.minimum(np.searchsorted(heavy_h, h), len(heavy_h) - 1)
+            counts = np.where(heavy_h[near] == h, heavy_n[near], 0)
+        else:
+            counts = np.zeros(len(h), np.int64)
+        return [counts, levels(h) if table is not None else np.zeros(len(h), np.int16)]
+
+    words_of = Vocabulary(about)
     for batch in batches:
         texts = batch["text"].tolist()
         rows = len(texts)
@@ -277,31 +349,28 @@ def _score_batches(batches: Iterator[pd.DataFrame], model: dict, heavy, bits) ->
 
         def add(owners: list[int], pieces: list) -> None:
             stretch = stretch_of(pieces, order)
+            counts, word_levels = words_of.columns
             owner = np.repeat(owners, stretch.lengths)
             sums = lambda x: np.bincount(owner, x, rows)
             n_tokens[:] += np.bincount(owner, minlength=rows)
             if table is not None:
-                score[:] += sums(token_logs(*_levels_in(stretch, levels), model))
-            h = stretch.grams[0]
-            near = np.minimum(np.searchsorted(heavy_h, h), max(len(heavy_h) - 1, 0))
-            known = heavy_h[near] == h if len(heavy_h) else np.zeros(len(h), bool)
-            c = np.where(known, heavy_n[near], 0) if len(heavy_h) else np.zeros(len(h))
+                grams = [word_levels[stretch.numbers], *(levels(h) for h in stretch.grams[1:])]
+                score[:] += sums(token_logs(grams, _history_levels(stretch, grams, levels), model))
+            c = counts[stretch.numbers]
             base[:] += sums(np.log10(c + 0.5) - unit)
+            known = c > 0
             n_known[:] += np.bincount(owner[known], minlength=rows)
-            own, word = owner[~known], h[~known]
-            by = np.lexsort((word, own))
-            own, word = own[by], word[by]
-            first = np.flatnonzero(np.diff(own, prepend=-1) | (np.diff(word, prepend=U64(0)) != 0))
-            times = np.diff(first, append=len(own))
-            splits = np.flatnonzero(np.diff(own[first])) + 1
-            for part, n in zip(np.split(first, splits), np.split(times, splits)):
-                if len(part):
-                    rare[own[part[0]]].append(word[part].view(np.int64))
-                    rare_n[own[part[0]]].append(n.astype(np.int32))
+            pairs, times = np.unique((owner[~known].astype(np.int64) << 32) | stretch.numbers[~known], return_counts=True)
+            own, word = pairs >> 32, words_of.hashes[pairs & 0xFFFFFFFF].view(np.int64)
+            splits = np.flatnonzero(np.diff(own)) + 1
+            for at, h, n in zip(own[np.r_[0, splits]] if len(own) else [], np.split(word, splits), np.split(times, splits)):
+                rare[at].append(h)
+                rare_n[at].append(n.astype(np.int32))
+            words_of.make_room()
 
         owners, pieces, tokens = [], [], 0
         for at, text in enumerate(texts):
-            for piece in _pieces(text, hashes, order, TOGETHER):
+            for piece in _pieces(text, words_of, order, TOGETHER):
                 owners.append(at)
                 pieces.append(piece)
                 tokens += len(piece[1])
@@ -332,30 +401,20 @@ def _travelling_scores(docs: DataFrame, model: Model, plain: dict) -> DataFrame:
     order, segments, words = model.order, model.segments, model.words
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        words_of = Vocabulary()
         for batch in batches:
             for key, text in zip(batch["_key"], batch["text"]):
                 rows = []
-                for number, piece in enumerate(_pieces(text, hashes, order, CHUNK)):
-                    seen = {}
-
-                    def keep(h: np.ndarray) -> np.ndarray:
-                        seen["h"] = h
-                        return np.arange(len(h), dtype=np.int32)
-
-                    grams, histories = _levels_in(stretch_of([piece], order), keep)
-                    at = np.concatenate([*grams, *histories]).astype(np.int32)
-                    rows.append((key, number, seen["h"].view(np.int64), at.tobytes()))
+                for number, piece in enumerate(_pieces(text, words_of, order, CHUNK)):
+                    h, at = _laid_out(stretch_of([piece], order))
+                    rows.append((key, number, h.view(np.int64), at.astype(np.int32).tobytes()))
+                words_of.make_room()
                 yield pd.DataFrame(rows, columns=["_key", "number", "h", "at"])
 
     laid = write_table(docs.mapInPandas(chunks, "_key long, number int, h array<long>, at binary"))
 
-    def with_segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(segment=_places(batch["h"].to_numpy().view(U64), segments).astype(np.int32))
-
     asked = laid.select("_key", "number", F.posexplode("h").alias("pos", "h"))
-    asked = asked.mapInPandas(with_segment, "_key long, number int, pos int, h long, segment int")
+    asked = asked.withColumn("segment", _place(F.col("h"), segments))
     most = asked.groupBy("segment").count().agg(F.max("count")).first()[0] or 0
     copies = -(-most // GROUP) or 1
     asked = asked.withColumn("copy", F.pmod(F.xxhash64("_key", "number"), F.lit(copies)).cast("int"))
