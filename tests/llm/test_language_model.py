@@ -32,11 +32,11 @@ def test_filter_gives_levels_back():
     level = rng.geometric(0.6, 40000)
     words = int(level.sum()) * M.BITS // 64
     bits = M.fill_segment(h, level, words)
-    found = M.probe_levels(h, bits, np.zeros(len(h), U64), words)
+    found = M.probe_levels(h, bits, np.zeros(len(h), U64), np.full(len(h), words, U64))
     assert (found >= level).all()  # never less
     assert (found > level).mean() < 0.03
     strange = mix64(np.arange(10**6, 10**6 + 40000, dtype=U64))
-    assert (M.probe_levels(strange, bits, np.zeros(40000, U64), words) > 0).mean() < 0.03
+    assert (M.probe_levels(strange, bits, np.zeros(40000, U64), np.full(40000, words, U64)) > 0).mean() < 0.03
 
 
 def base_by_definition(train, texts):
@@ -83,12 +83,11 @@ TEXTS = [
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_scores_by_definition(spark, monkeypatch, order):
     monkeypatch.setattr(M, "HEAVY", 8)  # most words are looked up by a join
-    monkeypatch.setattr(M, "BITS", 64)  # no false hits here
     train = [t for i, t in enumerate(TEXTS) if i != 7] * 3
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(3, TEXTS[0]), (None, TEXTS[1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("rare", F.lit(0))
     learned = spark.createDataFrame([(t,) for t in train], "text string").repartition(4)
-    model = M.fit_model(learned, order)
+    model = M.fit_model(learned, order, bits=256)  # no false hits here
     n, base = base_by_definition(train, [t for _, t in rows])
     want = model_by_definition(train, [t for _, t in rows], order, model.priors)
     for broadcast in (M.BROADCAST, 0):
@@ -128,8 +127,9 @@ def test_long_texts_go_in_stretches(spark, monkeypatch):
     monkeypatch.setattr(M, "CHUNK", 100)
     parts = {r.doc_id: r.score for r in M.score_texts(docs, model, broadcast=0).collect()}
     assert all(parts[k] == pytest.approx(whole[k][0], rel=1e-9) for k in whole)
-    pieces = list(M._pieces(text, M.Vocabulary(), 3, 100))
-    assert sum(len(p[1]) for p in pieces) == 8001 and (pieces[1][0] == pieces[0][1][-2:]).all()
+    pieces = list(M._pieces(text, 3, 100))
+    assert sum(len(p[1]) for p in pieces) == 8001 and pieces[1][0] == pieces[0][1][-2:]
+    assert [len(t) for _, t in M._pieces("a b c d", 2, 2)] == [2, 2, 1]
 
 
 def test_empty_tables(spark):

@@ -6,8 +6,9 @@ that is not found ends them, so a false hit adds one level at most with a small
 interpolated: p(w | h) = (c(hw) + mu * p(w | shorter h)) / (c(h) + mu). Counts of n-grams are taken at the low end of their
 level and those of histories at the high end, so the probabilities after a history never sum to more than one.
 
-The filter is cut into segments of a fixed size by the hash of the n-gram. It is broadcast while all segments stay within
-a bound; beyond it, the n-grams of the texts travel to the segments instead, with the same result.
+The filter is cut into segments by the hash of the n-gram; one shuffle brings the counts of a segment together, and the
+task that has added them up fills it. The filter is broadcast while all segments stay within a bound; beyond it, the
+n-grams of the texts travel to the segments instead, with the same result.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -24,23 +24,26 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavelake.llm.common import LOWER_ASCII, U64, WORDS, mix64, release_shuffles, shingle_hashes, write_table
+from wavelake.llm.common import U64, mix64, release_shuffles, shingle_hashes, write_table
 
 ORDER = 2
 #: Levels of counts: each begins at RATIO times the one before, or one higher.
 RATIO = 1.1
-#: Bits of the filter for each entry; bytes of a segment; bytes of a filter that is broadcast at most.
-BITS = 12
-SEGMENT = 4 << 20
+#: Bits of the filter for each entry; bytes of text for each segment; bytes of a filter that is broadcast at most.
+BITS = 10
+SEGMENT_TEXT = 4 << 20
 BROADCAST = 128 << 20
 #: Words with at least a share of one in HEAVY of all training tokens are broadcast, so they are HEAVY at most.
 HEAVY = 1 << 20
-#: Tokens worked on together in a task; tokens of a chunk and rows of a group where n-grams travel.
-TOGETHER = 1 << 18
+#: Tokens worked on together in a task; n-grams seen OFTEN in them are added up over the whole task.
+TOGETHER = 1 << 17
+OFTEN = 4
+#: Tokens of a chunk and rows of a group where n-grams travel.
 CHUNK = 4096
 GROUP = 2 << 20
-#: Stand for what precedes a text and for its end.
-START, END = 0x5354415254, 0x454E44
+#: Stand for what precedes a text and for its end, among words (bytes) and among hashes.
+BEFORE, AFTER = False, None
+EDGES = {BEFORE: 0x5354415254, AFTER: 0x454E44}
 
 _STEP = U64(0x9E3779B97F4A7C15)
 
@@ -66,11 +69,11 @@ def level_of(counts: np.ndarray) -> np.ndarray:
 class Vocabulary(dict):
     """Numbers of the words that a task has met, with their 1-gram hashes and what ``about`` tells of new hashes.
 
-    Words are looked up once for each occurrence; hashes, counts and levels are then taken from arrays. It starts over
+    A word is looked up once for each occurrence; hashes, counts and levels are then taken from arrays. It starts over
     when it is asked to make room and holds more than ``limit`` words; results don't depend on that.
     """
 
-    def __init__(self, about: Callable[[np.ndarray], list[np.ndarray]] | None = None, limit: int = 300_000):
+    def __init__(self, about: Callable[[np.ndarray], list[np.ndarray]] | None = None, limit: int = 200_000):
         super().__init__()
         self.about, self.limit = about, limit
         self._start()
@@ -80,19 +83,18 @@ class Vocabulary(dict):
         self.fresh: list[int] = []
         self.columns: list[np.ndarray] = []
         self.hashes = np.empty(0, U64)
-        self.number_of([None])
+        self.numbers_of([BEFORE, AFTER])
 
     def make_room(self) -> None:
         if len(self) > self.limit:
             self._start()
 
-    def __missing__(self, word: str | None) -> int:
-        self.fresh.append(END if word is None else xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")))
+    def __missing__(self, word) -> int:
+        self.fresh.append(EDGES[word] if word in EDGES else xxhash.xxh3_64_intdigest(word))
         number = self[word] = len(self)
         return number
 
-    def number_of(self, words: list) -> np.ndarray:
-        """Numbers of words; None is the end of a text, number 0."""
+    def numbers_of(self, words: list) -> np.ndarray:
         found = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
         if self.fresh:
             fresh = shingle_hashes(np.array(self.fresh, U64), 1)
@@ -103,21 +105,19 @@ class Vocabulary(dict):
         return found
 
 
-def _pieces(text: str | None, words_of: Vocabulary, order: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(hashes of what precedes, hashes, numbers) of every stretch of a whole text; the last one ends with the end token."""
-    text = text or ""
-    lower = text.lower() if text.isascii() else text.translate(LOWER_ASCII)
-    before = np.full(order - 1, START, U64)
-    words = (m.group() for m in WORDS.finditer(lower)) if len(lower) > 8 * size else iter(WORDS.findall(lower))
-    while True:
-        part = list(islice(words, size))
-        last = len(part) < size
-        numbers = words_of.number_of([*part, None] if last else part)
-        hashes = words_of.hashes[numbers]
-        yield before, hashes, numbers
-        if last:
-            return
-        before = np.concatenate([before, hashes])[len(before) + len(hashes) - (order - 1) :]
+def _pieces(text: str | None, order: int, size: int) -> Iterator[tuple[list, list]]:
+    """(what precedes, tokens) of every stretch of ``size`` words of a whole text; the last one ends with the end token.
+
+    ASCII white space is what separates words, and only A-Z have another lower case among bytes.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    before: list = [BEFORE] * (order - 1)
+    for start in range(0, len(words) + 1, size):
+        tokens = words[start : start + size]
+        if start + size > len(words):
+            tokens.append(AFTER)
+        yield before, tokens
+        before = (before + tokens)[len(before) + len(tokens) - (order - 1) :]
 
 
 @dataclass
@@ -135,40 +135,65 @@ def _runs(hashes: np.ndarray, width: int) -> np.ndarray:
     return hashes if width == 1 else shingle_hashes(hashes, width)
 
 
-def stretch_of(pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]], order: int) -> Stretch:
-    whole = np.concatenate([part for before, hashes, _ in pieces for part in (before, hashes)])
-    lengths = np.array([len(hashes) for _, hashes, _ in pieces])
+def stretch_of(pieces: list[tuple[list, list]], words_of: Vocabulary, order: int) -> Stretch:
+    numbers = words_of.numbers_of([word for piece in pieces for part in piece for word in part])
+    whole = words_of.hashes[numbers]
+    lengths = np.array([len(tokens) for _, tokens in pieces])
     starts = np.cumsum(lengths + (order - 1)) - lengths
     at = np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
     runs = [_runs(whole, o) for o in range(1, order + 1)]
     grams = [runs[o - 1][at - (o - 1)] for o in range(1, order + 1)]
     histories = [np.empty(0, U64), *(runs[o - 2][at - (o - 1)] for o in range(2, order + 1))]
-    return Stretch(np.concatenate([numbers for _, _, numbers in pieces]), grams, histories, lengths)
+    return Stretch(numbers[at], grams, histories, lengths)
+
+
+def _added(size: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of one n-gram as one row. A hash tells the size as well: n-grams of unlike sizes are hashed unlike."""
+    kept, first, back = np.unique(h, return_index=True, return_inverse=True)
+    return size[first], kept, np.bincount(back, n).astype(np.int64)
+
 
+def _counted(batches: Iterator[pd.DataFrame], order: int, segments: int) -> Iterator[pd.DataFrame]:
+    """Counts of n-grams with their segment: ``size`` tokens, or 0 for what precedes a text.
 
-def _counted(batches: Iterator[pd.DataFrame], order: int) -> Iterator[pd.DataFrame]:
-    """Counts of the n-grams of each batch: ``size`` tokens, or 0 for what precedes a text."""
+    Rare n-grams leave with the stretch they were counted in, others are added up until the task ends.
+    """
     words_of = Vocabulary()
+    often = [np.empty(0, np.int8), np.empty(0, U64), np.empty(0, np.int64)]
+
+    def rows(size: np.ndarray, h: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        place = _places(h, segments).astype(np.int32)
+        return pd.DataFrame({"segment": place, "size": size, "h": h.view(np.int64), "n": n})
 
     def counted(pieces, texts: int) -> pd.DataFrame:
-        stretch = stretch_of(pieces, order)
+        nonlocal often
+        stretch = stretch_of(pieces, words_of, order)
         times = np.bincount(stretch.numbers)
         seen = np.flatnonzero(times)
         parts = [(1, words_of.hashes[seen], times[seen])]
         parts += [(o, *np.unique(stretch.grams[o - 1], return_counts=True)) for o in range(2, order + 1)]
         if texts:
-            pads = [_runs(np.full(k, START, U64), k) for k in range(1, order)]
+            start = words_of.hashes[words_of.numbers_of([BEFORE])]
+            pads = [_runs(start.repeat(k), k) for k in range(1, order)]
             parts += [(0, pad, np.array([texts])) for pad in pads]
         size = np.concatenate([np.full(len(h), o, np.int8) for o, h, _ in parts])
-        h = np.concatenate([h for _, h, _ in parts]).view(np.int64)
+        h, n = (np.concatenate([part[i] for part in parts]) for i in (1, 2))
         words_of.make_room()
-        return pd.DataFrame({"size": size, "h": h, "n": np.concatenate([n for _, _, n in parts]).astype(np.int64)})
+        more = n >= OFTEN
+        often = [np.concatenate(pair) for pair in zip(often, (size[more], h[more], n[more]))]
+        size, h, n = size[~more], h[~more], n[~more]
+        if len(often[0]) > 2 * TOGETHER:
+            often = list(_added(*often))
+            if len(often[0]) > TOGETHER:  # too many to keep
+                size, h, n = (np.concatenate(pair) for pair in zip((size, h, n), often))
+                often = [column[:0] for column in often]
+        return rows(size, h, n)
 
     pieces, tokens, texts = [], 0, 0
     for batch in batches:
         for text in batch["text"]:
             texts += 1
-            for piece in _pieces(text, words_of, order, TOGETHER):
+            for piece in _pieces(text, order, TOGETHER):
                 pieces.append(piece)
                 tokens += len(piece[1])
                 if tokens >= TOGETHER:
@@ -176,22 +201,19 @@ def _counted(batches: Iterator[pd.DataFrame], order: int) -> Iterator[pd.DataFra
                     pieces, tokens, texts = [], 0, 0
     if pieces:
         yield counted(pieces, texts)
+    if len(often[0]):
+        yield rows(*_added(*often))
 
 
-def count_ngrams(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """``size``, ``h`` (64-bit hash) and ``n`` of all n-grams of up to ``order`` tokens of whole texts.
+def count_ngrams(docs: DataFrame, order: int = ORDER, segments: int = 1) -> DataFrame:
+    """``segment``, ``size``, ``h`` (64-bit hash) and ``n`` of all n-grams of up to ``order`` tokens of whole texts.
 
-    A null text is empty and has the end token alone.
+    A null text is empty and has the end token alone. The rows of a segment are in one partition.
     """
-    rows = docs.select("text").mapInPandas(lambda batches: _counted(batches, order), "size byte, h long, n long")
-    return rows.groupBy("size", "h").agg(F.sum("n").alias("n"))
-
-
-def _level(n: Column) -> Column:
-    """Level of a count; the first levels are the counts themselves."""
-    plain = int(np.argmax(np.diff(LEVELS) > 1)) + 1
-    above = F.size(F.filter(F.array(*(F.lit(int(x)) for x in LEVELS)), lambda least: least <= n))
-    return F.when(n <= plain, n.cast("int")).otherwise(above)
+    run = lambda batches: _counted(batches, order, segments)
+    rows = docs.select("text").mapInPandas(run, "segment int, size byte, h long, n long")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "segment").groupBy("segment", "size", "h").agg(F.sum("n").alias("n"))
 
 
 def _prior(contexts: pd.DataFrame, once: float) -> float:
@@ -214,13 +236,13 @@ def _place(h: Column, segments: int) -> Column:
     return F.pmod(F.shiftrightunsigned(h, 40), F.lit(segments).cast("long")).cast("int")
 
 
-def _marks(h: np.ndarray, level: np.ndarray | int, words: int) -> tuple[np.ndarray, np.ndarray]:
+def _marks(h: np.ndarray, level: np.ndarray | int, words: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
     """Word of the segment and four bits in it that stand for (n-gram, level)."""
     with np.errstate(over="ignore"):
         g = mix64(h + np.asarray(level, U64) * _STEP)
     one, low = U64(1), U64(63)
     bits = (one << (g & low)) | (one << (g >> U64(6) & low)) | (one << (g >> U64(12) & low)) | (one << (g >> U64(18) & low))
-    return (g >> U64(24)) % U64(words), bits
+    return (g >> U64(24)) % np.asarray(words, U64), bits
 
 
 def fill_segment(h: np.ndarray, level: np.ndarray, words: int) -> np.ndarray:
@@ -236,13 +258,13 @@ def fill_segment(h: np.ndarray, level: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def probe_levels(h: np.ndarray, bits: np.ndarray, offset: np.ndarray, words: int) -> np.ndarray:
-    """Levels of n-grams by probes of level 1, 2 and so on; ``offset`` is where the segment of each begins in ``bits``."""
+def probe_levels(h: np.ndarray, bits: np.ndarray, offset: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Levels of n-grams by probes of level 1, 2 and so on; the segment of each has ``words`` words from ``offset`` on."""
     found = np.zeros(len(h), np.int16)
     live = np.arange(len(h))
     k = 1
     while len(live) and k < len(LOW):
-        word, mark = _marks(h[live], k, words)
+        word, mark = _marks(h[live], k, np.maximum(words[live], U64(1)))
         hit = bits[(offset[live] + word).astype(np.int64)] & mark == mark
         live = live[hit]
         found[live] = k
@@ -252,7 +274,7 @@ def probe_levels(h: np.ndarray, bits: np.ndarray, offset: np.ndarray, words: int
 
 @dataclass
 class Model:
-    """Counts of the training texts and the filter, as a table of segments (``segment``, ``bits``)."""
+    """Counts of the training texts: ``counts`` of words (h, n), and the filter as a table (segment, words, bits)."""
 
     order: int
     tokens: int
@@ -261,32 +283,53 @@ class Model:
     counts: DataFrame
     filter: DataFrame
     segments: int
-    words: int
+    bytes: int
 
 
-def fit_model(docs: DataFrame, order: int = ORDER) -> Model:
-    """Counts the n-grams of all ``docs`` and enters them into the filter. Without rows every probability is one."""
+_FITTED = "kind byte, segment int, words int, bits binary, size byte, level short, grams long, tokens long, h long, n long"
+_SEGMENT, _LEVELS, _WORD = 0, 1, 2
+
+
+def _fitted(rows: pd.DataFrame, bits: int) -> pd.DataFrame:
+    """What a segment's counts give: its bits, the n-grams and tokens of each size and level, and the counts of words."""
+    h, n, size = rows["h"].to_numpy().view(U64), rows["n"].to_numpy(), rows["size"].to_numpy()
+    level = level_of(n)
+    segment = int(rows["segment"].iloc[0])
+    words = max(64, -(-int(level.sum()) * bits // 64))
+    filled = pd.DataFrame({"kind": [_SEGMENT], "words": [words], "bits": [fill_segment(h, level, words).tobytes()]})
+    told = pd.DataFrame({"size": size, "level": level, "grams": 1, "tokens": n})
+    told = told.groupby(["size", "level"], as_index=False).sum().assign(kind=_LEVELS)
+    one = size == 1
+    counts = pd.DataFrame({"kind": _WORD, "h": h[one].view(np.int64), "n": n[one]})
+    out = pd.concat([filled, told, counts]).assign(segment=segment)
+    whole = {"words": "Int32", "size": "Int8", "level": "Int16", "grams": "Int64", "tokens": "Int64", "h": "Int64", "n": "Int64"}
+    # The whole numbers pass through floats in the concatenation, where hashes would lose digits, so they are set anew.
+    out["h"] = pd.array([0] * (1 + len(told)) + [0] * len(counts), "Int64")
+    out.iloc[1 + len(told) :, out.columns.get_loc("h")] = counts["h"].to_numpy()
+    return out.astype({k: v for k, v in whole.items() if k != "h"})[[part.split()[0] for part in _FITTED.split(", ")]]
+
+
+def fit_model(docs: DataFrame, order: int = ORDER, bits: int = BITS) -> Model:
+    """Counts the n-grams of all ``docs`` and enters them into the filter. Without rows every probability is one.
+
+    ``bits`` is the number of bits of the filter for each level of an n-gram.
+    """
     spark = docs.sparkSession
-    counts = write_table(count_ngrams(docs, order))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    segments = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SEGMENT_TEXT))
+    counts = count_ngrams(docs, order, segments)
+    fitted = write_table(counts.groupBy("segment").applyInPandas(lambda rows: _fitted(rows, bits), _FITTED))
     release_shuffles(spark)
-    levelled = counts.select("size", "h", "n", _level(F.col("n")).alias("level"))
-    levels = levelled.groupBy("size", "level").agg(F.count(F.lit(1)).alias("grams"), F.sum("n").alias("tokens")).toPandas()
+    levels = fitted.where(F.col("kind") == _LEVELS).groupBy("size", "level")
+    levels = levels.agg(F.sum("grams").alias("grams"), F.sum("tokens").alias("tokens")).toPandas()
     of = {size: levels[levels["size"] == size] for size in range(order + 1)}
     once = [int(of[o].loc[of[o]["level"] == 1, "grams"].sum()) for o in range(1, order + 1)]
     priors = [_prior(of[o - 1], once[o - 1]) if len(of[o - 1]) else 1.0 for o in range(2, order + 1)]
-    entries = int((levels["level"] * levels["grams"]).sum())
-    segments = max(1, -(-entries * BITS // (8 * SEGMENT)))
-    words = max(16, -(-entries * BITS // (64 * segments)))
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        bits = fill_segment(rows["h"].to_numpy().view(U64), rows["level"].to_numpy(), words)
-        return pd.DataFrame({"segment": rows["segment"].iloc[:1], "bits": [bits.tobytes()]})
-
-    placed = levelled.select(_place(F.col("h"), segments).alias("segment"), "h", F.col("level").cast("short").alias("level"))
-    filled = write_table(placed.groupBy("segment").applyInPandas(fill, "segment int, bits binary"))
-    release_shuffles(spark)
     tokens, distinct = int(of[1]["tokens"].sum()), int(of[1]["grams"].sum())
-    return Model(order, tokens, distinct, priors, counts, filled, segments, words)
+    filled = fitted.where(F.col("kind") == _SEGMENT).select("segment", "words", "bits")
+    words = filled.agg(F.sum(F.col("words").cast("long"))).first()[0] or 0
+    counts = fitted.where(F.col("kind") == _WORD).select("h", "n")
+    return Model(order, tokens, distinct, priors, counts, filled, segments, 8 * words)
 
 
 def token_logs(grams: list[np.ndarray], histories: list[np.ndarray], model: dict) -> np.ndarray:
@@ -324,10 +367,11 @@ def _score_batches(batches: Iterator[pd.DataFrame], model: dict, heavy, bits) ->
     order, key = model["order"], TaskContext.get().partitionId() << 33
     unit = math.log10(model["tokens"] + 0.5 * (model["distinct"] + 1))
     heavy_h, heavy_n = heavy.value
-    table = bits.value if bits is not None else None
+    offsets, table = bits.value if bits is not None else (None, None)
 
     def levels(h: np.ndarray) -> np.ndarray:
-        return probe_levels(h, table, _places(h, model["segments"]) * U64(model["words"]), model["words"])
+        at = _places(h, model["segments"]).astype(np.int64)
+        return probe_levels(h, table, offsets[at], offsets[at + 1] - offsets[at])
 
     def about(h: np.ndarray) -> list[np.ndarray]:
         """Exact count of a frequent word (0 for others) and level of each new word."""
@@ -348,7 +392,7 @@ def _score_batches(batches: Iterator[pd.DataFrame], model: dict, heavy, bits) ->
         rare_n: list[list] = [[] for _ in texts]
 
         def add(owners: list[int], pieces: list) -> None:
-            stretch = stretch_of(pieces, order)
+            stretch = stretch_of(pieces, words_of, order)
             counts, word_levels = words_of.columns
             owner = np.repeat(owners, stretch.lengths)
             sums = lambda x: np.bincount(owner, x, rows)
@@ -370,7 +414,7 @@ def _score_batches(batches: Iterator[pd.DataFrame], model: dict, heavy, bits) ->
 
         owners, pieces, tokens = [], [], 0
         for at, text in enumerate(texts):
-            for piece in _pieces(text, words_of, order, TOGETHER):
+            for piece in _pieces(text, order, TOGETHER):
                 owners.append(at)
                 pieces.append(piece)
                 tokens += len(piece[1])
@@ -398,15 +442,15 @@ def _travelling_scores(docs: DataFrame, model: Model, plain: dict) -> DataFrame:
     ``docs`` has ``_key`` and ``text``. A text goes in chunks of CHUNK tokens. A segment that many ask is copied, so that
     no group has more than about GROUP rows.
     """
-    order, segments, words = model.order, model.segments, model.words
+    order, segments = model.order, model.segments
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words_of = Vocabulary()
         for batch in batches:
             for key, text in zip(batch["_key"], batch["text"]):
                 rows = []
-                for number, piece in enumerate(_pieces(text, words_of, order, CHUNK)):
-                    h, at = _laid_out(stretch_of([piece], order))
+                for number, piece in enumerate(_pieces(text, order, CHUNK)):
+                    h, at = _laid_out(stretch_of([piece], words_of, order))
                     rows.append((key, number, h.view(np.int64), at.astype(np.int32).tobytes()))
                 words_of.make_room()
                 yield pd.DataFrame(rows, columns=["_key", "number", "h", "at"])
@@ -422,8 +466,8 @@ def _travelling_scores(docs: DataFrame, model: Model, plain: dict) -> DataFrame:
 
     def answer(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         h = left["h"].to_numpy().view(U64)
-        bits = np.frombuffer(right["bits"].iloc[0], U64) if len(right) else np.zeros(words, U64)
-        level = probe_levels(h, bits, np.zeros(len(h), U64), words)
+        bits = np.frombuffer(right["bits"].iloc[0], U64) if len(right) else np.zeros(1, U64)
+        level = probe_levels(h, bits, np.zeros(len(h), U64), np.full(len(h), len(bits), U64))
         return left[["_key", "number", "pos"]].assign(level=level)
 
     by = ["segment", "copy"]
@@ -459,20 +503,24 @@ def score_texts(docs: DataFrame, model: Model, broadcast: int = BROADCAST) -> Da
     context = spark.sparkContext
     added = ["n_tokens", "n_known", "base_score", "score", "train_tokens", "_key", "rare", "rare_n"]
     docs = docs.drop(*added)
-    words = model.counts.where("size = 1").select("h", "n")
     share = max(1, -(-model.tokens // HEAVY))
-    found = words.where(F.col("n") >= share).toPandas()  # HEAVY words at most
+    found = model.counts.where(F.col("n") >= share).toPandas()  # HEAVY words at most
     h, n = found["h"].to_numpy(np.int64).view(U64), found["n"].to_numpy(np.int64)
     by = np.argsort(h)
     heavy = context.broadcast((h[by], n[by]))
-    plain = {k: getattr(model, k) for k in ("order", "tokens", "distinct", "priors", "segments", "words")}
+    plain = {k: getattr(model, k) for k in ("order", "tokens", "distinct", "priors", "segments")}
     bits = None
-    small = 8 * model.segments * model.words <= broadcast
+    small = model.bytes <= broadcast
     if small:
-        table = np.zeros(model.segments * model.words, U64)
-        for row in model.filter.toLocalIterator():  # one partition at a time; their sum is bounded
-            table[row.segment * model.words :][: model.words] = np.frombuffer(row.bits, U64)
-        bits = context.broadcast(table)
+        sizes = np.zeros(model.segments + 1, np.int64)
+        for row in model.filter.select("segment", "words").toLocalIterator():
+            sizes[row.segment + 1] = row.words
+        offsets = np.cumsum(sizes).astype(U64)
+        table = np.zeros(model.bytes // 8 + 1, U64)  # the word more is for segments without n-grams
+        for row in model.filter.select("segment", "bits").toLocalIterator():  # one partition at a time; their sum is bounded
+            at = int(offsets[row.segment])
+            table[at : at + len(row.bits) // 8] = np.frombuffer(row.bits, U64)
+        bits = context.broadcast((offsets, table))
         del table
     names = [c for c in docs.columns if c != "text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), _PASS])
@@ -485,7 +533,7 @@ def score_texts(docs: DataFrame, model: Model, broadcast: int = BROADCAST) -> Da
     passed = write_table(source.mapInPandas(run, schema))
 
     terms = passed.select("_key", F.explode(F.arrays_zip("rare", "rare_n")).alias("t")).select("_key", "t.*")
-    lookup = words.where(F.col("n") < share).select(F.col("h").alias("word"), "n")
+    lookup = model.counts.where(F.col("n") < share).select(F.col("h").alias("word"), "n")
     known = terms.join(lookup, F.col("rare") == F.col("word"))
     more = known.groupBy(F.col("_key").alias("_of")).agg(
         F.sum("rare_n").alias("more_known"),
