@@ -270,11 +270,13 @@ def near_duplicates(
     sized = members.join(sketches.select("node", "n"), "node")
     pivots = sized.groupBy("bucket").agg(F.max(F.struct("degree", "node", "n")).alias("p"))
     fits = under * F.least("n", "p.n") >= over * F.greatest("n", "p.n")
-    links = test(
-        sized.join(pivots, "bucket")
-        .where((F.col("node") != F.col("p.node")) & fits)
-        .select(F.col("node").alias("a"), F.col("p.node").alias("b"))
-        .distinct()
+    links = _one_link_each(
+        test(
+            sized.join(pivots, "bucket")
+            .where((F.col("node") != F.col("p.node")) & fits)
+            .select(F.col("node").alias("a"), F.col("p.node").alias("b"))
+            .distinct()
+        )
     )
     labels = components(links)
     release_shuffles(docs.sparkSession)
@@ -325,6 +327,19 @@ def near_duplicates(
     )
 
 
+def _one_link_each(links: DataFrame) -> DataFrame:
+    """Links that connect the same nodes: each node keeps one pivot, and its other pivots are linked with that one.
+
+    A node has a pivot for each band at most, and the nodes of a family share few pivots, so about one link for each node
+    is left.
+    """
+    own = links.groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("pivots"))
+    first = F.element_at("pivots", 1)
+    others = F.transform(F.slice("pivots", 2, F.size("pivots")), lambda p: F.struct(first.alias("a"), p.alias("b")))
+    edges = F.concat(F.array(F.struct(F.col("a"), first.alias("b"))), others)
+    return cut_lineage(own.select(F.explode(edges).alias("e")).select("e.a", "e.b").distinct())
+
+
 def _undecided(rows: DataFrame) -> DataFrame:
     """Rows of the buckets that hold nodes of two or more classes."""
     split = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
