@@ -1,13 +1,16 @@
 """Times headline queries and prints one JSON line.
 
-Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default: all), BENCH_QUERIES (comma list, or ``all``).
+Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default: all), BENCH_QUERIES (comma list, or ``all``),
+BENCH_LIMIT (seconds for a query, 180) and BENCH_TOTAL (seconds for all, 1500). What is over a limit is listed as failed.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import signal
 import sys
+import threading
 import time
 
 from wavelake.catalog import load_catalog
@@ -55,10 +58,35 @@ HEADLINE = [
 ]
 
 
+def report(times: dict[str, float], failed: dict[str, str], folder: str) -> str:
+    result = {
+        "metric": "headline_query_seconds",
+        "value": round(sum(times.values()), 3),
+        "unit": "sec",
+        "queries": times,
+        "sf": folder.rstrip("/").rsplit("sf", 1)[-1],
+    }
+    return json.dumps(result | ({"failed": failed} if failed else {}))
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
     wanted = os.environ.get("BENCH_QUERIES", "")
+    each, whole = (float(os.environ.get(name, default)) for name, default in (("BENCH_LIMIT", "180"), ("BENCH_TOTAL", "1500")))
+    times: dict[str, float] = {}
+    failed: dict[str, str] = {}
+
+    def stop(why: str) -> None:
+        """Prints what is there and ends, also where the driver is stuck in a plan."""
+        failed["stopped"] = why
+        print(report(times, failed, folder), flush=True)
+        os._exit(0)
+
+    signal.signal(signal.SIGTERM, lambda *_: stop("terminated"))
+    last = threading.Timer(whole, stop, [f"after {whole:g} s"])
+    last.daemon = True
+    last.start()
     spark = build_session(
         "bench",
         f"local[{cpus}]",
@@ -75,23 +103,20 @@ def main() -> None:
     # Starts the JVM code paths and the Python workers, so the first query is not charged for them.
     spark.range(1000).repartition(int(cpus)).mapInPandas(lambda parts: parts, "id BIGINT").count()
     queries["agg11_levels"](spark, folder).write.format("noop").mode("overwrite").save()
-    times = {}
     for name in names:
         began = time.perf_counter()
-        queries[name](spark, folder).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - began, 3)
-        print(name, times[name], file=sys.stderr, flush=True)
-    print(
-        json.dumps(
-            {
-                "metric": "headline_query_seconds",
-                "value": round(sum(times.values()), 3),
-                "unit": "sec",
-                "queries": times,
-                "sf": folder.rstrip("/").rsplit("sf", 1)[-1],
-            }
-        )
-    )
+        limit = threading.Timer(each, spark.sparkContext.cancelAllJobs)
+        limit.start()
+        try:
+            queries[name](spark, folder).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.perf_counter() - began, 3)
+        except Exception as error:  # noqa: BLE001 - one query must not hide the others
+            failed[name] = f"{type(error).__name__} after {time.perf_counter() - began:.0f} s"
+        finally:
+            limit.cancel()
+        print(name, times.get(name, failed.get(name)), file=sys.stderr, flush=True)
+    last.cancel()
+    print(report(times, failed, folder))
     spark.stop()
 
 

@@ -131,3 +131,60 @@ def test_score_triplets_of_a_copy(spark):
     pairs = spark.createDataFrame([("m", "wind", 5.0)], "mixture_id string, category string, target_snr_db double")
     row = R.score_triplets(df, pairs, "copy").first()
     assert row.output_snr_db == float("inf") and row.category == "wind" and row.rtf is None
+
+
+def test_clean_folder_writes_and_reports(spark, tmp_path):
+    from wavelake.operators.filters import butterworth
+
+    rng = np.random.default_rng(23)
+    source = tmp_path / "in"
+    (source / "deep").mkdir(parents=True)
+    (source / "a.wav").write_bytes(WV.wav_bytes(rng.normal(size=700) * 0.2 + 0.1))
+    (source / "deep/b.wav").write_bytes(WV.wav_bytes(rng.normal(size=90) * 0.2))
+    (source / "bad.wav").write_bytes(b"nothing")
+    report, totals = R.clean_folder(spark, str(source), str(tmp_path / "out"), butterworth(70, None, 2000), butterworth(80, 400, 2000), size=128)
+    assert {(r.path, r.frames, r.error) for r in report.collect()} == {
+        ("a.wav", 700, None), ("deep/b.wav", 90, None), ("bad.wav", None, "not a RIFF/WAVE file"),
+    }
+    row = totals.first()
+    assert (row.files, row.failed) == (3, 1) and row.audio_sec == pytest.approx(790 / 48000) and row.rtf > 0
+    assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.wav")) == ["a.wav", "deep/b.wav"]
+
+
+def test_measured_pairs(spark, tmp_path):
+    from wavelake.operators.pairs import measure_pairs
+    from wavelake.operators.rules import validate_pairs
+
+    rng = np.random.default_rng(24)
+    clean = rng.normal(size=5000) * 0.1
+    noise = rng.normal(size=5000) * 0.01
+    late = np.concatenate([np.zeros(7), clean[:-7]]) + noise
+    signals = {"good": clean + noise, "late": late, "same": clean, "short": clean[:-1], "loud": np.clip(clean * 30, -1, 1)}
+    for name, x in {**signals, "clean": clean, "silent": clean * 0}.items():
+        (tmp_path / f"{name}.wav").write_bytes(WV.wav_bytes(x))
+    (tmp_path / "bad.wav").write_bytes(b"RIFF")
+    at = lambda name: f"file:{tmp_path}/{name}.wav"
+    rows = [(n, at(n), at("clean"), 5000 / 48000, 20.0) for n in [*signals, "bad"]]
+    rows += [("quiet", at("good"), at("silent"), 5000 / 48000, 20.0), ("gone", None, at("clean"), 1.0, 1.0), (None, at("good"), at("clean"), 1.0, 1.0)]
+    pairs = spark.createDataFrame(rows, "noisy_relpath string, noisy_path string, clean_path string, duration_sec_meta double, measured_snr_db_meta double")
+    measured = measure_pairs(pairs, block=512)
+    got = {r.noisy_relpath: r for r in validate_pairs(measured).collect()}
+    assert len(got) == 8
+    assert (got["good"].audio_status, got["good"].audio_flags, got["good"].alignment_lag) == ("PASS", [], 0)
+    quantised = lambda x: np.rint(x * 32768) / 32768
+    residual = quantised(clean + noise) - quantised(clean)
+    assert got["good"].rms_residual == pytest.approx(np.sqrt(np.mean(residual**2)), rel=1e-6)
+    assert got["good"].peak_noisy == pytest.approx(np.abs(quantised(clean + noise)).max())
+    assert got["late"].audio_flags[0] == "misaligned (7 samples)"
+    assert "no residual noise" in got["same"].audio_flags
+    assert got["short"].audio_flags == ["length mismatch"]
+    assert "noisy clipped" in got["loud"].audio_flags
+    assert "silent clean" in got["quiet"].audio_flags
+    assert got["bad"].audio_flags[0].startswith("unreadable") and got["gone"].audio_flags == ["noisy missing"]
+
+
+def test_summary_rows_hold_every_table(made, library):
+    tables = R.dataset_summary(made.records, R.explode_noises(made.records), library[1].withColumnRenamed("noise_category", "category"))
+    rows = R.summary_rows(tables).collect()
+    assert {r.section for r in rows} == set(tables)
+    assert sum(r.value for r in rows if r.section == "splits" and r.measure == "samples") == made.records.count()

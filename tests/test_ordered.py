@@ -125,3 +125,43 @@ def test_null_keys_keep_their_rows(spark):
     assert O.ordered_running(rows, ["k"], ["t"], "x", "sum", "s").where("s = 3.0").count() == 2
     assert O.block_totals(rows, ["k"]).where("_n = 2").count() == 2
     assert O.attach(rows, rows.groupBy("k").count(), ["k"]).count() == 3
+
+
+def test_percentile_with_outliers(spark):
+    """One value far out, many ties and a null key: the splitters still close in on the rank."""
+    rng = np.random.default_rng(6)
+    groups = {
+        "far": [*rng.normal(size=30_000), 1e30],
+        "ties": [1.0] * 500 + [2.0] * 3,
+        "one": [5.0],
+        None: [*rng.integers(0, 4, 999).astype(float), 1e200, -1e200],
+    }
+    rows = [(k, float(v)) for k, values in groups.items() for v in values] + [("one", None), ("one", float("nan"))]
+    df = spark.createDataFrame(rows, "key string, x double").repartition(7)
+    for q in (0.0, 0.37, 0.95, 1.0):
+        got = {r.key: r.p for r in O.exact_percentile(df, ["key"], "x", q, "p").collect()}
+        for key, values in groups.items():
+            want = np.percentile(values, q * 100)
+            assert got[key] == pytest.approx(want)
+
+
+def test_size_estimates_do_not_grow_from_round_to_round(spark):
+    from wavelake.session import settled
+
+    df = spark.range(2000).select((F.col("id") % 7).alias("key"), F.col("id").alias("t"), F.rand(1).alias("x"))
+    df = O.with_block(df, "t", 100)
+    for _ in range(10):
+        df = settled(O.block_totals(O.block_totals(df, ["key"], {"_s": F.col("x")}).drop("_s", "_n"), ["key"], {"_s": F.col("x")}).drop("_s", "_n"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    assert size < 1_000_000
+
+
+def test_fold_blocks_in_both_directions(spark):
+    rows = [(k, b, float(b + 1)) for k in (1, None) for b in range(50)]
+    df = spark.createDataFrame(rows, "key bigint, block bigint, v double").repartition(6)
+    step = lambda total, row: (total + row.v, (total,))
+    up = {(r.key, r.block): r.before for r in O.fold_blocks(df, ["key"], lambda: 0.0, step, "before double").collect()}
+    down = {(r.key, r.block): r.before for r in O.fold_blocks(df, ["key"], lambda: 0.0, step, "before double", backward=True).collect()}
+    for key in (1, None):
+        assert [up[key, b] for b in range(50)] == [b * (b + 1) / 2 for b in range(50)]
+        assert [down[key, b] for b in range(50)] == [sum(range(b + 2, 51)) for b in range(50)]

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wavelake.operators import filters as FB
 from wavelake.operators import signals as S
 from wavelake.plans.ordered import with_block
 
@@ -149,3 +150,59 @@ def test_blocks_round_trip(spark, signals):
     assert blocks.selectExpr("max(size(samples))").first()[0] <= 64
     got = arrays(S.samples_from_blocks(blocks))
     assert np.allclose(got["long"], signals["long"].astype(np.float32))
+
+
+# Forward and backward -------------------------------------------------------------------------------------------
+
+
+def sections_by_definition(low, high, rate, n=4):
+    """Numerator and denominator from the poles of the analogue low-pass, as whole polynomials."""
+    p = np.exp(1j * np.pi * (2 * np.arange(n) + n + 1) / (2 * n))
+    w = [2 * rate * np.tan(np.pi * f / rate) for f in (low, high) if f]
+    if low and high:
+        band, middle = w[1] - w[0], np.sqrt(w[0] * w[1])
+        poles = np.concatenate([np.roots([1, -q * band, middle**2]) for q in p])
+        zeros, gain = np.zeros(n), band**n
+    elif low:
+        poles, zeros, gain = w[0] / p, np.zeros(n), 1.0
+    else:
+        poles, zeros, gain = w[0] * p, np.zeros(0), w[0] ** n
+    turn = lambda s: (2 * rate + s) / (2 * rate - s)
+    gain = gain * np.real(np.prod(2 * rate - zeros) / np.prod(2 * rate - poles))
+    zeros = np.concatenate([turn(zeros), -np.ones(len(poles) - len(zeros))])
+    return gain * np.real(np.poly(zeros)), np.real(np.poly(turn(poles)))
+
+
+def both_ways_by_definition(x, b, a, pad):
+    """A plain difference equation over the reflected signal, from the state of rest, there and back."""
+    reach = min(pad, len(x) - 1)
+    whole = np.concatenate([2 * x[0] - x[1 : reach + 1][::-1], x, 2 * x[-1] - x[-reach - 1 : -1][::-1]]) if reach else x
+
+    def once(u):
+        level = u[0] * b.sum() / a.sum()
+        y = []
+        for i in range(len(u)):
+            past_u = [u[i - k] if i >= k else u[0] for k in range(len(b))]
+            past_y = [y[i - k] if i >= k else level for k in range(1, len(a))]
+            y.append(np.dot(b, past_u) - np.dot(a[1:], past_y))
+        return np.array(y)
+
+    y = once(once(whole)[::-1])[::-1]
+    return y[reach : len(y) - reach] if reach else y
+
+
+@pytest.mark.parametrize("low, high", [(70, None), (80, 400), (None, 300)])
+def test_forward_backward_by_definition(spark, low, high):
+    rng = np.random.default_rng(21)
+    signals = {"a": rng.normal(size=700).cumsum(), "b": rng.normal(size=20), "c": rng.normal(size=1), "d": np.ones(130)}
+    sections = FB.butterworth(low, high, 2000)
+    b, a = sections_by_definition(low, high, 2000)
+    assert np.allclose(np.polymul(sections[0, :3], sections[1, :3]) if not (low and high) else b, b)
+    for size in (64, 100_000) if low == 70 else (100,):
+        got = arrays(FB.forward_backward(table(spark, signals), sections, size=size))
+        for name, x in signals.items():
+            assert np.allclose(got[name], both_ways_by_definition(x, b, a, FB.reach_beyond(sections)), atol=1e-6), (name, size)
+
+
+def test_forward_backward_of_nothing(spark):
+    assert FB.forward_backward(table(spark, {"a": np.ones(3)}).where("false"), FB.butterworth(70, None, 2000)).count() == 0

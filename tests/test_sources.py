@@ -17,7 +17,8 @@ from wavelake.sources import wav as WV
 def tree(tmp_path_factory):
     root = tmp_path_factory.mktemp("tree")
     rng = np.random.default_rng(0)
-    for rel, n in (("wav/hi/s1/a.wav", 500), ("wav/hi/s2/b.WAV", 130), ("noise/wind/w.wav", 300), ("noise/top.wav", 90), ("wav/.hid/c.wav", 5)):
+    files = [("wav/hi/s1/a.wav", 500), ("wav/hi/s2/b.WAV", 130), ("noise/wind/w.wav", 300), ("noise/top.wav", 90), ("wav/.hid/c.wav", 5)]
+    for rel, n in [*files, ("named/_city/a.wav", 20), ("named/_x.wav", 30), ("named/deep/er/é b.wav", 40)]:
         path = root / rel
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(WV.wav_bytes(rng.normal(size=n) * 0.1))
@@ -151,3 +152,76 @@ def test_manifest_is_text(spark, tmp_path):
     path = tmp_path / "m.csv"
     path.write_text(",".join(MANIFEST_FIELDS) + "\n" + ",".join(["1"] * len(MANIFEST_FIELDS)) + "\n")
     assert FI.read_manifest(spark, str(path)).first().role == "1"
+
+
+def test_listing_keeps_underscores_and_leaves_links(spark, tree):
+    (tree / "named/linked").symlink_to(tree / "wav")
+    scan = FI.scan_files(spark, str(tree), "named").collect()
+    assert [(r.rel, r.size) for r in scan] == [("named/_city/a.wav", 84), ("named/_x.wav", 104), ("named/deep/er/é b.wav", 124)]
+    assert all(r.path == f"file:{tree}/{r.rel}" and r.mtime for r in scan)
+    probed = WV.probe_wav(FI.scan_files(spark, str(tree), "named"))
+    assert sorted(r.frames for r in probed.collect()) == [20, 30, 40]
+
+
+def test_probe_reads_the_head_alone(tmp_path, monkeypatch):
+    """A long file with a chunk before the audio: a few ranges of a few bytes, never the samples."""
+    import struct
+
+    from wavelake.sources.stores import RangedFile
+
+    content = WV.wav_bytes(np.zeros(200_000))
+    junk = b"LIST" + struct.pack("<I", 9000) + b"x" * 9000
+    path = tmp_path / "long.wav"
+    path.write_bytes(content[:12] + junk + content[12:])
+    file = RangedFile(str(path))
+    asked = []
+    read = file.read
+    monkeypatch.setattr(file, "read", lambda start, length: (asked.append(length), read(start, length))[1])
+    layout = WV.wav_layout(file)
+    assert (layout["frames"], layout["data"]) == (200_000, 44 + len(junk))
+    assert sum(asked) < 200
+
+
+def test_long_file_is_read_by_many_tasks(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=50_000) * 0.1
+    (tmp_path / "long.wav").write_bytes(WV.wav_bytes(x))
+    files = spark.createDataFrame([(f"file:{tmp_path}/long.wav",)], "path string")
+    blocks = WV.read_wav_blocks(files, 1000, range_bytes=4000).withColumn("task", F.spark_partition_id())
+    rows = blocks.orderBy("block").collect()
+    assert len(rows) == 50 and len({r.task for r in rows}) > 1
+    assert np.allclose(np.concatenate([r.samples for r in rows]), np.rint(x * 32768) / 32768)
+    part = WV.read_wav_blocks(files, 1000, 1500, 3200, 4000).orderBy("block").collect()
+    assert [(r.block, r.start, len(r.samples)) for r in part] == [(1, 1500, 500), (2, 2000, 1000), (3, 3000, 200)]
+    assert WV.read_wav_blocks(files, 1000, 60_000).count() == 0
+    missing = spark.createDataFrame([(f"file:{tmp_path}/none.wav",)], "path string")
+    assert WV.read_wav_blocks(missing).first().error
+
+
+def test_failed_write_leaves_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([("a.wav", 0, [0.1] * 10), ("b.wav", 0, [0.2] * 10)], "path string, block bigint, samples array<float>")
+    out = tmp_path / "out"
+    broken = rows.withColumn("samples", F.when(F.col("path") == "b.wav", F.array(F.raise_error(F.lit("stop")).cast("float"))).otherwise(F.col("samples")))
+    with pytest.raises(Exception, match="stop"):
+        WV.write_wav(broken, str(out))
+    assert not [p for p in out.rglob("*") if p.is_file()]
+    short = rows.select("path", F.lit(11).cast("bigint").alias("frames"), "samples")
+    spark.dataSource.register(WV.WavSink)
+    with pytest.raises(Exception, match="missing"):
+        short.write.format("wav_files").mode("append").save(str(out))
+    assert not [p for p in out.rglob("*") if p.is_file()]
+    WV.write_wav(rows, f"file:{out}")
+    WV.write_wav(rows.where("path = 'b.wav'").withColumn("samples", F.array(F.lit(0.5).cast("float"))), str(out))
+    assert sorted(p.name for p in out.iterdir()) == ["a.wav", "b.wav"]
+    assert WV.wav_layout((out / "b.wav").read_bytes())["frames"] == 1
+
+
+def test_archives_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("x.zip", "a/1.txt", b"one"), ("x.zip", "2.txt", b"two"), ("y.zip", "2.txt", b"other"), ("y.zip", "3.txt", b"")], "archive string, member string, content binary")
+    made = FI.write_archives(rows, str(tmp_path / "zips"))
+    assert {tuple(r) for r in made.collect()} == {("x.zip", 2), ("y.zip", 2)}
+    paths = [str(tmp_path / "zips/y.zip"), str(tmp_path / "zips/x.zip")]
+    got = {r.path: bytes(r.content) for r in FI.read_members(spark, paths).collect()}
+    assert got == {"zip:2.txt": b"other", "zip:3.txt": b"", "zip:a/1.txt": b"one"}
+    some = spark.createDataFrame([("3.txt",), ("none",)], "member string")
+    assert [r.path for r in FI.read_members(spark, paths, some).collect()] == ["zip:3.txt"]

@@ -175,10 +175,10 @@ def test_canceller_groups_and_stream_by_definition(spark):
     s, mask = 0.9 * y, rng.random((40, 12)) * 0.5
     frames = canceller_frames(spark, s, y, x, mask, clipped={5, 6})
     want = canceller_by_definition(s, y, x, mask, {5, 6})
-    got = K.nlms_cancel(frames, bins_per_group=5).orderBy("frame").collect()
+    got = K.nlms_cancel(frames, block=7).orderBy("frame").collect()
     z = np.array([np.array(r.z_re) + 1j * np.array(r.z_im) for r in got])
     assert np.allclose(z, want, atol=1e-6)
-    tele = K.canceller_telemetry(K.nlms_cancel(frames, bins_per_group=5)).first()
+    tele = K.canceller_telemetry(K.nlms_cancel(frames, block=7)).first()
     assert tele.frames == 40 and tele.ref_bypass_clipped == 2 and tele.ref_bypass_dead == 0
     flow = {r.frame: np.array(r.z_re) + 1j * np.array(r.z_im) for r in streamed(spark, frames, P.nlms_cancel).collect()}
     assert np.allclose(np.array([flow[t] for t in range(40)]), want, atol=1e-6)
@@ -202,3 +202,94 @@ def test_canceller_without_adaptation_changes_nothing(spark):
     for rows in (K.nlms_cancel(frames).collect(), K.nlms_cancel(dead).collect()):
         for r in rows:
             assert np.allclose(np.array(r.z_re) + 1j * np.array(r.z_im), (y * 0.7)[r.frame], atol=1e-6)
+
+
+@pytest.mark.parametrize("block", [3, 64, 512])
+def test_canceller_blocks_by_definition(spark, block):
+    """Resets that depend on the filter carried in, stretches without learning, and a whole signal in one block."""
+    rng = np.random.default_rng(13)
+    n = 150
+    x = noise(rng, n, 5)
+    y = 0.3 * noise(rng, n, 5) + np.where(np.arange(n)[:, None] < 70, 0.9, -0.9) * x
+    s, mask = 0.8 * y, np.where((np.arange(n)[:, None] // 40) % 2 == 1, 1.0, 0.1) * np.ones((n, 5))
+    frames = canceller_frames(spark, s, y, x, mask, clipped={60, 61, 62})
+    got = K.nlms_cancel(frames, block=block).orderBy("frame").collect()
+    z = np.array([np.array(r.z_re) + 1j * np.array(r.z_im) for r in got])
+    want = canceller_by_definition(s, y, x, mask, {60, 61, 62})
+    assert np.allclose(z, want, atol=1e-9)
+    assert sum(r.bin_guard for r in got) > 0
+
+
+def test_long_raised_stretch_needs_few_rounds(spark, monkeypatch):
+    """A flag that stays up over many blocks: its floor goes on by the summaries, not by running block after block."""
+    rng = np.random.default_rng(14)
+    e = rng.gamma(2.0, 1.0, 1200)
+    e[40:1100] *= 1e5
+    rows = spark.createDataFrame([(None if k else 1, t, float(v)) for k in (0, 1) for t, v in enumerate(e)], "signal_id bigint, frame bigint, energy double")
+    rounds = []
+    kept = K.settled
+    monkeypatch.setattr(K, "settled", lambda df: (rounds.append(1), kept(df))[1])
+    got = K.impulse_flags(rows.repartition(4), block=20).orderBy("frame").collect()
+    want = detector_by_definition(e)
+    for k in (1, None):
+        mine = [r for r in got if r.signal_id == k]
+        assert [r.flag for r in mine] == [up for up, _ in want]
+        assert [r.severity for r in mine] == pytest.approx([s for _, s in want], abs=1e-9)
+    assert len(rounds) < 16  # 53 blocks lie in the stretch
+
+
+# Frames in any order ----------------------------------------------------------------------------------------------
+
+
+def arriving(spark, df, apply, parts, delay="1 hour"):
+    """Runs the stream over each part in turn; every run goes on from the state of the one before."""
+    from wavelake.session import ensure_checkpoint_dir
+
+    P.use_rocksdb(spark)
+    folder = f"{ensure_checkpoint_dir(spark)}/t-{uuid.uuid4().hex}"
+    for part in parts:
+        df.where(part).write.mode("append").parquet(f"{folder}/in")
+        out = W.run_available(apply(W.read_frames(spark, f"{folder}/in", df.schema).withWatermark("ts", delay)), folder)
+    return out
+
+
+BEGIN = 1_700_000_040  # a full minute; a stream takes rows at the epoch itself for late
+
+
+def timed(df):
+    return df.withColumn("ts", F.timestamp_millis(F.lit(BEGIN * 1000) + F.col("frame") * 10))
+
+
+def test_late_frames_give_the_batch_result(spark, energy_table):
+    want = {(r.signal_id, r.frame): (r.flag, r.severity) for r in K.impulse_flags(energy_table).collect()}
+    part = F.pmod(F.xxhash64("signal_id", "frame"), F.lit(3))
+    out = arriving(spark, timed(energy_table), P.impulse_flags, [part == i for i in (2, 0, 1)]).collect()
+    assert len(out) == len(want)
+    for r in out:
+        assert r.flag == want[r.signal_id, r.frame][0]
+        assert r.severity == pytest.approx(want[r.signal_id, r.frame][1], abs=1e-9)
+
+
+def test_missing_frames_are_given_up_at_the_watermark(spark, energy_table):
+    """Frame 100 never comes, frame 300 comes too late and a second frame 5 comes: the others are worked on without them."""
+    rows = timed(energy_table).where("signal_id = 1 and frame <> 100")
+    parts = [F.col("frame").between(0, 250), (F.col("frame") > 250) & (F.col("frame") != 300), F.col("frame").isin(5, 300)]
+    out = arriving(spark, rows, P.impulse_flags, parts, "10 milliseconds").orderBy("frame").collect()
+    frames = [r.frame for r in out]
+    assert len(frames) == len(set(frames)) and set(frames) <= set(range(400)) - {100, 300}
+    assert set(range(397)) - {100, 300} <= set(frames)
+    used = [f for f in range(400) if f in set(frames)]
+    want = detector_by_definition(energies()[used])
+    assert [r.flag for r in out] == [up for up, _ in want]
+
+
+def test_windows_on_a_stream_drop_only_what_is_behind_the_watermark(spark):
+    rows = spark.createDataFrame(
+        [("a", 0, 1.0), ("a", 50, 2.0), ("a", 130, 3.0), ("a", 20, 4.0), ("a", 400, 5.0), ("a", 10, 100.0), ("a", 900, 6.0)],
+        "signal_id string, frame bigint, value double",
+    ).withColumn("ts", F.timestamp_seconds(F.col("frame") + BEGIN))
+    apply = lambda s: W.tumbling(s, "1 minute", [F.count(F.lit(1)).alias("n"), F.sum("value").alias("v")])
+    parts = [F.col("value").isin(1.0, 2.0, 3.0), F.col("value") == 4.0, F.col("value") == 5.0, F.col("value") == 100.0, F.col("value") == 6.0]
+    out = arriving(spark, rows, apply, parts, "3 minutes").select((F.unix_seconds("start") - BEGIN).alias("s"), "n", "v").collect()
+    # The row of second 20 is late but within the watermark; that of second 10 comes when its window is closed.
+    assert {tuple(r) for r in out} == {(0, 3, 7.0), (120, 1, 3.0), (360, 1, 5.0)}

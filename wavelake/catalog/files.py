@@ -9,29 +9,27 @@ from wavelake.catalog.registry import Tables, query, rounded
 from wavelake.catalog.signals import BAND, HIGH, chain_sql, half_gain, taps_sql
 from wavelake.catalog.views import RECORDS, SIG_PAIRS, SIG_SAMPLES, SOURCES, sql
 from wavelake.jobs.reports import clean_batch as clean_files
+from wavelake.jobs.reports import clean_folder as clean_wavs
 from wavelake.operators import signals as S
+from wavelake.operators.filters import butterworth
 from wavelake.operators.scores import failure_rollup
-from wavelake.session import ensure_checkpoint_dir
+from wavelake.session import ensure_checkpoint_dir, settled
 from wavelake.sources import files as FI
 from wavelake.sources import sinks as K
 from wavelake.sources import wav as WV
+from wavelake.sources.stores import open_store
 
 
 def new_folder(t: Tables) -> str:
     return f"{ensure_checkpoint_dir(t.spark)}/files-{uuid.uuid4().hex}"
 
 
-def mounted(folder: str) -> str:
-    """The folder as a plain path, for writers that need a mounted file system."""
-    return "/" + folder.split(":", 1)[1].lstrip("/") if folder.startswith("file:") else folder
-
-
 def written_wavs(t: Tables) -> str:
     """One WAV file per signal under wav/<group>/<signal>.wav."""
     folder = new_folder(t)
     blocks = S.blocks_from_samples(t.views.sig_samples.select("signal_id", "t", "x"))
     name = F.concat(F.lit("wav/g"), (F.col("signal_id") % 4).cast("string"), F.lit("/"), F.col("signal_id").cast("string"), F.lit(".wav"))
-    WV.write_wav(blocks.withColumn("path", name), mounted(folder)).write.mode("overwrite").parquet(f"{folder}/log")
+    WV.write_wav(blocks.withColumn("path", name), folder)
     return folder
 
 
@@ -88,6 +86,31 @@ def clean_batch(t: Tables):
     return cleaned.select(stem(F.col("signal_id")).alias("signal_id"), "t", rounded(F.col("x")).alias("x"))
 
 
+@query(
+    "job6_clean_folder",
+    sql(COUNTS)
+    + "SELECT concat('g', signal_id % 4, '/', signal_id, '.wav') AS path, CASE WHEN signal_id % 5 = 0 THEN NULL ELSE n END AS frames, CASE WHEN signal_id % 5 = 0 THEN 'not a RIFF/WAVE file' END AS error, "
+    "CASE WHEN signal_id % 5 = 0 THEN NULL ELSE 44 + 2 * n END AS written FROM n",
+)
+def clean_folder(t: Tables):
+    """Files in, files out; every fifth file is damaged and is reported."""
+    source, target = written_wavs(t), new_folder(t)
+    broken = FI.scan_files(t.spark, source, "wav").where(stem_id("rel") % 5 == 0).select("rel")
+
+    def damage(batches):
+        place, root, _ = open_store(source)
+        for batch in batches:
+            for rel in batch["rel"]:
+                with place.open_output_stream(f"{root}/{rel}") as out:
+                    out.write(b"no audio")
+            yield batch
+
+    settled(broken.mapInPandas(damage, "rel STRING"))
+    report, _ = clean_wavs(t.spark, f"{source}/wav", target, butterworth(70, None, 2000), butterworth(80, 400, 2000), half_gain, wet=0.8)
+    out = FI.scan_files(t.spark, target, "").select(F.col("rel").alias("path"), F.col("size").alias("written"))
+    return report.join(out, "path", "left").select("path", "frames", "error", "written")
+
+
 @query(
     "src5_read_sidecar",
     sql(SOURCES)
@@ -150,7 +173,7 @@ def stages(t: Tables):
     for stage, column in (("noisy", "noisy"), ("done", "est")):
         blocks = S.blocks_from_samples(t.views.sig_pairs.select("signal_id", "t", F.col(column).alias("x")))
         named = blocks.withColumn("path", F.concat(F.lit(f"{stage}/"), F.col("signal_id").cast("string"), F.lit(".wav")))
-        WV.write_wav(named, mounted(folder)).write.mode("overwrite").parquet(f"{folder}/log-{stage}")
+        WV.write_wav(named, folder)
     rows = FI.scan_stages(t.spark, {s: f"{folder}/{s}" for s in ("noisy", "done")})
     return rows.groupBy("stage", "stage_ord").agg(F.count(F.lit(1)).alias("files"))
 
@@ -185,3 +208,115 @@ def partitioned_blocks(t: Tables):
     stored = t.spark.read.schema(schema).parquet(folder).where("kind = 'noisy'")
     rows = stored.select("split", F.explode("samples").alias("x"))
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("samples"), rounded(F.sum("x"), 3).alias("total"))
+
+
+@query(
+    "src9_archive_members",
+    "WITH m AS (SELECT concat('g', l_suppkey % 5, '/', l_orderkey % 700, '.txt') AS member, l_linenumber AS archive_ord, concat(l_orderkey, ':', l_linenumber) AS content, "
+    "row_number() OVER (PARTITION BY l_linenumber, l_suppkey % 5, l_orderkey % 700 ORDER BY l_orderkey, l_partkey, l_suppkey) AS rn FROM lineitem) "
+    "SELECT member, min(archive_ord) - 1 AS archive_ord, arg_min(content, archive_ord) AS content, CAST(length(arg_min(content, archive_ord)) AS BIGINT) AS size FROM m WHERE rn = 1 GROUP BY member",
+)
+def archive_members(t: Tables):
+    """One archive for each line number; a member that several archives have is that of the first one."""
+    folder = new_folder(t)
+    rows = t.lineitem.select(
+        F.concat(F.lit("g"), (F.col("l_suppkey") % 5).cast("string"), F.lit("/"), (F.col("l_orderkey") % 700).cast("string"), F.lit(".txt")).alias("member"),
+        F.col("l_linenumber").alias("archive"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("content"),
+        F.struct("l_orderkey", "l_partkey", "l_suppkey").alias("first"),
+    )
+    rows = rows.groupBy("archive", "member").agg(F.min_by("content", "first").alias("content"))
+    numbers = [r.archive for r in rows.select("archive").distinct().orderBy("archive").collect()]
+    FI.write_archives(rows.withColumn("archive", F.concat(F.lit("part-"), F.col("archive").cast("string"), F.lit(".zip"))), folder)
+    paths = [f"{folder}/part-{n}.zip" for n in numbers]
+    listed = FI.scan_archives(t.spark, paths)
+    read = FI.read_members(t.spark, paths).select("path", F.col("content").cast("string").alias("content"))
+    joined = listed.join(read, F.concat(F.lit("zip:"), F.col("member")) == F.col("path"))
+    return joined.select("member", F.col("archive_ord").cast("bigint").alias("archive_ord"), "content", "size")
+
+
+@query(
+    "snk6_refuse_overwrite",
+    "SELECT n AS attempt, n NOT IN (2) AS written, CASE n WHEN 1 THEN c WHEN 2 THEN c WHEN 3 THEN 2 * c ELSE c END AS rows "
+    "FROM (SELECT count(*) AS c FROM customer), (VALUES (1), (2), (3), (4)) v(n)",
+)
+def refuse_overwrite(t: Tables):
+    """The same table written four times: new, refused as it exists, continued, replaced; and the rows there after each."""
+    from pyspark.errors import AnalysisException
+
+    folder = f"{new_folder(t)}/customers"
+    attempts = []
+    for attempt, options in enumerate(({}, {}, {"resume": True}, {"overwrite": True}), 1):
+        written = True
+        try:
+            t.customer.write.mode(K.write_mode(**options)).parquet(folder)
+        except AnalysisException as error:
+            if "EXISTS" not in str(error).upper():
+                raise
+            written = False
+        attempts.append((attempt, written, t.spark.read.schema(t.customer.schema).parquet(folder).count()))
+    return t.spark.createDataFrame(attempts, "attempt INT, written BOOLEAN, rows BIGINT")
+
+
+QUANTISED = "round_even(CAST(CAST({x} AS FLOAT) AS DOUBLE) * 32768, 0) / 32768"
+MEASURED_SQL = (
+    SIG_PAIRS
+    + ", w AS (SELECT signal_id, t, " + QUANTISED.format(x="clean") + " AS c, CASE WHEN signal_id % 7 = 2 THEN " + QUANTISED.format(x="clean") + " ELSE " + QUANTISED.format(x="noisy") + " END AS n FROM sig_pairs), "
+    "lg AS (SELECT unnest(range(-5, 6)) AS lag), "
+    "moved AS (SELECT signal_id, t + CASE WHEN signal_id % 6 = 1 THEN 2 ELSE 0 END AS t, n FROM w), "
+    "ends AS (SELECT signal_id, count(*) AS frames FROM w GROUP BY signal_id), "
+    "heard AS (SELECT w.signal_id, w.t, w.c, coalesce(m.n, 0) AS n FROM w LEFT JOIN moved m ON m.signal_id = w.signal_id AND m.t = w.t), "
+    "co AS (SELECT a.signal_id, lag, sum(a.c * b.n) AS v FROM heard a JOIN lg ON true JOIN heard b ON b.signal_id = a.signal_id AND b.t = a.t + lag GROUP BY a.signal_id, lag), "
+    "bl AS (SELECT signal_id, arg_max(lag, (abs(v), -lag)) AS lag FROM co GROUP BY signal_id), "
+    "me AS (SELECT signal_id, count(*) AS frames, sqrt(avg((n - c) * (n - c))) AS rr, sqrt(avg(c * c)) AS rc, max(abs(n)) AS pn, max(abs(c)) AS pc FROM heard GROUP BY signal_id) "
+)
+
+
+def pair_files(t: Tables):
+    """A clean and a noisy file for each signal; every sixth noisy one is late by two samples, every seventh is clean."""
+    folder = new_folder(t)
+    pairs = t.views.sig_pairs
+    group = F.col("signal_id")
+    late = F.when(group % 6 == 1, 2).otherwise(0)
+    noisy = pairs.select("signal_id", "t", F.when(group % 7 == 2, F.col("clean")).otherwise(F.col("noisy")).alias("x"))
+    length = pairs.groupBy(group.alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
+    moved = noisy.select("signal_id", (F.col("t") + late).alias("t"), "x")
+    moved = moved.join(length, F.col("signal_id") == F.col("_id")).where(F.col("t") < F.col("_n")).select("signal_id", "t", "x")
+    zeros = length.where(F.col("_id") % 6 == 1).select(F.col("_id").alias("signal_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("t"), F.lit(0.0).alias("x"))
+    for name, rows in (("noisy", moved.unionByName(zeros)), ("clean", pairs.select("signal_id", "t", F.col("clean").alias("x")))):
+        blocks = S.blocks_from_samples(rows)
+        WV.write_wav(blocks.withColumn("path", F.concat(F.lit(f"{name}/"), group.cast("string"), F.lit(".wav"))), folder)
+    files = [FI.scan_files(t.spark, folder, name).select(F.col("path").alias(f"{name}_path"), stem_id("rel").alias("signal_id")) for name in ("noisy", "clean")]
+    found = files[0].join(files[1], "signal_id")
+    return found.select(
+        F.concat(F.lit("noisy/"), group.cast("string")).alias("noisy_relpath"), "signal_id",
+        F.when(group % 11 != 3, F.col("noisy_path")).alias("noisy_path"), F.when(group % 13 != 4, F.col("clean_path")).alias("clean_path"),
+        F.lit(0.0).alias("duration_sec_meta"), F.lit(20.0).alias("measured_snr_db_meta"),
+    )
+
+
+def stem_id(name: str):
+    return F.regexp_extract(name, r"(\d+)\.wav$", 1).cast("bigint")
+
+
+@query(
+    "flt2_measured_pairs",
+    sql(MEASURED_SQL)
+    + "SELECT signal_id, CASE WHEN signal_id % 11 = 3 OR signal_id % 13 = 4 THEN NULL ELSE frames END AS frames, CASE WHEN signal_id % 11 = 3 OR signal_id % 13 = 4 THEN NULL ELSE lag END AS alignment_lag, "
+    "CASE WHEN signal_id % 11 = 3 OR signal_id % 13 = 4 THEN NULL ELSE round(rr, 6) + 0.0 END AS rms_residual, CASE WHEN signal_id % 11 = 3 OR signal_id % 13 = 4 THEN NULL ELSE round(pn, 6) + 0.0 END AS peak_noisy, "
+    "CASE WHEN signal_id % 11 = 3 THEN 'noisy missing' WHEN signal_id % 13 = 4 THEN 'clean missing' ELSE concat_ws(';', CASE WHEN lag <> 0 THEN concat('misaligned (', lag, ' samples)') END, "
+    "CASE WHEN rr <= 1e-8 THEN 'no residual noise' END, CASE WHEN rc <= 1e-6 THEN 'silent clean' END, CASE WHEN pn >= 0.999 THEN 'noisy clipped' END, CASE WHEN pc >= 0.999 THEN 'clean clipped' END, "
+    "CASE WHEN frames / 48000.0::DOUBLE > 0.002 THEN 'duration != metadata' END, CASE WHEN abs(20 * log10(greatest(rc, 1e-12) / greatest(rr, 1e-12)) - 20) > 1 THEN 'SNR differs from metadata by > 1 dB' END) END AS audio_flags "
+    "FROM me JOIN bl USING (signal_id)",
+)
+def measured_pairs(t: Tables):
+    """The measures come from files; the lag is searched as far as five samples here, as the signals are short."""
+    from wavelake.operators.pairs import measure_pairs
+    from wavelake.operators.rules import validate_pairs
+
+    pairs = pair_files(t)
+    judged = validate_pairs(measure_pairs(pairs, max_lag=5)).withColumn("signal_id", F.regexp_extract("noisy_relpath", r"(\d+)$", 1).cast("bigint"))
+    both = F.col("noisy_found") & F.col("clean_found")
+    return judged.select(
+        "signal_id", F.when(both, F.col("frames")).alias("frames"), "alignment_lag", rounded(F.col("rms_residual")).alias("rms_residual"),
+        rounded(F.col("peak_noisy")).alias("peak_noisy"), F.array_join("audio_flags", ";").alias("audio_flags"),
+    )

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from wavelake.catalog import audit as _audit  # noqa: F401  (registers the twins of the summary first)
 from wavelake.catalog.matching import OUTPUT_SQL, outputs
-from wavelake.catalog.registry import Tables, query, rounded
+from wavelake.catalog.registry import ORACLES, Tables, query, rounded
 from wavelake.catalog.rules import CATEGORIES, TIER_SQL
 from wavelake.catalog.scores import BIN_SQL, METRIC_TABLE_SQL, snr_rms_sql
 from wavelake.catalog.signals import ALIGNED_SQL, PHAT_SQL
@@ -33,6 +34,29 @@ def dataset_summary(t: Tables):
     return totals.select(*plain, *[(F.col(c) + F.lit(0.0)).alias(c) for c in real])
 
 
+def _measures(section: str, name: str, source: str, *columns: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, CAST({name} AS VARCHAR) AS name, '{c}' AS measure, CAST({c} AS DOUBLE) AS value FROM ({source}) s" for c in columns)
+
+
+@query(
+    "job2_summary_tables",
+    " UNION ALL ".join(
+        [
+            _measures("splits", "split", ORACLES["agg6_split_totals"], "samples", "hours"),
+            _measures("usage", "concat(kind, '/', name)", ORACLES["agg1_usage_counts"], "uses"),
+            _measures("snr_distribution", "label", ORACLES["agg3_snr_histogram"], "samples"),
+            _measures("noise_counts", "num_noises", ORACLES["agg6_noise_count_distribution"], "samples"),
+        ]
+    ),
+)
+def summary_tables(t: Tables):
+    """Everything of the summary but the totals, which `job2_dataset_summary` has."""
+    records = t.views.records.withColumn("clean_speaker_id", F.col("clean_source") % 40)
+    tables = R.dataset_summary(records, t.views.record_noises, t.views.sources)
+    rows = R.summary_rows({name: table for name, table in tables.items() if name != "totals"})
+    return rows.withColumn("value", F.col("value") + F.lit(0.0))
+
+
 MANIFEST_SQL = (
     RECORDS
     + ", q AS (SELECT k, CAST(k AS VARCHAR) AS id, (['engine','wind','vehicle','helicopter','siren','gunfire','artillery','explosion','crowd'])[CAST(k % 9 AS INTEGER) + 1] AS category, * EXCLUDE (k) FROM records), "
@@ -47,7 +71,7 @@ MANIFEST_SQL = (
     "CASE WHEN part = 'train' THEN CASE WHEN mixture_id LIKE '%7' THEN 'WARN' ELSE 'PASS' END ELSE CASE WHEN idx % 3 = 0 THEN 'UNAVAILABLE' ELSE 'PASS' END END AS au FROM al), "
     "el AS (SELECT *, status <> 'FAIL' AND au IN ('PASS', 'WARN') AND NOT clip AND NOT (au = 'WARN') AS ok FROM dp), "
     "sl AS (SELECT *, row_number() OVER (PARTITION BY part, category, cell ORDER BY idx) AS rn FROM el WHERE role = 'val_pool' AND ok), "
-    "fin AS (SELECT el.part, el.mixture_id, el.status, el.ok, CASE WHEN sl.rn = 1 THEN 'val_select' ELSE el.role END AS role FROM el LEFT JOIN sl ON sl.part = el.part AND sl.mixture_id = el.mixture_id AND sl.role = 'val_pool' AND sl.rn = 1) "
+    "fin AS (SELECT el.part, el.mixture_id, el.status, el.ok, el.ms, el.au, CASE WHEN sl.rn = 1 THEN 'val_select' ELSE el.role END AS role FROM el LEFT JOIN sl ON sl.part = el.part AND sl.mixture_id = el.mixture_id AND sl.role = 'val_pool' AND sl.rn = 1) "
 )
 
 
@@ -106,27 +130,55 @@ def build_manifests(t: Tables):
 @query(
     "job3_manifest_summary",
     sql(MANIFEST_SQL)
-    + "SELECT part, 'role' AS kind, role AS value, count(*) AS rows FROM fin GROUP BY part, role UNION ALL SELECT part, 'used', 'use_for_training', count(*) FROM fin WHERE role = 'train' AND ok GROUP BY part "
-    + "UNION ALL SELECT part, 'used', 'use_for_selection', count(*) FROM fin WHERE role = 'val_select' AND ok GROUP BY part",
+    + ", st AS (SELECT *, CASE WHEN ms = 'FAIL' THEN 'UNVERIFIED' ELSE au END AS audio FROM fin) "
+    + "SELECT part, 'role' AS kind, role AS value, count(*) AS rows FROM st GROUP BY part, role "
+    + "UNION ALL SELECT part, 'meta_status', status, count(*) FROM st GROUP BY part, status UNION ALL SELECT part, 'audio_status', audio, count(*) FROM st GROUP BY part, audio "
+    + "UNION ALL SELECT part, 'audio_flag', CASE audio WHEN 'WARN' THEN 'noisy clipped' ELSE 'noisy missing' END, count(*) FROM st WHERE audio IN ('WARN', 'UNAVAILABLE') GROUP BY 1, 2, 3 "
+    + "UNION ALL SELECT part, 'used', 'use_for_training', count(*) FROM st WHERE role = 'train' AND ok GROUP BY part "
+    + "UNION ALL SELECT part, 'used', 'use_for_selection', count(*) FROM st WHERE role = 'val_select' AND ok GROUP BY part",
 )
 def manifest_summary(t: Tables):
-    return R.manifest_summary(manifests(t)).where(F.col("kind").isin("role", "used"))
+    """Counts of the flags of the metadata, whose texts `flt1_metadata_checks` has, are left out here alone."""
+    return R.manifest_summary(manifests(t)).where("kind <> 'meta_flag'")
 
 
-@query(
-    "job4_evaluate_stages",
-    sql(SIG_PAIRS) + PHAT_SQL + ALIGNED_SQL.format(lags="ph")
-    + "SELECT 'enhanced' AS stage, round(avg(snr), 5) + 0.0 AS snr, round(avg(si_sdr), 5) + 0.0 AS si_sdr, count(*) AS files FROM al WHERE signal_id % 9 <> 4",
+# Noisy and enhanced as signals of their own, numbered 2 * id and 2 * id + 1.
+STAGED_SQL = (
+    sql(SIG_PAIRS.replace("sig_pairs AS", "base_pairs AS"))
+    + ", sig_pairs AS (SELECT signal_id * 2 AS signal_id, t, clean, noisy AS est FROM base_pairs WHERE signal_id % 9 <> 4 UNION ALL SELECT signal_id * 2 + 1, t, clean, est FROM base_pairs WHERE signal_id % 9 <> 4) "
+    + PHAT_SQL + ALIGNED_SQL.format(lags="ph")
 )
-def evaluate_stages(t: Tables):
+
+
+def stages_of_pairs(t: Tables):
     pairs = t.views.sig_pairs
     clean = pairs.select("signal_id", "t", F.col("clean").alias("x"))
     staged = pairs.where("signal_id % 9 <> 4").select("signal_id", "t", F.lit("noisy").alias("stage"), F.col("noisy").alias("x")).unionByName(
         pairs.select("signal_id", "t", F.lit("enhanced").alias("stage"), F.col("est").alias("x"))
     )
-    per_file, _ = R.evaluate_stages(clean, staged, ["noisy", "enhanced"], 4)
-    enhanced = per_file.where("stage = 'enhanced'").groupBy("stage")
-    return enhanced.agg(rounded(F.avg("snr"), 5).alias("snr"), rounded(F.avg("si_sdr"), 5).alias("si_sdr"), F.count(F.lit(1)).alias("files"))
+    return R.evaluate_stages(clean, staged, ["noisy", "enhanced"], 4)
+
+
+@query(
+    "job4_evaluate_stages",
+    STAGED_SQL
+    + ", me AS (SELECT signal_id % 2 AS stage_ord, avg(snr) AS snr, avg(si_sdr) AS si_sdr FROM al GROUP BY 1) "
+    "SELECT CASE m.stage_ord WHEN 0 THEN 'noisy' ELSE 'enhanced' END AS stage, round(m.snr, 5) + 0.0 AS snr, round(m.si_sdr, 5) + 0.0 AS si_sdr, round(m.snr - p.snr, 5) + 0.0 AS d_snr, round(m.si_sdr - p.si_sdr, 5) + 0.0 AS d_si_sdr "
+    "FROM me m LEFT JOIN me p ON p.stage_ord = m.stage_ord - 1",
+)
+def evaluate_stages(t: Tables):
+    _, means = stages_of_pairs(t)
+    return means.select("stage", *[rounded(F.col(c), 5).alias(c) for c in ("snr", "si_sdr", "d_snr", "d_si_sdr")])
+
+
+@query(
+    "job4_scores_per_file",
+    STAGED_SQL
+    + "SELECT signal_id // 2 AS signal_id, CASE signal_id % 2 WHEN 0 THEN 'noisy' ELSE 'enhanced' END AS stage, lag, round(gain, 5) + 0.0 AS gain, round(snr, 5) + 0.0 AS snr, round(si_sdr, 5) + 0.0 AS si_sdr FROM al JOIN ph USING (signal_id)",
+)
+def scores_per_file(t: Tables):
+    per_file, _ = stages_of_pairs(t)
+    return per_file.select("signal_id", "stage", "lag", *[rounded(F.col(c), 5).alias(c) for c in ("gain", "snr", "si_sdr")])
 
 
 SYSTEM_SQL = (
@@ -138,20 +190,44 @@ SYSTEM_SQL = (
 )
 
 
+def systems_of_pairs(t: Tables):
+    suite = F.when(F.col("signal_id") % 3 == 0, "transient").otherwise("continuous").alias("suite")
+    pairs = t.views.sig_pairs.select(
+        suite, F.col("signal_id").alias("mixture_id"), "t", "clean", "noisy", "est", (0.5 * F.col("est") + 0.5 * F.col("noisy")).alias("half")
+    )
+    return R.evaluate_systems(pairs, ["est", "half"])
+
+
 @query(
     "job5_evaluate_systems",
     sql(SIG_PAIRS) + SYSTEM_SQL
     + METRIC_TABLE_SQL.format(metrics="round(avg(output_snr_db), 6) + 0.0 AS output_snr_db, round(avg(dsnr_db), 6) + 0.0 AS dsnr_db"),
 )
 def evaluate_systems(t: Tables):
-    suite = F.when(F.col("signal_id") % 3 == 0, "transient").otherwise("continuous").alias("suite")
-    pairs = t.views.sig_pairs.select(
-        suite, F.col("signal_id").alias("mixture_id"), "t", "clean", "noisy", "est", (0.5 * F.col("est") + 0.5 * F.col("noisy")).alias("half")
-    )
-    groups = R.evaluate_systems(pairs, ["est", "half"])["groups"]
+    groups = systems_of_pairs(t)["groups"]
     return groups.select("grouping_kind", "label", "system", "n", *[rounded(F.col(m)).alias(m) for m in ("output_snr_db", "dsnr_db")])
 
 
+@query(
+    "job5_scores_per_file",
+    sql(SIG_PAIRS) + SYSTEM_SQL
+    + "SELECT suite, mixture_id, system, round(input_snr_db, 6) + 0.0 AS input_snr_db, round(output_snr_db, 6) + 0.0 AS output_snr_db, round(dsnr_db, 6) + 0.0 AS dsnr_db FROM b",
+)
+def system_scores_per_file(t: Tables):
+    per_file = systems_of_pairs(t)["per_file"]
+    return per_file.select("suite", "mixture_id", "system", *[rounded(F.col(m)).alias(m) for m in ("input_snr_db", "output_snr_db", "dsnr_db")])
+
+
+@query(
+    "job5_per_file_pivot",
+    sql(SIG_PAIRS) + SYSTEM_SQL
+    + "SELECT mixture_id, round(max(dsnr_db) FILTER (WHERE system = 'est'), 6) + 0.0 AS est_dsnr_db, round(max(dsnr_db) FILTER (WHERE system = 'half'), 6) + 0.0 AS half_dsnr_db FROM b GROUP BY mixture_id",
+)
+def system_pivot(t: Tables):
+    wide = systems_of_pairs(t)["per_file_wide"]
+    return wide.select("mixture_id", *[rounded(F.col(c)).alias(c) for c in ("est_dsnr_db", "half_dsnr_db")])
+
+
 @query(
     "job7_recover",
     sql(RECORDS) + OUTPUT_SQL

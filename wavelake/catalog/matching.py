@@ -218,20 +218,27 @@ def mask_from_regions(t: Tables):
     return J.mask_from_regions(samples, view_regions(samples), ["signal_id"]).select("signal_id", "t", "mask")
 
 
-PLACED_SQL = (
-    ", plan AS (SELECT k AS sample_id, k % 3 AS pick, k % 100 AS source, k % 17 AS a, k % 17 + 5 + k % 23 AS b, k % 31 AS d FROM records), "
-    "placed AS (SELECT sample_id, pick, t - a + d AS t, x FROM plan JOIN sig_samples ON signal_id = source AND t >= a AND t < b)"
+# Segments of all signals, from anywhere in them: four picks for each sample.
+PLAN_SQL = (
+    ", ln AS (SELECT signal_id, count(*) AS len, row_number() OVER (ORDER BY signal_id) - 1 AS idx FROM sig_samples GROUP BY signal_id), "
+    "plan AS (SELECT k // 4 AS sample_id, k % 4 AS pick, signal_id AS source, k * 31 % greatest(len - 5, 1) AS a, k * 31 % greatest(len - 5, 1) + 5 + k % 23 AS b, k % 31 AS d "
+    "FROM records JOIN ln ON idx = k * 7919 % (SELECT count(*) FROM ln))"
 )
+PLACED_SQL = PLAN_SQL + ", placed AS (SELECT sample_id, pick, t - a + d AS t, x FROM plan JOIN sig_samples ON signal_id = source AND t >= a AND t < b)"
 
 
 def placement_plan(t: Tables):
     k = F.col("k")
-    return t.views.records.select(
-        k.alias("sample_id"),
-        (k % 3).alias("pick"),
-        (k % 100).alias("source"),
-        (k % 17).alias("source_start_sample"),
-        (k % 17 + 5 + k % 23).alias("source_end_sample"),
+    lengths = t.views.sig_samples.groupBy("signal_id").agg(F.count(F.lit(1)).alias("len"))
+    signals = ordered_index(lengths, ["signal_id"], "idx")
+    drawn = J.draw_by_index(t.views.records.select("k", (k * 7919).alias("draw")), signals, "draw")
+    start = k * 31 % F.greatest(F.col("len") - 5, F.lit(1))
+    return drawn.select(
+        F.floor(k / 4).alias("sample_id"),
+        (k % 4).alias("pick"),
+        F.col("signal_id").alias("source"),
+        start.alias("source_start_sample"),
+        (start + 5 + k % 23).alias("source_end_sample"),
         (k % 31).alias("destination_start_sample"),
     )
 
@@ -249,14 +256,13 @@ def place_segments(t: Tables):
 @query(
     "agg26_overlay_sum",
     sql(RECORDS, SIG_SAMPLES) + PLACED_SQL
-    + "SELECT sample_id % 50 AS sample_id, t, round(sum(x * (1 + pick) / 2), 6) + 0.0 AS x FROM placed GROUP BY sample_id % 50, t",
+    + "SELECT sample_id, t, round(sum(x * (1 + pick) / 2), 6) + 0.0 AS x FROM placed GROUP BY sample_id, t",
 )
 def overlay_sum(t: Tables):
     from wavelake.operators.signals import overlay_sum as overlay
 
     source = t.views.sig_samples.select(F.col("signal_id").alias("source"), "t", "x")
-    placed = J.place_segments(source, placement_plan(t))
-    placed = placed.withColumn("sample_id", F.col("sample_id") % 50).withColumn("gain", (1 + F.col("pick")) / 2)
+    placed = J.place_segments(source, placement_plan(t)).withColumn("gain", (1 + F.col("pick")) / 2)
     return overlay(placed).select("sample_id", "t", rounded(F.col("x")).alias("x"))
 
 

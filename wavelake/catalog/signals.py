@@ -2,13 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from wavelake.catalog.matching import REGION_SQL, view_regions
+from wavelake.catalog.matching import PLAN_SQL, REGION_SQL, placement_plan, view_regions
 from wavelake.catalog.planning import d
 from wavelake.catalog.registry import Tables, query, rounded
 from wavelake.catalog.views import FRAME_BINS, RECORDS, SIG_PAIRS, SIG_SAMPLES, sql
 from wavelake.functions import metrics as M
 from wavelake.operators import planning as P
 from wavelake.operators import sequences as Q
+from wavelake.operators import filters as FB
 from wavelake.operators import signals as S
 from wavelake.operators.matching import mask_from_regions, place_segments
 from wavelake.plans.draws import draw
@@ -158,8 +159,8 @@ def measured_snr(t: Tables):
 
 
 COMPOSITE_SQL = (
-    ", plan AS (SELECT k AS event, k % 60 AS sample_id, k // 60 % 4 AS pick, k % 100 AS source, k % 17 AS a, k % 17 + 5 + k % 23 AS b, k % 31 AS d FROM records), "
-    "pl AS (SELECT sample_id, pick, t - a AS i, b - a AS n, least(CASE WHEN pick % 2 = 1 THEN 3 ELSE 0 END, (b - a) // 2) AS f, t - a + d AS t, x FROM plan JOIN sig_samples ON signal_id = source AND t >= a AND t < b), "
+    PLAN_SQL
+    + ", pl AS (SELECT sample_id, pick, t - a AS i, b - a AS n, least(CASE WHEN pick % 2 = 1 THEN 3 ELSE 0 END, (b - a) // 2) AS f, t - a + d AS t, x FROM plan JOIN sig_samples ON signal_id = source AND t >= a AND t < b), "
     "fd AS (SELECT sample_id, pick, t, x * CASE WHEN f = 0 THEN 1 ELSE least(1.0::DOUBLE, i / f, (n - 1 - i) / f) END AS x FROM pl), "
     "rm AS (SELECT sample_id, pick, sqrt(avg(x * x)) AS rms FROM fd GROUP BY sample_id, pick) "
 )
@@ -171,11 +172,7 @@ COMPOSITE_SQL = (
     + "SELECT sample_id, t, round(sum(x * pow(10, -2.5 * pick / 20) / rms), 6) + 0.0 AS x FROM fd JOIN rm USING (sample_id, pick) GROUP BY sample_id, t",
 )
 def composite_noise(t: Tables):
-    k = F.col("k")
-    plan = t.views.records.select(
-        (k % 60).alias("sample_id"), (F.floor(k / 60) % 4).alias("pick"), (k % 100).alias("source"), (k % 17).alias("source_start_sample"),
-        (k % 17 + 5 + k % 23).alias("source_end_sample"), (k % 31).alias("destination_start_sample"),
-    )
+    plan = placement_plan(t)
     plan = plan.withColumn("event_length", F.col("source_end_sample") - F.col("source_start_sample"))
     plan = plan.withColumn("fade", F.when(F.col("pick") % 2 == 1, 3).otherwise(0)).withColumn("relative_gain_db", F.col("pick") * -2.5)
     source = t.views.sig_samples.select(F.col("signal_id").alias("source"), "t", "x")
@@ -229,6 +226,38 @@ def remove_dc(t: Tables):
 FILTERED = "SELECT a.signal_id, a.t, sum(b.x * w) AS x FROM {s} a JOIN {taps} ON true JOIN {s} b ON b.signal_id = a.signal_id AND b.t = a.t + k GROUP BY a.signal_id, a.t"
 
 
+# A fourth-order Butterworth high-pass as two closed-form sections, run sample by sample in both directions.
+HIGHPASS_SQL = (
+    sql(SIG_SAMPLES).replace("WITH ", "WITH RECURSIVE ")
+    + """, k AS (SELECT tan(pi() * 70 / 2000) AS k, 2 * sin(pi() / 8) AS q1, 2 * sin(3 * pi() / 8) AS q2),
+    co AS (SELECT 1 / (1 + k * q1 + k * k) AS n1, 2 * (k * k - 1) / (1 + k * q1 + k * k) AS a1, (1 - k * q1 + k * k) / (1 + k * q1 + k * k) AS a2,
+      1 / (1 + k * q2 + k * k) AS n2, 2 * (k * k - 1) / (1 + k * q2 + k * k) AS d1, (1 - k * q2 + k * k) / (1 + k * q2 + k * k) AS d2 FROM k),
+    le AS (SELECT signal_id, count(*) AS n, least(15, count(*) - 1) AS pad, arg_min(x, t) AS x0, arg_max(x, t) AS xn FROM sig_samples GROUP BY signal_id),
+    ex AS (SELECT signal_id, t + pad AS i, x FROM sig_samples JOIN le USING (signal_id)
+      UNION ALL SELECT signal_id, pad - t, 2 * x0 - x FROM sig_samples JOIN le USING (signal_id) WHERE t BETWEEN 1 AND pad
+      UNION ALL SELECT signal_id, 2 * (n - 1) - t + pad, 2 * xn - x FROM sig_samples JOIN le USING (signal_id) WHERE t BETWEEN n - 1 - pad AND n - 2),
+    fw AS (
+      SELECT signal_id, -1::BIGINT AS i, -n1 * x AS s1, n1 * x AS s2, 0::DOUBLE AS s3, 0::DOUBLE AS s4, 0::DOUBLE AS y FROM ex, co WHERE i = 0
+      UNION ALL
+      SELECT signal_id, i, -2 * n1 * x - a1 * y1 + s2, n1 * x - a2 * y1, -2 * n2 * y1 - d1 * y2 + s4, n2 * y1 - d2 * y2, y2
+      FROM (SELECT *, n2 * y1 + s3 AS y2 FROM (SELECT f.signal_id, e.i, e.x, f.s2, f.s3, f.s4, co.*, n1 * e.x + f.s1 AS y1 FROM fw f JOIN ex e ON e.signal_id = f.signal_id AND e.i = f.i + 1, co) g) h),
+    rv AS (SELECT f.signal_id, n + 2 * pad - 1 - i AS i, y AS x FROM fw f JOIN le USING (signal_id) WHERE i >= 0),
+    bw AS (
+      SELECT signal_id, -1::BIGINT AS i, -n1 * x AS s1, n1 * x AS s2, 0::DOUBLE AS s3, 0::DOUBLE AS s4, 0::DOUBLE AS y FROM rv, co WHERE i = 0
+      UNION ALL
+      SELECT signal_id, i, -2 * n1 * x - a1 * y1 + s2, n1 * x - a2 * y1, -2 * n2 * y1 - d1 * y2 + s4, n2 * y1 - d2 * y2, y2
+      FROM (SELECT *, n2 * y1 + s3 AS y2 FROM (SELECT f.signal_id, e.i, e.x, f.s2, f.s3, f.s4, co.*, n1 * e.x + f.s1 AS y1 FROM bw f JOIN rv e ON e.signal_id = f.signal_id AND e.i = f.i + 1, co) g) h)
+    SELECT b.signal_id, n + pad - 1 - i AS t, round(y, 6) + 0.0 AS x FROM bw b JOIN le USING (signal_id) WHERE i BETWEEN pad AND n + pad - 1"""
+)
+
+
+@query("sig14_forward_backward", HIGHPASS_SQL)
+def forward_backward(t: Tables):
+    """The recursion of the reference with its rule for the ends, block by block."""
+    rows = FB.forward_backward(t.views.sig_samples, FB.butterworth(70, None, 2000))
+    return six(rows, "x", keep=("signal_id", "t"))
+
+
 @query(
     "sig14_bandlimit",
     sql(SIG_SAMPLES, taps_sql("h", BAND)) + ", f AS (" + FILTERED.format(s="sig_samples", taps="h") + ") SELECT signal_id, t, round(x, 6) + 0.0 AS x FROM f",
@@ -315,6 +344,46 @@ def declip_runs(t: Tables):
     return six(runs, "level", "clipped_share", keep=("signal_id", "sign", "start_sample", "end_sample"))
 
 
+CLIPPED_SQL = (
+    sql(SIG_SAMPLES)
+    + """, q AS (SELECT signal_id, t, greatest(least(x, 0.06), -0.06) AS x FROM sig_samples), sg AS (SELECT signal_id, t, unnest([1, -1]) AS sign, x FROM q),
+    y AS (SELECT *, x * sign AS y, max(x * sign) OVER (PARTITION BY signal_id, sign) AS level FROM sg),
+    nr AS (SELECT signal_id, sign, level, t, t - row_number() OVER (PARTITION BY signal_id, sign ORDER BY t) AS g FROM y WHERE level >= 1e-3 AND y >= level - greatest(1e-4 * level, 1.5 / 32768)),
+    r AS (SELECT signal_id, sign, max(level) AS level, min(t) AS a, max(t) + 1 AS b FROM nr GROUP BY signal_id, sign, g HAVING count(*) >= 2),
+    k AS (SELECT *, count(*) OVER (PARTITION BY signal_id, sign) AS runs FROM r), v AS (SELECT *, sum(b - a) OVER (PARTITION BY signal_id) AS c FROM k WHERE runs >= 2),
+    n AS (SELECT signal_id, count(*) AS n FROM q GROUP BY signal_id),
+    ru AS (SELECT v.signal_id, sign, level, a, b, CASE WHEN b - a > 3 THEN 'long run' WHEN a < 2 OR b + 2 > n THEN 'at an end' END AS kept FROM v JOIN n USING (signal_id) WHERE c / n BETWEEN 5e-4 AND 0.3)
+    """
+)
+
+
+def clipped(t: Tables):
+    return t.views.sig_samples.withColumn("x", F.greatest(F.least("x", F.lit(0.06)), F.lit(-0.06)))
+
+
+@query(
+    "sig18_repairable_runs",
+    CLIPPED_SQL + "SELECT signal_id, CAST(sign AS BIGINT) AS sign, a AS start_sample, b AS end_sample, kept AS \"left\" FROM ru",
+)
+def repairable_runs(t: Tables):
+    runs = S.repairable_runs(clipped(t), max_run=3, context=2, min_run=2, most=0.3)
+    return runs.select("signal_id", F.col("sign").cast("bigint").alias("sign"), "start_sample", "end_sample", "left")
+
+
+@query(
+    "sig18_declip_two_neighbours",
+    CLIPPED_SQL
+    + """, kn AS (SELECT ru.*, u.t AS at, u.x AS v FROM ru JOIN q u ON u.signal_id = ru.signal_id AND (u.t BETWEEN a - 2 AND a - 1 OR u.t BETWEEN b AND b + 1) WHERE kept IS NULL),
+    ga AS (SELECT DISTINCT signal_id, sign, level, a, b FROM kn), ti AS (SELECT *, unnest(range(a, b)) AS t FROM ga),
+    la AS (SELECT ti.signal_id, ti.sign, ti.level, ti.t, sum(p.v * (SELECT product((ti.t - o.at) / CAST(p.at - o.at AS DOUBLE)) FROM kn o WHERE o.signal_id = p.signal_id AND o.sign = p.sign AND o.a = p.a AND o.at <> p.at)) AS y
+      FROM ti JOIN kn p ON p.signal_id = ti.signal_id AND p.sign = ti.sign AND p.a = ti.a GROUP BY ti.signal_id, ti.sign, ti.level, ti.t)
+    SELECT q.signal_id, q.t, round(coalesce(la.sign * least(greatest(la.sign * la.y, la.level), 1.3 * la.level), q.x), 6) + 0.0 AS x FROM q LEFT JOIN la ON la.signal_id = q.signal_id AND la.t = q.t""",
+)
+def declip_two_neighbours(t: Tables):
+    """With two samples on each side the spline is the one cubic through four points."""
+    return six(S.declip(clipped(t), min_run=2, most=0.3, max_run=3, context=2), "x", keep=("signal_id", "t"))
+
+
 @query("sig18_declip")
 def declip(t: Tables):
     rows = t.views.sig_samples.withColumn("x", F.greatest(F.least("x", F.lit(0.06)), F.lit(-0.06)))

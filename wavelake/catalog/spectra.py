@@ -337,29 +337,75 @@ def unit_norm(t: Tables):
     return bin_output(K.unit_norm(spec_bins(t), count=33), "re", "im")
 
 
+# The canceller frame by frame, with plain numbers: w is the filter before a frame.
+CANCEL_SQL = (
+    sql(SPEC).replace("WITH ", "WITH RECURSIVE ")
+    + """, pair AS (SELECT a.signal_id, a.frame, a.bin, a.re AS yr, a.im AS yi, 0.8::DOUBLE * a.re AS sr, 0.8::DOUBLE * a.im AS si,
+      CASE WHEN a.frame % 11 = 0 THEN 0 ELSE n.im END AS xr, CASE WHEN a.frame % 11 = 0 THEN 0 ELSE n.re END AS xi,
+      least(abs(a.re) * 100, 1) AS mask, a.frame % 13 = 5 AS frozen, a.frame % 17 = 3 AS clipped
+      FROM spec a JOIN spec n ON n.signal_id = a.signal_id AND n.frame = a.frame AND n.bin = a.bin + 1),
+    marked AS (SELECT *, avg(xr * xr + xi * xi) OVER (PARTITION BY signal_id, frame) < 1e-12 AS dead,
+      coalesce(lag(mask) OVER (PARTITION BY signal_id, bin ORDER BY frame), 1) < 0.3 AS open FROM pair),
+    gains AS (SELECT *, clipped OR dead AS bypass, NOT (clipped OR dead) AND NOT frozen AND open AS learned,
+      (sr * (yr + 1e-8) + si * yi) / (pow(yr + 1e-8, 2) + yi * yi) AS gr, (si * (yr + 1e-8) - sr * yi) / (pow(yr + 1e-8, 2) + yi * yi) AS gi FROM marked),
+    capped AS (SELECT *, least(1, 1.5::DOUBLE / greatest(sqrt(gr * gr + gi * gi), 1e-30)) AS cap,
+      CASE WHEN learned THEN 0.5::DOUBLE / (xr * xr + xi * xi + 1e-8) ELSE 0 END AS rate FROM gains),
+    steps AS MATERIALIZED (SELECT signal_id, frame, bin, sr, si, bypass, clipped, dead, learned, (xr * gr - xi * gi) * cap AS rr, (xr * gi + xi * gr) * cap AS ri,
+      1 - rate * (xr * xr + xi * xi) AS keep, rate * (xr * yr + xi * yi) AS ar, rate * (xr * yi - xi * yr) AS ai, sqrt(sr * sr + si * si) AS loud FROM capped),
+    run AS (
+      SELECT signal_id, bin, 0::BIGINT AS frame, 0::DOUBLE AS wr, 0::DOUBLE AS wi FROM steps WHERE frame = 0
+      UNION ALL
+      SELECT signal_id, bin, frame + 1, CASE WHEN bypass THEN wr WHEN worse THEN 0 ELSE keep * wr + ar END, CASE WHEN bypass THEN wi WHEN worse THEN 0 ELSE keep * wi + ai END
+      FROM (SELECT *, loud > 1e-6 AND sqrt(er * er + ei * ei) > 1e-6 AND sqrt(pow(sr - er, 2) + pow(si - ei, 2)) > loud AS worse
+        FROM (SELECT r.signal_id, r.bin, r.frame, r.wr, r.wi, s.* EXCLUDE (signal_id, frame, bin), r.wr * s.rr - r.wi * s.ri AS er, r.wr * s.ri + r.wi * s.rr AS ei
+          FROM run r JOIN steps s ON s.signal_id = r.signal_id AND s.bin = r.bin AND s.frame = r.frame) g) h),
+    told AS (SELECT *, NOT bypass AND NOT skip AND sqrt(pow(sr - er, 2) + pow(si - ei, 2)) > loud AS worse
+      FROM (SELECT *, NOT bypass AND (loud <= 1e-6 OR sqrt(er * er + ei * ei) <= 1e-6) AS skip
+        FROM (SELECT s.*, r.wr * s.rr - r.wi * s.ri AS er, r.wr * s.ri + r.wi * s.rr AS ei
+          FROM run r JOIN steps s ON s.signal_id = r.signal_id AND s.bin = r.bin AND s.frame = r.frame) g) h),
+    bins AS (SELECT *, CASE WHEN bypass OR skip OR worse THEN sr ELSE sr - er END AS zr, CASE WHEN bypass OR skip OR worse THEN si ELSE si - ei END AS zi FROM told),
+    frames_done AS (SELECT signal_id, frame, sum(zr * zr + zi * zi) > sum(sr * sr + si * si) * (1 + 1e-12::DOUBLE) AS frame_guard, count(*) FILTER (WHERE worse) AS bin_guard,
+      count(*) FILTER (WHERE skip) AS floor_skip, count(*) FILTER (WHERE learned) AS adapted, bool_or(clipped) AS by_clip, bool_or(dead AND NOT clipped) AS by_dead
+      FROM bins GROUP BY signal_id, frame)
+    """
+)
+
+
 def cancelled(t: Tables):
     half = F.lit(32)
     s = F.col("spec")
+    heard = F.when(F.col("frame") % 11 == 0, 0.0).otherwise(1.0)
     frames = spec_frames(t).select(
         "signal_id", "frame",
         F.slice(s["re"], 1, half).alias("y_re"), F.slice(s["im"], 1, half).alias("y_im"),
         F.transform(F.slice(s["re"], 1, half), lambda v: v * 0.8).alias("s_re"),
         F.transform(F.slice(s["im"], 1, half), lambda v: v * 0.8).alias("s_im"),
-        F.transform(F.slice(s["im"], 2, half), lambda v: v * F.when(F.col("frame") % 11 == 0, 0.0).otherwise(1.0)).alias("x_re"),
-        F.transform(F.slice(s["re"], 2, half), lambda v: v * F.when(F.col("frame") % 11 == 0, 0.0).otherwise(1.0)).alias("x_im"),
+        F.transform(F.slice(s["im"], 2, half), lambda v: v * heard).alias("x_re"),
+        F.transform(F.slice(s["re"], 2, half), lambda v: v * heard).alias("x_im"),
         F.transform(F.slice(s["re"], 1, half), lambda v: F.least(F.abs(v) * 100, F.lit(1.0))).alias("mask"),
         (F.col("frame") % 13 == 5).alias("impulse"), F.lit(False).alias("impulse_tail"), (F.col("frame") % 17 == 3).alias("ref_clipped"),
     )
-    return K.nlms_cancel(frames, bins_per_group=8)
+    return K.nlms_cancel(frames)
 
 
-@query("stf4_nlms_cancel")
+@query(
+    "stf4_nlms_cancel",
+    CANCEL_SQL
+    + "SELECT signal_id, frame, bin, round(CASE WHEN frame_guard THEN sr ELSE zr END, 6) + 0.0 AS z_re, round(CASE WHEN frame_guard THEN si ELSE zi END, 6) + 0.0 AS z_im, bin_guard, adapted "
+    "FROM bins JOIN frames_done USING (signal_id, frame)",
+)
 def nlms_cancel(t: Tables):
-    return cancelled(t).select("signal_id", "frame", "z_re", "z_im", "bin_guard", "adapted")
+    rows = cancelled(t).select("signal_id", "frame", F.posexplode(F.arrays_zip("z_re", "z_im")).alias("bin", "z"), "bin_guard", "adapted")
+    rows = rows.withColumn("bin", F.col("bin").cast("bigint"))
+    return rows.select("signal_id", "frame", "bin", *[rounded(F.col("z")[n]).alias(n) for n in ("z_re", "z_im")], "bin_guard", "adapted")
 
 
-@query("agg23_canceller_telemetry")
+@query(
+    "agg23_canceller_telemetry",
+    CANCEL_SQL
+    + """SELECT signal_id, count(*) AS frames, CAST(sum(bin_guard) AS BIGINT) AS bin_guard, count(*) FILTER (WHERE frame_guard) AS frame_guard, count(*) FILTER (WHERE by_clip OR by_dead) AS ref_bypass,
+    count(*) FILTER (WHERE by_clip) AS ref_bypass_clipped, count(*) FILTER (WHERE by_dead) AS ref_bypass_dead, CAST(sum(floor_skip) AS BIGINT) AS low_y_skip_bins, CAST(sum(adapted) AS BIGINT) AS adaptation_bins
+    FROM frames_done GROUP BY signal_id""",
+)
 def canceller_telemetry(t: Tables):
     return K.canceller_telemetry(cancelled(t))
-
-

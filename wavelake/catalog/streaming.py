@@ -51,6 +51,45 @@ def sessions(t: Tables):
     return rows.select("signal_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "stretches")
 
 
+def streamed_windows(t: Tables, apply):
+    """Events as a stream that is stopped and resumed: one in five arrives a part late, within the watermark; the last part
+    is one row far ahead, which closes all windows before it."""
+    folder = f"{ensure_checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    rows = activity(t)
+    first, last = rows.agg(F.unix_seconds(F.min("ts")), F.unix_seconds(F.max("ts"))).first()
+    half = (last - first) // 2 + 1
+    late = F.when(F.col("event_id") % 5 == 0, 1).otherwise(0)
+    part = F.floor((F.unix_seconds("ts") - first) / half) + late
+    closing = rows.limit(1).select(
+        F.lit(-1).cast(rows.schema["signal_id"].dataType).alias("signal_id"),
+        F.timestamp_seconds(F.lit(last + 4 * half + 2_000_000)).alias("ts"), "value", "event_id",
+    )
+    for new in (rows.where(part == 0), rows.where(part == 1), rows.where(part == 2), closing):
+        new.write.mode("append").parquet(f"{folder}/in")
+        stream = W.read_frames(t.spark, f"{folder}/in", rows.schema).withWatermark("ts", f"{2 * half} seconds")
+        result = W.run_available(apply(stream), folder)
+    return result
+
+
+@query("stf7_tumbling_stream", ORACLES["stf7_tumbling_event_time"])
+def tumbling_stream(t: Tables):
+    rows = streamed_windows(t, lambda s: W.tumbling(s, "6 hours", [F.count(F.lit(1)).alias("n"), F.max(F.abs("value")).alias("peak")]))
+    return rows.select("signal_id", F.unix_seconds("start").alias("start"), "n", rounded(F.col("peak")).alias("peak"))
+
+
+@query("stf8_sliding_stream", ORACLES["stf8_sliding_event_time"])
+def sliding_stream(t: Tables):
+    rows = streamed_windows(t, lambda s: W.sliding(s, "6 hours", "2 hours", [F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")]))
+    return rows.select("signal_id", F.unix_seconds("start").alias("start"), "n", rounded(F.col("mean")).alias("mean"))
+
+
+@query("stf9_sessions_stream", ORACLES["stf9_activity_sessions"])
+def sessions_stream(t: Tables):
+    length = F.lit(60_000_000) * (1 + F.col("event_id") % 90)
+    rows = streamed_windows(t, lambda s: W.activity_sessions(s, length, 21_600_000_000))
+    return rows.select("signal_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "stretches")
+
+
 @query("stf1_stf6_impulse_flags_stream", ORACLES["stf1_impulse_flags"])
 def impulse_stream(t: Tables):
     """The detector as a stream that stops and resumes twice; equal to one batch run, as its state is carried."""
@@ -82,6 +121,21 @@ def overlap_stream(t: Tables):
     return rows.select("signal_id", "frame", F.col("i").cast("bigint").alias("i"), rounded(F.col("y")).alias("y"))
 
 
+@query("stf5_stf6_late_frames", ORACLES["stf5_overlap_add_stream"])
+def late_frames(t: Tables):
+    """Frames arrive in any order over three runs of the stream; those that are early wait for the ones before them."""
+    P.use_rocksdb(t.spark)
+    folder = f"{ensure_checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    frames = t.views.frames.select("signal_id", "frame", F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("frame") * 10).alias("ts"), "x")
+    part = F.pmod(F.xxhash64("signal_id", "frame"), F.lit(3))
+    for i in range(3):
+        frames.where(part == i).write.mode("append").parquet(f"{folder}/in")
+        stream = W.read_frames(t.spark, f"{folder}/in", frames.schema).withWatermark("ts", "1 hour")
+        hops = W.run_available(P.overlap_add(stream, 32), folder)
+    rows = hops.select("signal_id", "frame", F.posexplode("y").alias("i", "y"))
+    return rows.select("signal_id", "frame", F.col("i").cast("bigint").alias("i"), rounded(F.col("y")).alias("y"))
+
+
 @query(
     "udf4_table_functions",
     sql(CHUNK_ROWS)

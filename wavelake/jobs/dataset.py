@@ -18,7 +18,7 @@ from wavelake.operators.sequences import planned_ids
 from wavelake.plans.draws import between, draw, draw_dist
 from wavelake.plans.ordered import BLOCK, ordered_index, with_block
 from wavelake.schema import CLEAN_FIELDS, SAMPLE_RATE
-from wavelake.session import cut_lineage
+from wavelake.session import settled
 from wavelake.sources.sinks import output_path
 
 
@@ -105,16 +105,16 @@ class _Waves:
             .withColumn("target_snr_db", draw_dist(c.snr_db, draw("snr", seed)))
             .withColumn("n", between(draw("n", seed), F.lit(c.num_noises[0]), F.lit(c.num_noises[1])))
         )
-        drawn = cut_lineage(drawn.drop("_pick", "clean_idx"))
+        drawn = settled(drawn.drop("_pick", "clean_idx"))
         usable = drawn.where(F.col("length") >= c.min_clean)
 
-        clean = cut_lineage(self._clean(usable))
-        regions = cut_lineage(self._regions(usable, clean))
-        picks = cut_lineage(self._picks(usable))
-        segments = cut_lineage(self._segments(usable, picks))
+        clean = settled(self._clean(usable))
+        regions = settled(self._regions(usable, clean))
+        picks = settled(self._picks(usable))
+        segments = settled(self._segments(usable, picks))
         placed = J.place_segments(self.noise_samples, segments)
         composite, levels = S.composite_noise(placed, c.min_noise_rms, KEY, self.size)
-        levels = cut_lineage(levels)
+        levels = settled(levels)
         silent = levels.where("silent").select(*KEY).distinct().withColumn("_silent", F.lit(True))
         covered = segments.select(*KEY, F.col("pick").alias("j")).distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("_placed"))
         chosen = picks.groupBy(F.col("k").alias("sample_id")).agg(F.count(F.lit(1)).alias("num_noises"))
@@ -124,7 +124,7 @@ class _Waves:
         rows = J.mask_from_regions(rows, regions, KEY)
         rows = rows.join(usable.select(*KEY, "target_snr_db"), KEY)
         mixed = S.mix_at_snr(with_block(rows, "t", self.size), F.col("target_snr_db"), c.peak_limit, KEY)
-        mixed = cut_lineage(mixed)
+        mixed = settled(mixed)
         measured = S.measured_snr(mixed, c.output_subtype, KEY).withColumnRenamed("rejection", "_measured")
         stats = mixed.groupBy(*KEY).agg(
             F.max("noise_scale").alias("composite_noise_scale"),
@@ -236,7 +236,7 @@ class _Waves:
             F.col("source_length").alias("source_standardized_num_samples"),
         )
         lists = rows.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("pick", noise.alias("noise")))).alias("_n"))
-        return cut_lineage(lists.select(*KEY, F.transform("_n", lambda s: s["noise"]).alias("noises")))
+        return settled(lists.select(*KEY, F.transform("_n", lambda s: s["noise"]).alias("noises")))
 
 
 def generate_dataset(

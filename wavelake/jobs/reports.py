@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelake.functions import metrics as M
@@ -20,6 +21,9 @@ from wavelake.operators.sequences import select_lowest_per_cell
 from wavelake.plans.ordered import BLOCK, with_block
 from wavelake.plans.totals import beside
 from wavelake.schema import RESULT_FIELDS, SAMPLE_RATE
+from wavelake.session import settled
+from wavelake.sources.files import scan_files
+from wavelake.sources.wav import read_wav_blocks, write_wav
 
 
 def _side_by_side(parts: Sequence[DataFrame]) -> DataFrame:
@@ -59,6 +63,19 @@ def dataset_summary(
     }
 
 
+def summary_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """All tables of `dataset_summary` in one result: (section, name, measure, value)."""
+    names = {"splits": F.col("split"), "usage": F.concat_ws("/", "kind", "name"), "snr_distribution": F.col("label"), "noise_counts": F.col("num_noises")}
+    hidden = {"split", "kind", "name", "label", "lower", "num_noises"}
+    parts = []
+    for section, table in tables.items():
+        measures = [F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in table.columns if c not in hidden]
+        name = names.get(section, F.lit("all")).cast("string").alias("name")
+        rows = table.select(F.lit(section).alias("section"), name, F.explode(F.array(*measures)).alias("m"))
+        parts.append(rows.select("section", "name", "m.*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def build_manifests(
     metadata: dict[str, tuple[DataFrame, str]],
     audits: dict[str, DataFrame],
@@ -211,6 +228,39 @@ def clean_batch(
     return S.clean_chain(samples, highpass, bandlimit, enhancer, size=size, **options), failed
 
 
+def clean_folder(
+    spark: SparkSession,
+    source: str,
+    target: str,
+    highpass: np.ndarray,
+    bandlimit: np.ndarray,
+    enhancer: Callable[[DataFrame], DataFrame] | None = None,
+    subtype: str = "PCM_16",
+    size: int = BLOCK,
+    **options,
+) -> tuple[DataFrame, DataFrame]:
+    """Cleans every WAV file below ``source`` into a file of the same relative path below ``target``.
+
+    Returns (report, totals): the report has a row for each file with its path, the frames written or the error that kept
+    it from being read; the totals have the number of files and failures, the seconds of audio and of the run, and their
+    ratio. A file that cannot be read does not stop the others.
+    """
+    began = time.perf_counter()
+    files = scan_files(spark, source, "", [".wav"]).select("rel", "path")
+    blocks = read_wav_blocks(files, size).withColumnRenamed("path", "_path")
+    blocks = blocks.join(files.withColumnRenamed("path", "_at"), F.col("_path") == F.col("_at")).withColumn("path", F.col("rel"))
+    cleaned, failed = clean_batch(settled(blocks.drop("_path", "_at", "rel")), highpass, bandlimit, enhancer, size, **options)
+    out = S.blocks_from_samples(cleaned, size).withColumnRenamed("signal_id", "path")
+    written = write_wav(out, target, subtype)
+    report = written.select("path", "frames", F.lit(None).cast("string").alias("error"))
+    report = settled(report.unionByName(failed.select("path", F.lit(None).cast("bigint").alias("frames"), "error").dropDuplicates(["path"])))
+    spent = time.perf_counter() - began
+    seconds = F.coalesce(F.sum("frames"), F.lit(0)) / float(SAMPLE_RATE)
+    totals = report.agg(F.count(F.lit(1)).alias("files"), F.count("error").alias("failed"), seconds.alias("audio_sec"))
+    totals = totals.withColumn("processing_time_sec", F.lit(spent))
+    return report, totals.withColumn("rtf", F.col("processing_time_sec") / F.nullif(F.col("audio_sec"), F.lit(0.0)))
+
+
 def recover(records: DataFrame, outputs: DataFrame, files: DataFrame) -> DataFrame:
     """Actions (action, path) that bring records and files together: fatal duplicates and missing files, orphans to delete."""
     doubled = A.duplicate_ids(records).select(F.lit("duplicate").alias("action"), F.col("sample_id").alias("path"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wavelake.plans.draws import below, between, distinct_indices, draw
 from wavelake.plans.ordered import ordered_index
 from wavelake.plans.totals import beside
-from wavelake.session import cut_lineage
+from wavelake.session import settled
 
 
 def noise_pool(noises: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def first_valid_attempt(
     """
     winners, failures, rest = None, None, plan
     for attempt in range(max_attempts):
-        wave = cut_lineage(evaluate(rest.withColumn("attempt", F.lit(attempt))))
+        wave = settled(evaluate(rest.withColumn("attempt", F.lit(attempt))))
         won, lost = wave.where(F.col("rejection").isNull()).drop("rejection"), wave.where(F.col("rejection").isNotNull())
         winners = won if winners is None else winners.unionByName(won)
         failures = lost if failures is None else failures.unionByName(lost)

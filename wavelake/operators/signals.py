@@ -8,6 +8,7 @@ few blocks whose outputs need it, so one task works on one block plus its halo,
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 from math import ceil, gcd
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 
 from wavelake.functions import metrics as M
 from wavelake.functions.scalars import db_to_amplitude, fade_gain, pcm_decode, pcm_encode
+from wavelake.operators.filters import forward_backward
 from wavelake.operators.matching import to_buckets
 from wavelake.operators.rules import clip_gain
 from wavelake.plans.batches import empty, plain
@@ -28,12 +30,13 @@ from wavelake.plans.ordered import (
     block_of,
     block_totals,
     exact_percentile,
+    join_on,
     merge_intervals,
     spread_groups,
     true_runs,
     with_block,
 )
-from wavelake.session import cut_lineage
+from wavelake.session import settled
 
 SIGNAL = ["signal_id"]
 EPS = 1e-12
@@ -293,7 +296,7 @@ def detect_active_regions(
     active frames become regions; regions closer than ``min_gap`` merge; short ones are dropped.
     """
     # A frame table has one row per hop; it is read several times below.
-    frames = cut_lineage(frame_energies(samples, frame, hop, keys))
+    frames = settled(frame_energies(samples, frame, hop, keys))
     frames = frames.withColumn("db", F.lit(10.0) * F.log10(F.col("energy") + F.lit(1e-24)))
     p95 = exact_percentile(frames, keys, "db", 0.95, "_p95")
     threshold = p95.withColumn("_threshold", F.greatest(F.col("_p95") - below_p95, F.lit(floor_dbfs))).drop("_p95")
@@ -334,7 +337,7 @@ def composite_noise(
     """
     faded = F.col("x") * fade_gain(F.col("event_index"), F.col("event_length"), F.col("fade"))
     # Read once for the level of each pick and once for the sum.
-    rows = cut_lineage(with_block(placed.withColumn("x", faded), "t", size))
+    rows = settled(with_block(placed.withColumn("x", faded), "t", size))
     picks = rows.groupBy(*keys, "pick").agg(M.rms("x").alias("normalization_rms"))
     picks = picks.withColumn("silent", F.col("normalization_rms") < min_rms)
     rows = attach(rows, picks.where(~F.col("silent")), [*keys, "pick"])
@@ -362,7 +365,7 @@ def mix_at_snr(rows: DataFrame, target: Column, limit: float = 0.99, keys: Seque
     scale = F.sqrt(pc / (pn * F.pow(F.lit(10.0), target / 10)))
     audible = rows.where((F.col("_active") > 0) & (pc >= EPS) & (pn >= EPS)).withColumn("noise_scale", scale)
     mixed = audible.withColumn("_mix", clean + noise * F.col("noise_scale")).drop("_pc", "_pn", "_active", "_n")
-    mixed = block_totals(cut_lineage(mixed), keys, maxima={"peak": F.abs("_mix")}).drop("_n")
+    mixed = block_totals(settled(mixed), keys, maxima={"peak": F.abs("_mix")}).drop("_n")
     mixed = mixed.withColumn("output_gain", clip_gain(F.col("peak"), limit))
     return (
         mixed.withColumn("clean_out", clean * F.col("output_gain"))
@@ -399,7 +402,7 @@ def remix(pairs: DataFrame, draw: Column, low: float, high: float, keys: Sequenc
     snr = F.lit(low) + F.lit(high - low) * unit(draw)
     g = F.when(silent, F.lit(1.0)).otherwise(F.sqrt(ps / (pn * F.pow(F.lit(10.0), snr / 10))))
     rows = rows.withColumn("_silent", silent).withColumn("noisy", clean + g * noise).drop("_clean", "_noise", "_n")
-    rows = block_totals(cut_lineage(rows), keys, maxima={"_peak": F.abs("noisy")})
+    rows = block_totals(settled(rows), keys, maxima={"_peak": F.abs("noisy")})
     scale = F.when(F.col("_silent"), F.lit(1.0)).otherwise(clip_gain(F.col("_peak"), 0.99))
     return rows.withColumn("clean", clean * scale).withColumn("noisy", F.col("noisy") * scale).drop("_silent", "_peak", "_n")
 
@@ -551,10 +554,10 @@ def align_and_gain_match(
         aligned = left.join(right, [*keys, "t"])
     else:
         # Both signals side by side, written once; the search, the shift and the sums all read this table.
-        both = cut_lineage(with_block(left.join(right, [*keys, "t"], "full_outer"), "t", size))
+        both = settled(with_block(left.join(right, [*keys, "t"], "full_outer"), "t", size))
         find = phat_lag if method == "phat" else best_lag
         common = both.where(c.isNotNull() & e.isNotNull())
-        lags = cut_lineage(find(common, max_shift, ref="clean", other="est", keys=keys, size=size))
+        lags = settled(find(common, max_shift, ref="clean", other="est", keys=keys, size=size))
         shifted = apply_delay(both.where(e.isNotNull()).select(*keys, "t", "block", e.alias("x")), lags, keys, size)
         aligned = both.where(c.isNotNull()).select(*keys, "t", "clean").join(
             shifted.select(*keys, "t", F.col("x").alias("est")), [*keys, "t"]
@@ -626,7 +629,7 @@ def declip_runs(
     rows = block_totals(rows, [*keys, "sign"], maxima={"level": F.col("y")})
     margin = F.greatest(F.col("level") * 1e-4, F.lit(1.5 / 32768))
     near = rows.withColumn("_near", (F.col("level") >= 1e-3) & (F.col("y") >= F.col("level") - margin))
-    runs = cut_lineage(true_runs(near, [*keys, "sign"], "t", "_near", min_run))
+    runs = settled(true_runs(near, [*keys, "sign"], "t", "_near", min_run))
     counts = runs.groupBy(*keys, "sign").agg(
         F.count(F.lit(1)).alias("_runs"), F.sum(F.col("end_sample") - F.col("start_sample")).alias("_clipped")
     )
@@ -662,9 +665,34 @@ def _spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     )
 
 
+@lru_cache(maxsize=4096)
+def _bridge(length: int, context: int) -> np.ndarray:
+    """The spline over a gap is linear in the samples around it: one row for each missing sample."""
+    at = np.arange(length + 2 * context, dtype=float)
+    outside = (at < context) | (at >= context + length)
+    return np.array([_spline(at[outside], unit, at[~outside]) for unit in np.eye(2 * context)]).T
+
+
+def repairable_runs(
+    samples: DataFrame, max_run: int | None = 40, context: int = 8, keys: Sequence[str] = SIGNAL, **detection
+) -> DataFrame:
+    """The runs of `declip_runs` with ``left``: why a run is not repaired, null where it is.
+
+    A run of more than ``max_run`` samples is left (none is, where that is null), and one whose context reaches over an
+    end of the signal.
+    """
+    runs = settled(declip_runs(samples, keys=keys, **detection))
+    ends = samples.groupBy(*keys).agg((F.max("t") + 1).alias("_length"))
+    length = F.col("end_sample") - F.col("start_sample")
+    long = F.lit(False) if max_run is None else length > max_run
+    at_end = (F.col("start_sample") < context) | (F.col("end_sample") + context > F.col("_length"))
+    left = F.when(long, F.lit("long run")).when(at_end, F.lit("at an end"))
+    return join_on(runs, ends, keys).withColumn("left", left).drop("_length")
+
+
 def declip(
     samples: DataFrame,
-    max_run: int = 40,
+    max_run: int | None = 40,
     context: int = 8,
     overshoot: float = 1.3,
     keys: Sequence[str] = SIGNAL,
@@ -673,35 +701,41 @@ def declip(
 ) -> DataFrame:
     """Repairs clipped runs by a cubic spline through the samples on both sides, held between the level and 1.3 times it.
 
-    One repaired item is one run with its context, so at most ``max_run + 2 * context`` samples.
+    Only the ``2 * context`` samples around a run are gathered, whatever its length; all runs of a length in a batch are
+    solved by one matrix product. `repairable_runs` tells which runs are left as they are.
     """
-    runs = cut_lineage(declip_runs(samples, keys=keys, **detection))
-    runs = runs.where(F.col("end_sample") - F.col("start_sample") <= max_run)
-    wide = runs.withColumn("_from", F.col("start_sample") - context).withColumn("_to", F.col("end_sample") + context)
-    wide = wide.where(F.col("_from") >= 0)
-    pieces = wide.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_from") / bucket), F.floor((F.col("_to") - 1) / bucket))))
+    runs = repairable_runs(samples, max_run, context, keys, **detection).where("left is null").drop("left")
+    sides = F.array(
+        F.struct((F.col("start_sample") - context).alias("from"), F.col("start_sample").alias("to")),
+        F.struct(F.col("end_sample").alias("from"), (F.col("end_sample") + context).alias("to")),
+    )
+    wide = runs.select("*", F.explode(sides).alias("_side"))
+    first, last = F.floor(F.col("_side.from") / bucket), F.floor((F.col("_side.to") - 1) / bucket)
+    pieces = wide.withColumn("_bucket", F.explode(F.sequence(first, last)))
     near = samples.select(*keys, "t", "x", F.floor(F.col("t") / bucket).alias("_bucket"))
-    rows = pieces.join(near, [*keys, "_bucket"]).where((F.col("t") >= F.col("_from")) & (F.col("t") < F.col("_to")))
+    inside = (F.col("t") >= F.col("_side.from")) & (F.col("t") < F.col("_side.to"))
+    rows = pieces.join(near, [*keys, "_bucket"]).where(inside)
     packed = rows.groupBy(*keys, "sign", "start_sample", "end_sample", "level").agg(
         F.array_sort(F.collect_list(F.struct("t", F.col("x").cast("double").alias("x")))).alias("_s")
     )
-    # A run whose context reaches over the end of the signal is left alone.
-    packed = packed.where(F.size("_s") == F.col("end_sample") - F.col("start_sample") + 2 * context)
+    # A run next to missing samples is left alone.
+    packed = packed.where(F.size("_s") == 2 * context)
 
     @F.pandas_udf("array<double>")
     def repair(values: pd.Series, size: pd.Series, sign: pd.Series, level: pd.Series) -> pd.Series:
-        fixed = []
-        for x, n, s, top in zip(values, size, sign, level):
-            at = np.arange(n + 2 * context, dtype=float)
-            outside = (at < context) | (at >= context + n)
-            y = _spline(at[outside], np.asarray(x)[outside], at[~outside])
-            fixed.append(s * np.clip(s * y, top, overshoot * top))
-        return pd.Series(fixed)
+        fixed = pd.Series([None] * len(size), dtype=object)
+        for n in size.unique():
+            at = np.flatnonzero(size == n)
+            around = np.stack(values.iloc[at].to_numpy())
+            s, top = sign.iloc[at].to_numpy()[:, None], level.iloc[at].to_numpy()[:, None]
+            y = s * np.clip(s * (around @ _bridge(int(n), context).T), top, overshoot * top)
+            for i, row in zip(at, y):
+                fixed.iloc[i] = row
+        return fixed
 
     values = F.transform("_s", lambda p: p["x"])
-    runs_fixed = packed.select(
-        *keys, "start_sample", F.posexplode(repair(values, F.col("end_sample") - F.col("start_sample"), "sign", "level")).alias("_i", "fixed")
-    )
+    length = (F.col("end_sample") - F.col("start_sample")).cast("int")
+    runs_fixed = packed.select(*keys, "start_sample", F.posexplode(repair(values, length, "sign", "level")).alias("_i", "fixed"))
     fixed = runs_fixed.select(*keys, (F.col("start_sample") + F.col("_i")).alias("t"), "fixed")
     return samples.join(fixed, [*keys, "t"], "left").withColumn("x", F.coalesce("fixed", "x")).drop("fixed")
 
@@ -724,18 +758,23 @@ def clean_chain(
 ) -> DataFrame:
     """DC removal, high-pass, level, enhancer, dry/wet blend, band limit, optional level, peak limit; each step optional.
 
-    ``enhancer`` maps a sample DataFrame to one of the same shape. One lazy plan; nothing is written in between.
+    ``enhancer`` maps a sample DataFrame to one of the same shape. A filter is given by its sections (`butterworth`), run
+    forward and backward with the rule for the ends, or by symmetric taps with zeros outside the signal.
     """
+    def filtered(part: DataFrame, how: np.ndarray) -> DataFrame:
+        run = forward_backward if np.ndim(how) == 2 else zero_phase_filter
+        return run(part, how, "x", keys, size)
+
     rows = remove_dc(samples, keys) if dc else samples
     if highpass is not None:
         # The filtered signal is read twice by the level step, so it is written once instead of filtered twice.
-        rows = cut_lineage(zero_phase_filter(rows, highpass, "x", keys, size))
+        rows = settled(filtered(rows, highpass))
     before = rms_normalize(rows, target_dbfs, keys=keys) if normalize_before else rows
     after = enhancer(before) if enhancer else before
     if wet < 1.0:
         after = blend(after, before, wet, keys)
     if bandlimit is not None:
-        after = cut_lineage(zero_phase_filter(after, bandlimit, "x", keys, size))
+        after = settled(filtered(after, bandlimit))
     if normalize_after:
         after = rms_normalize(after, target_dbfs, keys=keys)
     return peak_limit(after, keys=keys)

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavelake.plans.batches import plain
-from wavelake.plans.ordered import join_on, ordered_rank, spread_groups, with_block
-from wavelake.session import cut_lineage
+from wavelake.plans.ordered import fold_blocks, join_on, ordered_rank, spread_groups, with_block
+from wavelake.session import settled
 
 # Fixed values of the impulse detector.
 JUMP_DB, FLOOR_ALPHA, HOLD_FRAMES = 13.0, 0.98, 3
@@ -135,20 +135,49 @@ def impulse_scan(
     return active, severity, floor, max(0, end - n + 1) if end > n - 1 and active[-1] else 0
 
 
+def raised_through(block, floor: float, held: int, jump_db: float = JUMP_DB, hold: int = HOLD_FRAMES) -> int | None:
+    """The carried hold after a block that keeps the flag up from end to end for this state, else None.
+
+    Then the floor stays as it is. ``block`` is the summary of `block_summary`: the flag stays up if the first jump comes
+    before the carried flag ends and every ``hold`` frames in a row have a jump.
+    """
+    bar = 10.0 ** (jump_db / 10.0) * floor
+    first = held if held > 1 else 1
+    if block.frames < hold or not min(block.least, block.head[first - 1]) > bar:
+        return None
+    return 1 + max(i for i, level in enumerate(block.tail) if level > bar)
+
+
+def block_summary(energy: np.ndarray, hold: int = HOLD_FRAMES) -> dict:
+    """What `raised_through` needs of a block: running maxima of its first frames, its last frames, and the least of the
+    maxima of all runs of ``hold`` frames."""
+    level = np.maximum(np.asarray(energy, dtype=np.float64), 1e-12)
+    n = len(level)
+    runs = np.lib.stride_tricks.sliding_window_view(level, hold).max(axis=1) if n >= hold else np.array([0.0])
+    return {
+        "frames": n,
+        "least": float(runs.min()),
+        "head": np.maximum.accumulate(level[:hold]).tolist(),
+        "tail": level[-hold:].tolist(),
+    }
+
+
 def impulse_flags(energies: DataFrame, keys: Sequence[str] = ("signal_id",), block: int = 65_536) -> DataFrame:
     """Impulse flag and severity of every frame: (keys, frame, energy, flag, severity).
 
-    The floor freezes while the flag is held, so the state cannot be summed over blocks. Instead every block is first
-    run from an assumed state, and only blocks whose predecessor ended in another state than assumed run again, until
-    all agree. The result is that of one run over the whole signal; the floor forgets quickly, so few rounds are needed.
+    The floor freezes while the flag is held, so the state cannot be summed over blocks. Every block is first run from an
+    assumed state. A pass over one row for each block then carries the true state on: a block that the flag is up in from
+    end to end, for the state that reaches it, hands it on by its summary alone; any other block hands on what its run
+    ended in, and runs again if it was run from another state. The floor forgets quickly where the flag is down, so few
+    rounds are needed, however long the flag stays up. The result is that of one run over the whole signal.
     """
     keys = list(keys)
     rows = with_block(energies.select(*keys, "frame", "energy"), "frame", block)
     key_fields = [energies.schema[k] for k in keys]
     edge = T.StructType(
-        [*key_fields, *(T.StructField(n, t) for n, t in (
-            ("block", T.LongType()), ("in_floor", T.DoubleType()), ("in_held", T.IntegerType()),
-            ("out_floor", T.DoubleType()), ("out_held", T.IntegerType())))]
+        [*key_fields, *T.StructType.fromDDL(
+            "block long, in_floor double, in_held int, out_floor double, out_held int, "
+            "frames int, least double, head array<double>, tail array<double>").fields]
     )
     flagged = T.StructType(
         [*key_fields, *(T.StructField(n, t) for n, t in (
@@ -162,9 +191,11 @@ def impulse_flags(energies: DataFrame, keys: Sequence[str] = ("signal_id",), blo
     def ends(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("frame")
         floor, held = start(group)
-        _, _, out_floor, out_held = impulse_scan(group["energy"].to_numpy(), floor, held)
+        energy = group["energy"].to_numpy()
+        _, _, out_floor, out_held = impulse_scan(energy, floor, held)
         head = {k: [group[k].iloc[0]] for k in keys}
         edges = {"in_floor": [floor], "in_held": [held], "out_floor": [out_floor], "out_held": [out_held]}
+        edges |= {name: [value] for name, value in block_summary(energy).items()}
         return plain(pd.DataFrame({**head, "block": [group["block"].iloc[0]], **edges}).astype({"in_floor": "float64"}))
 
     def flags(group: pd.DataFrame) -> pd.DataFrame:
@@ -172,31 +203,32 @@ def impulse_flags(energies: DataFrame, keys: Sequence[str] = ("signal_id",), blo
         flag, severity, _, _ = impulse_scan(group["energy"].to_numpy(), *start(group))
         return plain(group[[*keys, "frame", "energy"]].assign(flag=flag, severity=severity))
 
+    def carry(state, row):
+        floor, held = state
+        run_from = (None if pd.isna(row.in_floor) else row.in_floor, row.in_held)
+        after, again = (row.out_floor, int(row.out_held)), False
+        if (floor, held) != run_from:
+            still = None if floor is None else raised_through(row, floor, held)
+            after, again = ((floor, still), False) if still is not None else (after, True)
+        return after, (floor, held, again)
+
     on = [*keys, "block"]
     states = rows.select(*on).distinct().select(
         *on, F.lit(None).cast("double").alias("in_floor"), F.lit(0).alias("in_held")
     )
     if not rows.where("block > 0").isEmpty():
-        solved = cut_lineage(spread_groups(rows.join(states, on), *on).groupBy(*on).applyInPandas(ends, edge))
-        previous = Window.partitionBy(*keys).orderBy("block")
+        solved = settled(spread_groups(join_on(rows, states, on), *on).groupBy(*on).applyInPandas(ends, edge))
         while True:
-            wanted = solved.select(
-                *on, "in_floor", "in_held",
-                F.lag("out_floor").over(previous).alias("want_floor"),
-                F.coalesce(F.lag("out_held").over(previous), F.lit(0)).alias("want_held"),
-            )
-            differs = ~F.col("in_floor").eqNullSafe(F.col("want_floor")) | (F.col("in_held") != F.col("want_held"))
-            again = cut_lineage(
-                wanted.where(differs & (F.col("block") > 0)).select(
-                    *on, F.col("want_floor").alias("in_floor"), F.col("want_held").alias("in_held")
-                )
+            states = settled(
+                fold_blocks(solved, keys, lambda: (None, 0), carry, "in_floor double, in_held int, again boolean")
             )
+            again = states.where("again").drop("again")
             if again.isEmpty():
                 break
-            redone = spread_groups(rows.join(again, on), *on).groupBy(*on).applyInPandas(ends, edge)
-            solved = cut_lineage(solved.join(again.select(*on), on, "left_anti").unionByName(redone))
-        states = solved.select(*on, "in_floor", "in_held")
-    return spread_groups(rows.join(states, on), *on).groupBy(*on).applyInPandas(flags, flagged)
+            redone = spread_groups(join_on(rows, again, on), *on).groupBy(*on).applyInPandas(ends, edge)
+            solved = settled(join_on(solved, again.select(*on), on, "left_anti").unionByName(redone))
+        states = states.drop("again")
+    return spread_groups(join_on(rows, states, on), *on).groupBy(*on).applyInPandas(flags, flagged)
 
 
 # Residual canceller ---------------------------------------------------------------------------------------------
@@ -208,7 +240,8 @@ def cancel_frames(state: dict, frames: dict[str, np.ndarray], p: dict) -> dict[s
     The filter w of a bin changes by an affine map from frame to frame, w <- keep w + add, whose factors depend on the
     input only and are formed for all frames at once, as is the share of the reference that a unit filter explains
     (``reach``). What is left to a loop over frames is the map itself and its reset where the output would be louder.
-    ``frames``: complex s, y, x; mask, erased (frames, bins); frozen, bypass (frames).
+    ``frames``: complex s, y, x; mask, erased (frames, bins); frozen, bypass (frames). ``kept`` is the factor of the map
+    of all frames together: what remains of the first w in the last, none after a reset.
     """
     s, y, x = frames["s"], frames["y"], frames["x"]
     mask = frames["mask"]
@@ -224,6 +257,7 @@ def cancel_frames(state: dict, frames: dict[str, np.ndarray], p: dict) -> dict[s
     loud = np.abs(s)
     quiet = loud <= p["noise_floor"]
     w = state["w"]
+    kept = np.ones(s.shape[1])
     explained, diverged, skipped = np.zeros_like(s), np.zeros(s.shape, bool), np.zeros(s.shape, bool)
     for t in np.flatnonzero(used):
         guess = w * reach[t]
@@ -231,8 +265,9 @@ def cancel_frames(state: dict, frames: dict[str, np.ndarray], p: dict) -> dict[s
         diverged[t] = ~skipped[t] & (np.abs(s[t] - guess) > loud[t])
         explained[t] = np.where(skipped[t] | diverged[t], 0, guess)
         w = np.where(diverged[t], 0, keep[t] * w + add[t])
+        kept = np.where(diverged[t], 0, keep[t] * kept)
     state["w"], state["mask"] = w, mask[-1]
-    return {"z": s - explained, "diverged": diverged, "skipped": skipped, "learned": learned}
+    return {"z": s - explained, "diverged": diverged, "skipped": skipped, "learned": learned, "kept": kept}
 
 
 def frame_arrays(rows: pd.DataFrame) -> dict[str, np.ndarray]:
@@ -256,15 +291,47 @@ CANCELLER = {"mu": 0.5, "delta": 1e-8, "eps": 1e-8, "g_max": 1.5, "mask_threshol
 DEAD_POWER = 1e-12
 
 SPECTRA = ["s_re", "s_im", "y_re", "y_im", "x_re", "x_im", "mask"]
+CANCEL_BLOCK = 512
+#: Filters that differ by no more than this share of the larger one, at least of 1, count as equal.
+SAME_FILTER = 1e-12
+
+_BLOCK_MAP = "w_re array<double>, w_im array<double>, keep array<double>, add_re array<double>, add_im array<double>"
+_FRAME_RESULT = (
+    "z_re array<double>, z_im array<double>, frame_guard boolean, bin_guard long, floor_skip long, adapted long, "
+    "by_clip boolean, by_dead boolean"
+)
+
+
+def _cancelled_block(group: pd.DataFrame, start: pd.DataFrame, params: dict):
+    """Runs one block from its start; returns (frames, result, map): map is what the block does to the filter."""
+    group = group.sort_values("frame")
+    frames = frame_arrays(group)
+    state = initial_filter(frames["mask"].shape[1])
+    begin = start.iloc[0]
+    if begin["mask_in"] is not None:
+        state["mask"] = np.asarray(begin["mask_in"], np.float64)
+    if begin["w_re"] is not None:
+        state["w"] = np.asarray(begin["w_re"]) + 1j * np.asarray(begin["w_im"])
+    w = state["w"]
+    frames["bypass"] = (group["ref_clipped"] | group["dead"]).to_numpy(dtype=bool)
+    done = cancel_frames(state, frames, params)
+    add = state["w"] - done["kept"] * w
+    return group, frames["s"], done, {
+        "w_re": w.real, "w_im": w.imag, "keep": done["kept"], "add_re": add.real, "add_im": add.imag
+    }
 
 
-def nlms_cancel(frames: DataFrame, bins_per_group: int = 32, **overrides: float) -> DataFrame:
+def nlms_cancel(frames: DataFrame, block: int = CANCEL_BLOCK, **overrides: float) -> DataFrame:
     """Adaptive residual canceller per bin: removes what the reference explains from the enhanced spectrum.
 
     ``frames`` has (signal_id, frame), equally long arrays s_re, s_im (enhanced), y_re, y_im (noisy), x_re, x_im
-    (reference), mask, and flags impulse, impulse_tail, ref_clipped; an optional array ``erased``. The filter of a bin
-    depends only on that bin and on frame flags, so a signal splits exactly into groups of bins. A group streams
-    through its task in frame order with its state; it is never held in memory.
+    (reference), mask, and flags impulse, impulse_tail, ref_clipped; an optional array ``erased``.
+
+    A signal is cut into blocks of frames that run in tasks of their own. Between resets the filter of a bin changes by
+    an affine map, so a block does so too, and the filter at the start of every block follows from the maps of the blocks
+    before it, one row each. The maps come from a first run with empty filters. Where a reset falls depends on the filter,
+    so every run hands its map on as it was, and blocks whose start turns out to differ run again. Learning forgets the
+    start of a block within some dozen frames, and a reset at once, so that few blocks do.
 
     Returns per frame z_re, z_im and the counts behind `canceller_telemetry`.
     """
@@ -275,68 +342,72 @@ def nlms_cancel(frames: DataFrame, bins_per_group: int = 32, **overrides: float)
     rows = frames.withColumn("dead", power < DEAD_POWER)
     if "erased" not in frames.columns:
         rows = rows.withColumn("erased", F.transform("mask", lambda _: F.lit(False)))
-    groups = F.sequence(F.lit(0), F.ceil(F.size("mask") / bins_per_group).cast("int") - 1)
-    rows = rows.withColumn("_group", F.explode(groups))
-    first = F.col("_group") * bins_per_group + 1
-    for name in [*SPECTRA, "erased"]:
-        rows = rows.withColumn(name, F.slice(name, first, F.lit(bins_per_group)))
-    rows = rows.select("signal_id", "frame", "_group", *SPECTRA, "erased", "impulse", "impulse_tail", "ref_clipped", "dead")
-    rows = rows.repartition("signal_id", "_group").sortWithinPartitions("signal_id", "_group", "frame")
-
-    out = T.StructType(
-        [frames.schema["signal_id"], frames.schema["frame"]]
-        + T.StructType(
-            [T.StructField("_group", T.IntegerType()), T.StructField("z_re", T.ArrayType(T.DoubleType())),
-             T.StructField("z_im", T.ArrayType(T.DoubleType())), T.StructField("s_energy", T.DoubleType()),
-             T.StructField("z_energy", T.DoubleType()), T.StructField("bin_guard", T.LongType()),
-             T.StructField("floor_skip", T.LongType()), T.StructField("adapted", T.LongType()),
-             T.StructField("by_clip", T.BooleanType()), T.StructField("by_dead", T.BooleanType())]
-        ).fields
-    )
-
-    def run(batches):
-        key, state = None, None
-        for batch in batches:
-            batch = batch.reset_index(drop=True)
-            changes = (batch["signal_id"] != batch["signal_id"].shift()) | (batch["_group"] != batch["_group"].shift())
-            for _, part in batch.groupby(changes.cumsum(), sort=False):
-                now = (part["signal_id"].iat[0], part["_group"].iat[0])
-                frames = frame_arrays(part)
-                if now != key:
-                    key, state = now, initial_filter(frames["mask"].shape[1])
-                clipped, dead = part["ref_clipped"].to_numpy(dtype=bool), part["dead"].to_numpy(dtype=bool)
-                frames["bypass"] = clipped | dead
-                done = cancel_frames(state, frames, params)
-                z = done["z"]
-                yield plain(
-                    pd.DataFrame(
-                        {
-                            "signal_id": part["signal_id"].to_numpy(), "frame": part["frame"].to_numpy(),
-                            "_group": part["_group"].to_numpy(), "z_re": list(z.real), "z_im": list(z.imag),
-                            "s_energy": (np.abs(frames["s"]) ** 2).sum(axis=1), "z_energy": (np.abs(z) ** 2).sum(axis=1),
-                            "bin_guard": done["diverged"].sum(axis=1), "floor_skip": done["skipped"].sum(axis=1),
-                            "adapted": done["learned"].sum(axis=1), "by_clip": clipped, "by_dead": dead & ~clipped,
-                        }
-                    )
-                )
-
-    parts = rows.mapInPandas(run, out)
-    # All groups of a frame meet again: one entry per group, in group order.
-    packed = parts.groupBy("signal_id", "frame").agg(
-        F.array_sort(F.collect_list(F.struct("_group", "z_re", "z_im"))).alias("_z"),
-        (F.sum("z_energy") > F.sum("s_energy")).alias("frame_guard"),
-        *[F.sum(c).alias(c) for c in ("bin_guard", "floor_skip", "adapted")],
-        *[F.max(c).alias(c) for c in ("by_clip", "by_dead")],
-    )
-    joined = packed.join(frames.select("signal_id", "frame", "s_re", "s_im"), ["signal_id", "frame"])
-
-    def output(name: str) -> Column:
-        z = F.flatten(F.transform("_z", lambda g: g[f"z_{name}"]))
-        return F.when(F.col("frame_guard"), F.col(f"s_{name}").cast("array<double>")).otherwise(z).alias(f"z_{name}")
-
-    return joined.select(
-        "signal_id", "frame", output("re"), output("im"), "frame_guard", "bin_guard", "floor_skip", "adapted", "by_clip", "by_dead"
+    rows = with_block(rows, "frame", block).select(
+        "signal_id", "block", "frame", *SPECTRA, "erased", "impulse", "impulse_tail", "ref_clipped", "dead"
     )
+    on = ["signal_id", "block"]
+    head = [frames.schema["signal_id"], T.StructField("block", T.LongType())]
+    mapped = T.StructType([*head, *T.StructType.fromDDL(_BLOCK_MAP).fields])
+    framed = T.StructType([*head, frames.schema["frame"], *T.StructType.fromDDL(f"{_FRAME_RESULT}, {_BLOCK_MAP}").fields])
+
+    def only_map(group: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        if not len(group) or not len(start):
+            return pd.DataFrame({f.name: [] for f in mapped.fields})
+        group, _, _, change = _cancelled_block(group, start, params)
+        first = group.iloc[0]
+        return plain(pd.DataFrame({"signal_id": [first["signal_id"]], "block": [first["block"]], **{k: [v] for k, v in change.items()}}))
+
+    def full(group: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        if not len(group) or not len(start):
+            return pd.DataFrame({f.name: [] for f in framed.fields})
+        group, s, done, change = _cancelled_block(group, start, params)
+        clipped, dead = group["ref_clipped"].to_numpy(dtype=bool), group["dead"].to_numpy(dtype=bool)
+        z = done["z"]
+        louder = (np.abs(z) ** 2).sum(axis=1) > (np.abs(s) ** 2).sum(axis=1)
+        z = np.where(louder[:, None], s, z)
+        none = [None] * (len(group) - 1)
+        return plain(
+            pd.DataFrame(
+                {
+                    **{c: group[c].to_numpy() for c in ("signal_id", "block", "frame")},
+                    "z_re": list(z.real), "z_im": list(z.imag), "frame_guard": louder,
+                    "bin_guard": done["diverged"].sum(axis=1), "floor_skip": done["skipped"].sum(axis=1),
+                    "adapted": done["learned"].sum(axis=1), "by_clip": clipped, "by_dead": dead & ~clipped,
+                    # The map of the block goes with its last frame.
+                    **{k: [*none, v] for k, v in change.items()},
+                }
+            )
+        )
+
+    def run(part: DataFrame, starts: DataFrame, function, schema) -> DataFrame:
+        return spread_groups(part, *on).groupBy(*on).cogroup(starts.groupBy(*on)).applyInPandas(function, schema)
+
+    def follow(w, row):
+        ran = np.asarray(row.w_re) + 1j * np.asarray(row.w_im)
+        w = np.zeros(len(ran), complex) if w is None else w
+        again = bool((np.abs(w - ran) > SAME_FILTER * np.maximum(1.0, np.abs(w))).any())
+        after = np.asarray(row.keep) * w + np.asarray(row.add_re) + 1j * np.asarray(row.add_im)
+        return after, (w.real.tolist(), w.imag.tolist(), again)
+
+    def followed(maps: DataFrame) -> DataFrame:
+        return settled(fold_blocks(maps, ["signal_id"], lambda: None, follow, "w_re array<double>, w_im array<double>, again boolean"))
+
+    last = rows.groupBy(*on).agg(F.max_by("mask", "frame").alias("mask"))
+    previous = F.lag("mask").over(Window.partitionBy("signal_id").orderBy("block"))
+    masks = settled(last.select(*on, previous.cast("array<double>").alias("mask_in")))
+    nothing = F.lit(None).cast("array<double>")
+    maps = settled(run(rows, masks.withColumns({"w_re": nothing, "w_im": nothing}), only_map, mapped))
+    starts = followed(maps)
+    result = settled(run(rows, join_on(masks, starts.drop("again"), on), full, framed))
+    while True:
+        starts = followed(result.where("w_re is not null").select(*on, "w_re", "w_im", "keep", "add_re", "add_im"))
+        again = starts.where("again").drop("again")
+        if again.isEmpty():
+            break
+        redone = run(join_on(rows, again.select(*on), on, "left_semi"), join_on(masks, again, on), full, framed)
+        result = settled(join_on(result, again.select(*on), on, "left_anti").unionByName(redone))
+    names = [f.name for f in T.StructType.fromDDL(_FRAME_RESULT).fields]
+    return result.select("signal_id", "frame", *names)
 
 
 def canceller_telemetry(cancelled: DataFrame) -> DataFrame:

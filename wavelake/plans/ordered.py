@@ -7,12 +7,14 @@ one task. Rows are split by (key, block), where ``block`` grows with the order;
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wavelake.session import cut_lineage
+from wavelake.session import settled
 
 BLOCK = 65_536
 
@@ -110,6 +112,40 @@ def ordered_running(
     return joined.withColumn(name, merged).drop("_local", "_carried")
 
 
+def fold_blocks(
+    blocks: DataFrame, keys: Sequence[str], begin: Callable, step: Callable, columns: str, backward: bool = False
+) -> DataFrame:
+    """Carries a state over the blocks of each key in order, or in reverse: rows (keys, block, ``columns``).
+
+    ``blocks`` has one row for each (key, block). ``begin()`` is the state before a key's first block, and
+    ``step(state, row)`` gives the state after a block and the values of ``columns``. The rows of a key stream through one
+    task with nothing but the state in memory; they are as many as the key has blocks.
+    """
+    head = [blocks.schema[c] for c in (*keys, "block")]
+    schema = T.StructType([*head, *T.StructType.fromDDL(columns).fields])
+    whole = {f.name for f in head if isinstance(f.dataType, T.IntegralType)}
+
+    def plain_value(name: str, value):
+        if value is None or value != value:  # a null of a numeric column arrives as NaN
+            return None
+        return int(value) if name in whole else value
+
+    def run(batches):
+        last, state = None, None
+        for batch in batches:
+            rows = []
+            for row in batch.itertuples(index=False):
+                key = tuple(plain_value(k, getattr(row, k)) for k in keys)
+                if (key,) != last:
+                    last, state = (key,), begin()
+                state, values = step(state, row)
+                rows.append((*key, int(row.block), *values))
+            yield pd.DataFrame({f.name: pd.Series([r[i] for r in rows], dtype=object) for i, f in enumerate(schema.fields)})
+
+    ordered = blocks.repartition(*keys).sortWithinPartitions(*keys, F.desc("block") if backward else "block")
+    return ordered.mapInPandas(run, schema)
+
+
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Gives every row the per-key columns of ``stats`` (one row per key), in two joins.
 
@@ -147,8 +183,8 @@ def block_totals(
 def ordered_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx") -> DataFrame:
     """0-based index of every row in one total order over the whole table.
 
-    Rows are range-partitioned and sorted, and the sorted rows are checkpointed, so that row numbers inside a
-    partition and the number of rows of all earlier partitions refer to the same split. The offsets table has one row
+    Rows are range-partitioned and sorted, and written with their partition and their number in it, so that both refer
+    to the same split as the number of rows of all earlier partitions. The offsets table has one row
     per partition.
     """
     parts = (
@@ -157,7 +193,7 @@ def ordered_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("bigint"), 33))
     )
-    parts = cut_lineage(parts)
+    parts = settled(parts)
     offsets = (
         parts.groupBy("_part")
         .agg(F.count(F.lit(1)).alias("_rows"))
@@ -178,7 +214,7 @@ def ordered_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx
 
 def ordered_prefix(df: DataFrame, order: Sequence[str | Column], column: str, name: str) -> DataFrame:
     """Sum of ``column`` over all earlier rows of one total order over the whole table; see `ordered_index`."""
-    parts = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    parts = settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.groupBy("_part").agg(F.sum(column).alias("_total")).select(
         "_part", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before")
@@ -224,7 +260,7 @@ def merge_intervals(
     """
     order = ["start_sample", "end_sample"]
     # Intervals are far fewer than the rows they come from, and the steps below read them several times.
-    rows = with_block(cut_lineage(intervals.select(*keys, *order)), "start_sample", block_size)
+    rows = with_block(settled(intervals.select(*keys, *order)), "start_sample", block_size)
     rows = ordered_running(rows, keys, order, "end_sample", "max", "_reach", inclusive=False)
     opens = F.col("_reach").isNull() | (F.col("start_sample") - F.col("_reach") >= gap)
     rows = rows.withColumn("_opening", F.when(opens, F.col("start_sample")))
@@ -252,37 +288,48 @@ def true_runs(df: DataFrame, keys: Sequence[str], position: str, flag: str, min_
     return merge_intervals(pieces, keys, 1, min_run)
 
 
-def exact_percentile(df: DataFrame, keys: Sequence[str], column: str, q: float, name: str, cells: int = 4096) -> DataFrame:
-    """Exact percentile with linear interpolation, one row per key, for groups of any size.
+#: Accuracy of the quantile sketch: the rank of a splitter is off by one in ACCURACY of the rows at most.
+ACCURACY = 10_000
 
-    A histogram of ``cells`` equal cells between the least and the largest value of a key (partial aggregation) finds
-    the cells that hold the two order statistics; only the distinct values of those cells are then ranked by their
-    counts. Null keys form a group.
+
+def exact_percentile(df: DataFrame, keys: Sequence[str], column: str, q: float, name: str) -> DataFrame:
+    """Exact percentile with linear interpolation, one row per key, for groups of any size and any distribution.
+
+    A mergeable quantile sketch gives each key a ladder of splitters around the wanted rank, from the least value to the
+    largest; one pass counts the rows below and up to each splitter exactly. The two wanted order statistics lie between
+    the closest splitters that enclose them, so only the distinct values between these two - a small share of the rows,
+    whatever outliers there are - are ranked by their counts. Null keys form a group; null values and NaN are left out.
     """
-    counted = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(*keys, F.col(column).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_times"))
-    )
-    range_ = counted.groupBy(*keys).agg(F.min("_value").alias("_least"), F.max("_value").alias("_most"))
-    share_of_range = (F.col("_value") - F.col("_least")) / F.nullif(F.col("_most") - F.col("_least"), F.lit(0.0))
-    cell = F.least(F.coalesce(F.floor(share_of_range * cells), F.lit(0)), F.lit(cells - 1))
-    counted = join_on(counted, range_, keys).withColumn("_cell", cell).drop("_least", "_most")
-    filled = counted.groupBy(*keys, "_cell").agg(F.sum("_times").alias("_rows"))
-    key_window = Window.partitionBy(*keys)
-    ahead = key_window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        filled.withColumn("_n", F.sum("_rows").over(key_window))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)))
-        .withColumn("_target", F.lit(q) * (F.col("_n") - 1))
-        .where((F.ceil("_target") >= F.col("_before")) & (F.floor("_target") < F.col("_before") + F.col("_rows")))
-        .select(*keys, "_cell", "_before", "_target")
+    values = df.select(*keys, F.col(column).cast("double").alias("_value"))
+    values = values.where(F.col("_value").isNotNull() & ~F.isnan("_value"))
+    near, far = 3.0 / ACCURACY, 300.0 / ACCURACY
+    steps = [0.0, *(min(max(q + d, 0.0), 1.0) for d in (-far, -near, near, far)), 1.0]
+    ladder = values.groupBy(*keys).agg(
+        F.percentile_approx("_value", steps, ACCURACY).alias("_inner"),
+        F.min("_value").alias("_least"),
+        F.max("_value").alias("_most"),
+        F.count(F.lit(1)).alias("_n"),
     )
-    ranked = join_on(counted, placed, [*keys, "_cell"]).withColumn(
-        "_upto",
-        F.col("_before") + F.sum("_times").over(Window.partitionBy(*keys, "_cell").orderBy("_value")),
+    splitters = F.concat(F.array("_least"), "_inner", F.array("_most"))
+    target = F.lit(q) * (F.col("_n") - 1)
+    ladder = ladder.select(*keys, splitters.alias("_s"), target.alias("_target"))
+    laid = join_on(values, ladder, keys)
+    places = range(len(steps) + 2)
+    below = [F.count_if(F.col("_value") < F.col("_s")[i]).alias(f"_b{i}") for i in places]
+    upto = [F.count_if(F.col("_value") <= F.col("_s")[i]).alias(f"_u{i}") for i in places]
+    counts = laid.groupBy(*keys).agg(F.first("_s").alias("_s"), F.first("_target").alias("_target"), *below, *upto)
+    low, high = F.floor("_target"), F.ceil("_target")
+    # The tightest splitters with the lower order statistic not below and the upper one not above them.
+    start = F.greatest(*[F.when(F.col(f"_b{i}") <= low, F.struct(F.col("_s")[i].alias("v"), F.col(f"_b{i}").alias("n"))) for i in places])
+    end = F.least(*[F.when(F.col(f"_u{i}") > high, F.col("_s")[i]) for i in places])
+    bounds = counts.select(*keys, "_target", start.alias("_start"), end.alias("_end"))
+    between = join_on(values, bounds, keys).where(F.col("_value").between(F.col("_start.v"), F.col("_end")))
+    ranked = between.groupBy(*keys, "_value").agg(
+        F.count(F.lit(1)).alias("_times"), F.first("_target").alias("_target"), F.first("_start.n").alias("_before")
     )
-    lo = F.min(F.when(F.col("_upto") > F.floor("_target"), F.col("_value")))
-    hi = F.min(F.when(F.col("_upto") > F.ceil("_target"), F.col("_value")))
-    share = F.max(F.col("_target") - F.floor("_target"))
-    return ranked.groupBy(*keys).agg((lo + (hi - lo) * share).alias(name))
+    running = F.sum("_times").over(Window.partitionBy(*keys).orderBy("_value"))
+    ranked = ranked.withColumn("_upto", F.col("_before") + running)
+    lo = F.min(F.when(F.col("_upto") > low, F.col("_value")))
+    hi = F.min(F.when(F.col("_upto") > high, F.col("_value")))
+    share = F.max(F.col("_target") - low)
+    return ranked.groupBy(*keys).agg(F.when(share > 0, lo + (hi - lo) * share).otherwise(lo).alias(name))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: computed once, same rows and partitions for every later reader."""
+    """A reliable checkpoint: computed once, same rows and partitions for every later reader.
+
+    Its size estimate is that of the plan it replaces; see `settled` for loops and plans with many joins.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, the same for every later reader, lost with no executor.
+
+    A checkpoint goes on with the size estimate of the plan that it replaces, and without column statistics the estimate
+    of a join is the product of its sides, so the numbers grow with every join between cuts until planning takes longer
+    than the work. A table that is written and read back has the size of its files.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

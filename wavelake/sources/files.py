@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import io
+import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
 from functools import reduce
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +15,10 @@ from pyspark.sql import types as T
 from wavelake.functions.scalars import category_from_path, extension, path_template
 from wavelake.operators.matching import apply_sidecar
 from wavelake.plans.batches import plain
+from wavelake.plans.ordered import spread_groups
 from wavelake.schema import CLEAN_FIELDS, INVENTORY, MANIFEST, NOISE_FIELDS, SAMPLE_RECORD
+from wavelake.session import settled
+from wavelake.sources.stores import list_tree, open_store
 from wavelake.sources.wav import read_files
 
 # Fixed value: audio extensions taken by default.
@@ -28,29 +30,14 @@ def _plain(path: Column) -> Column:
     return F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
 
 
-def _root(root: str) -> str:
-    if ":/" in root:
-        rest = root.split(":/", 1)[1].lstrip("/")
-        return "/" + rest.rstrip("/")
-    return str(Path(root).resolve())
-
-
-def relative(path: Column, root: str) -> Column:
-    return _plain(path).substr(F.lit(len(_root(root)) + 2), F.length(_plain(path)))
-
-
 def scan_files(spark: SparkSession, root: str, subdir: str, extensions: Sequence[str] = AUDIO_EXTENSIONS) -> DataFrame:
     """Recursive listing (rel, path, size, mtime) ordered by the path below the root.
 
-    Names that start with a dot are skipped, also as folders. Spark also skips names that start with an underscore.
-    Only metadata columns are selected, so no file content is read.
+    Names that start with a dot are skipped, also as folders, and linked folders are not followed. Folders are listed in
+    parallel and no file content is read.
     """
-    wanted = [e.lower() for e in extensions]
-    rows = read_files(spark, f"{root.rstrip('/')}/{subdir}").select(
-        relative(F.col("path"), root).alias("rel"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime")
-    )
-    visible = ~F.concat(F.lit("/"), "rel").contains("/.")
-    return rows.where(visible & extension(F.col("rel")).isin(wanted)).orderBy("rel")
+    rows = list_tree(spark, root, subdir)
+    return rows.where(extension(F.col("rel")).isin([e.lower() for e in extensions])).orderBy("rel")
 
 
 def with_attributes(
@@ -131,44 +118,102 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema(MANIFEST).csv(path)
 
 
+class _Archive:
+    """A ZIP archive read by ranges: its directory, then only the members that are asked for."""
+
+    def __init__(self, path: str):
+        store, inside, _ = open_store(path)
+        self.file = store.open_input_file(inside)
+        self.zip = zipfile.ZipFile(self.file)
+
+    def __enter__(self) -> zipfile.ZipFile:
+        return self.zip
+
+    def __exit__(self, *_) -> None:
+        self.zip.close()
+        self.file.close()
+
+
+_MEMBERS = "archive_ord INT, archive STRING, member STRING, size BIGINT"
+
+
+def _members(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Members of all archives, one task for each archive; only their directories are read."""
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for order, path in zip(batch["archive_ord"], batch["archive"]):
+                with _Archive(path) as archive:
+                    infos = {i.filename: i.file_size for i in archive.infolist() if not i.is_dir()}
+                rows = {"archive_ord": order, "archive": path, "member": list(infos), "size": list(infos.values())}
+                yield plain(pd.DataFrame(rows).astype({"archive_ord": "int32", "size": "int64"}))
+
+    archives = spark.createDataFrame(list(enumerate(paths)), "archive_ord INT, archive STRING")
+    return spread_groups(archives, "archive").mapInPandas(listed, _MEMBERS)
+
+
 def scan_archives(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Members of ZIP archives (archive_ord, archive, member, size); the first archive that has a name wins."""
+    first = F.min(F.struct("archive_ord", "archive", "size")).alias("_f")
+    return _members(spark, paths).groupBy("member").agg(first).select("_f.archive_ord", "_f.archive", "member", "_f.size")
 
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def read_members(spark: SparkSession, paths: Sequence[str], members: Sequence[str] | DataFrame | None = None) -> DataFrame:
+    """Content of archive members as (path, content), addressable like files; the first archive that has a name wins.
+
+    ``members`` are names, a table with a ``member`` column, or all if not given. The winning members are dealt over the
+    tasks; a task reads its members from the archive by ranges, one at a time.
+    """
+    chosen = scan_archives(spark, paths)
+    if isinstance(members, DataFrame):
+        chosen = chosen.join(members.select("member").distinct(), "member", "left_semi")
+    elif members is not None:
+        chosen = chosen.where(F.col("member").isin(list(members)))
+
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(bytes(content))) as archive:
-                    infos = archive.infolist()
-                rows = {"path": path, "member": [i.filename for i in infos], "size": [i.file_size for i in infos]}
-                yield plain(pd.DataFrame(rows))
+            for path, group in batch.groupby("archive"):
+                with _Archive(path) as archive:
+                    for member in group["member"]:
+                        yield plain(pd.DataFrame({"path": [f"zip:{member}"], "content": [archive.read(member)]}))
+
+    dealt = spread_groups(chosen.select("archive", "member"), "archive", "member")
+    return dealt.mapInPandas(extract, "path STRING, content BINARY")
 
-    def listed(order: int, path: str) -> DataFrame:
-        files = spark.read.format("binaryFile").load(path).select("path", "content")
-        return files.mapInPandas(members, "path STRING, member STRING, size BIGINT").withColumn("archive_ord", F.lit(order))
 
-    rows = reduce(DataFrame.unionByName, [listed(i, p) for i, p in enumerate(paths)])
-    first = rows.groupBy("member").agg(F.min(F.struct("archive_ord", "path", "size")).alias("_f"))
-    return first.select("_f.archive_ord", F.col("_f.path").alias("archive"), "member", "_f.size")
+def write_archives(rows: DataFrame, folder: str) -> DataFrame:
+    """One ZIP archive under ``folder`` for each ``archive`` with its members (archive, member, content): rows (archive, members).
 
+    The members of an archive stream through one task. An archive appears under its name when it is complete, so a
+    repeated task is harmless; one of that name is replaced.
+    """
 
-def read_members(spark: SparkSession, paths: Sequence[str], members: Sequence[str]) -> DataFrame:
-    """Content of archive members as (path, content), addressable like files; the first archive that has a name wins."""
-    wanted = set(members)
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, top, _ = open_store(folder)
+        store.create_dir(top, recursive=True)
+        current, out, archive, part, count = None, None, None, None, 0
+
+        def finish() -> pd.DataFrame:
+            archive.close()
+            out.close()
+            store.move(part, f"{top}/{current}")
+            return plain(pd.DataFrame({"archive": [current], "members": [count]}))
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(bytes(content))) as archive:
-                    for name in dict.fromkeys(archive.namelist()):
-                        if name in wanted:
-                            yield plain(pd.DataFrame({"path": [f"zip:{name}"], "content": [archive.read(name)]}))
-
-    def found(order: int, path: str) -> DataFrame:
-        files = spark.read.format("binaryFile").load(path).select("path", "content")
-        return files.mapInPandas(extract, "path STRING, content BINARY").withColumn("_ord", F.lit(order))
-
-    rows = reduce(DataFrame.unionByName, [found(i, p) for i, p in enumerate(paths)])
-    return rows.groupBy("path").agg(F.min_by("content", "_ord").alias("content"))
+            for name, member, content in zip(batch["archive"], batch["member"], batch["content"]):
+                if name != current:
+                    if archive:
+                        yield finish()
+                    current, count, part = name, 0, f"{top}/.{name}-{uuid.uuid4().hex}"
+                    out = store.open_output_stream(part)
+                    archive = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                archive.writestr(member, content)
+                count += 1
+        if archive:
+            yield finish()
+
+    ordered = spread_groups(rows.select("archive", "member", "content"), "archive").sortWithinPartitions("archive", "member")
+    return settled(ordered.mapInPandas(write, "archive STRING, members BIGINT"))
 
 
 def scan_stages(spark: SparkSession, stages: dict[str, str], extensions: Sequence[str] = (".wav", ".mp3")) -> DataFrame:

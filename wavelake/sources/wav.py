@@ -1,39 +1,67 @@
-"""WAV headers and samples. Small helpers that run inside Spark tasks on one file's bytes."""
+"""WAV headers and samples: ranged reads by many tasks, and a writer with task and job commit."""
 
 from __future__ import annotations
 
 import io
-import os
+import posixpath
 import struct
+import uuid
 import wave
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from wavelake.plans.batches import plain
-from wavelake.plans.ordered import BLOCK
-from wavelake.schema import PROBED, SAMPLE_RATE, WAV_BLOCKS
+from wavelake.plans.ordered import BLOCK, spread_groups
+from wavelake.schema import SAMPLE_RATE, WAV_BLOCKS
+from wavelake.session import settled
+from wavelake.sources.stores import RangedFile, open_store
 
 
-def wav_layout(content: bytes) -> dict:
-    """Format fields and the place of the data chunk; raises ValueError for anything that is not usable audio."""
-    if len(content) < 12 or content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+class _Bytes:
+    """A whole file in memory, read like a `RangedFile`."""
+
+    def __init__(self, content: bytes):
+        self.content, self.size = content, len(content)
+
+    def read(self, start: int, length: int) -> bytes:
+        return self.content[start : start + length]
+
+
+def _readable(source):
+    return _Bytes(bytes(source)) if isinstance(source, (bytes, bytearray, memoryview)) else source
+
+
+def wav_layout(source) -> dict:
+    """Format fields and the place of the data chunk; raises ValueError for anything that is not usable audio.
+
+    ``source`` is the content of a file or a `RangedFile`, of which only the chunk headers are read.
+    """
+    source = _readable(source)
+    head = source.read(0, 12)
+    if len(head) < 12 or head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         raise ValueError("not a RIFF/WAVE file")
     at, layout = 12, {}
-    while at + 8 <= len(content):
-        name, size = content[at : at + 4], struct.unpack("<I", content[at + 4 : at + 8])[0]
+    while at + 8 <= source.size:
+        name, size = struct.unpack("<4sI", source.read(at, 8))
         if name == b"fmt ":
-            kind, channels, rate, _, frame_bytes, bits = struct.unpack("<HHIIHH", content[at + 8 : at + 24])
+            fields = source.read(at + 8, 28)
+            kind, channels, rate, _, frame_bytes, bits = struct.unpack("<HHIIHH", fields[:16])
             if kind == 0xFFFE:
-                kind = struct.unpack("<H", content[at + 32 : at + 34])[0]
+                kind = struct.unpack("<H", fields[24:26])[0]
             layout.update(kind=kind, channels=channels, rate=rate, frame_bytes=frame_bytes, bits=bits)
         elif name == b"data":
             if "kind" not in layout or not layout["frame_bytes"]:
                 raise ValueError("data before format")
-            stored = min(size, len(content) - at - 8)
+            stored = min(size, source.size - at - 8)
             layout.update(data=at + 8, frames=stored // layout["frame_bytes"])
             break
         at += 8 + size + size % 2
@@ -44,11 +72,11 @@ def wav_layout(content: bytes) -> dict:
     return layout
 
 
-def wav_samples(content: bytes, layout: dict, start: int, stop: int) -> np.ndarray:
-    """Channel mean of the frames [start, stop) as 32-bit floats."""
+def wav_samples(source, layout: dict, start: int, stop: int) -> np.ndarray:
+    """Channel mean of the frames [start, stop) as 32-bit floats; no other part of a `RangedFile` is read."""
     width, channels = layout["bits"] // 8, layout["channels"]
     first = layout["data"] + start * layout["frame_bytes"]
-    raw = content[first : first + (stop - start) * layout["frame_bytes"]]
+    raw = _readable(source).read(first, (stop - start) * layout["frame_bytes"])
     if layout["kind"] == 3:
         values = np.frombuffer(raw, dtype="<f4" if width == 4 else "<f8").astype(np.float64)
     elif layout["kind"] != 1:
@@ -63,25 +91,43 @@ def wav_samples(content: bytes, layout: dict, start: int, stop: int) -> np.ndarr
     return values.reshape(-1, channels).mean(axis=1).astype(np.float32)
 
 
-def probe_wav(files: DataFrame) -> DataFrame:
-    """(path, content) to (path, sample_rate, channels, frames, error); an unusable file becomes an error row.
+_LAYOUT = ["rate", "channels", "frames", "kind", "frame_bytes", "bits", "data"]
+_LAYOUTS = "path STRING, " + ", ".join(f"{name} BIGINT" for name in _LAYOUT) + ", error STRING"
 
-    ``files`` comes from ``binaryFile``. Probe only the paths that are needed: join the plan first, then probe.
-    """
 
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _layouts(files: DataFrame) -> DataFrame:
+    """The layout of each file, read from its head; an unusable file becomes an error row."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for path, content in zip(batch["path"], batch["content"]):
+            for path in batch["path"]:
                 try:
-                    layout = wav_layout(bytes(content))
-                    rows.append((path, layout["rate"], layout["channels"], layout["frames"], None))
-                except (ValueError, struct.error) as error:
-                    rows.append((path, None, None, None, str(error)))
-            frame = pd.DataFrame(rows, columns=["path", "sample_rate", "channels", "frames", "error"])
-            yield plain(frame.astype({"sample_rate": "Int32", "channels": "Int32", "frames": "Int64"}))
+                    file = RangedFile(path)
+                    try:
+                        layout = wav_layout(file)
+                    finally:
+                        file.close()
+                    rows.append((path, *(layout[name] for name in _LAYOUT), None))
+                except (ValueError, OSError, struct.error) as error:
+                    rows.append((path, *(None for _ in _LAYOUT), str(error)))
+            frame = pd.DataFrame(rows, columns=["path", *_LAYOUT, "error"])
+            yield plain(frame.astype({name: "Int64" for name in _LAYOUT}))
+
+    return files.select("path").mapInPandas(read, _LAYOUTS)
 
-    return files.select("path", "content").mapInPandas(probe, PROBED)
+
+def probe_wav(files: DataFrame) -> DataFrame:
+    """(path) to (path, sample_rate, channels, frames, error); an unusable file becomes an error row.
+
+    ``files`` comes from ``binaryFile`` or a listing; its content is not read. A probe reads the first kilobytes of a
+    file, and further chunk headers where the audio begins later. Probe only the paths that are needed: join the plan
+    first, then probe.
+    """
+    found = _layouts(files)
+    return found.select(
+        "path", F.col("rate").cast("int").alias("sample_rate"), F.col("channels").cast("int").alias("channels"), "frames", "error"
+    )
 
 
 def quarantine(probed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -89,73 +135,169 @@ def quarantine(probed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return probed.where(F.col("error").isNull()), probed.where(F.col("error").isNotNull()).select("path", "error")
 
 
-def read_wav_blocks(files: DataFrame, block: int = BLOCK, start: int = 0, stop: int | None = None) -> DataFrame:
+#: Bytes of a file that one task decodes; a longer file is read by several tasks.
+RANGE_BYTES = 32 << 20
+
+
+def read_wav_blocks(
+    files: DataFrame, block: int = BLOCK, start: int = 0, stop: int | None = None, range_bytes: int = RANGE_BYTES
+) -> DataFrame:
     """Decodes WAV files to mono blocks (path, sample_rate, channels, frames, block, start, samples, error).
 
-    One row per block, yielded block by block, so a long file never becomes one big row. ``start`` and ``stop`` select
-    frames; blocks outside are not decoded. A file that cannot be decoded gives one row with its error.
+    Heads are read first; then every run of blocks of about ``range_bytes`` is a row of its own that is dealt over the
+    tasks, which read nothing but these bytes and yield block by block. ``start`` and ``stop`` select frames; nothing
+    outside is read. A file or run that cannot be decoded gives one row with its error.
     """
+    end = F.col("frames") if stop is None else F.least(F.lit(stop), F.col("frames"))
+    first, last = start // block, F.floor((F.col("_end") - 1) / block)
+    step = F.greatest(F.lit(1), F.floor(F.lit(range_bytes) / (F.col("frame_bytes") * block))).cast("bigint")
+    planned = _layouts(files).withColumn("_end", end.cast("bigint")).withColumn("_step", step)
+    begins = F.when(F.col("_end") > start, F.sequence(F.lit(first).cast("bigint"), last.cast("bigint"), F.col("_step")))
+    runs = F.when(F.col("error").isNotNull(), F.array(F.lit(None).cast("bigint"))).otherwise(begins)
+    planned = planned.withColumn("_first", F.explode(runs))
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["path", "sample_rate", "channels", "frames", "block", "start", "samples", "error"]
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                content = bytes(content)
+            for row in batch.to_dict("records"):
+                path, error, file = row["path"], row["error"], None
                 try:
-                    layout = wav_layout(content)
-                    end = layout["frames"] if stop is None else min(stop, layout["frames"])
-                    for number in range(start // block, (end - 1) // block + 1 if end > start else 0):
-                        a, b = max(start, number * block), min(end, (number + 1) * block)
-                        samples = wav_samples(content, layout, a, b)
+                    if error is not None:
+                        raise ValueError(error)
+                    layout = {name: int(row[name]) for name in _LAYOUT}
+                    file = RangedFile(path, 0)
+                    for number in range(int(row["_first"]), min(int(row["_first"]) + int(row["_step"]), (int(row["_end"]) - 1) // block + 1)):
+                        a, b = max(start, number * block), min(int(row["_end"]), (number + 1) * block)
+                        samples = wav_samples(file, layout, a, b)
                         if not np.isfinite(samples).all():
                             raise ValueError("non-finite samples")
                         head = (path, layout["rate"], layout["channels"], layout["frames"])
                         yield plain(pd.DataFrame([(*head, number, a, samples, None)], columns=columns))
-                except (ValueError, struct.error) as error:
+                except (ValueError, OSError, struct.error) as error:
                     yield plain(pd.DataFrame([(path, None, None, None, None, None, None, str(error))], columns=columns))
+                finally:
+                    if file is not None:
+                        file.close()
 
-    return files.select("path", "content").mapInPandas(decode, WAV_BLOCKS)
+    return spread_groups(planned, "path", "_first").mapInPandas(decode, WAV_BLOCKS)
 
 
-def write_wav(blocks: DataFrame, folder: str, subtype: str = "PCM_16", rate: int = SAMPLE_RATE) -> DataFrame:
-    """Writes one mono file per ``path`` under a shared folder: rows (path, frames).
+# Bytes of a sample and the largest code of each subtype.
+SUBTYPES = {"PCM_16": (2, 32768), "PCM_24": (3, 8388608)}
+
+
+def wav_head(frames: int, width: int, rate: int) -> bytes:
+    """The 44 bytes before the samples of a mono file."""
+    size = frames * width
+    form = struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, 1, rate, rate * width, width, 8 * width)
+    return struct.pack("<4sI4s", b"RIFF", 36 + size, b"WAVE") + form + struct.pack("<4sI", b"data", size)
+
+
+def wav_codes(samples, width: int, scale: int) -> bytes:
+    codes = np.clip(np.rint(np.asarray(samples, dtype=np.float64) * scale), -scale, scale - 1).astype("<i4")
+    return codes.astype("<i2").tobytes() if width == 2 else codes.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
 
-    ``blocks`` has (path, block, samples) with values in [-1, 1]. The blocks of a file stream through one task in order,
-    one block in memory at a time. A file appears under its name only when complete, so a repeated task is harmless.
+@dataclass
+class Written(WriterCommitMessage):
+    """What one task has written: its staging folder and the files in it."""
+
+    staging: str
+    files: list[tuple[str, int]]
+
+
+class WavWriter(DataSourceArrowWriter):
+    """Writes files into a staging folder of the task; the job moves them to their names when all tasks are done.
+
+    Rows (path, frames, samples) come with the blocks of a path together and in order. A task that fails or runs twice
+    leaves nothing under the final names, and an aborted job removes its staging folder.
     """
-    width, scale = {"PCM_16": (2, 32768), "PCM_24": (3, 8388608)}[subtype]
 
-    def encode(samples) -> bytes:
-        codes = np.clip(np.rint(np.asarray(samples, dtype=np.float64) * scale), -scale, scale - 1).astype("<i4")
-        if width == 2:
-            return codes.astype("<i2").tobytes()
-        return codes.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    def __init__(self, options: dict, overwrite: bool):
+        self.folder, self.job = options["path"].rstrip("/"), f"_job-{uuid.uuid4().hex}"
+        self.width, self.scale = SUBTYPES[options.get("subtype", "PCM_16")]
+        self.rate = int(options.get("rate", SAMPLE_RATE))
+        self.overwrite = overwrite
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        store, top, _ = open_store(self.folder)
+        staging = f"{self.job}/{uuid.uuid4().hex}"
+        files: list[tuple[str, int]] = []
+        current, out, left = None, None, 0
+        try:
+            for batch in iterator:
+                for path, frames, samples in zip(*(batch.column(c).to_pylist() for c in ("path", "frames", "samples"))):
+                    if path != current:
+                        if out:
+                            out.close()
+                        current, left, name = path, frames, f"{top}/{staging}/{path}"
+                        store.create_dir(posixpath.dirname(name), recursive=True)
+                        out = store.open_output_stream(name)
+                        out.write(wav_head(frames, self.width, self.rate))
+                        files.append((path, frames))
+                    left -= len(samples)
+                    out.write(wav_codes(samples, self.width, self.scale))
+        finally:
+            if out:
+                out.close()
+        if left:
+            raise ValueError(f"{current}: {left} frames are missing")
+        return Written(staging, files)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        store, top, _ = open_store(self.folder)
+        made = {posixpath.dirname(f"{top}/{path}") for m in messages if m for path, _ in m.files}
+        for folder in sorted(made):
+            store.create_dir(folder, recursive=True)
+
+        def place(move: tuple[str, str]) -> None:
+            store.move(f"{top}/{move[0]}/{move[1]}", f"{top}/{move[1]}")
+
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(place, [(m.staging, path) for m in messages if m for path, _ in m.files]))
+        self._clear(store, top)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        store, top, _ = open_store(self.folder)
+        self._clear(store, top)
+
+    def _clear(self, store, top: str) -> None:
+        if store.get_file_info(f"{top}/{self.job}").type == fs.FileType.Directory:
+            store.delete_dir(f"{top}/{self.job}")
+
+
+class WavSink(DataSource):
+    """``df.write.format("wav_files").option("subtype", "PCM_16").mode("append").save(folder)``"""
+
+    @classmethod
+    def name(cls) -> str:
+        return "wav_files"
+
+    def schema(self) -> str:
+        return "path STRING, frames BIGINT, samples ARRAY<FLOAT>"
+
+    def writer(self, schema, overwrite: bool) -> WavWriter:
+        if overwrite:
+            raise ValueError("files are added to a folder; remove the old ones first")
+        return WavWriter(dict(self.options), overwrite)
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, handle, frames = None, None, 0
 
-        def finish():
-            handle.close()
-            os.replace(f"{folder}/{current}.part", f"{folder}/{current}")
-            return plain(pd.DataFrame({"path": [current], "frames": [frames]}))
+def write_wav(blocks: DataFrame, folder: str, subtype: str = "PCM_16", rate: int = SAMPLE_RATE) -> DataFrame:
+    """Writes one mono file per ``path`` under a folder of any store: rows (path, frames).
 
-        for batch in batches:
-            for path, samples in zip(batch["path"], batch["samples"]):
-                if path != current:
-                    if handle:
-                        yield finish()
-                    os.makedirs(os.path.dirname(f"{folder}/{path}"), exist_ok=True)
-                    current, frames, handle = path, 0, wave.open(f"{folder}/{path}.part", "wb")
-                    handle.setnchannels(1)
-                    handle.setsampwidth(width)
-                    handle.setframerate(rate)
-                handle.writeframes(encode(samples))
-                frames += len(samples)
-        if handle:
-            yield finish()
-
-    rows = blocks.select("path", "block", "samples").repartition("path").sortWithinPartitions("path", "block")
-    return rows.select("path", "samples").mapInPandas(write, "path STRING, frames BIGINT")
+    ``blocks`` has (path, block, samples) with values in [-1, 1]; null paths are left out. The blocks of a file stream
+    through one task in order, one batch in memory at a time. The write is done when the function returns. Files appear
+    under their names when all of them are complete; files of those names are replaced.
+    """
+    spark = blocks.sparkSession
+    spark.dataSource.register(WavSink)
+    rows = blocks.where("path is not null").select("path", "block", F.col("samples").cast("array<float>").alias("samples"))
+    totals = rows.groupBy(F.col("path").alias("_path")).agg(F.sum(F.size("samples")).cast("bigint").alias("frames"))
+    totals = settled(totals)
+    sized = rows.join(totals, F.col("path") == F.col("_path")).select("path", "block", "frames", "samples")
+    ordered = spread_groups(sized, "path").sortWithinPartitions("path", "block").select("path", "frames", "samples")
+    ordered.write.format("wav_files").options(subtype=subtype, rate=str(rate)).mode("append").save(folder)
+    return totals.select(F.col("_path").alias("path"), "frames")
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

@@ -1,7 +1,9 @@
 """Causal operators as stateful streams: one small state per signal, kept in the RocksDB state store.
 
-Rows of a signal may come in any order inside a micro-batch; micro-batches must follow the frame order. State goes from
-one micro-batch to the next through the query checkpoint, so many small batches give what one batch gives.
+Frames with an event time ``ts`` and a watermark may come in any order and in any split into micro-batches: a frame that
+continues its signal is worked on at once, any other waits in the state store until the frames before it have come, or
+until the watermark says that they will not come. Without ``ts`` micro-batches must follow the frame order. State goes
+from one micro-batch to the next through the query checkpoint, so many small batches give what one batch gives.
 """
 
 from __future__ import annotations
@@ -11,12 +13,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wavelake.operators.stateful import CANCELLER, DEAD_POWER, cancel_frames, frame_arrays, impulse_scan, initial_filter
 from wavelake.plans.batches import plain
 
+#: Waiting frames that are worked on together.
+TOGETHER = 1024
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -26,21 +32,104 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class SignalProcessor(StatefulProcessor):
-    """Common part: gathers the rows of one signal in a micro-batch in frame order and keeps one state row."""
+    """Common part: brings the frames of one signal into order, hands them on in batches and keeps one state row.
+
+    ``waiting`` is the schema of the frames that wait for earlier ones, by frame number; null where batches come in order.
+    A frame that comes after its place has been given up, or a second time, is dropped.
+    """
 
     state_schema = ""
+    waiting: str | None = None
+    names: list[str] = []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("state", self.state_schema)
+        if self.waiting:
+            self.next_frame = handle.getValueState("next_frame", "frame long")
+            self.early = handle.getMapState("early", "frame long", self.waiting)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if self.waiting:
+            self.signal = key[0]
+            yield from self._in_order(rows, timerValues.getCurrentWatermarkInMs())
+            return
         parts = [part for part in rows if len(part)]
         if parts:
-            group = pd.concat(parts).sort_values("frame", ignore_index=True)
-            stored = self.state.get() if self.state.exists() else None
-            output, new_state = self.step(group, stored)
-            self.state.update(new_state)
+            output, stored = self.step(pd.concat(parts).sort_values("frame", ignore_index=True), self._stored())
+            self.state.update(stored)
+            yield plain(output)
+
+    def _stored(self):
+        return self.state.get() if self.state.exists() else None
+
+    def _in_order(self, rows, watermark: int) -> Iterator[pd.DataFrame]:
+        wanted = self.next_frame.get()[0] if self.next_frame.exists() else 0
+        began, stored, earliest = wanted, self._stored(), None
+        for part in rows:
+            part = part[part["frame"] >= wanted].drop_duplicates("frame").sort_values("frame", ignore_index=True)
+            run = int((part["frame"].to_numpy() == wanted + np.arange(len(part))).sum())
+            for row in part.iloc[run:].itertuples(index=False):
+                self.early.updateValue((int(row.frame),), tuple(_stored_value(getattr(row, n)) for n in self.names))
+                earliest = row.ts_ms if earliest is None else min(row.ts_ms, earliest)
+            if run:
+                output, stored = self.step(part.iloc[:run], stored)
+                wanted += run
+                yield plain(output)
+            for ready in self._waited(wanted):
+                output, stored = self.step(ready, stored)
+                wanted += len(ready)
+                yield plain(output)
+        if wanted != began:
+            self.next_frame.update((wanted,))
+            self.state.update(stored)
+        if earliest is not None:
+            self.handle.registerTimer(int(max(earliest, watermark + 1)))
+
+    def _waited(self, wanted: int) -> Iterator[pd.DataFrame]:
+        """The waiting frames that continue the signal, in batches."""
+        taken: list[tuple] = []
+        while self.early.containsKey((wanted + len(taken),)):
+            taken.append(self.early.getValue((wanted + len(taken),)))
+            if len(taken) == TOGETHER:
+                yield self._released(taken)
+                wanted, taken = wanted + len(taken), []
+        if taken:
+            yield self._released(taken)
+
+    def _released(self, values: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame([tuple(v) for v in values], columns=self.names)
+        for number in frame["frame"]:
+            self.early.removeKey((int(number),))
+        return frame.assign(signal_id=self.signal)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Gives up frames that the watermark has passed: those that wait behind them go on without them."""
+        watermark = timerValues.getCurrentWatermarkInMs()
+        self.signal = key[0]
+        stored, last, left = self._stored(), None, None
+        due = []
+        for (number,), value in self.early.iterator():
+            at = value[self.names.index("ts_ms")]
+            if at <= watermark:
+                due.append(int(number))
+            else:
+                left = at if left is None else min(at, left)
+        due.sort()
+        for first in range(0, len(due), TOGETHER):
+            ready = self._released([self.early.getValue((n,)) for n in due[first : first + TOGETHER]])
+            output, stored = self.step(ready, stored)
+            last = due[first : first + TOGETHER][-1]
             yield plain(output)
+        if last is not None:
+            for ready in self._waited(last + 1):
+                output, stored = self.step(ready, stored)
+                last += len(ready)
+                yield plain(output)
+            self.next_frame.update((last + 1,))
+            self.state.update(stored)
+        if left is not None:
+            self.handle.registerTimer(max(left, watermark + 1))
 
     def step(self, group: pd.DataFrame, stored):
         raise NotImplementedError
@@ -49,6 +138,15 @@ class SignalProcessor(StatefulProcessor):
         pass
 
 
+def _stored_value(value):
+    """A value of a frame as the state store takes it."""
+    if isinstance(value, np.ndarray):
+        return value.tolist()
+    if isinstance(value, np.generic):
+        return value.item()
+    return value
+
+
 class ImpulseProcessor(SignalProcessor):
     state_schema = "floor double, held int"
 
@@ -127,10 +225,17 @@ class CancellerProcessor(SignalProcessor):
 
 
 def _apply(frames: DataFrame, processor: SignalProcessor, columns: str) -> DataFrame:
+    """Frames with ``ts`` and a watermark are put in order by event time; see `SignalProcessor`."""
     head = [frames.schema["signal_id"], frames.schema["frame"]]
     schema = T.StructType(head + T.StructType.fromDDL(columns).fields)
+    timed = "ts" in frames.columns
+    if timed:
+        frames = frames.withColumn("ts_ms", F.unix_millis(F.col("ts").cast("timestamp")))
+        fields = [f for f in frames.schema.fields if f.name not in ("signal_id", "ts")]
+        processor.waiting = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
+        processor.names = [f.name for f in fields]
     return frames.groupBy("signal_id").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None"
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime" if timed else "None"
     )
 
 
