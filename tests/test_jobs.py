@@ -188,3 +188,32 @@ def test_summary_rows_hold_every_table(made, library):
     rows = R.summary_rows(tables).collect()
     assert {r.section for r in rows} == set(tables)
     assert sum(r.value for r in rows if r.section == "splits" and r.measure == "samples") == made.records.count()
+
+
+def test_generation_from_folder_to_folder(spark, tmp_path):
+    """Files in, files out: one source of half the rate, one damaged, a name with an underscore; then a resumed run."""
+    rng = np.random.default_rng(25)
+    root, target = tmp_path / "lib", str(tmp_path / "out")
+    files = {"wav/_s1/a.wav": (900, 48000), "wav/s2/b.wav": (500, 24000), "noise/wind/w.wav": (1500, 48000), "noise/_rain/r.wav": (300, 48000)}
+    for rel, (n, rate) in files.items():
+        (root / rel).parent.mkdir(parents=True, exist_ok=True)
+        (root / rel).write_bytes(WV.wav_bytes(rng.normal(size=n) * 0.1, rate))
+    (root / "wav/s2/bad.wav").write_bytes(b"RIFF")
+    config = D.DatasetConfig(
+        splits={"train": 3}, num_noises=(1, 2), frame=40, hop=16, below_p95=20.0, min_gap=20, min_region=30, min_clean=100, max_clean=600, max_attempts=3
+    )
+    options = dict(clean=("wav", {"template": "{clean_speaker_id}/{file}"}), noise=("noise", {}), size=256)
+    made = D.generate_files(spark, config, str(root), target, **options)
+    records = {r.sample_id: r for r in made.records.collect()}
+    assert records and {r.clean_source for r in records.values()} <= {"wav/_s1/a.wav", "wav/s2/b.wav"}
+    for r in records.values():
+        assert r.clean_speaker_id in ("_s1", "s2")
+        assert r.clean_source_standardized_num_samples == (900 if r.clean_speaker_id == "_s1" else 1000)
+        for name in (r.clean_output, r.noisy_output):
+            layout = WV.wav_layout((tmp_path / "out" / name).read_bytes())
+            assert layout["rate"] == 48000 and layout["frames"] == made.audio.where(F.col("sample_id") == r.sample_id).count()
+    assert spark.read.json(f"{target}/metadata/unreadable").first().rel == "wav/s2/bad.wav"
+    with pytest.raises(FileExistsError):
+        D.generate_files(spark, config, str(root), target, **options)
+    again = D.generate_files(spark, config, str(root), target, resume=True, **options)
+    assert {r.sample_id for r in again.records.collect()}.isdisjoint(records)

@@ -52,6 +52,16 @@ def snr_definitions(t: Tables):
     )
 
 
+@query(
+    "agg12_snr_decoded",
+    sql(SIG_PAIRS)
+    + """, de AS (SELECT signal_id, t, least(greatest(round_even(clean * 32768, 0), -32768), 32767) / 32768 AS c, least(greatest(round_even(noisy * 32768, 0), -32768), 32767) / 32768 AS n FROM sig_pairs)
+    SELECT signal_id, round(10 * log10(avg(c * c) FILTER (WHERE t % 3 <> 0) / avg((n - c) * (n - c)) FILTER (WHERE t % 3 <> 0)), 6) + 0.0 AS snr_decoded FROM de GROUP BY signal_id""",
+)
+def snr_decoded(t: Tables):
+    return t.views.sig_pairs.groupBy("signal_id").agg(rounded(M.snr_decoded_db("clean", "noisy", F.col("t") % 3 != 0)).alias("snr_decoded"))
+
+
 @query(
     "agg13_si_sdr_definitions",
     sql(SIG_PAIRS)

@@ -205,6 +205,29 @@ def silence_bypass(t: Tables):
     return rows.select("signal_id", "frame", F.col("i").cast("bigint").alias("i"), rounded(F.col("y")).alias("y"))
 
 
+@query(
+    "sig29_state_over_silence",
+    sql(FRAME_BINS).replace("WITH ", "WITH RECURSIVE ")
+    + """, q AS (SELECT *, frame % 3 = 0 AS silent FROM frame_bins), h AS (SELECT signal_id, frame, bin, abs(v) AS v, row_number() OVER (PARTITION BY signal_id, bin ORDER BY frame) - 1 AS n FROM q WHERE NOT silent),
+    r AS (SELECT signal_id, bin, n, frame, v, 0.99 * (1e-3 - 9e-4 * bin / 63.0::DOUBLE) + (1 - 0.99::DOUBLE) * v AS s FROM h WHERE n = 0 UNION ALL
+      SELECT h.signal_id, h.bin, h.n, h.frame, h.v, 0.99 * r.s + (1 - 0.99::DOUBLE) * h.v FROM r JOIN h ON h.signal_id = r.signal_id AND h.bin = r.bin AND h.n = r.n + 1)
+    SELECT q.signal_id, q.frame, q.bin AS i, round(CASE WHEN q.silent THEN 0 ELSE r.v / sqrt(r.s) END, 6) + 0.0 AS y FROM q LEFT JOIN r ON r.signal_id = q.signal_id AND r.frame = q.frame AND r.bin = q.bin""",
+)
+def state_over_silence(t: Tables):
+    """Magnitudes over the root of their running mean; every third frame is silent and leaves the mean as it is."""
+    quiet = F.transform("x", lambda v: v * F.when(F.col("frame") % 3 == 0, 1e-5).otherwise(1.0))
+
+    def normalised(frames):
+        bins = frames.select("signal_id", "frame", F.posexplode("x").alias("bin", "v"))
+        rows = K.unit_norm(bins.select("signal_id", "frame", "bin", F.abs("v").alias("re"), F.lit(0.0).alias("im")), count=64)
+        packed = rows.groupBy("signal_id", "frame").agg(F.array_sort(F.collect_list(F.struct("bin", "re"))).alias("p"))
+        return packed.select("signal_id", "frame", F.transform("p", lambda p: p["re"]).alias("y"))
+
+    rows = Z.over_silence(t.views.frames.withColumn("x", quiet), normalised, ["y"])
+    rows = rows.select("signal_id", "frame", F.posexplode("y").alias("i", "y"))
+    return rows.select("signal_id", "frame", F.col("i").cast("bigint").alias("i"), rounded(F.col("y")).alias("y"))
+
+
 @query(
     "agg31_dead_reference",
     sql(SPEC) + "SELECT signal_id, frame, avg(re * re + im * im) * CASE WHEN frame % 4 = 0 THEN 1e-10 ELSE 1 END < 1e-12 AS dead FROM spec GROUP BY signal_id, frame",

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wavelake.functions.scalars import pcm_decode, pcm_encode
 from wavelake.schema import CLIP_LEVEL
 
 
@@ -62,6 +63,12 @@ def snr_masked_db(clean, noisy, mask) -> Column:
     return F.lit(10.0) * F.log10(signal / noise)
 
 
+def snr_decoded_db(clean, noisy, mask, subtype: str = "PCM_16") -> Column:
+    """Power ratio over the mask of what a file of the subtype gives back, not of the exact samples."""
+    decoded = [pcm_decode(pcm_encode(_c(x), subtype), subtype) for x in (clean, noisy)]
+    return snr_masked_db(*decoded, mask)
+
+
 def si_sdr_db(ref, est) -> Column:
     """Scale-invariant ratio that keeps the mean; every energy gets 1e-12 added."""
     r, e = _c(ref), _c(est)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelake import __version__
-from wavelake.functions.scalars import amplitude_db, pcm_encode, sample_id, seconds
+from wavelake.functions.scalars import amplitude_db, pcm_decode, pcm_encode, sample_id, seconds
 from wavelake.operators import matching as J
 from wavelake.operators import planning as P
 from wavelake.operators import signals as S
@@ -17,9 +17,12 @@ from wavelake.operators.rules import clip_policy
 from wavelake.operators.sequences import planned_ids
 from wavelake.plans.draws import between, draw, draw_dist
 from wavelake.plans.ordered import BLOCK, ordered_index, with_block
-from wavelake.schema import CLEAN_FIELDS, SAMPLE_RATE
+from wavelake.schema import CLEAN_FIELDS, NOISE_FIELDS, SAMPLE_RATE
 from wavelake.session import settled
-from wavelake.sources.sinks import output_path
+from wavelake.sources.files import read_records, scan_files, with_attributes
+from wavelake.sources.sinks import append_failures, append_records, output_path
+from wavelake.sources.stores import exists
+from wavelake.sources.wav import probe_wav, read_wav_blocks, write_wav
 
 
 @dataclass
@@ -282,6 +285,69 @@ def generate_dataset(
     return GeneratedDataset(_records(records, config), failed, audio, unresolved)
 
 
+def _library(spark: SparkSession, root: str, kind: str, subdir: str, size: int, **attributes) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sources, samples at 48 kHz, unreadable files) of one kind below ``root``/``subdir``.
+
+    Heads are probed first; only readable files are decoded. Files of another rate are resampled, all of one rate together.
+    """
+    files = with_attributes(scan_files(spark, root, subdir, [".wav"]), kind, subdir, **attributes)
+    probed = settled(files.join(probe_wav(files).withColumnRenamed("path", "_path"), F.col("path") == F.col("_path"), "left").drop("_path"))
+    good, bad = probed.where("error is null"), probed.where("error is not null").select("rel", "error")
+    blocks = read_wav_blocks(good.select("path"), size).where("error is null")
+    named = good.select(F.col("path").alias("_path"), "rel")
+    blocks = blocks.join(named, F.col("path") == F.col("_path")).withColumnRenamed("rel", "signal_id")
+    parts = []
+    # A library has few rates, whatever its size.
+    for rate in sorted(r.sample_rate for r in good.select("sample_rate").distinct().collect()):
+        samples = with_block(S.samples_from_blocks(blocks.where(F.col("sample_rate") == rate)).drop("block"), "t", size)
+        parts.append(samples if rate == SAMPLE_RATE else S.resample(samples, SAMPLE_RATE, rate, size=size))
+    if not parts:
+        raise ValueError(f"no readable WAV files below {root}/{subdir}")
+    samples = settled(reduce(DataFrame.unionByName, [p.select(F.col("signal_id").alias("source"), "t", "x") for p in parts]))
+    fields = CLEAN_FIELDS if kind == "clean" else NOISE_FIELDS
+    length = F.ceil(F.col("frames") * SAMPLE_RATE / F.col("sample_rate")).cast("bigint").alias("length")
+    return good.select("rel", length, "sample_rate", "channels", *fields), samples, bad
+
+
+def generate_files(
+    spark: SparkSession,
+    config: DatasetConfig,
+    root: str,
+    target: str,
+    clean: tuple[str, dict] = ("wav", {}),
+    noise: tuple[str, dict] = ("noise", {}),
+    plan: DataFrame | None = None,
+    resume: bool = False,
+    size: int = BLOCK,
+) -> GeneratedDataset:
+    """The whole run over folders: scan, probe, generate, and write records, failures and audio below ``target``.
+
+    ``clean`` and ``noise`` are a folder below ``root`` and the options of `with_attributes`. Audio goes to
+    <split>/clean and <split>/noisy, one file for each sample; records and failures are appended as JSON lines below
+    ``metadata``, after the audio, so a record stands for files that are there. An existing target is an error unless
+    ``resume`` is set, which makes only the samples that have no record. The result holds what was written.
+    """
+    records_at, failures_at = f"{target}/metadata/records", f"{target}/metadata/failed"
+    there = exists(records_at)
+    if there and not resume:
+        raise FileExistsError(f"{target} has records; resume or choose another folder")
+    done = read_records(spark, records_at).select("sample_id", "split") if there else None
+    cleans, clean_samples, bad_clean = _library(spark, root, "clean", clean[0], size, **clean[1])
+    noises, noise_samples, bad_noise = _library(spark, root, "noise", noise[0], size, **noise[1])
+    made = generate_dataset(spark, config, cleans, noises, clean_samples, noise_samples, done, plan, size)
+    records, failures, audio = settled(made.records), settled(made.failures), settled(made.audio)
+    for kind in ("clean", "noisy"):
+        name = output_path(F.col("split"), kind, F.col("sample_id"))
+        rows = audio.select(name.alias("signal_id"), "t", pcm_decode(F.col(kind), config.output_subtype).alias("x"))
+        write_wav(S.blocks_from_samples(rows, size).withColumnRenamed("signal_id", "path"), target, config.output_subtype)
+    unreadable = bad_clean.unionByName(bad_noise)
+    if not unreadable.isEmpty():
+        unreadable.write.mode("append").json(f"{target}/metadata/unreadable")
+    append_failures(failures, failures_at)
+    append_records(records, records_at)
+    return GeneratedDataset(records, failures, audio, made.unresolved)
+
+
 def _records(rows: DataFrame, c: DatasetConfig) -> DataFrame:
     sid = sample_id(F.col("k"))
     required = F.array(*[F.lit(r) for r in c.required_categories]).cast("array<string>")

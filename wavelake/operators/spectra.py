@@ -5,7 +5,7 @@ Frames are rows (signal_id, frame, x ARRAY<DOUBLE>); bins are rows (signal_id, f
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -177,12 +177,28 @@ def silence_flag(threshold: float = 1e-7, column: str = "x") -> Column:
 
 
 def silence_bypass(frames: DataFrame, output: str = "y", threshold: float = 1e-7) -> DataFrame:
-    """Silent input frames give zeros. Stateful operators get only the other frames, so their state stays."""
+    """Silent input frames give zeros. See `over_silence` for operators with a state."""
     silent = silence_flag(threshold)
     zeros = F.transform(output, lambda v: v * F.lit(0.0))
     return frames.withColumn("silent", silent).withColumn(output, F.when(F.col("silent"), zeros).otherwise(F.col(output)))
 
 
+def over_silence(
+    frames: DataFrame, operator: Callable[[DataFrame], DataFrame], outputs: Sequence[str], threshold: float = 1e-7
+) -> DataFrame:
+    """Runs a stateful operator on the frames that are not silent: its state stays as it is over silent ones.
+
+    ``frames`` has (signal_id, frame, x ARRAY); ``operator`` maps such frames to (signal_id, frame, ``outputs``), arrays
+    as long as x. Silent frames come back with zeros. The operator has to go from frame to frame in order, not by frame
+    numbers, as `exponential_mean` and the streaming processors do.
+    """
+    silent = silence_flag(threshold)
+    heard = operator(frames.where(~silent)).select(*FRAME, *outputs)
+    zeros = F.transform("x", lambda _: F.lit(0.0))
+    quiet = frames.where(silent).select(*FRAME, *(zeros.alias(o) for o in outputs))
+    return heard.unionByName(quiet)
+
+
 def dead_reference(bins: DataFrame, threshold: float = 1e-12) -> DataFrame:
     """Per frame: whether the mean power of the reference is below the threshold."""
     power = F.col("re") * F.col("re") + F.col("im") * F.col("im")

@@ -30,6 +30,11 @@ def open_store(path: str) -> tuple[fs.FileSystem, str, str]:
     return store, inside, path[: path.index(inside)] if inside in path else f"{scheme}://"
 
 
+def exists(path: str) -> bool:
+    store, inside, _ = open_store(path)
+    return store.get_file_info(inside).type != fs.FileType.NotFound
+
+
 class RangedFile:
     """Reads parts of a file. The head is fetched once; what lies in it costs no further request."""
 
