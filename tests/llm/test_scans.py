@@ -340,6 +340,20 @@ def test_a_name_on_a_wrapper_does_not_empty_the_page(name):
         assert text.count("Paragraph") == 8 and "Buy" not in text and ("Title" in text) == bool(title)
 
 
+def test_a_form_around_the_page_does_not_empty_it():
+    """Server pages lie in one form as a whole; the controls in it still go, and other forms go altogether."""
+    words = "The river rose in the night and the lower road was under water before the morning came to the village."
+    body = "".join(f"<p>{i} {words}</p>" for i in range(6))
+    search = "<form><h1>Search</h1><label>Find</label><input value=x><button>Go</button></form>"
+    for page in (
+        f"<html><body><form action='/'><div>{body}<button>Send</button><select><option>one</select></div></form></body></html>",
+        f"<html><body>{search}<form id=page><main>{body}</main></form></body></html>",
+        f"<html><body><div>{body}</div>{search}</body></html>",
+    ):
+        assert extraction.main_text(page).split("\n") == [f"{i} {words}" for i in range(6)]
+    assert extraction.main_text(f"<html><body>{search}</body></html>") == ""
+
+
 def test_names_inside_an_article_are_hints():
     body = "".join(f"<p>Paragraph {i} tells a long and winding story about the sea and the men on it.</p>" for i in range(8))
     parts = '<h1 class="entry-header">Head</h1>', body, '<section id="related-work"><p>Others wrote of this.</p></section>', '<p class="notice-period">A month is due.</p>'

@@ -34,7 +34,7 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 #: An open p ends at the start of any element that isn't inline.
 SCOPES = frozenset("table td th ul ol dl div article section body html main".split())
 DROPPED = frozenset(
-    "head nav footer aside form script style noscript template svg canvas button select textarea iframe object menu "
+    "head nav footer aside script style noscript template svg canvas button select textarea iframe object menu "
     "dialog title input xmp noembed noframes".split()
 )
 #: Class or id names hint at what surrounds an article: by their last word, or by the beginning of the name. A name
@@ -68,9 +68,10 @@ def surrounds(tag: str, rest: str, in_article: bool) -> tuple[bool, bool]:
     """Whether an element is no part of an article by its kind or because it is hidden; whether its names hint so."""
     if tag in DROPPED or (tag == "header" and not in_article):
         return True, False
+    # A form is no part of an article, but some pages lie in one as a whole; its controls go by their kind.
+    hint = tag == "form"
     if "=" not in rest and "hidden" not in rest:
-        return False, False
-    hint = False
+        return False, hint
     for m in ATTRIBUTE.finditer(rest):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
@@ -211,10 +212,13 @@ def drop_hinted(tree: Tree) -> None:
     own = list(plain)
     core = [tree.tag[i] in CORE and not tree.dropped[i] and not (tree.hint[i] and tree.tag[i] == "article") for i in range(n)]
     holds = list(core)
+    whole = [core[i] and tree.tag[i] != "h1" for i in range(n)]  # a form may well have a heading of its own
     for i in range(n - 1, 0, -1):
         plain[tree.parent[i]] += plain[i]
         holds[tree.parent[i]] |= holds[i]
-    going = [tree.hint[i] and tree.tag[i] not in KEPT and not holds[i] for i in range(n)]
+        whole[tree.parent[i]] |= whole[i]
+    kept = [whole[i] if tree.tag[i] == "form" else holds[i] for i in range(n)]
+    going = [tree.hint[i] and tree.tag[i] not in KEPT and not kept[i] for i in range(n)]
     large = [plain[i] >= BODY_SIZE for i in range(n)]
     going = [going[i] and not (large[i] and 2 * plain[i] > plain[0]) for i in range(n)]
     under = list(going)
@@ -299,8 +303,9 @@ def main_text(page: str | None) -> str:
 def extract_text(page: Column) -> Column:
     """Struct (text, n_chars) of a page: its main text and the length in code points.
 
-    Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, comments of readers and hidden elements
-    go by kind, or by a class or id that hints at them unless they hold the page's text; the density decides the rest. A null or empty page, or one without text, gives an
+    Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, comments of readers and hidden elements go by
+    kind, or by a class or id that hints at them; a form or a hint only where the element does not hold the page's text.
+    The density decides the rest. A null or empty page, or one without text, gives an
     empty text. Whole pages are read, each on its own; nothing is shuffled.
     """
 
