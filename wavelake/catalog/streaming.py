@@ -9,7 +9,7 @@ from wavelake.catalog.spectra import impulse_flags as _batch  # noqa: F401  (reg
 from wavelake.catalog.planning import CHUNK_ROWS, SEED, chunk_rows, d
 from wavelake.catalog.views import FRAME_BINS, SIG_SAMPLES, sql, utc_instant
 from wavelake.operators.tablefunctions import register_table_functions
-from wavelake.plans.draws import draw
+from wavelake.plans.draws import between, draw
 from wavelake.session import ensure_checkpoint_dir
 from wavelake.streaming import processors as P
 from wavelake.streaming import windows as W
@@ -153,6 +153,21 @@ def table_functions(t: Tables):
     )
 
 
+@query("udf4_impulsive_events", ORACLES["sig5_plan_impulsive_events"])
+def impulsive_events(t: Tables):
+    """The events of each pick from an array of its draws."""
+    register_table_functions(t.spark)
+    k, j = F.col("k"), F.col("j")
+    count = between(draw(SEED, "events", k, j), F.lit(1), F.lit(4))
+    three = lambda e: F.array(*(draw(SEED, name, k, j, e) for name in ("duration", "source", "target")))
+    draws = F.flatten(F.transform(F.sequence(F.lit(1).cast("bigint"), count), three))
+    chunk_rows(t).withColumn("draws", draws).createOrReplaceTempView("event_needs")
+    return t.spark.sql(
+        "SELECT k, e.event, e.source_start_sample, e.source_end_sample, e.destination_start_sample "
+        "FROM event_needs, LATERAL impulsive_events(length, need, 7, 72, draws) e"
+    )
+
+
 @query(
     "udf4_frame_ranges",
     sql(SIG_SAMPLES)
