@@ -16,7 +16,7 @@ from wavelake.operators import signals as S
 from wavelake.operators.rules import clip_policy
 from wavelake.operators.sequences import planned_ids
 from wavelake.plans.draws import between, draw, draw_dist
-from wavelake.plans.ordered import BLOCK, ordered_index, with_block
+from wavelake.plans.ordered import BLOCK, attach, ordered_index, with_block
 from wavelake.schema import CLEAN_FIELDS, NOISE_FIELDS, SAMPLE_RATE
 from wavelake.session import settled
 from wavelake.sources.files import read_records, scan_files, with_attributes
@@ -125,8 +125,8 @@ class _Waves:
         noise = composite.select(*KEY, "t", F.col("x").alias("noise"))
         rows = clean.join(noise, [*KEY, "t"], "left").select(*KEY, "t", F.col("x").alias("clean"), F.coalesce("noise", F.lit(0.0)).alias("noise"))
         rows = J.mask_from_regions(rows, regions, KEY)
-        rows = rows.join(usable.select(*KEY, "target_snr_db"), KEY)
-        mixed = S.mix_at_snr(with_block(rows, "t", self.size), F.col("target_snr_db"), c.peak_limit, KEY)
+        rows = attach(with_block(rows, "t", self.size), usable.select(*KEY, "target_snr_db"), KEY)
+        mixed = S.mix_at_snr(rows, F.col("target_snr_db"), c.peak_limit, KEY)
         mixed = settled(mixed)
         measured = S.measured_snr(mixed, c.output_subtype, KEY).withColumnRenamed("rejection", "_measured")
         stats = mixed.groupBy(*KEY).agg(
@@ -271,7 +271,7 @@ def generate_dataset(
     # The active regions of one sample; their number is bounded by its length over the shortest region.
     lists = regions.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start_sample", "end_sample"))).alias("active_regions"))
     records = winners.join(union(waves.noises), KEY).join(lists, KEY)
-    audio = union(waves.audio).join(winners.select(*KEY, "k", "split"), KEY)
+    audio = attach(with_block(union(waves.audio), "t", size), winners.select(*KEY, "k", "split"), KEY)
     audio = audio.select(
         sample_id(F.col("k")).alias("sample_id"), "split", "t",
         pcm_encode(F.col("clean_out"), config.output_subtype).alias("clean"),

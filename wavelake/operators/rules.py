@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelake.functions.scalars import finite
+from wavelake.plans.ordered import join_on
 
 # Noise categories of each tier.
 TIERS = {"A": ["engine", "wind"], "B": ["vehicle", "helicopter", "siren"], "C": ["gunfire", "artillery", "explosion"]}
@@ -121,10 +122,14 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
 def finite_only(samples: DataFrame, keys: list[str]) -> DataFrame:
     """Samples of the signals without any NaN or infinite value.
 
-    The bad signals are found by a filter and a distinct, which are few rows, and removed by an anti join.
+    The bad signals are found by a filter and a distinct, which are few rows, and removed by an anti join; rows with a
+    ``block`` meet the blocks of the bad signals, so that no task gets a whole signal.
     """
     bad = samples.where(~finite(F.col("x"))).select(*keys).distinct()
-    return samples.join(bad, keys, "left_anti")
+    if "block" not in samples.columns:
+        return join_on(samples, bad, keys, "left_anti")
+    blocks = join_on(samples.select(*keys, "block").distinct(), bad, keys)
+    return join_on(samples, blocks, [*keys, "block"], "left_anti")
 
 
 def duration_rule(rows: DataFrame, min_samples: int, max_samples: int | None, draw: Column) -> DataFrame:
