@@ -253,7 +253,7 @@ HIGHPASS_SQL = (
 
 @query("sig14_forward_backward", HIGHPASS_SQL)
 def forward_backward(t: Tables):
-    """The recursion of the reference with its rule for the ends, block by block."""
+    """The recursion with reflected ends, block by block."""
     rows = FB.forward_backward(t.views.sig_samples, FB.butterworth(70, None, 2000))
     return six(rows, "x", keep=("signal_id", "t"))
 
