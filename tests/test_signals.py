@@ -206,3 +206,15 @@ def test_forward_backward_by_definition(spark, low, high):
 
 def test_forward_backward_of_nothing(spark):
     assert FB.forward_backward(table(spark, {"a": np.ones(3)}).where("false"), FB.butterworth(70, None, 2000)).count() == 0
+
+
+def test_phase_lag_of_many_short_signals_is_no_call_for_each(spark):
+    rng = np.random.default_rng(9)
+    shape = rng.normal(size=(300, 40)).tolist()
+    rows = [(k, t, shape[k][t], shape[k][t - k % 5] if t >= k % 5 else 0.0) for k in range(300) for t in range(40)]
+    pairs = with_block(spark.createDataFrame(rows, "signal_id int, t bigint, clean double, noisy double"), "t", 64)
+    lags = S.phat_lag(pairs, 6, size=64)
+    assert "FlatMapGroupsInPandas" not in lags._jdf.queryExecution().optimizedPlan().toString()
+    found = {r.signal_id: r.lag for r in lags.collect()}
+    assert found == {k: k % 5 for k in range(300)}
+    assert {r.signal_id: r.lag for r in S.phat_lag(pairs.where("signal_id < 9"), 6, size=64, whole_bits=3).collect()} == {k: k % 5 for k in range(9)}

@@ -32,6 +32,7 @@ from wavelake.plans.ordered import (
     exact_percentile,
     join_on,
     merge_intervals,
+    packed_groups,
     spread_groups,
     true_runs,
     with_block,
@@ -479,64 +480,87 @@ def phat_lag(
     other: str = "noisy",
     keys: Sequence[str] = SIGNAL,
     size: int = BLOCK,
+    whole_bits: int = 16,
 ) -> DataFrame:
-    """Lag of ``other`` against ``ref`` by the phase transform, within +-max_shift.
+    """Lag of ``other`` against ``ref`` by the phase transform, within +-max_shift; the smallest lag on ties.
 
-    The transform needs the spectrum of the whole signal, so the FFT is split over the cluster: N = N1 * N2 points as
-    N2 transforms of N1 points, a twiddle, and N1 transforms of N2 points, with a shuffle in between. No group exceeds
-    about the root of N, and signals of every length are treated alike.
+    The transform needs the spectrum of the whole signal. Signals of up to 2 ** ``whole_bits`` points are one row each, and
+    the rows of a batch are transformed together. Of a longer one the FFT is split over the cluster: N = N1 * N2 points as
+    N2 transforms of N1 points, a twiddle, and N1 transforms of N2 points, with a shuffle in between, so no row exceeds
+    about the root of N. The rows of a step are as many as there are signals or roots, never one task call for each.
     """
     r, d = F.col(ref), F.col(other)
     bits = F.ceil(F.log2(F.greatest(F.lit(2) * F.col("_n") - 1, F.lit(1)).cast("double"))).cast("int")
     rows = pairs.select(*keys, "t", "block", r.cast("double").alias("_r"), d.cast("double").alias("_d"))
     rows = block_totals(rows, keys, {"_sr": F.col("_r"), "_sd": F.col("_d")}).withColumn("_bits", bits)
     rows = rows.withColumn("_r", F.col("_r") - F.col("_sr") / F.col("_n")).withColumn("_d", F.col("_d") - F.col("_sd") / F.col("_n"))
-    rows = rows.select(*keys, "t", "_bits", "_r", "_d")
+    # N1 points per first transform, N2 per second one; t = N2 * n1 + n2. A short signal has N2 = 1.
+    short = F.col("_bits") <= whole_bits
+    bits2 = F.when(short, 0).otherwise(F.col("_bits") - F.ceil(F.col("_bits") / 2)).cast("int")
+    n2_count = F.pow(F.lit(2.0), bits2).cast("bigint")
+    rows = rows.select(
+        *keys, "_bits", F.floor(F.col("t") / n2_count).cast("bigint").alias("_n1"), (F.col("t") % n2_count).alias("_n2"), "_r", "_d"
+    )
+    packed = settled(packed_groups(rows, [*keys, "_bits", "_n2"], ["_n1", "_r", "_d"]))
     key_fields = [pairs.schema[k] for k in keys]
 
-    # N1 points per first transform, N2 per second one; t = N2 * n1 + n2.
-    bits1 = F.ceil(F.col("_bits") / 2).cast("int")
-    n2_count = F.pow(F.lit(2.0), F.col("_bits") - bits1).cast("bigint")
-    long = rows.withColumn("_n2", F.col("t") % n2_count).withColumn("_n1", F.floor(F.col("t") / n2_count))
-
-    def first(group: pd.DataFrame) -> pd.DataFrame:
-        total = int(group["_bits"].iloc[0])
-        n, n1 = 1 << total, 1 << ((total + 1) // 2)
-        n2 = int(group["_n2"].iloc[0])
-        at = group["_n1"].to_numpy().astype(np.int64)
-        a, b = np.zeros(n1), np.zeros(n1)
-        a[at], b[at] = group["_r"], group["_d"]
-        k1 = np.arange(n1)
-        twiddle = np.exp(-2j * np.pi * n2 * k1 / n)
-        fa, fb = np.fft.fft(a) * twiddle, np.fft.fft(b) * twiddle
-        head = {k: [group[k].iloc[0]] * n1 for k in keys}
-        parts = {"ar": fa.real, "ai": fa.imag, "br": fb.real, "bi": fb.imag}
-        return plain(pd.DataFrame({**head, "_bits": total, "_k1": k1, "_n2": n2, **parts}))
+    def best(batches):
+        for batch in batches:
+            for total, part in batch.groupby("_bits"):
+                n = 1 << int(total)
+                reach = min(max_shift, n // 2)
+                lags = np.arange(-reach, reach + 1)
+                step = max(1, (1 << 20) // n)
+                for i in range(0, len(part), step):
+                    some = part.iloc[i : i + step]
+                    at = np.repeat(np.arange(len(some)), [len(x) for x in some["_n1"]]), np.concatenate(list(some["_n1"]))
+                    a, b = np.zeros((len(some), n)), np.zeros((len(some), n))
+                    a[at], b[at] = np.concatenate(list(some["_r"])), np.concatenate(list(some["_d"]))
+                    back = np.fft.ifft(_whiten(np.fft.fft(a), np.fft.fft(b))).real
+                    found = lags[np.argmax(back[:, lags % n], axis=1)]
+                    yield plain(some[list(keys)].assign(lag=found))
+
+    def first(batches):
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                total, n2 = int(row["_bits"]), int(row["_n2"])
+                n, n1 = 1 << total, 1 << ((total + 1) // 2)
+                a, b = np.zeros(n1), np.zeros(n1)
+                a[row["_n1"]], b[row["_n1"]] = row["_r"], row["_d"]
+                k1 = np.arange(n1)
+                twiddle = np.exp(-2j * np.pi * n2 * k1 / n)
+                fa, fb = np.fft.fft(a) * twiddle, np.fft.fft(b) * twiddle
+                head = {k: [row[k]] * n1 for k in keys}
+                parts = {"ar": fa.real, "ai": fa.imag, "br": fb.real, "bi": fb.imag}
+                yield plain(pd.DataFrame({**head, "_bits": total, "_k1": k1, "_n2": n2, **parts}))
 
     middle = T.StructType(
         [*key_fields, *T.StructType.fromDDL("_bits INT, _k1 BIGINT, _n2 BIGINT, ar DOUBLE, ai DOUBLE, br DOUBLE, bi DOUBLE").fields]
     )
 
-    def second(group: pd.DataFrame) -> pd.DataFrame:
-        total = int(group["_bits"].iloc[0])
-        n, n2 = 1 << total, 1 << (total - (total + 1) // 2)
-        k1 = int(group["_k1"].iloc[0])
-        at = group["_n2"].to_numpy()
-        a, b = np.zeros(n2, dtype=complex), np.zeros(n2, dtype=complex)
-        a[at] = group["ar"].to_numpy() + 1j * group["ai"].to_numpy()
-        b[at] = group["br"].to_numpy() + 1j * group["bi"].to_numpy()
-        back = np.fft.ifft(_whiten(np.fft.fft(a), np.fft.fft(b)))
-        reach = min(max_shift, n // 2)
-        lags = np.arange(-reach, reach + 1)
-        part = (back[lags % n2] * np.exp(2j * np.pi * k1 * lags / n)).real
-        return plain(pd.DataFrame({**{k: [group[k].iloc[0]] * len(lags) for k in keys}, "lag": lags, "part": part}))
-
-    last = T.StructType([*key_fields, T.StructField("lag", T.LongType()), T.StructField("part", T.DoubleType())])
-    staged = spread_groups(long, *keys, "_n2").groupBy(*keys, "_n2").applyInPandas(first, middle)
-    parts = spread_groups(staged, *keys, "_k1").groupBy(*keys, "_k1").applyInPandas(second, last)
+    def second(batches):
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                total, k1 = int(row["_bits"]), int(row["_k1"])
+                n, n2 = 1 << total, 1 << (total - (total + 1) // 2)
+                a, b = np.zeros(n2, dtype=complex), np.zeros(n2, dtype=complex)
+                a[row["_n2"]] = row["ar"] + 1j * row["ai"]
+                b[row["_n2"]] = row["br"] + 1j * row["bi"]
+                back = np.fft.ifft(_whiten(np.fft.fft(a), np.fft.fft(b)))
+                reach = min(max_shift, n // 2)
+                lags = np.arange(-reach, reach + 1)
+                part = (back[lags % n2] * np.exp(2j * np.pi * k1 * lags / n)).real
+                yield plain(pd.DataFrame({**{k: [row[k]] * len(lags) for k in keys}, "lag": lags, "part": part}))
+
+    lag = T.StructField("lag", T.LongType())
+    whole = packed.where(short).mapInPandas(best, T.StructType([*key_fields, lag]))
+    staged = packed.where(~short).mapInPandas(first, middle)
+    staged = packed_groups(staged, [*keys, "_bits", "_k1"], ["_n2", "ar", "ai", "br", "bi"])
+    parts = staged.mapInPandas(second, T.StructType([*key_fields, lag, T.StructField("part", T.DoubleType())]))
     table = parts.groupBy(*keys, "lag").agg(F.sum("part").alias("value"))
     top = F.max(F.struct("value", (-F.col("lag")).alias("minus_lag"))).alias("_top")
-    return table.groupBy(*keys).agg(top).select(*keys, (-F.col("_top.minus_lag")).alias("lag"))
+    split = table.groupBy(*keys).agg(top).select(*keys, (-F.col("_top.minus_lag")).alias("lag"))
+    return whole.unionByName(split)
 
 
 def align_and_gain_match(
