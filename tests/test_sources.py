@@ -225,3 +225,22 @@ def test_archives_round_trip(spark, tmp_path):
     assert got == {"zip:2.txt": b"other", "zip:3.txt": b"", "zip:a/1.txt": b"one"}
     some = spark.createDataFrame([("3.txt",), ("none",)], "member string")
     assert [r.path for r in FI.read_members(spark, paths, some).collect()] == ["zip:3.txt"]
+
+
+def test_files_of_floats_hold_what_codes_clip(spark, tmp_path):
+    rows = [("a.wav", 0, [0.5, 1.25, -3.0]), ("b.wav", 0, [0.1])]
+    blocks = spark.createDataFrame(rows, "path string, block bigint, samples array<float>")
+    for subtype, want in (("PCM_16", [0.5, 32767 / 32768, -1.0]), ("FLOAT", [0.5, 1.25, -3.0])):
+        WV.write_wav(blocks, str(tmp_path / subtype), subtype)
+        read = WV.read_wav_blocks(WV.read_files(spark, str(tmp_path / subtype), "a.wav")).first()
+        assert read.samples == want and read.error is None
+
+
+def test_a_signal_beyond_full_scale_comes_back_in_16_bit_steps(spark, tmp_path):
+    from wavelake.catalog.files import write_unclipped
+
+    rows = [("a.wav", 0, [0.5, 1.02041, -3.0]), ("b.wav", 0, [0.1])]
+    write_unclipped(spark.createDataFrame(rows, "path string, block bigint, samples array<float>"), str(tmp_path))
+    read = WV.read_wav_blocks(WV.read_files(spark, str(tmp_path), "*.wav"))
+    found = {r.path[-5:]: r.samples for r in read.collect()}
+    assert found == {"a.wav": [0.5, round(1.02041 * 32768) / 32768, -3.0], "b.wav": [round(0.1 * 32768) / 32768]}

@@ -182,18 +182,20 @@ def read_wav_blocks(
     return spread_groups(planned, "path", "_first").mapInPandas(decode, WAV_BLOCKS)
 
 
-# Bytes of a sample and the largest code of each subtype.
-SUBTYPES = {"PCM_16": (2, 32768), "PCM_24": (3, 8388608)}
+# Bytes of a sample and the largest code of each subtype; FLOAT has no codes and no full scale.
+SUBTYPES = {"PCM_16": (2, 32768), "PCM_24": (3, 8388608), "FLOAT": (4, None)}
 
 
-def wav_head(frames: int, width: int, rate: int) -> bytes:
-    """The 44 bytes before the samples of a mono file."""
+def wav_head(frames: int, width: int, rate: int, kind: int = 1) -> bytes:
+    """The 44 bytes before the samples of a mono file; kind 1 holds codes, 3 floats."""
     size = frames * width
-    form = struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, 1, rate, rate * width, width, 8 * width)
+    form = struct.pack("<4sIHHIIHH", b"fmt ", 16, kind, 1, rate, rate * width, width, 8 * width)
     return struct.pack("<4sI4s", b"RIFF", 36 + size, b"WAVE") + form + struct.pack("<4sI", b"data", size)
 
 
-def wav_codes(samples, width: int, scale: int) -> bytes:
+def wav_codes(samples, width: int, scale: int | None) -> bytes:
+    if scale is None:
+        return np.asarray(samples, dtype="<f4").tobytes()
     codes = np.clip(np.rint(np.asarray(samples, dtype=np.float64) * scale), -scale, scale - 1).astype("<i4")
     return codes.astype("<i2").tobytes() if width == 2 else codes.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
 
@@ -233,7 +235,7 @@ class WavWriter(DataSourceArrowWriter):
                         current, left, name = path, frames, f"{top}/{staging}/{path}"
                         store.create_dir(posixpath.dirname(name), recursive=True)
                         out = store.open_output_stream(name)
-                        out.write(wav_head(frames, self.width, self.rate))
+                        out.write(wav_head(frames, self.width, self.rate, 3 if self.scale is None else 1))
                         files.append((path, frames))
                     left -= len(samples)
                     out.write(wav_codes(samples, self.width, self.scale))
@@ -285,7 +287,8 @@ class WavSink(DataSource):
 def write_wav(blocks: DataFrame, folder: str, subtype: str = "PCM_16", rate: int = SAMPLE_RATE) -> DataFrame:
     """Writes one mono file per ``path`` under a folder of any store: rows (path, frames).
 
-    ``blocks`` has (path, block, samples) with values in [-1, 1]; null paths are left out. The blocks of a file stream
+    ``blocks`` has (path, block, samples); null paths are left out. Codes hold values in [-1, 1) and clip what is beyond,
+    the subtype FLOAT holds every value. The blocks of a file stream
     through one task in order, one batch in memory at a time. The write is done when the function returns. Files appear
     under their names when all of them are complete; files of those names are replaced.
     """
