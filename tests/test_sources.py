@@ -250,7 +250,7 @@ def test_measured_pairs_of_a_signal_beyond_full_scale(spark, tmp_path):
     from wavelake.catalog.files import measured_pairs
     from wavelake.catalog.registry import Tables
 
-    rows = [(i, 1, i % 7, 560.21 if i == 20 else 50.0 + 13 * i % 97) for i in range(40)]
+    rows = [(i, 1, i % 7, 560.21 if i == 21 else 50.0 + 13 * i % 97) for i in range(40)]
     events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, h int, value double")
     ts = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, CAST(event_id AS INT), 0)")
     events.select("event_id", ts.alias("ts"), "user_id", F.lit("x").alias("event_type"), "value").write.parquet(str(tmp_path / "events.parquet"))
