@@ -165,3 +165,12 @@ def test_fold_blocks_in_both_directions(spark):
     for key in (1, None):
         assert [up[key, b] for b in range(50)] == [b * (b + 1) / 2 for b in range(50)]
         assert [down[key, b] for b in range(50)] == [sum(range(b + 2, 51)) for b in range(50)]
+
+
+def test_percentile_of_values_that_differ_each_time(spark):
+    import os
+
+    noise = F.udf(lambda: int.from_bytes(os.urandom(4)) / 2**32 * 1e-9, "double").asNondeterministic()()
+    rows = spark.range(0, 40 * 15, 1, 4).select((F.col("id") % 40).alias("k"), (F.floor(F.col("id") / 40) + noise).alias("v"))
+    found = O.exact_percentile(rows, ["k"], "v", 0.95, "p").collect()
+    assert len(found) == 40 and all(abs(r.p - 13.3) < 1e-8 for r in found)
