@@ -256,3 +256,28 @@ def test_measured_pairs_of_a_signal_beyond_full_scale(spark, tmp_path):
     events.select("event_id", ts.alias("ts"), "user_id", F.lit("x").alias("event_type"), "value").write.parquet(str(tmp_path / "events.parquet"))
     peak = measured_pairs(Tables(spark, str(tmp_path))).first().peak_noisy
     assert peak > 1.0
+
+
+def long_numbers(spark, folder):
+    """Orders and their lines with keys of five to seven digits."""
+    source = "/root/testdata/sf0.001"
+    for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        rows = spark.read.parquet(f"{source}/{name}.parquet").where(F.col(key) < 60).withColumn(key, F.col(key) * 51_111)
+        rows.write.parquet(f"{folder}/{name}.parquet")
+    spark.read.parquet(f"{source}/part.parquet").write.parquet(f"{folder}/part.parquet")
+
+
+@pytest.mark.parametrize("name", ["src6_snk1_records_round_trip", "sca14_sample_record"])
+def test_records_of_long_numbers_match_their_twins(spark, tmp_path, name):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    long_numbers(spark, str(tmp_path))
+    con = duckdb.connect()
+    for table in ("orders", "lineitem", "part"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    want = con.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    got = entry.queries()[name](spark, str(tmp_path)).select(*names).collect()
+    assert len(got) == 60 and sorted(map(tuple, got)) == sorted(want.fetchall())
