@@ -218,3 +218,13 @@ def test_phase_lag_of_many_short_signals_is_no_call_for_each(spark):
     found = {r.signal_id: r.lag for r in lags.collect()}
     assert found == {k: k % 5 for k in range(300)}
     assert {r.signal_id: r.lag for r in S.phat_lag(pairs.where("signal_id < 9"), 6, size=64, whole_bits=3).collect()} == {k: k % 5 for k in range(9)}
+
+
+def test_blocks_of_many_signals_are_no_call_for_each(spark, signals):
+    taps = S.zero_phase_taps(80, 400, 2000, half=40)
+    rows = table(spark, signals).withColumn("signal_id", F.when(F.col("signal_id") == "long", "long"))
+    done = S.zero_phase_filter(rows, taps, size=64)
+    assert "FlatMapGroupsInPandas" not in done._jdf.queryExecution().optimizedPlan().toString()
+    got = arrays(done)
+    for k, x in ((None, signals["short"]), ("long", signals["long"])):
+        assert np.allclose(got[k], np.convolve(x, taps)[40 : 40 + len(x)], atol=1e-12)

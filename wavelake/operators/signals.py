@@ -22,7 +22,7 @@ from wavelake.functions.scalars import db_to_amplitude, fade_gain, pcm_decode, p
 from wavelake.operators.filters import forward_backward
 from wavelake.operators.matching import to_buckets
 from wavelake.operators.rules import clip_gain
-from wavelake.plans.batches import empty, plain
+from wavelake.plans.batches import plain
 from wavelake.plans.draws import unit
 from wavelake.plans.ordered import (
     BLOCK,
@@ -75,21 +75,39 @@ def with_halo(df: DataFrame, before: int, after: int, size: int, position: str =
 def per_block(df: DataFrame, keys: Sequence[str], function, output: str) -> DataFrame:
     """Runs a NumPy function on every (keys, block) group of a haloed table. Groups have a fixed maximum size.
 
-    ``function(block, own, rows)`` returns a dict of arrays named like the columns of ``output`` without keys.
+    ``function(block, own, rows)`` gets the columns as arrays, in one order that is not fixed, and returns a dict of
+    arrays named like the columns of ``output`` without keys. Groups are rows of batches, so short ones cost no call each.
     """
     schema = T.StructType([df.schema[k] for k in keys] + T.StructType.fromDDL(output).fields)
-    names = [f.name for f in schema.fields]
+    names = [f.name for f in T.StructType.fromDDL(output).fields]
+    values = [c for c in df.columns if c not in (*keys, "block")]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        own = group["own"].to_numpy()
-        if not own.any():
-            return empty(schema)
-        result = function(int(group["block"].iloc[0]), own, group)
-        size = len(next(iter(result.values())))
-        head = {k: [group[k].iloc[0]] * size for k in keys}
-        return plain(pd.DataFrame({**head, **result})[names])
+    def frame(heads: list[tuple], results: list[dict]) -> pd.DataFrame:
+        sizes = [len(r[names[0]]) for r in results]
+        columns = {}
+        for i, k in enumerate(keys):
+            columns[k] = pd.Series(np.repeat(np.array([*(h[i] for h in heads), None], dtype=object)[:-1], sizes), dtype=object)
+        return plain(pd.DataFrame({**columns, **{n: np.concatenate([r[n] for r in results]) for n in names}}))
 
-    return spread_groups(df, *keys, "block").groupBy(*keys, "block").applyInPandas(run, schema)
+    def run(batches):
+        for batch in batches:
+            heads, results, size = [], [], 0
+            columns = [batch[c] for c in (*keys, "block", *values)]
+            for row in zip(*columns):
+                rows = dict(zip(values, row[len(keys) + 1 :]))
+                own = rows["own"] = np.asarray(rows["own"], dtype=bool)
+                if not own.any():
+                    continue
+                heads.append(tuple(None if v is None or v != v else v for v in row[: len(keys)]))
+                results.append(function(int(row[len(keys)]), own, rows))
+                size += len(results[-1][names[0]])
+                if size >= BLOCK:
+                    yield frame(heads, results)
+                    heads, results, size = [], [], 0
+            if results:
+                yield frame(heads, results)
+
+    return packed_groups(df, [*keys, "block"], values).mapInPandas(run, schema)
 
 
 def _dense(t: np.ndarray, values: np.ndarray, first: int, length: int) -> np.ndarray:
@@ -152,7 +170,7 @@ def zero_phase_filter(
     half = (len(taps) - 1) // 2
 
     def run(block, own, rows):
-        t, x = rows["t"].to_numpy(), rows[column].to_numpy(dtype=np.float64)
+        t, x = rows["t"], np.asarray(rows[column], dtype=np.float64)
         mine = np.sort(t[own])
         first, length = int(mine[0]) - half, int(mine[-1] - mine[0]) + 1 + 2 * half
         near = (t >= first) & (t < first + length)
@@ -189,7 +207,7 @@ def resample(
     per_side = half // up + 1
 
     def run(block, own, rows):
-        t, x = rows["t"].to_numpy(), rows[column].to_numpy(dtype=np.float64)
+        t, x = rows["t"], np.asarray(rows[column], dtype=np.float64)
         base, end = int(t.min()), int(t[own].max()) + 1
         field = _dense(t, x, base, int(t.max()) - base + 1)
         out = np.arange(-(-block * size * up // down), -(-end * up // down), dtype=np.int64)
@@ -439,12 +457,12 @@ def cross_correlation(
 ) -> DataFrame:
     """Correlation at every lag within +-max_lag: (keys, lag, correlation). Each block gives partial sums by FFT."""
     def run(block, own, rows):
-        t = rows["t"].to_numpy()
+        t = rows["t"]
         mine = t[own]
         first, length = int(mine.min()), int(mine.max() - mine.min()) + 1
-        left = _dense(mine, rows[ref].to_numpy(dtype=np.float64)[own], first, length)
+        left = _dense(mine, np.asarray(rows[ref], dtype=np.float64)[own], first, length)
         near = (t >= first - max_lag) & (t < first + length + max_lag)
-        right = _dense(t[near], rows[other].to_numpy(dtype=np.float64)[near], first - max_lag, length + 2 * max_lag)
+        right = _dense(t[near], np.asarray(rows[other], dtype=np.float64)[near], first - max_lag, length + 2 * max_lag)
         n = _fast_length(len(left) + len(right))
         full = np.fft.irfft(np.fft.rfft(right, n) * np.conj(np.fft.rfft(left, n)), n)
         return {"lag": np.arange(-max_lag, max_lag + 1), "part": full[: 2 * max_lag + 1]}

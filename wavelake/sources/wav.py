@@ -156,8 +156,14 @@ def read_wav_blocks(
     runs = F.when(F.col("error").isNotNull(), F.array(F.lit(None).cast("bigint"))).otherwise(begins)
     planned = planned.withColumn("_first", F.explode(runs))
 
+    def whole(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+        numbers = dict.fromkeys(["sample_rate", "channels", "frames", "block", "start"], "Int64")
+        return plain(pd.DataFrame(rows, columns=columns).astype(numbers))
+
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["path", "sample_rate", "channels", "frames", "block", "start", "samples", "error"]
+        # Short files go on together; a frame holds about one block of samples.
+        ready, held = [], 0
         for batch in batches:
             for row in batch.to_dict("records"):
                 path, error, file = row["path"], row["error"], None
@@ -171,13 +177,18 @@ def read_wav_blocks(
                         samples = wav_samples(file, layout, a, b)
                         if not np.isfinite(samples).all():
                             raise ValueError("non-finite samples")
-                        head = (path, layout["rate"], layout["channels"], layout["frames"])
-                        yield plain(pd.DataFrame([(*head, number, a, samples, None)], columns=columns))
+                        ready.append((path, layout["rate"], layout["channels"], layout["frames"], number, a, samples, None))
+                        held += len(samples)
+                        if held >= BLOCK:
+                            yield whole(ready, columns)
+                            ready, held = [], 0
                 except (ValueError, OSError, struct.error) as error:
-                    yield plain(pd.DataFrame([(path, None, None, None, None, None, None, str(error))], columns=columns))
+                    ready.append((path, None, None, None, None, None, None, str(error)))
                 finally:
                     if file is not None:
                         file.close()
+        if ready:
+            yield whole(ready, columns)
 
     return spread_groups(planned, "path", "_first").mapInPandas(decode, WAV_BLOCKS)
 
