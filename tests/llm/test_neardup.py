@@ -129,3 +129,50 @@ def test_mix_returns_the_text_of_its_rows(spark):
     key = lambda r: str((r.doc_id, r.source, r.size, r.copies, r.taken))
     assert sorted(map(key, mixed)) == sorted(map(key, want))
     assert len({r.text for r in mixed}) == len(mixed) and {(r.doc_id, r.text, r.source) for r in mixed} <= set(rows)
+
+
+def smallest_reachable(pairs):
+    head = {x: x for p in pairs for x in p}
+    while any(head[a] != head[b] for a, b in pairs):
+        for a, b in pairs:
+            head[a] = head[b] = min(head[a], head[b])
+    return head
+
+
+def test_components_do_not_read_joined_edges_again(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    family = [(n, 10_000 + int(k)) for n in range(240) for k in rng.choice(20, 12, replace=False)]
+    chain = [(20_000 + i, 20_001 + i) for i in range(40)]
+    alike = [(30_000, 30_000), (30_001, 30_000), (30_000, 30_001)]
+    pairs = family + chain + alike
+    edges = spark.createDataFrame(pairs, "a bigint, b bigint")
+    sizes, kind = [], type(edges)
+    join = kind.join
+
+    def counted(self, *args):
+        out = join(self, *args)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(kind, "join", counted)
+    got = {r.node: r.label for r in N.components(edges).collect()}
+    monkeypatch.undo()
+    assert got == smallest_reachable(pairs)
+    assert sum(sizes) < 4 * len(pairs)
+    assert N.components(edges.where("false")).count() == 0
+
+
+def test_more_links_join_classes(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "node bigint, label bigint")
+    more = spark.createDataFrame([(2, 6), (6, 7), (8, 9), (3, 4)], "a bigint, b bigint")
+    got = {r.node: r.label for r in N._joined_classes(labels, more).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 7: 1, 8: 8, 9: 8, 3: 3, 4: 3}
+
+
+def test_words_of_bytes_are_the_words_of_the_text():
+    from wavelake.llm.common import LOWER_ASCII, WORDS
+
+    hashes = WordHashes()
+    for text in ("", " \t\n\x0b\x0c\r ", "A B   ÄÖ\x1cX\x85Yİ I\x0bJ", "lone \ud800 K\x00L"):
+        want = hashes.of(WORDS.findall(text.translate(LOWER_ASCII)))
+        assert (hashes.of_text(text) == want).all() and len(hashes.of_text(text)) == len(want)

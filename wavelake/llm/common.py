@@ -90,6 +90,16 @@ class WordHashes(dict):
     def of(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), U64, len(words))
 
+    @staticmethod
+    def of_text(text: str) -> np.ndarray:
+        """The same hashes for all words of a text, A-Z in lower case first.
+
+        Works on the UTF-8 of the text: ``bytes.lower`` changes A-Z alone, ``bytes.split`` splits at the white space of
+        WORD alone, and to hash such a word takes less time than to look it up.
+        """
+        words = text.encode("utf-8", "surrogatepass").lower().split()
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, len(words))
+
 
 def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """One hash for each run of ``width`` words; with fewer words, one for the whole sequence; none without words."""

@@ -11,9 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelake.llm.common import (
-    LOWER_ASCII,
     U64,
-    WORDS,
     WordHashes,
     mix64,
     release_shuffles,
@@ -35,8 +33,7 @@ FEW, BLOCK = 24, 400
 
 def text_set(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a text, A-Z in lower case; empty without words."""
-    words = WORDS.findall(text.translate(LOWER_ASCII)) if text else []
-    return np.unique(shingle_hashes(hashes.of(words), width))
+    return np.unique(shingle_hashes(hashes.of_text(text or ""), width))
 
 
 def set_key(members: np.ndarray) -> bytes:
@@ -177,28 +174,39 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: tuple[i
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for the nodes of undirected edges (a, b): label is the smallest node that is reachable.
 
-    Every round takes the smallest label among a node's neighbours and then the label's own label, until a round
-    changes nothing: about the logarithm of the longest path, as stars and pointers shorten it.
+    Every round points each node at its smallest neighbour, if that is smaller, follows the pointers to their ends, and
+    goes on with the edges between different ends, once each. An end is smaller than all its neighbours, so the nodes that
+    are left drop fast, and no edge is read again once its nodes are joined. The smallest node of a component always stays.
     """
-    both = cut_lineage(
-        edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    )
-    labels = cut_lineage(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "node"))
+    rounds = []
     while True:
-        heard = (
-            both.join(labels, both["b"] == labels["node"])
-            .groupBy("a")
-            .agg(F.min("label").alias("heard"))
-            .withColumnRenamed("a", "node")
-        )
-        lower = labels.join(heard, "node").select("node", "label", F.least("label", "heard").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
-        step = cut_lineage(
-            lower.join(jump, "low").select("node", F.col("label").alias("old"), F.least("low", "far").alias("label"))
+        both = cut_lineage(
+            edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
         )
-        labels = step.select("node", "label")
-        if step.where(F.col("old") != F.col("label")).isEmpty():
-            return labels
+        ends = _pointer_ends(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")))
+        rounds.append(ends)
+        half = both.where("a < b").join(ends.select(F.col("node").alias("a"), F.col("label").alias("_a")), "a")
+        half = half.join(ends.select(F.col("node").alias("b"), F.col("label").alias("_b")), "b").where("_a != _b")
+        edges = cut_lineage(half.select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
+        if edges.isEmpty():
+            break
+    labels = rounds.pop()
+    while rounds:  # the ends of a round are the nodes of the next one
+        later = labels.select(F.col("node").alias("label"), F.col("label").alias("last"))
+        labels = rounds.pop().join(later, "label", "left").select("node", F.coalesce("last", "label").alias("label"))
+        labels = cut_lineage(labels)
+    return labels
+
+
+def _pointer_ends(pointers: DataFrame) -> DataFrame:
+    """(node, label) with each pointer followed to its end, twice as far every time."""
+    pointers = cut_lineage(pointers)
+    while True:
+        ahead = pointers.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        step = cut_lineage(pointers.join(ahead, "label").select("node", F.col("label").alias("old"), F.col("far").alias("label")))
+        pointers = step.select("node", "label")
+        if step.where("old != label").isEmpty():
+            return pointers
 
 
 # ---- the operator ---------------------------------------------------------------------------------------------------
@@ -288,9 +296,8 @@ def near_duplicates(
     if not left.isEmpty():
         crowded = left.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("hub"))
         crowded = crowded.where(F.col("size") > FEW)
-        families = components(
-            left.join(crowded, "bucket").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        ).withColumnRenamed("label", "family")
+        to_hubs = left.join(crowded, "bucket").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        families = components(_one_link_each(to_hubs)).withColumnRenamed("label", "family")
         families = cut_lineage(families)
         known_labels = left.select("node", "label").distinct()
         within = cut_lineage(_family_links(families.join(known_labels, "node"), texts, width, threshold))
@@ -310,7 +317,9 @@ def near_duplicates(
             .select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
             .distinct()
         )
-        labels = components(links.unionByName(within).unionByName(test(across)))
+        more = within.unionByName(test(across))
+        if not more.isEmpty():
+            labels = _joined_classes(labels, more)
     release_shuffles(docs.sparkSession)
     classes = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     smallest = classes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -327,6 +336,18 @@ def near_duplicates(
     )
 
 
+def _joined_classes(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after more links (a, b): only the classes at the ends of these are joined; a node without one is its own."""
+    ends = cut_lineage(links.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    known = labels.unionByName(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
+    of_ends = cut_lineage(known.join(ends, "node", "left_semi"))
+    between = links.join(of_ends.select(F.col("node").alias("a"), F.col("label").alias("_a")), "a")
+    between = between.join(of_ends.select(F.col("node").alias("b"), F.col("label").alias("_b")), "b")
+    classes = components(between.where("_a != _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    classes = classes.select(F.col("node").alias("label"), F.col("label").alias("joined"))
+    return known.join(classes, "label", "left").select("node", F.coalesce("joined", "label").alias("label"))
+
+
 def _one_link_each(links: DataFrame) -> DataFrame:
     """Links that connect the same nodes: each node keeps one pivot, and its other pivots are linked with that one.
 
