@@ -169,6 +169,22 @@ def test_more_links_join_classes(spark):
     assert got == {1: 1, 2: 1, 5: 1, 6: 1, 7: 1, 8: 8, 9: 8, 3: 3, 4: 3}
 
 
+def test_texts_are_found_in_slices(spark, monkeypatch):
+    written, write = [], N.write_table
+
+    def spy(df):
+        written.append(df.columns)
+        return write(df)
+
+    monkeypatch.setattr(N, "write_table", spy)
+    texts = {i: f"{'ÀÉ ab' if i % 2 else 'Zz cd'} {i // 2}" for i in range(40)}
+    docs = spark.createDataFrame([*texts.items(), (None, "null id")], "doc_id bigint, text string")
+    key = lambda t: N.set_key(N.text_set(t, 2, WordHashes()))
+    ids = spark.createDataFrame([(i, key(t)) for i, t in texts.items()] + [(None, key("null id"))], "_id bigint, node binary")
+    got = {bytes(r.node): r.text for r in N._node_texts(docs, ids, 2).collect()}
+    assert got == {key(t): t for t in [*texts.values(), "null id"]} and written == [["node", "text"]] * N.SLICES
+
+
 def test_words_of_bytes_are_the_words_of_the_text():
     from wavelake.llm.common import LOWER_ASCII, WORDS
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,8 @@ BASE, OFFSET, LARGEST = 1.1, 30, 255
 CHUNK = 1_500_000
 #: Nodes of a bucket that may form pairs one by one, and nodes in a block of a larger family.
 FEW, BLOCK = 24, 400
+#: Parts of the documents whose texts are shuffled one after the other.
+SLICES = 4
 
 
 # ---- sketches -------------------------------------------------------------------------------------------------------
@@ -257,16 +260,18 @@ def near_duplicates(
         ).alias("bucket"),
     )
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    colliding = banded.join(shared, "bucket")
-    degree = colliding.groupBy("node").agg(F.sum("size").alias("degree"))
-    members = write_table(colliding.select("bucket", "node").join(degree, "node"))
-    known = cut_lineage(nodes.join(degree.select("node"), "node", "left_semi"))
-    sketches = known.select("node", "n", "sketch")
-    del banded, shared, colliding, degree
+    colliding = write_table(banded.join(shared, "bucket").select("bucket", "node", "size"))
+    del banded, shared
     release_shuffles(docs.sparkSession)
-    texts = _node_texts(docs, known, width)
-    del known
+    # From the written table: to band all nodes again for the degrees would double the disk.
+    degree = cut_lineage(colliding.groupBy("node").agg(F.sum("size").alias("degree")))
+    known = cut_lineage(nodes.join(degree, "node"))
+    sized = write_table(colliding.select("bucket", "node").join(known.select("node", "n", "degree"), "node"))
+    sketches = known.select("node", "n", "sketch")
+    ids = known.select(F.col("doc_id").alias("_id"), "node")
+    del degree, known
     release_shuffles(docs.sparkSession)
+    texts = _node_texts(docs, ids, width)
     side = lambda to: sketches.select(
         F.col("node").alias(to), F.col("n").alias(f"n{to}"), F.col("sketch").alias(f"s{to}")
     )
@@ -275,7 +280,6 @@ def near_duplicates(
         near = _estimated(pairs.join(side("a"), "a").join(side("b"), "b"), m, over / under - margin)
         return cut_lineage(_verified(near, texts, width, threshold))
 
-    sized = members.join(sketches.select("node", "n"), "node")
     pivots = sized.groupBy("bucket").agg(F.max(F.struct("degree", "node", "n")).alias("p"))
     fits = under * F.least("n", "p.n") >= over * F.greatest("n", "p.n")
     links = _one_link_each(
@@ -446,8 +450,12 @@ def _family_links(families: DataFrame, texts: DataFrame, width: int, threshold:
     )
 
 
-def _node_texts(docs: DataFrame, known: DataFrame, width: int) -> DataFrame:
-    """(node, text): one text for each node, found by its doc_id and confirmed by its set."""
+def _node_texts(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(node, text): one text for each node of ``ids`` (_id, node), found by its doc_id and confirmed by its set.
+
+    The nodes are dealt into SLICES by a hash of the doc_id and found one slice after the other, so that the texts of one
+    slice of the documents only lie in shuffle files at any time.
+    """
 
     @F.pandas_udf("binary")
     def name(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -456,6 +464,12 @@ def _node_texts(docs: DataFrame, known: DataFrame, width: int) -> DataFrame:
             yield pd.Series([set_key(text_set(t, width, hashes)) for t in texts])
 
     name = name.asNondeterministic()  # else the planner names every text to join on the names
-    ids = known.select(F.col("doc_id").alias("_id"), F.col("node"))
-    found = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
-    return write_table(found.where(name("text") == F.col("node")).dropDuplicates(["node"]))
+    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(SLICES))
+    parts = []
+    for k in range(SLICES):
+        some, own = docs.select("doc_id", "text").where(deal("doc_id") == k), ids.where(deal("_id") == k)
+        found = some.join(own, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
+        parts.append(write_table(found.where(name("text") == F.col("node")).dropDuplicates(["node"])))
+        del some, own, found
+        release_shuffles(docs.sparkSession)
+    return reduce(DataFrame.unionByName, parts)
