@@ -3,6 +3,8 @@
 import math
 import re
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wavelake.llm import language_model as M
 from wavelake.llm.common import U64, mix64
+from wavelake.session import ensure_checkpoint_dir
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -149,3 +152,68 @@ def test_known_text_scores_above_shuffled_text(spark):
     got = {r.doc_id: r for r in M.score_texts(two, model).collect()}
     assert got[1].score > got[2].score and got[1].score > got[1].base_score
     assert got[1].base_score == pytest.approx(got[2].base_score)
+
+
+@pytest.mark.parametrize("segments", [4, 5, 7, 240, 70_001])
+@pytest.mark.parametrize("lot", [1, 4])
+def test_packed_hashes_come_back(segments, lot):
+    h = np.unique(np.concatenate([mix64(np.arange(1, 5001, dtype=U64)), np.array([0, 1, 2**40 - 1, 2**64 - 1], U64)]))
+    n = np.arange(len(h)) * 77
+    boxes = M.pack_hashes(h, segments, lot)
+    entries = boxes.ends - boxes.starts
+    order = M.pack_order(h, segments)
+    found = [M.unpack_hashes(p, k, w, segments, lot) for p, k, w in zip(boxes.packed, entries, boxes.lots)]
+    assert (np.concatenate([f[0] for f in found]) == h[order]).all() and sorted(order) == list(range(len(h)))
+    places = np.concatenate([place + U64(w * lot) for (_, place), w in zip(found, boxes.lots)])
+    assert (places == M._places(h, segments)[order]).all() and len(set(boxes.lots)) == len(boxes.lots)
+    assert (np.concatenate([M._widen(p, k) for p, k in zip(boxes.slices(n), entries)]) == n[order]).all()
+
+
+def test_rare_and_frequent_words_leave_once_each(monkeypatch):
+    monkeypatch.setattr(M, "TOGETHER", 50)
+    monkeypatch.setattr(M, "GATHER", 100)
+    texts = [" ".join(f"w{i % 7} v{i % 11} x{k}y{i}" for i in range(60)) for k in range(30)] + [None, ""]
+    want = Counter(w for t in texts for w in tokens(t))
+    found = Counter()
+    for rows in M._counted(iter([M.pd.DataFrame({"text": texts})]), 2, 8):
+        for row in rows.itertuples():
+            h, n = M.unpack_hashes(row.h, row.entries, row.segment, 8)[0], M._widen(row.n, row.entries)
+            assert (M._places(h, 8) == row.segment).all()
+            found.update({(row.size, int(a)): 0 for a in h})
+            for a, b in zip(h, n):
+                found[row.size, int(a)] += int(b)
+    assert sorted(n for (size, _), n in found.items() if size == 1) == sorted(want.values())
+    assert sum(n for (size, _), n in found.items() if size == 2) == sum(want.values())
+    assert [n for (size, _), n in found.items() if size == 0] == [len(texts)]
+
+
+def test_travelling_keeps_little_beside_the_texts(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(map("{:x}".format, rng.integers(0, 1 << 20, 900)))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    folder = Path(urlparse(ensure_checkpoint_dir(spark)).path)
+    kept = lambda: sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    model = M.fit_model(docs)
+    before = kept()
+    got = {r.doc_id: r for r in M.score_texts(docs, model, broadcast=0).collect()}
+    assert kept() - before < 1.5 * sum(len(t) for _, t in rows)  # 5.0 times the texts when every n-gram was a row
+    whole = {r.doc_id: r for r in M.score_texts(docs, model).collect()}
+    for i, _ in rows:
+        assert (got[i].n_tokens, got[i].n_known) == (whole[i].n_tokens, whole[i].n_known)
+        assert (got[i].score, got[i].base_score) == pytest.approx((whole[i].score, whole[i].base_score), rel=1e-9)
+
+
+def test_batches_runs_and_parts_of_any_size(spark, monkeypatch):
+    rows = [(i, None if i % 9 == 0 else " ".join(f"w{i * k % 53}" for k in range(i % 40))) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (2**62 + 1, "w1 w2"), (None, "w1 w2")], "doc_id long, text string").repartition(2)
+    model = M.fit_model(docs)
+    key = lambda r: (str(r.doc_id), r.n_tokens)
+    want = sorted(M.score_texts(docs.where("doc_id < 1000"), model).collect(), key=key)
+    for name, value in (("BATCH_TEXT", 300), ("PART", 60), ("TOGETHER", 20), ("CHUNK", 7), ("SEGMENT_TEXT", 1)):
+        monkeypatch.setattr(M, name, value)
+    got = sorted(M.score_texts(docs, model, broadcast=0).collect(), key=key)
+    assert {2**62 + 1, None} < {r.doc_id for r in got}  # ids keep every digit beside a null
+    got = [r for r in got if r.doc_id is not None and r.doc_id < 1000]
+    assert [r[:4] for r in got] == [r[:4] for r in want]
+    for a, b in zip(got, want, strict=True):
+        assert a[4:] == pytest.approx(b[4:], rel=1e-9)
