@@ -34,10 +34,15 @@ def uniform_draw(seed: str, key: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def table_path(spark: SparkSession) -> str:
+    """A new place for a table in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
 def write_table(df: DataFrame) -> DataFrame:
     """Writes a table into the shared checkpoint folder and reads it back: computed once, lost with no executor."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = table_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

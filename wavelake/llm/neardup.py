@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,9 +16,9 @@ from wavelake.llm.common import (
     mix64,
     release_shuffles,
     shingle_hashes,
+    table_path,
     write_table,
 )
-from wavelake.session import cut_lineage
 
 #: Base of the register scale, the register of a minimum of 1, and the largest register.
 BASE, OFFSET, LARGEST = 1.1, 30, 255
@@ -183,30 +182,30 @@ def components(edges: DataFrame) -> DataFrame:
     """
     rounds = []
     while True:
-        both = cut_lineage(
+        both = write_table(
             edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
         )
         ends = _pointer_ends(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")))
         rounds.append(ends)
         half = both.where("a < b").join(ends.select(F.col("node").alias("a"), F.col("label").alias("_a")), "a")
         half = half.join(ends.select(F.col("node").alias("b"), F.col("label").alias("_b")), "b").where("_a != _b")
-        edges = cut_lineage(half.select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
+        edges = write_table(half.select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
         if edges.isEmpty():
             break
     labels = rounds.pop()
     while rounds:  # the ends of a round are the nodes of the next one
         later = labels.select(F.col("node").alias("label"), F.col("label").alias("last"))
         labels = rounds.pop().join(later, "label", "left").select("node", F.coalesce("last", "label").alias("label"))
-        labels = cut_lineage(labels)
+        labels = write_table(labels)
     return labels
 
 
 def _pointer_ends(pointers: DataFrame) -> DataFrame:
     """(node, label) with each pointer followed to its end, twice as far every time."""
-    pointers = cut_lineage(pointers)
+    pointers = write_table(pointers)
     while True:
         ahead = pointers.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        step = cut_lineage(pointers.join(ahead, "label").select("node", F.col("label").alias("old"), F.col("far").alias("label")))
+        step = write_table(pointers.join(ahead, "label").select("node", F.col("label").alias("old"), F.col("far").alias("label")))
         pointers = step.select("node", "label")
         if step.where("old != label").isEmpty():
             return pointers
@@ -249,7 +248,7 @@ def near_duplicates(
     nodes = sketched.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
     )
-    nodes = cut_lineage(nodes)
+    nodes = write_table(nodes)
     every = F.sequence(F.lit(0), F.lit(bands - 1))
     banded = nodes.select(
         "node",
@@ -264,8 +263,8 @@ def near_duplicates(
     del banded, shared
     release_shuffles(docs.sparkSession)
     # From the written table: to band all nodes again for the degrees would double the disk.
-    degree = cut_lineage(colliding.groupBy("node").agg(F.sum("size").alias("degree")))
-    known = cut_lineage(nodes.join(degree, "node"))
+    degree = write_table(colliding.groupBy("node").agg(F.sum("size").alias("degree")))
+    known = write_table(nodes.join(degree, "node"))
     sized = write_table(colliding.select("bucket", "node").join(known.select("node", "n", "degree"), "node"))
     sketches = known.select("node", "n", "sketch")
     ids = known.select(F.col("doc_id").alias("_id"), "node")
@@ -278,7 +277,7 @@ def near_duplicates(
 
     def test(pairs: DataFrame) -> DataFrame:
         near = _estimated(pairs.join(side("a"), "a").join(side("b"), "b"), m, over / under - margin)
-        return cut_lineage(_verified(near, texts, width, threshold))
+        return write_table(_verified(near, texts, width, threshold))
 
     pivots = sized.groupBy("bucket").agg(F.max(F.struct("degree", "node", "n")).alias("p"))
     fits = under * F.least("n", "p.n") >= over * F.greatest("n", "p.n")
@@ -294,17 +293,17 @@ def near_duplicates(
     release_shuffles(docs.sparkSession)
 
     left = sized.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    left = cut_lineage(_undecided(left))
+    left = write_table(_undecided(left))
     common = _common_sizes(texts, left, width).where(under * F.col("common") >= over * F.col("n"))
-    left = cut_lineage(_undecided(left.join(common.select("node", "common"), "node")))
+    left = write_table(_undecided(left.join(common.select("node", "common"), "node")))
     if not left.isEmpty():
         crowded = left.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("hub"))
         crowded = crowded.where(F.col("size") > FEW)
         to_hubs = left.join(crowded, "bucket").select(F.col("node").alias("a"), F.col("hub").alias("b"))
         families = components(_one_link_each(to_hubs)).withColumnRenamed("label", "family")
-        families = cut_lineage(families)
+        families = write_table(families)
         known_labels = left.select("node", "label").distinct()
-        within = cut_lineage(_family_links(families.join(known_labels, "node"), texts, width, threshold))
+        within = write_table(_family_links(families.join(known_labels, "node"), texts, width, threshold))
         sparse = left.join(crowded.select("bucket"), "bucket", "left_anti").join(families, "node", "left")
         names = ("node", "label", "n", "common", "family")
         one = sparse.select("bucket", *(F.col(c).alias(f"a_{c}") for c in names))
@@ -342,9 +341,9 @@ def near_duplicates(
 
 def _joined_classes(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label) after more links (a, b): only the classes at the ends of these are joined; a node without one is its own."""
-    ends = cut_lineage(links.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    ends = write_table(links.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     known = labels.unionByName(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
-    of_ends = cut_lineage(known.join(ends, "node", "left_semi"))
+    of_ends = write_table(known.join(ends, "node", "left_semi"))
     between = links.join(of_ends.select(F.col("node").alias("a"), F.col("label").alias("_a")), "a")
     between = between.join(of_ends.select(F.col("node").alias("b"), F.col("label").alias("_b")), "b")
     classes = components(between.where("_a != _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
@@ -362,7 +361,7 @@ def _one_link_each(links: DataFrame) -> DataFrame:
     first = F.element_at("pivots", 1)
     others = F.transform(F.slice("pivots", 2, F.size("pivots")), lambda p: F.struct(first.alias("a"), p.alias("b")))
     edges = F.concat(F.array(F.struct(F.col("a"), first.alias("b"))), others)
-    return cut_lineage(own.select(F.explode(edges).alias("e")).select("e.a", "e.b").distinct())
+    return write_table(own.select(F.explode(edges).alias("e")).select("e.a", "e.b").distinct())
 
 
 def _undecided(rows: DataFrame) -> DataFrame:
@@ -465,11 +464,13 @@ def _node_texts(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
     name = name.asNondeterministic()  # else the planner names every text to join on the names
     deal = lambda c: F.pmod(F.xxhash64(c), F.lit(SLICES))
-    parts = []
+    path = table_path(docs.sparkSession)
     for k in range(SLICES):
         some, own = docs.select("doc_id", "text").where(deal("doc_id") == k), ids.where(deal("_id") == k)
         found = some.join(own, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
-        parts.append(write_table(found.where(name("text") == F.col("node")).dropDuplicates(["node"])))
+        found = found.where(name("text") == F.col("node")).dropDuplicates(["node"])
+        found.write.mode("append").parquet(path)  # one table: a union would be planned anew for each part by every reader
+        schema = found.schema
         del some, own, found
         release_shuffles(docs.sparkSession)
-    return reduce(DataFrame.unionByName, parts)
+    return docs.sparkSession.read.schema(schema).parquet(path)
