@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,6 @@ from wavelake.llm.common import (
     mix64,
     release_shuffles,
     shingle_hashes,
-    table_path,
     write_table,
 )
 
@@ -464,13 +464,13 @@ def _node_texts(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
     name = name.asNondeterministic()  # else the planner names every text to join on the names
     deal = lambda c: F.pmod(F.xxhash64(c), F.lit(SLICES))
-    path = table_path(docs.sparkSession)
+    parts = []
     for k in range(SLICES):
         some, own = docs.select("doc_id", "text").where(deal("doc_id") == k), ids.where(deal("_id") == k)
         found = some.join(own, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
-        found = found.where(name("text") == F.col("node")).dropDuplicates(["node"])
-        found.write.mode("append").parquet(path)  # one table: a union would be planned anew for each part by every reader
-        schema = found.schema
+        parts.append(write_table(found.where(name("text") == F.col("node")).dropDuplicates(["node"])))
         del some, own, found
         release_shuffles(docs.sparkSession)
-    return docs.sparkSession.read.schema(schema).parquet(path)
+    # One scan of all folders: a union would be planned anew for each part by every reader.
+    folders = sorted({unquote(f.rsplit("/", 1)[0]) for part in parts for f in part.inputFiles()})
+    return docs.sparkSession.read.schema(parts[0].schema).parquet(*folders) if folders else parts[0]
